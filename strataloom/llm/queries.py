@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, line_dedup, packing, quality_rules, simhash, suffix_dedup, url_filter
+from . import chat_format, decontaminate, line_dedup, packing, quality_knn, quality_rules, simhash, suffix_dedup, toxicity, url_filter
 
 URL_RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
 
@@ -76,6 +76,22 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))
 
 
+def _scored(scores: DataFrame, parts: int, part: int, at: float) -> DataFrame:
+    return scores.select("doc_id", quality_knn.held_out(F.col("doc_id"), parts, part).alias("held_out"), "score", F.when(F.col("score") >= at, 1).otherwise(0).alias("predicted"))
+
+
+def op7_quality_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality_knn.fit(docs, _table(spark, sf_dir, "labels"), "quality", 3, 1)
+    return _scored(quality_knn.score(docs, model), 3, 1, 0.5)
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    machine = toxicity.learn(docs, _table(spark, sf_dir, "labels"), "toxic", 4, 2)
+    return _scored(toxicity.score(docs, machine), 4, 2, 0.3)
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
