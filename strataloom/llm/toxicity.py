@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import small_batches, store
 from .quality_knn import SCORES, sample
 
 # Word lists of the grammar.
@@ -146,48 +146,71 @@ class Machine:
         self.__init__(*state)
 
 
-def terms(text: str | None) -> set[str]:
-    """Words of a text ("w:") and their stems ("s:")."""
-    out: set[str] = set()
-    for w in {t.strip(_STRIP) for t in (text or "").lower().split()}:
-        if 3 <= len(w) <= 40:
-            out.add("w:" + w)
-            out.update("s:" + w[:k] for k in STEMS if len(w) > k)
-    return out
+def terms(text: str | None, cap: int = 4) -> tuple[dict[str, int], int]:
+    """Words of a text ("w:") and their stems ("s:"), with how many different words have the stem (``cap`` at most); the number of different words."""
+    out: dict[str, int] = {}
+    words = {w for w in (t.strip(_STRIP) for t in (text or "").lower().split()) if 3 <= len(w) <= 40}
+    for w in words:
+        out["w:" + w] = 1
+        for k in STEMS:
+            if len(w) > k:
+                s = "s:" + w[:k]
+                out[s] = min(cap, out.get(s, 0) + 1)
+    return out, len(words)
+
+
+def signature(text: str | None) -> int:
+    """Least hash of the three-word shingles: nearly always the same for near copies."""
+    import xxhash
+
+    words = (text or "").split()
+    return min((xxhash.xxh3_64_intdigest(" ".join(words[i : i + 3])) >> 1 for i in range(max(1, len(words) - 2))), default=0)
 
 
 def _gain(pos: int, neg: int, npos: int, nneg: int) -> float:
-    """One-sided G statistic of a term's counts in toxic and other documents."""
+    """One-sided G statistic of a term's counts among toxic and other documents' words."""
     n, k = npos + nneg, pos + neg
     if not npos or not nneg or pos * n <= k * npos:
         return 0.0
-    cells = ((pos, k * npos / n), (neg, k * nneg / n), (npos - pos, (n - k) * npos / n), (nneg - neg, (n - k) * nneg / n))
-    return 2 * sum(o * math.log(o / e) for o, e in cells if o and e)
+    return 2 * sum(o * math.log(o / e) for o, e in ((pos, k * npos / n), (neg, k * nneg / n)) if o and e)
 
 
-def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", parts: int = 4, part: int = 2, max_train: int = 8000, max_terms: int = 4000, least_gain: float = 22.0) -> Machine:
-    """The machine with its lexicon and curve from a bounded sample of labelled documents."""
+def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", parts: int = 4, part: int = 2, max_train: int = 8000, max_terms: int = 4000, least_gain: float = 24.0, least_docs: int = 3) -> Machine:
+    """The machine with its lexicon and curve from a bounded sample of labelled documents, near copies counted once.
+
+    A term counts once for each document, a stem once for each different word with it; it becomes an insult if the toxic
+    documents have it beyond chance (``least_gain`` of the G statistic) in ``least_docs`` documents at least.
+    """
     small_batches(docs.sparkSession)
-    rows = sample(docs, labels, label, parts, part, max_train).select(F.col("text").cast("string").alias("text"), F.col("y").cast("int").alias("y"))
-    counted = rows.groupBy("y").count().collect()
-    n = {int(r.y): r["count"] for r in counted}
-    npos, nneg = n.get(1, 0), n.get(0, 0)
+    drawn = sample(docs, labels, label, parts, part, max_train).select(F.col("text").cast("string").alias("text"), F.col("y").cast("int").alias("y"))
+
+    def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column("text"), b.column("y"), pa.array([signature(t) for t in b.column("text").to_pylist()], pa.int64())], ["text", "y", "sig"])
+
+    rows, _ = store(drawn.mapInArrow(signed, "text string, y int, sig long").groupBy("sig", "y").agg(F.min("text").alias("text")).select("text", "y"), "toxic-sample")
     words = dict.fromkeys(INSULTS, 1.0)
     stems: dict[str, float] = {}
-    if not npos or not nneg:
-        return Machine(words, stems)
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            flat = [(t, y) for text, y in zip(b.column("text").to_pylist(), b.column("y").to_pylist(), strict=True) for t in terms(text)]
-            yield pa.RecordBatch.from_arrays([pa.array([t for t, _ in flat], pa.string()), pa.array([y for _, y in flat], pa.int32())], ["t", "y"])
-
-    counts = rows.mapInArrow(found, "t string, y int").groupBy("t").agg(F.sum("y").alias("pos"), (F.count("*") - F.sum("y")).alias("neg"))
-    # pos * log(pos / expected) bounds the gain from below; the driver sees the max_terms best only
-    likely = counts.where((F.col("pos") >= 4) & (F.col("pos") * nneg > 8 * F.col("neg") * npos)).orderBy(F.desc(F.col("pos") - F.col("neg")), "t").limit(max_terms).collect()
+            flat = []
+            for text, y in zip(b.column("text").to_pylist(), b.column("y").to_pylist(), strict=True):
+                got, n = terms(text)
+                flat += [(t, y, k) for t, k in got.items()]
+                flat.append(("", y, n))
+            yield pa.RecordBatch.from_arrays([pa.array([f[j] for f in flat], kind) for j, kind in enumerate((pa.string(), pa.int32(), pa.int64()))], ["t", "y", "k"])
+
+    toxic = F.col("y") == 1
+    counts, _ = store(rows.mapInArrow(found, "t string, y int, k long").groupBy("t").agg(F.sum(F.when(toxic, F.col("k")).otherwise(0)).alias("pos"), F.sum(F.when(toxic, 0).otherwise(F.col("k"))).alias("neg"), F.count(F.when(toxic, 1)).alias("docs"), F.count(F.when(~toxic, 1)).alias("others")), "toxic-terms")
+    every = counts.where("t = ''").first()
+    if every is None or not every.pos or not every.neg:
+        return Machine(words, stems)
+    odds = every.neg / every.pos
+    likely = counts.where((F.col("t") != "") & (F.col("docs") >= least_docs) & (F.col("pos") * odds > 6 * F.col("neg"))).orderBy(F.desc(F.col("pos") - F.col("neg") / odds), "t").limit(max_terms).collect()
     for r in likely:
-        if _gain(r.pos, r.neg, npos, nneg) >= least_gain:
-            weight = min(2.0, math.log(((r.pos + 0.5) / (npos + 1)) / ((r.neg + 0.5) / (nneg + 1))) / 3)
+        if _gain(r.pos, r.neg, every.pos, every.neg) >= least_gain:
+            weight = min(2.0, math.log((r.pos + 0.5) * odds / (r.neg + 0.5)) / 3)
             (words if r.t[0] == "w" else stems)[r.t[2:]] = weight
     machine = Machine(words, stems)
     shared = docs.sparkSession.sparkContext.broadcast(machine)
