@@ -6,7 +6,7 @@ import contextlib
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Characters that separate words: space, tab, LF, VT, FF, CR.
@@ -51,6 +51,11 @@ def drop_stored(spark: SparkSession, *paths: str) -> None:
             where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def row_key() -> tuple[Column, Column]:
+    """(doc_id with nulls last, hash of the text): names a row of documents by what it holds, so that it is the same in every pass."""
+    return F.coalesce("doc_id", F.lit(LAST_ID)).cast("long"), F.xxhash64(F.coalesce("text", F.lit("")))
+
+
 def lower_az(c):
     """A-Z lower-cased, all else as it is: lower() would change letters outside ASCII too."""
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, small_batches, store
+from .common import components, row_key, small_batches, store
 
 BITS = 64
 SEED = 42
@@ -52,15 +52,16 @@ def fingerprint(text: bytes | None, size: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, size: int = 3) -> DataFrame:
-    """(doc_id, fp) for each row; fp holds the 64 bits as a signed long."""
+    """(doc_id, did, th, fp) for each row; fp holds the 64 bits as a signed long, (did, th) names the row's content."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps = np.array([fingerprint(t, size) for t in b.column("text").to_pylist()], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), pa.array(fps)], ["doc_id", "fp"])
+            fps = np.array([fingerprint(t.as_py(), size) for t in b.column("text")], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*(b.column(k).cast(pa.int64()) for k in ("doc_id", "did", "th")), pa.array(fps)], ["doc_id", "did", "th", "fp"])
 
     small_batches(docs.sparkSession)
-    return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(rows, "doc_id long, fp long")
+    did, th = row_key()
+    return docs.select("doc_id", did.alias("did"), th.alias("th"), F.col("text").cast("binary").alias("text")).mapInArrow(rows, "doc_id long, did long, th long, fp long")
 
 
 class _Forest:
@@ -246,15 +247,33 @@ def _tasks(fp: int, block: int, width: int, d: int, budget: int) -> list[int]:
     return [1 + (min(own, x) << 20 | max(own, x)) for x in found]
 
 
-def near_duplicates(docs: DataFrame, size: int = 3, budget: int = 3) -> DataFrame:
-    """(doc_id, fingerprint, component_id, copies) for each row of docs; copies: rows of the same fingerprint."""
-    spark = docs.sparkSession
+def _rooted(docs: DataFrame, size: int, budget: int) -> tuple[DataFrame, DataFrame]:
+    """The fingerprints of all rows, and each distinct one's root, copies and first row."""
     fps, _ = store(fingerprints(docs, size), "fingerprints")
-    nodes, _ = store(fps.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies")), "nodes")
+    nodes, _ = store(fps.groupBy("fp").agg(F.min("doc_id").alias("first"), F.min(F.struct("did", "th")).alias("row"), F.count("*").alias("copies")), "nodes")
     links_, _ = store(links(nodes.select("fp"), budget), "links")
-    roots, _ = store(components(links_), "roots")
-    tied = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    roots = components(links_).withColumnRenamed("node", "fp")
+    tied, _ = store(nodes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")), "roots")
+    small_batches(docs.sparkSession)
+    return fps, tied
+
+
+def near_duplicates(docs: DataFrame, size: int = 3, budget: int = 3) -> DataFrame:
+    """(doc_id, fingerprint, component_id, copies) for each row of docs; copies: rows of the same fingerprint."""
+    fps, tied = _rooted(docs, size, budget)
     smallest = tied.groupBy("root").agg(F.min("first").alias("component_id"))
     by_fp = tied.join(smallest, "root").select("fp", "component_id", "copies")
-    small_batches(spark)
     return fps.join(by_fp, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "copies")
+
+
+def one_of_each(docs: DataFrame, size: int = 3, budget: int = 3) -> DataFrame:
+    """The documents that are first of their component, by doc_id and then by a hash of the text, with all their columns."""
+    fps, tied = _rooted(docs, size, budget)
+    kept = tied.groupBy("root").agg(F.min("row").alias("row")).select("row.did", "row.th")
+    kept, _ = store(kept, "kept-rows")
+    did, th = row_key()
+    own = docs.withColumns({"_sl_did": did, "_sl_th": th})
+    out = own.join(kept.select(F.col("did").alias("_sl_did"), F.col("th").alias("_sl_th")), ["_sl_did", "_sl_th"], "left_semi")
+    if fps.join(kept, ["did", "th"], "left_semi").groupBy("did", "th").count().where("count > 1").take(1):  # one of the repeated rows stays
+        out = out.dropDuplicates(["_sl_did", "_sl_th"])
+    return out.select(*docs.columns)

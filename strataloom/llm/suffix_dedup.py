@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LAST_ID, drop_stored, small_batches, store
+from .common import drop_stored, row_key, small_batches, store
 from .repeats import anchors, rolling
 
 LENGTH, GRAM = 200, 64
@@ -37,8 +37,8 @@ ANCHORS = "did long, th long, pos int, l int, r int, kh long, ch long"
 
 def _keyed(docs: DataFrame) -> DataFrame:
     """(doc_id, did, th, text) with text as bytes; (did, th) names a row's content."""
-    text = F.coalesce("text", F.lit(""))
-    return docs.select("doc_id", F.coalesce("doc_id", F.lit(LAST_ID)).cast("long").alias("did"), F.xxhash64(text).alias("th"), text.cast("binary").alias("text"))
+    did, th = row_key()
+    return docs.select("doc_id", did.alias("did"), th.alias("th"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
 
 
 def _bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -263,12 +263,9 @@ def merged_spans(runs: DataFrame, buckets: int, length: int, gram: int, chunk: i
         padded = b"".join(w[2].rjust(reach, b"\0") + w[1].ljust(length, b"\0") for w in waiting)
         contexts = np.frombuffer(padded, np.uint8).reshape(len(waiting), reach + length)
         left, right = (np.fromiter((len(w[k]) for w in waiting), np.int64, len(waiting)) for k in (2, 1))
-        hit, l, r = _by_groups(contexts, left, right, group)
+        hit, l, r = shared_windows(contexts, left, right, group, length, gram)
         yield _batch([[waiting[i][3] for i in hit], [waiting[i][4] for i in hit], l, r], SPANS)
 
-    def _by_groups(contexts: np.ndarray, left: np.ndarray, right: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        return shared_windows(contexts, left, right, group, length, gram)
-
     small_batches(runs.sparkSession, 20_000)
     dealt = runs.repartition(buckets, "bucket").sortWithinPartitions("bucket", "run", "nth")
     return dealt.select("bucket", "run", "shared", "rest", "before", "kh", "ch").mapInArrow(rows, SPANS)
