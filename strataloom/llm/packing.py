@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import math
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -30,15 +31,17 @@ from .common import small_batches, store
 CAPACITY, END = 4096, 1
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, salt long"
 PACKED = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
-#: Text with other blanks than these goes through the tokenizer as a whole.
-_ODD = r"[\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200d\u2028\u2029\u202f\u205f\u3000\ufeff]"
-_CACHE_ENTRIES, _CACHE_CHARS = 400_000, 48
+#: Text with other blanks than these, or with letters whose lower case depends on more than themselves, goes through the tokenizer as a whole.
+_ODD = r"[\x1c-\x1f\x85\xa0\u03a3\u0130\u1680\u180e\u2000-\u200d\u2028\u2029\u202f\u205f\u212a\u212b\u3000\ufeff]"
+_CACHE_ENTRIES, _CACHE_CHARS = 800_000, 48
 
 
 class Encoder:
     """The tokenizer's ids as little-endian uint32 bytes; remembers those of short words.
 
-    The tokenizer never joins characters across blanks, so a text's ids are those of its blank-separated words.
+    The tokenizer drops blanks and case and never joins characters across blanks, nor a letter with a full stop or comma,
+    so a text's ids are those of its parts. A text's new words are encoded in one call and parted at the tokens that end
+    a word. Two generations of remembered words bound the memory: when the younger is full, the elder goes.
     """
 
     def __init__(self, path: str) -> None:
@@ -49,28 +52,60 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.odd = re.compile(_ODD).search
         self.known: dict[str, bytes] = {}
+        self.elder: dict[str, bytes] = {}
+        self.marks = {c: self.raw(c) for c in ".,"}
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
 
     def raw(self, text: str) -> bytes:
-        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def remember(self, word: str, ids: bytes) -> None:
+        if len(word) <= _CACHE_CHARS:
+            if len(self.known) >= _CACHE_ENTRIES:
+                self.elder, self.known = self.known, {}
+            self.known[word] = ids
+
+    def letters(self, words: list[str]) -> list[bytes]:
+        """Ids of words of letters only: each is one or more tokens, of which the last alone ends a word."""
+        ids = np.asarray(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
+        ends = np.flatnonzero(self.ends[ids]) + 1
+        if len(ends) != len(words):
+            return [self.raw(w) for w in words]
+        raw, at = ids.tobytes(), (4 * ends).tolist()
+        return [raw[a:z] for a, z in zip([0, *at[:-1]], at, strict=True)]
 
     def __call__(self, text: str) -> bytes:
         if self.odd(text):
             return self.raw(text)
-        words = text.split()
-        known = self.known
-        try:
-            return b"".join([known[w] for w in words])
-        except KeyError:
-            pass
-        if len(known) > _CACHE_ENTRIES:
-            known.clear()
-        out = []
-        for w in words:
-            if (ids := known.get(w)) is None:
+        words = text.lower().split()
+        out = list(map(self.known.get, words))
+        if None not in out:
+            return b"".join(out)
+        new: dict[str, list[int]] = {}
+        tails: dict[int, bytes] = {}
+        for i in [i for i, ids in enumerate(out) if ids is None]:
+            w = words[i]
+            if len(w) > 1 and w[-1] in self.marks and w[-2].isalpha():
+                tails[i] = self.marks[w[-1]]
+                w = w[:-1]
+            if (ids := self.known.get(w)) is None and (ids := self.elder.get(w)) is not None:
+                self.remember(w, ids)
+            if ids is None:
+                if w.isalpha():
+                    new.setdefault(w, []).append(i)
+                    continue
                 ids = self.raw(w)
-                if len(w) <= _CACHE_CHARS:
-                    known[w] = ids
-            out.append(ids)
+                self.remember(w, ids)
+            out[i] = ids
+        if new:
+            for (w, places), ids in zip(new.items(), self.letters(list(new)), strict=True):
+                self.remember(w, ids)
+                for i in places:
+                    out[i] = ids
+        for i, mark in tails.items():
+            out[i] += mark
         return b"".join(out)
 
 
