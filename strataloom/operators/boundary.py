@@ -70,7 +70,7 @@ def nms_kernel(planes: dict[str, np.ndarray], x0: int, y0: int, w: int, h: int)
 def nms(df: DataFrame) -> DataFrame:
     """df (cand, score, orientation, orientation_angle, w, h) with the thinned mask ``thin``."""
     made = tiled(df, ["cand", "score", "orientation", "orientation_angle"], {"thin": "int"}, PLATEAU + 2, nms_kernel)
-    return df.join(made.select("image_id", "y", "x", "thin"), ["image_id", "y", "x"])
+    return df.drop("thin").join(made.select("image_id", "y", "x", "thin"), ["image_id", "y", "x"])
 
 
 def boundary_mask(feat: DataFrame, conf: Params | None = None, calibration: dict | None = None, exclusion: str | None = None) -> DataFrame:

@@ -25,9 +25,9 @@ def runs(px: DataFrame, on: Column) -> DataFrame:
 def touching(r: DataFrame, connectivity: int) -> DataFrame:
     """(image_id, a, b): runs of adjacent rows that touch; 8 counts corners, 4 doesn't."""
     slack = 1 if connectivity == 8 else 0
-    p = r.select("image_id", F.col("y").alias("py"), F.col("a").alias("pa"), F.col("b").alias("pb"), F.col("run").alias("p_run"))
-    on = (r.image_id == p.image_id) & (p.py == r.y - 1) & (r.a <= p.pb + slack) & (r.b >= p.pa - slack)
-    return r.join(p, on).select(r.image_id, p.p_run.alias("a"), r.run.alias("b"))
+    p = r.select(F.col("image_id").alias("p_image"), F.col("y").alias("py"), F.col("a").alias("pa"), F.col("b").alias("pb"), F.col("run").alias("p_run"))
+    on = (F.col("image_id") == F.col("p_image")) & (F.col("py") == F.col("y") - 1) & (F.col("a") <= F.col("pb") + slack) & (F.col("b") >= F.col("pa") - slack)
+    return r.join(p, on).select("image_id", F.col("p_run").alias("a"), F.col("run").alias("b"))
 
 
 def _union(rows: pd.DataFrame) -> pd.DataFrame:

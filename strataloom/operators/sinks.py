@@ -25,7 +25,7 @@ def pack_mask(px: DataFrame, mask: str) -> DataFrame:
     bits = px.groupBy("image_id", F.floor(p / 8).alias("i")).agg(F.sum(F.col(mask) * F.pow(F.lit(2), p % 8).cast("int")).cast("int").alias("b"))
     g = bits.groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct("i", "b"))).alias("bytes"))
     text = F.array_join(F.transform("bytes", lambda v: F.lpad(F.hex(v["b"]), 2, "0")), "")
-    return g.select("image_id", F.base64(F.unhex(text)).alias("packed"))
+    return g.select("image_id", F.translate(F.base64(F.unhex(text)), "\r\n", "").alias("packed"))  # base64() breaks lines
 
 
 def unpack_mask(packed: DataFrame) -> DataFrame:
