@@ -33,7 +33,7 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, salt
 PACKED = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
 #: Text with other blanks than these, or with letters whose lower case depends on more than themselves, goes through the tokenizer as a whole.
 _ODD = r"[\x1c-\x1f\x85\xa0\u03a3\u0130\u1680\u180e\u2000-\u200d\u2028\u2029\u202f\u205f\u212a\u212b\u3000\ufeff]"
-_CACHE_ENTRIES, _CACHE_CHARS = 800_000, 48
+_CACHE_ENTRIES, _CACHE_CHARS = 350_000, 48
 
 
 class Encoder:
