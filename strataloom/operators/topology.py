@@ -223,4 +223,4 @@ def recovery(profile: DataFrame) -> DataFrame:
     """Regions newly closed at each radius beyond the smallest."""
     order = Window.partitionBy("image_id").orderBy("radius")
     was = F.max("closed").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    return profile.withColumn("newly_closed", F.greatest(F.lit(0), F.col("closed") - was)).where("newly_closed IS NOT NULL").select("image_id", "radius", "newly_closed", "closed", "closure_rate")
+    return profile.withColumn("_was", was).where("_was IS NOT NULL").withColumn("newly_closed", F.greatest(F.lit(0), F.col("closed") - F.col("_was"))).select("image_id", "radius", "newly_closed", "closed", "closure_rate")
