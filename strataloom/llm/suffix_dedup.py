@@ -303,9 +303,10 @@ def spans(keyed: DataFrame, length: int = LENGTH, gram: int = GRAM, crowd: int =
     spark = keyed.sparkSession
     small_batches(spark)
     all_, first = store(anchor_table(keyed, length, gram), "anchors")
-    again = all_.groupBy("kh").agg(F.count("*").alias("n")).where("n > 1").select("kh")
-    known, second = store(all_.join(again, "kh", "left_semi"), "anchors-again")
-    drop_stored(spark, first)
+    # stored, so that the join is of two plain shuffles, which AQE splits at grams of very many anchors
+    again, second = store(all_.groupBy("kh").agg(F.count("*").alias("n")).where("n > 1").select("kh"), "grams-again")
+    known, _ = store(all_.join(again, "kh", "left_semi"), "anchors-again")
+    drop_stored(spark, first, second)
     classes, _ = store(known.groupBy("kh", "ch").agg(F.count("*").alias("n"), F.min(F.struct("did", "th", "pos", "l", "r")).alias("at")), "classes")
     mixed, _ = store(classes.groupBy("kh").agg(F.count("*").alias("c")).where("c > 1"), "mixed")
     wanted = classes.join(mixed, "kh").select("at.*", "kh", "ch", "c")
