@@ -495,3 +495,48 @@ def test_session(spark):
 
 def windows_band(m, r):
     return window(m, r, np.max)
+
+
+def test_annotations(spark):
+    from strataloom.operators import annotations as a
+
+    rows = [(0, 1, 1, "create", "roi", 10.0, 10.0, 2.5, 3.2, "manual"), (0, 2, 2, "create", "roi", 0.0, 0.0, 1.0, 1.0, "manual"), (0, 3, 3, "create", "exclusion", 5.0, 5.0, 90.0, 9.0, None), (0, 3, 4, "edit", "exclusion", 6.0, 5.0, 20.0, 9.0, None), (0, 4, 5, "create", "roi", 1.0, 1.0, 9.0, 9.0, "precision-guide"), (0, 5, 6, "create", "roi", 1.0, 1.0, 9.0, 9.0, "manual"), (0, 5, 7, "delete", "roi", 0.0, 0.0, 0.0, 0.0, None)]
+    e = spark.createDataFrame(rows, "image_id int, rect_id int, seq int, action string, kind string, x0 double, y0 double, x1 double, y1 double, source string")
+    got = {r.rect_id: r for r in a.current_rects(e, 50, 40).collect()}
+    assert set(got) == {1, 3, 4} and (got[1].x0, got[1].y0, got[1].x1, got[1].y1, got[1].verified) == (2, 3, 10, 10, True)
+    assert (got[3].x0, got[3].x1, got[3].verified, got[4].verified, got[4].ord) == (6, 20, None, False, 1)
+    ref = np.zeros((20, 20), int)
+    ref[5, :] = ref[6, :5] = 1
+    px = frame(spark, ref=ref, excl=np.zeros_like(ref))
+    rois = spark.createDataFrame([(0, 0, 0, 0, 19, 9), (0, 1, 0, 10, 19, 19), (0, 2, 0, 0, 3, 9), (0, 3, 0, 0, 3, 3)], "image_id int, ord int, x0 int, y0 int, x1 int, y1 int")
+    inside = a.reference_inside(px, rois)
+    assert {r.ord: r.reference for r in inside.collect()} == {0: 25, 1: 0, 2: 8, 3: 0}
+    cmd = spark.createDataFrame([(0, 0, 1, "activate"), (0, 0, 2, "verify"), (0, 0, 3, "skip"), (0, 1, 4, "verify"), (0, 2, 5, "skip")], "image_id int, ord int, seq int, command string")
+    assert {r.ord: r.state for r in a.guide_states(rois, cmd, inside).collect()} == {0: "verified", 1: "suggested", 2: "skipped", 3: "suggested"}
+    done = cmd.unionByName(spark.createDataFrame([(0, None, 9, "finish")], cmd.schema))
+    assert {r.ord: r.state for r in a.guide_states(rois, done, inside).collect()} == {0: "verified", 1: "dropped", 2: "skipped", 3: "dropped"}
+    s = spark.createDataFrame([(0, 0, 3, 3), (0, 1, 3, 3), (0, 2, 4, 3)], "image_id int, ord int, x int, y int")
+    assert sorted(r.ord for r in a.added_seeds(s).collect()) == [0, 2]
+    x, y = a.screen_to_preview(F.lit(25.0), F.lit(12.0), 5, 2, 2, 20, 20)
+    p = spark.range(1).select(x.alias("x"), y.alias("y"), a.screen_to_preview(F.lit(1.0), F.lit(1.0), 5, 2, 2, 20, 20)[0].alias("out")).first()
+    assert (p.x, p.y, p.out) == (10, 5, None)
+    with zipfile.ZipFile(io.BytesIO(a.bundle({"a": 1}, {"mask": (1, 1, b"\0\0\0\xff")}, dt.datetime(2024, 1, 1)))) as z:
+        assert z.namelist() == ["manifest.json", "diagnostic.json", "mask.png"]
+    h = spark.createDataFrame([(i,) for i in range(100)], "timestamp int")
+    assert a.append_history(h, spark.createDataFrame([(500,)], h.schema)).agg(F.min("timestamp"), F.count("*")).first()[:] == (1, 100)
+
+
+def test_optimize_never_loses(spark):
+    r = np.random.default_rng(8)
+    rgb = r.integers(150, 200, (36, 36, 3))
+    rgb[:, 18] = 20
+    rgb[17, 18] = 180
+    ref = np.zeros((36, 36), int)
+    ref[:, 18] = 1
+    px = frame(spark, r=rgb[..., 0], g=rgb[..., 1], b=rgb[..., 2]).drop("w", "h")
+    lab = frame(spark, ref=ref, neg=1 - windows_band(ref, 4), excl=np.zeros_like(ref)).drop("w", "h")
+    s = Session(px, lab, Params(local_window=32, min_component=4, sensitivity=50))
+    _, mask, trace = s.optimize(rounds=1)
+    assert [t["stage"] for t in trace][:2] == ["baseline", "global"] and {t["stage"] for t in trace} >= {"safe", "extended"}
+    kept = [t for t in trace if t.get("accepted", True)]
+    assert kept[-1]["primary"] >= trace[0]["primary"] - 0.002 and mask.count() == 36 * 36
