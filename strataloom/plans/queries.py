@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..conf import Params
 from ..functions import pixel
-from ..operators import boundary, components, edits, features, fills, guide, labels, metrics, sinks, topology, tune, windows
+from ..operators import annotations, boundary, components, edits, features, fills, guide, labels, metrics, sinks, topology, tune, windows
 from ..sources import raster
 from ..streaming import live
 from .session import Session
@@ -531,6 +531,13 @@ def closure_profile(spark, d):
     return topology.profile_summary(topology.closure_profile(s, CONF.with_(core_erosion=1, min_core_pixels=4))).withColumn("histogram", F.to_json("histogram"))
 
 
+@query()
+def topology_report(spark, d):
+    s = scene(spark, d).withColumn("pred", ((F.col("grid") == 1) & ~((F.col("x") % 8 == 4) & (F.col("y") % 16 == 8))).cast("int"))
+    p = topology.closure_profile(s, CONF, seeds=seeds(spark, s).where("x >= 0"))
+    return sinks.diagnostic_report(endpoints=windows.endpoint_proxy(s, "pred"), profile=topology.profile_summary(p).drop("histogram"), recovery=topology.recovery(p))
+
+
 # guide -------------------------------------------------------------------------------------------------------------
 
 _GX, _GY = _bounds(8, 8)
@@ -632,6 +639,32 @@ def rect_transform(spark, d):
     return r.select("ord", "mode", *[c.cast("int").alias(k) for k, c in edits.moved_rect(F.col("mode"), F.lit(25), F.lit(-7), 64, 48).items()])
 
 
+_RECT_EVENTS = """SELECT (user_id%5)::INT AS image_id, (user_id%40)::INT AS rect_id, event_id AS seq, CASE WHEN event_id%7=0 THEN 'delete' WHEN event_id%3=0 THEN 'edit' ELSE 'create' END AS action, CASE WHEN user_id%2=0 THEN 'roi' ELSE 'exclusion' END AS kind,
+ (event_id*13%300)::DOUBLE/2 AS x0, (event_id*7%200)::DOUBLE/2 AS y0, (event_id*29%300)::DOUBLE/2 AS x1, (event_id*17%200)::DOUBLE/2 AS y1, CASE WHEN user_id%4=0 THEN 'manual' END AS source FROM events"""
+
+
+@query(f"""WITH e0 AS ({_RECT_EVENTS}), e AS (SELECT image_id, rect_id, seq, action, kind, source, greatest(0,least(119,floor(least(x0,x1))))::INT AS x0, greatest(0,least(79,floor(least(y0,y1))))::INT AS y0, greatest(0,least(119,ceil(greatest(x0,x1))))::INT AS x1, greatest(0,least(79,ceil(greatest(y0,y1))))::INT AS y1 FROM e0),
+k AS (SELECT * FROM e WHERE action='delete' OR (x1-x0+1)*(y1-y0+1)>=9), g AS (SELECT image_id, rect_id, arg_max(struct_pack(a:=action,x0:=x0,y0:=y0,x1:=x1,y1:=y1), seq) AS l, min(seq) FILTER (action='create') AS made, arg_min(kind, seq) AS kind FROM k GROUP BY 1,2)
+SELECT image_id, rect_id, (row_number() OVER (PARTITION BY image_id, kind ORDER BY made, rect_id)-1)::INT AS ord, kind, l.x0 AS x0, l.y0 AS y0, l.x1 AS x1, l.y1 AS y1 FROM g WHERE made IS NOT NULL AND l.a<>'delete'""")
+def rect_events(spark, d):
+    e, u, i = _t(spark, d, "events"), F.col("user_id"), F.col("event_id")
+    at = lambda k, n: ((i * k) % n).cast("double") / 2
+    ev = e.select((u % 5).cast("int").alias("image_id"), (u % 40).cast("int").alias("rect_id"), i.alias("seq"), F.when(i % 7 == 0, "delete").when(i % 3 == 0, "edit").otherwise("create").alias("action"), F.when(u % 2 == 0, "roi").otherwise("exclusion").alias("kind"), at(13, 300).alias("x0"), at(7, 200).alias("y0"), at(29, 300).alias("x1"), at(17, 200).alias("y1"), F.when(u % 4 == 0, "manual").alias("source"))
+    return annotations.current_rects(ev, 120, 80).drop("source", "verified")
+
+
+@query(BASE + " SELECT z.image_id, rc.ord, (SELECT count(*) FROM s WHERE s.image_id=z.image_id AND ref=1 AND excl=0 AND x BETWEEN x0 AND x1 AND y BETWEEN y0 AND y1) AS reference FROM sz z CROSS JOIN rc")
+def roi_reference(spark, d):
+    s = scene(spark, d)
+    return annotations.reference_inside(s, rects(spark, s))
+
+
+@query("SELECT (event_id%6)::INT AS image_id, (user_id%20)::INT AS x, (user_id//20%20)::INT AS y, min(event_id) AS ord FROM events GROUP BY 1,2,3")
+def seed_dedup(spark, d):
+    e = _t(spark, d, "events").select((F.col("event_id") % 6).cast("int").alias("image_id"), (F.col("user_id") % 20).cast("int").alias("x"), (F.floor(F.col("user_id") / 20) % 20).cast("int").alias("y"), F.col("event_id").alias("ord"))
+    return annotations.added_seeds(e)
+
+
 @query(BASE + ", q AS (SELECT image_id, (y*w+x)//8 AS i, sum(pred * (1 << ((y*w+x)%8)::INT))::INT AS b FROM s GROUP BY 1,2) SELECT image_id, to_base64(from_hex(string_agg(printf('%02X', b), '' ORDER BY i))) AS packed FROM q GROUP BY 1")
 def mask_bitset(spark, d):
     return sinks.pack_mask(scene(spark, d), "pred")
