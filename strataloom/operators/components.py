@@ -84,6 +84,13 @@ def component_index(px: DataFrame, on: Column, min_pixels: int = 1, connectivity
     return numbered(c.withColumn("active", F.col("size") >= min_pixels))
 
 
+def labels_and_index(px: DataFrame, on: Column, connectivity: int = 4, extra: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """Labelled pixels (key, root, extra columns) and (image_id, root, size, edge_mask), from one stored pass. Needs w and h."""
+    lab = label_pixels(px.withColumn("_e", edge_bits(F.col("w"), F.col("h"))), on, connectivity)
+    lab = stored(lab.select("image_id", "y", "x", "root", "_e", *extra), "labels")
+    return lab.drop("_e"), lab.groupBy("image_id", "root").agg(F.count("*").alias("size"), F.bit_or("_e").alias("edge_mask"))
+
+
 def min_component(px: DataFrame, mask: str, out: str, least: int) -> DataFrame:
     """Keep supported pixels whose 8-connected component has ``least`` pixels; 1 or less skips the components."""
     from .windows import supported

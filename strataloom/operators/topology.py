@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from ..conf import Params
 from ..functions.pixel import edge_sides, js_round, opposite_edges, ratio
-from .components import component_index, label_pixels
+from ..plans.graph import stored
+from .components import label_pixels, labels_and_index
 from .windows import dilate, erode, separable
 
 
@@ -152,8 +153,9 @@ def cores(px: DataFrame, conf: Params, fill: str = "fill", border: str = "border
     df = erode(px, fill, "_core", conf.core_erosion)
     core = label_pixels(df, F.col("_core") == 1, 4).select("image_id", "y", "x", F.col("root").alias("core"))
     n = core.groupBy("image_id", "core").agg(F.count("*").alias("core_size"), F.min(F.struct("y", "x")).alias("f")).where(F.col("core_size") >= conf.min_core_pixels)
-    lab = label_pixels(px, F.col(fill) == 1, 4).select("image_id", "y", "x", F.col("root").alias("fill_root"), border)
-    index = component_index(px, F.col(fill) == 1, 1, 4).select("image_id", F.col("root").alias("fill_root"), F.col("size").alias("fill_size"), F.col("edge_mask").alias("allowed"))
+    lab, index = labels_and_index(px, F.col(fill) == 1, 4, (border,))
+    lab = lab.withColumnRenamed("root", "fill_root")
+    index = index.select("image_id", F.col("root").alias("fill_root"), F.col("size").alias("fill_size"), F.col("edge_mask").alias("allowed"))
     flagged = lab.groupBy("image_id", "fill_root").agg((F.max(border) == 1).alias("by_fill"))
     direct = core.join(px.select("image_id", "y", "x", border), ["image_id", "y", "x"]).groupBy("image_id", "core").agg((F.max(border) == 1).alias("direct"))
     meta = n.select("image_id", "core", "core_size", F.col("f.y").alias("y"), F.col("f.x").alias("x")).join(lab.select("image_id", "y", "x", "fill_root"), ["image_id", "y", "x"], "left").drop("y", "x")
@@ -164,8 +166,9 @@ def cores(px: DataFrame, conf: Params, fill: str = "fill", border: str = "border
 
 def core_closure(px: DataFrame, core: DataFrame, wall: str, conf: Params) -> DataFrame:
     """A row for each image: how many cores the wall closes. A core is open if its background reaches the frame where it may not."""
-    back = label_pixels(px, F.col(wall) == 0, 4).select("image_id", "y", "x", F.col("root").alias("bg"))
-    index = component_index(px, F.col(wall) == 0, 1, 4).select("image_id", F.col("root").alias("bg"), F.col("size").alias("bg_size"), F.col("edge_mask").alias("bg_edges"))
+    back, index = labels_and_index(px, F.col(wall) == 0, 4)
+    back = back.withColumnRenamed("root", "bg")
+    index = index.select("image_id", F.col("root").alias("bg"), F.col("size").alias("bg_size"), F.col("edge_mask").alias("bg_edges"))
     seen = core.join(back, ["image_id", "y", "x"], "left")
     per = seen.groupBy("image_id", "core", "core_size", "fill_size", "allowed", "assisted", "bg").agg(F.count("*").alias("n"))
     per = per.join(index, ["image_id", "bg"], "left")
@@ -188,8 +191,9 @@ def core_closure(px: DataFrame, core: DataFrame, wall: str, conf: Params) -> Dat
 
 def seed_closure(px: DataFrame, seeds: DataFrame, wall: str, conf: Params) -> DataFrame:
     """The same from seed points, for images without fills."""
-    back = label_pixels(px, F.col(wall) == 0, 4).select("image_id", "y", "x", F.col("root").alias("bg"))
-    index = component_index(px, F.col(wall) == 0, 1, 4).select("image_id", F.col("root").alias("bg"), F.col("size").alias("bg_size"), F.col("edge_mask").alias("bg_edges"))
+    back, index = labels_and_index(px, F.col(wall) == 0, 4)
+    back = back.withColumnRenamed("root", "bg")
+    index = index.select("image_id", F.col("root").alias("bg"), F.col("size").alias("bg_size"), F.col("edge_mask").alias("bg_edges"))
     at = seeds.join(px.select("image_id", "y", "x", F.col(wall).alias("_w"), "w", "h"), ["image_id", "y", "x"], "left").join(back, ["image_id", "y", "x"], "left").join(index, ["image_id", "bg"], "left")
     edge = F.coalesce("bg_edges", F.lit(0)) > 0
     roomy = F.col("bg_size") > F.col("w") * F.col("h") * 0.12 * conf.max_leak_ratio
@@ -200,7 +204,7 @@ def seed_closure(px: DataFrame, seeds: DataFrame, wall: str, conf: Params) -> Da
 
 def closure_profile(px: DataFrame, conf: Params, mask: str = "pred", seeds: DataFrame | None = None) -> DataFrame:
     """(image_id, radius, ...): core_closure() of the mask widened by each repair radius; seed_closure() where seeds are given instead of fills."""
-    core = None if seeds is not None else cores(px, conf)
+    core = None if seeds is not None else stored(cores(px, conf), "cores")
     out = None
     for r in conf.closure_radii:
         wall = dilate(px, mask, "_wall", r)
