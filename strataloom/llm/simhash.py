@@ -86,13 +86,14 @@ class _Forest:
                 root[:] = up
 
 
-def trie_links(keys: np.ndarray, group: np.ndarray, budget: int, first_bit: int, chunk: int = 1 << 18) -> np.ndarray:
+def trie_links(keys: np.ndarray, group: np.ndarray, budget: int, first_bit: int, chunk: int | None = None) -> np.ndarray:
     """Each position's component root, linking positions of one group that differ in at most ``budget`` bits.
 
     keys (uint64) are distinct within a group and sorted by (group, key); all in a group agree above ``first_bit`` (63 is the
     highest bit). A trie node is a range of positions. Node pairs go down level by level, in chunks where they are many.
     """
     n = len(keys)
+    chunk = chunk or max(1 << 13, n >> 3)  # small chunks link early and prune more; each costs a pass over the labels
     forest = _Forest(n)
     if n < 2:
         return forest.root
