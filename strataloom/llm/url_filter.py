@@ -39,12 +39,11 @@ def rule_of(host: Column, path: Column, rules: list[tuple[str, str]]) -> tuple[C
     return rule, verdict
 
 
-def templates(urls: DataFrame, max_depth: int = 8, max_children: int = 50, min_share: float = 0.02, z: float = 2.0) -> DataFrame:
+def templates(urls: DataFrame, max_depth: int = 8, z: float = 2.0) -> DataFrame:
     """urls (host, path, n, labelled, bad), one row for each host and path, with their ``template`` added.
 
-    At a node, a segment becomes ``*`` if it looks variable, if the node has over ``max_children`` children and this one
-    holds less than ``min_share`` of its urls, or if its share of bad labels is statistically like its siblings': a
-    two-proportion z below ``z``. A node with one child keeps it; so is the end of a path in ``/``.
+    At a node, a segment becomes ``*`` if it looks variable or if its share of bad labels is statistically like its
+    siblings': a two-proportion z below ``z``. A node with one child keeps it; so is the end of a path in ``/``.
     """
     segments = F.split(F.regexp_replace("path", "^/", ""), "/", -1)
     now = urls.select("host", "path", "n", "labelled", "bad", F.when(F.col("path") == "", F.array()).otherwise(segments).cast("array<string>").alias("segs"), F.lit("").alias("node"))
@@ -58,8 +57,7 @@ def templates(urls: DataFrame, max_depth: int = 8, max_children: int = 50, min_s
         pooled, per_child, per_rest = F.try_divide(F.col("w_bad"), F.col("w_labelled")), F.try_divide(F.col("c_bad"), F.col("c_labelled")), F.try_divide(rest_b, rest_l)
         spread = F.sqrt(pooled * (1 - pooled) * (F.try_divide(F.lit(1), F.col("c_labelled")) + F.try_divide(F.lit(1), rest_l)))
         differs = F.coalesce((spread > 0) & (F.abs(per_child - per_rest) >= z * spread), F.lit(False))  # no labels on either side: no difference
-        rare = (F.col("children") > max_children) & (F.col("c_n") < min_share * F.col("w_n"))
-        literal = (F.col("children") == 1) | (F.col("seg") == "") | (differs & ~rare)
+        literal = (F.col("children") == 1) | (F.col("seg") == "") | differs
         chosen = child.join(whole, ["host", "node"]).select("host", "node", "seg", F.when((F.col("seg") != "*") & literal, F.col("seg")).otherwise("*").alias("branch"))
         now = rows.join(chosen, ["host", "node", "seg"], "left").select("host", "path", "n", "labelled", "bad", "segs", F.when(F.col("seg").isNull(), F.col("node")).otherwise(F.concat("node", F.lit("/"), "branch")).alias("node"))
         if level in (1, 3, 5):  # each level joins the last one with itself: cut the plan before it doubles again

@@ -60,6 +60,15 @@ def test_url_rules_and_tree(spark):
     assert url_filter.judge(spark.createDataFrame([], "page_id long, url string"), URL_RULES).count() == 0
 
 
+def test_url_small_folders_of_a_large_host(spark):
+    """A folder with a hundredth of its host's urls is judged on its own, whatever the number of its siblings."""
+    urls = [(1000 * f + i, f"http://big.net/user{f}x/{i}") for f in range(100) for i in range(30)] + [(500_000 + 1000 * f + i, f"http://worse.net/user{f}x/{i}") for f in range(100) for i in range(30)]
+    labels = spark.createDataFrame([(p, int((p < 1000) if p < 500_000 else (p >= 501_000))) for p, _ in urls], "page_id long, bad int")
+    got = {r.page_id: (r.template, r.verdict) for r in url_filter.judge(spark.createDataFrame(urls, "page_id long, url string"), [], labels).collect()}
+    assert {got[i] for i in range(30)} == {("/user0x/*", "block")} and {got[500_000 + i] for i in range(30)} == {("/user0x/*", "allow")}
+    assert {got[1000 * f + i] for f in range(1, 100) for i in range(30)} == {("/*/*", "allow")} and {got[501_000 + 1000 * f + i] for f in range(99) for i in range(30)} == {("/*/*", "block")}
+
+
 def test_url_deep_paths(spark):
     urls = [(1, "http://h/" + "/".join("abcdefghijkl")), (2, "http://h/")]
     got = {r.page_id: r.template for r in url_filter.judge(spark.createDataFrame(urls, "page_id long, url string"), []).collect()}
