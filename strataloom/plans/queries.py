@@ -683,6 +683,12 @@ def source_fingerprint(spark, d):
     return _t(spark, d, "documents").select("doc_id", raster.fingerprint_of(F.col("text"), F.char_length("text"), 64).alias("fingerprint"))
 
 
+@query("SELECT doc_id, sha256(length(text)::VARCHAR || substr(text,1,65536) || substr(text,(greatest(0,length(text)//2-32768)+1)::INT,65536) || substr(text,greatest(0,length(text)-65536)+1,65536)) AS fingerprint FROM documents")
+def source_fingerprint_64k(spark, d):
+    """With the reference's parts of 64 KiB, which cover texts of up to 131,072 characters whole."""
+    return _t(spark, d, "documents").select("doc_id", raster.fingerprint_of(F.col("text"), F.char_length("text")).alias("fingerprint"))
+
+
 @query()
 def crc32_checks(spark, d):
     return _t(spark, d, "documents").select("doc_id", F.crc32(F.col("text").cast("binary")).alias("crc"))

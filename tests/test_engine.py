@@ -1,6 +1,7 @@
 """The engine on hand-built and random rasters, against plain numpy and the figures that hold for them."""
 
 import datetime as dt
+import hashlib
 import io
 import json
 import math
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 
 from strataloom.conf import Params
 from strataloom.operators import boundary, components, edits, features, fills, guide, labels, metrics, sinks, topology, tune, windows
-from strataloom.plans import graph
+from strataloom.plans import graph, queries
 from strataloom.plans.session import Session
 from strataloom.plans.tiles import tiled
 from strataloom.sources import raster
@@ -432,6 +433,17 @@ def test_bmp(spark, tmp_path):
     assert raster.fingerprints(spark, f"{tmp_path}/a.bmp").first().fingerprint != raster.fingerprints(spark, f"{tmp_path}/b.bmp").first().fingerprint
 
 
+def test_source_fingerprint_sees_the_whole_text(spark, tmp_path):
+    """An edit anywhere in a text of up to 128 KiB changes the registered query's fingerprint."""
+    base = "abcdefghij" * 13_000
+    texts = [base] + [base[:i] + "#" + base[i + 1 :] for i in (0, 300, 20_000, 65_535, 65_536, 100_000, 129_999)] + ["", "x"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.fingerprint for r in queries.queries()["source_fingerprint_64k"](spark, str(tmp_path)).collect()}
+    assert len(set(got.values())) == len(texts)
+    n, part = len(base), 65536
+    assert got[0] == hashlib.sha256((str(n) + base[:part] + base[n // 2 - part // 2 :][:part] + base[n - part :]).encode()).hexdigest()
+
+
 def test_sinks(spark, tmp_path):
     m = noise(1, (9, 13))
     df = frame(spark, m=m)
