@@ -599,6 +599,12 @@ def edit_log_replay(spark, d):
     return edits.replay(_edits(spark, d), 5000)
 
 
+@query(f"WITH e AS ({_EDITS}) SELECT layer, x, y FROM (SELECT *, row_number() OVER (PARTITION BY layer, x, y ORDER BY seq DESC) AS k FROM e) WHERE k=1 AND after=1")
+def edit_log_replay_whole(spark, d):
+    """The state after the whole log, whatever its length."""
+    return edits.replay(_edits(spark, d))
+
+
 @query(f"WITH e AS ({_EDITS}), c AS (SELECT seq//100 AS seq, layer, x, y, seq AS ord, 1-after AS before, after FROM e) SELECT seq, layer, x, y, arg_min(before, ord) AS before, arg_max(after, ord) AS after FROM c GROUP BY 1,2,3,4 HAVING arg_min(before, ord) <> arg_max(after, ord)")
 def edit_compact(spark, d):
     e = _edits(spark, d)

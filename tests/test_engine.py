@@ -405,6 +405,21 @@ def test_edits(spark):
     assert (r.done, r.undone) == ([1, 3], [])
 
 
+def test_replay_takes_the_whole_log(spark, tmp_path):
+    """Edits past id 5000 count in the registered query; an undo cursor leaves out those after it."""
+    log = [(i, i % 97, ("a", "b")[i % 2], float(i % 31)) for i in range(1, 12_001)]
+    df = spark.createDataFrame(log, "event_id long, user_id long, event_type string, value double")
+    df.write.parquet(f"{tmp_path}/events.parquet")
+
+    def loop(cursor):
+        state = {(kind, u % 64, int(v) % 48): int(i % 3 > 0) for i, u, kind, v in log if i <= cursor}
+        return {k for k, v in state.items() if v}
+
+    whole = {tuple(r) for r in queries.queries()["edit_log_replay_whole"](spark, str(tmp_path)).collect()}
+    assert whole == loop(12_000) != loop(5000)
+    assert {tuple(r) for r in edits.replay(queries._edits(spark, str(tmp_path)), 7000).collect()} == loop(7000)
+
+
 def bmp(rgb, depth=24, top_down=False, planes=1, compression=0, magic=b"BM", cut=0):
     h, w, _ = rgb.shape
     stride = (depth * w + 31) // 32 * 4
