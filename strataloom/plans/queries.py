@@ -262,6 +262,14 @@ def chebyshev_distance(spark, d):
     return c.groupBy("image_id", F.col("d").cast("int").alias("d")).agg(F.count("*").alias("n"))
 
 
+@query(BASE + f""", dd AS (SELECT a.image_id, a.y, a.x, min(greatest(abs(a.x-b.x), abs(a.y-b.y))) AS d FROM s a JOIN s b ON a.image_id=b.image_id AND b.thin=1 AND b.x BETWEEN a.x-{CONF.review_radius} AND a.x+{CONF.review_radius} AND b.y BETWEEN a.y-{CONF.review_radius} AND a.y+{CONF.review_radius} GROUP BY 1,2,3)
+SELECT image_id, d::INT AS d, count(*) AS n FROM dd GROUP BY 1,2""")
+def chebyshev_distance_review(spark, d):
+    """As far as the review radius of the configuration and the reference."""
+    c = windows.chebyshev_distance(scene(spark, d).select(*KEY, "thin"), "thin", "d", CONF.review_radius).where("d IS NOT NULL")
+    return c.groupBy("image_id", F.col("d").cast("int").alias("d")).agg(F.count("*").alias("n"))
+
+
 # masks and labels --------------------------------------------------------------------------------------------------
 
 
@@ -343,6 +351,15 @@ def alignment_summary(spark, d):
     return _rounded(metrics.alignment(s, 2, 5), ("mean",)).withColumns({c: F.col(c).cast("int") for c in ("median", "p90")})
 
 
+@query(BASE + f""", dd AS (SELECT a.image_id, a.y, a.x, min(CASE WHEN b.x IS NOT NULL THEN greatest(abs(a.x-b.x), abs(a.y-b.y)) END) AS d FROM s a LEFT JOIN s b ON a.image_id=b.image_id AND b.thin=1 AND b.excl=0 AND b.x BETWEEN a.x-{CONF.review_radius} AND a.x+{CONF.review_radius} AND b.y BETWEEN a.y-{CONF.review_radius} AND a.y+{CONF.review_radius} WHERE a.ref=1 AND a.excl=0 GROUP BY 1,2,3),
+l AS (SELECT image_id, list_sort(list(d) FILTER (d IS NOT NULL)) AS v, count(d) AS matched, count(*)-count(d) AS unmatched, sum(d) AS t FROM dd GROUP BY 1)
+SELECT image_id, round(t::DOUBLE/nullif(matched,0), 9) AS mean, v[floor((matched-1)*0.5+0.5)::INT+1]::INT AS median, v[floor((matched-1)*0.9+0.5)::INT+1]::INT AS p90, matched, unmatched FROM l""")
+def alignment_summary_review(spark, d):
+    """As far as the review radius of the configuration and the reference."""
+    s = scene(spark, d).withColumn("pred", F.col("thin"))
+    return _rounded(metrics.alignment(s, 2, CONF.review_radius), ("mean",)).withColumns({c: F.col(c).cast("int") for c in ("median", "p90")})
+
+
 @query(BASE + """, ins AS (SELECT s.image_id, s.y, s.x, s.pred, s.ref, rc.ord AS roi FROM s JOIN rc ON x BETWEEN x0 AND x1 AND y BETWEEN y0 AND y1 WHERE excl=0), al AS (SELECT * FROM ins UNION ALL SELECT DISTINCT image_id, y, x, pred, ref, -1 FROM ins),
 m AS (SELECT a.*, EXISTS (SELECT 1 FROM al b WHERE b.image_id=a.image_id AND b.roi=a.roi AND b.ref=1 AND abs(b.x-a.x)<=1 AND abs(b.y-a.y)<=1) AS rb, EXISTS (SELECT 1 FROM al b WHERE b.image_id=a.image_id AND b.roi=a.roi AND b.pred=1 AND abs(b.x-a.x)<=1 AND abs(b.y-a.y)<=1) AS pb FROM al a),
 g AS (SELECT image_id, roi, count(*) FILTER (pred=1 AND rb) AS true_positive, count(*) FILTER (pred=1 AND NOT rb) AS false_positive, count(*) FILTER (ref=1 AND pb) AS matched_reference, count(*) FILTER (ref=1 AND NOT pb) AS false_negative, count(*) AS evaluated_pixels FROM m GROUP BY 1,2),

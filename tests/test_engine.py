@@ -82,6 +82,26 @@ def test_chebyshev(spark):
             assert got[y, x] == (d if d <= 4 else -1)
 
 
+def test_distances_reach_the_review_radius(spark, tmp_path):
+    """The registered queries see pixels up to 18 away, against brute force."""
+    h, w, at = 45, 64, [(3, 10), (30, 12), (38, 60)]  # thin pixels (y, x); g is 0 there and 255 elsewhere
+    rows = [[1.0] * 64 for _ in range(h)]
+    for y, x in at:
+        rows[y][(x + 21) % 64] = -1.0
+    spark.createDataFrame([(y, v, 0) for y, v in enumerate(rows)], "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    d = np.array([[min(max(abs(x - b), abs(y - a)) for a, b in at) for x in range(w)] for y in range(h)])
+    got = {r.d: r.n for r in queries.queries()["chebyshev_distance_review"](spark, str(tmp_path)).collect()}
+    assert got == {k: int((d == k).sum()) for k in range(19)}
+    ys, xs = np.mgrid[:h, :w]
+    excl = (xs >= 3) & (xs <= 9) & (ys >= 2) & (ys <= 6)
+    far = d[((xs + 2 * ys) % 17 == 0) & ~excl]
+    near = np.sort(far[far <= 18])
+    r = queries.queries()["alignment_summary_review"](spark, str(tmp_path)).first()
+    rank = lambda q: near[math.floor((len(near) - 1) * q + 0.5)]
+    assert (r.matched, r.unmatched, r.median, r.p90) == (len(near), len(far) - len(near), rank(0.5), rank(0.9)) and r.unmatched and r.p90 > 6
+    assert r["mean"] == pytest.approx(near.mean(), abs=1e-9)
+
+
 def test_ridge_against_loops(spark):
     luma = np.random.default_rng(7).random((24, 30)).astype(np.float32).astype(float)
     luma[:, 14] *= 0.2
