@@ -167,10 +167,13 @@ def local_choice(scores: DataFrame, least_reference: int = 20) -> DataFrame:
     return s.where(ok).groupBy("image_id", "rx", "ry").agg(F.max_by(F.struct("delta", (F.col("adjusted") - F.col("_f")).alias("gain")), order).alias("b")).select("image_id", "rx", "ry", "b.delta", "b.gain")
 
 
-def calibration_fill(measured: DataFrame, cols: int = 4, rows: int = 4) -> DataFrame:
-    """(image_id, rx, ry, value, measured) of every cell: measured deltas are anchors, others lean on measured neighbours by distance."""
+def calibration_fill(measured: DataFrame, cols: int = 4, rows: int = 4, images: DataFrame | None = None) -> DataFrame:
+    """(image_id, rx, ry, value, measured) of every cell: measured deltas are anchors, others lean on measured neighbours by distance.
+
+    Of the images in measured, or of ``images`` if given: 0 throughout where nothing was measured.
+    """
     m = measured.select("image_id", F.col("rx").alias("mx"), F.col("ry").alias("my"), F.col("delta").cast("double").alias("v"))
-    grid = measured.select("image_id").distinct().select("image_id", F.explode(F.sequence(F.lit(0), F.lit(cols * rows - 1))).alias("i")).select("image_id", (F.col("i") % cols).cast("int").alias("rx"), F.floor(F.col("i") / cols).cast("int").alias("ry"))
+    grid = (measured if images is None else images).select("image_id").distinct().select("image_id", F.explode(F.sequence(F.lit(0), F.lit(cols * rows - 1))).alias("i")).select("image_id", (F.col("i") % cols).cast("int").alias("rx"), F.floor(F.col("i") / cols).cast("int").alias("ry"))
     d2 = (F.col("rx") - F.col("mx")) * (F.col("rx") - F.col("mx")) + (F.col("ry") - F.col("my")) * (F.col("ry") - F.col("my"))
     near = grid.join(m, "image_id").withColumn("d2", d2.cast("double")).where("d2 <= 2")
     g = near.groupBy("image_id", "rx", "ry").agg(F.max(F.when(F.col("d2") == 0, F.col("v"))).alias("own"), F.sum(F.when(F.col("d2") > 0, F.col("v") / F.col("d2"))).alias("s"), F.sum(F.when(F.col("d2") > 0, 1 / F.col("d2"))).alias("n"))

@@ -512,6 +512,14 @@ def calibration_fill(spark, d):
     return tune.calibration_fill(m).withColumn("value", F.round(F.col("value").cast("double"), 6))
 
 
+@query()
+def calibration_fill_measured(spark, d):
+    """The calibration measured on the tables' rasters, of every image."""
+    s = scene(spark, d)
+    m = tune.local_choice(tune.local_scores(s, CONF, 2), least_reference=5)
+    return tune.calibration_fill(m, images=s).withColumn("value", F.round(F.col("value").cast("double"), 6))
+
+
 # topology ----------------------------------------------------------------------------------------------------------
 
 

@@ -369,6 +369,22 @@ def test_component_holdout_is_neither_all_nor_none(spark):
     assert len(c) == 5 and 0 < sum(r.validation for r in c) < 5 and held >= 0.2 * m.sum()
 
 
+def test_calibration_of_the_tables_rasters(spark, tmp_path):
+    """The registered query fills the cells of every image from what local_sensitivity measured, against a loop."""
+    r = np.random.default_rng(5)
+    heights = {0: 40, 1: 20, 2: 8}  # the cells of the last one hold too little reference
+    rows = [(100 * i + y, r.uniform(-0.5, 0.5, 64).tolist(), i) for i, h in heights.items() for y in range(h)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    known = {(x.image_id, x.rx, x.ry): x.delta for x in queries.queries()["local_sensitivity"](spark, str(tmp_path)).collect()}
+    got = {(x.image_id, x.rx, x.ry): (x.value, x.measured) for x in queries.queries()["calibration_fill_measured"](spark, str(tmp_path)).collect()}
+    assert set(got) == {(i, x, y) for i in heights for x in range(4) for y in range(4)} and any(known.values())
+    for (i, x, y), (value, measured) in got.items():
+        near = [((a - x) ** 2 + (b - y) ** 2, v) for (k, a, b), v in known.items() if k == i and (a - x) ** 2 + (b - y) ** 2 in (1, 2)]
+        filled = sum(v / q for q, v in near) / (1.5 + sum(1 / q for q, _ in near))
+        assert measured == ((i, x, y) in known) and value == pytest.approx(known.get((i, x, y), filled), abs=1e-5)
+    assert {i for i, *_ in known} == {0, 1} and not all(m for (i, *_), (_, m) in got.items() if i == 1)
+
+
 def test_tuning(spark):
     assert tune.coordinate_candidates("sensitivity", 62, 0) == [35, 38, 50, 62, 65, 74, 80, 86, 95]
     assert tune.coordinate_candidates("ridge_weight", 55, 2) == [0, 45, 50, 55, 60, 65]
