@@ -11,7 +11,9 @@ The template is ``### Role: text</turn>\\n``. Inside roles and texts, a backslas
 and backslash, so that any text, control strings included, comes back as it was.
 
 Defined cases: null role or text: empty. Null conv_id is a conversation of its own. Null seq comes first; ties are ordered
-by message_id, kind, role and text; repeated ``message`` events are separate turns. Null kind counts as ``message``.
+by message_id, kind, role and text; repeated ``message`` events are separate turns. Null kind counts as ``message``. An event
+with null message_id is a message of its own whatever its kind, folded as its only event: a ``regenerate`` is empty, any other
+keeps its text.
 """
 
 from __future__ import annotations
@@ -32,21 +34,21 @@ TURNS = "conv_id long, place long, nth long, segment string, loss_from long, los
 
 
 def turn_events(conversations: DataFrame) -> DataFrame:
-    """A table of whole turns (conv_id, turn, role, text) as events: each row is a message of its own."""
-    return conversations.select("conv_id", F.col("turn").alias("seq"), F.lit("message").alias("kind"), F.lit(None).cast("string").alias("message_id"), "role", "text")
+    """A table of whole turns (conv_id, turn, role, text) as events: each row is a message of its own, with an id of its own."""
+    return conversations.select("conv_id", F.col("turn").alias("seq"), F.lit("message").alias("kind"), F.monotonically_increasing_id().cast("string").alias("message_id"), "role", "text")
 
 
 def fold(events: DataFrame) -> DataFrame:
     """Final messages (conv_id, place, role, text) of an event log.
 
-    Whole messages that no other event refers to (null message_id) need no grouping and pass straight on.
+    Events that no other event can refer to (null message_id) need no grouping and pass straight on.
     """
     e = events.select("conv_id", "seq", F.coalesce("kind", F.lit("message")).alias("kind"), "message_id", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    alone = e.where(F.col("message_id").isNull()).select("conv_id", F.col("seq").alias("place"), "role", "text")
+    alone = e.where(F.col("message_id").isNull()).select("conv_id", F.col("seq").alias("place"), "role", F.when(F.col("kind") == "regenerate", F.lit("")).otherwise(F.col("text")).alias("text"))
     kept = e.where(F.col("message_id").isNotNull())
     order = F.struct("seq", "kind", "role", "text")
-    parts = kept.groupBy("conv_id", "message_id").agg(F.min("seq").alias("place"), F.min_by("role", F.when(F.col("role") != "", order)).alias("role"), F.max(F.when(F.col("kind") != "delta", order)).alias("start"), F.collect_list(F.when(F.col("kind") == "delta", order)).alias("deltas"))
-    later = F.filter(F.array_sort("deltas"), lambda d: F.col("start").isNull() | (d["seq"] > F.col("start.seq")))
+    parts = kept.groupBy("conv_id", "message_id").agg(F.min(F.struct("seq"))["seq"].alias("place"), F.min_by("role", F.when(F.col("role") != "", order)).alias("role"), F.max(F.when(F.col("kind") != "delta", order)).alias("start"), F.collect_list(F.when(F.col("kind") == "delta", order)).alias("deltas"))
+    later = F.filter(F.array_sort("deltas"), lambda d: F.col("start").isNull() | (d["seq"] > F.col("start.seq")) | (F.col("start.seq").isNull() & d["seq"].isNotNull()))
     base = F.when(F.col("start.kind") == "regenerate", F.lit("")).otherwise(F.coalesce("start.text", F.lit("")))
     text = F.concat(base, F.array_join(F.transform(later, lambda d: d["text"]), ""))
     return alone.unionByName(parts.select("conv_id", "place", F.coalesce("role", F.lit("")).alias("role"), text.alias("text")))

@@ -210,6 +210,22 @@ def test_chat_events(spark):
     assert got == [(1, "user", "hi there."), (2, "assistant", "Good day")]
 
 
+def test_chat_events_without_seq_or_id(spark):
+    """A null seq is before all others, for a message's start, place and deltas; an event without id is a message of its own."""
+    events = [(1, None, "message", "m", "user", "Start"), (1, 2, "delta", "m", None, " more"), (1, 3, "delta", "m", None, "."), (1, None, "delta", "n", "user", "lost "), (1, 4, "message", "n", None, "kept"), (1, 5, "delta", "n", None, "!")]
+    events += [(2, 1, "message", None, "user", "a"), (2, 2, "delta", None, "user", "b"), (2, 3, "edit", None, "user", "c"), (2, 4, "regenerate", None, "user", "d")]
+    df = spark.createDataFrame(events, "conv_id long, seq long, kind string, message_id string, role string, text string").repartition(4)
+    got = sorted((r.conv_id, r.place or 0, r.role, r.text) for r in chat_format.fold(df).collect())
+    assert got == [(1, 0, "user", "Start more."), (1, 0, "user", "kept!"), (2, 1, "user", "a"), (2, 2, "user", "b"), (2, 3, "user", "c"), (2, 4, "user", "")]
+
+
+def test_chat_turns_pass_through_the_fold(spark):
+    rows = [(1, 0, "user", "same"), (1, 0, "user", "same"), (None, None, None, None)]
+    events = chat_format.turn_events(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(3))
+    assert events.where("message_id IS NULL").count() == 0 and events.select("message_id").distinct().count() == 3
+    assert chat_format.fold(events).count() == 3
+
+
 # 5 ------------------------------------------------------------------------------------------------------------------
 
 
