@@ -3,8 +3,8 @@
 Everything is DataFrame operators. Urls are first counted by (host, path), so a host or url with a third of the rows is
 combined map-side. The tree is then built level by level: at each node, children are counted and either kept as
 literal branches or generalised into the wildcard ``*``; a level is two aggregations and one equi-join on
-(host, node, segment). Paths deeper than ``max_depth`` end in ``**``, which stands for all that follows, so the number of
-rounds is fixed and no row is left out.
+(host, node, segment). Below ``max_depth``, a node under which all paths go on alike ends in ``**``, which stands for that one
+rest; all others are built on until no path has a further segment, so rounds go by the depth of the last branch.
 
 Defined cases: null url or no ``://``: host and path empty. Such rows, like all unlabelled hosts, fall back to the share
 of bad labels over all hosts. Repeated rows give repeated results. An empty table gives an empty result.
@@ -12,6 +12,8 @@ of bad labels over all hosts. Repeated rows give repeated results. An empty tabl
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -47,8 +49,18 @@ def templates(urls: DataFrame, max_depth: int = 8, z: float = 2.0) -> DataFrame:
     """
     segments = F.split(F.regexp_replace("path", "^/", ""), "/", -1)
     now = urls.select("host", "path", "n", "labelled", "bad", F.when(F.col("path") == "", F.array()).otherwise(segments).cast("array<string>").alias("segs"), F.lit("").alias("node"))
-    old = None
-    for level in range(max_depth):
+    done, old = None, None
+    for level in count():
+        if level >= max_depth:  # rests with one form under a node can't be told apart: they end here
+            deeper = F.size("segs") > level
+            rest = F.slice("segs", level + 1, F.size("segs"))
+            form = now.where(deeper).groupBy("host", "node").agg((F.min(rest) == F.max(rest)).alias("alike"))
+            seen = now.join(form, ["host", "node"], "left").withColumn("ends", ~deeper | F.col("alike"))
+            ended = seen.where("ends").select("host", "path", "n", "labelled", "bad", F.when(deeper, F.concat("node", F.lit("/**"))).otherwise(F.col("node")).alias("template"))
+            done = ended if done is None else done.unionByName(ended)
+            now, old = store(seen.where(~F.col("ends")).select(now.columns), "url-tree")[0], None
+            if not now.take(1):
+                return done
         seg = F.get("segs", F.lit(level))
         rows = now.withColumn("seg", F.when(seg.rlike(VARIABLE), F.lit("*")).otherwise(seg))
         child = rows.where(F.col("seg").isNotNull()).groupBy("host", "node", "seg").agg(*(F.sum(c).alias(f"c_{c}") for c in ("n", "labelled", "bad")))
@@ -60,14 +72,13 @@ def templates(urls: DataFrame, max_depth: int = 8, z: float = 2.0) -> DataFrame:
         literal = (F.col("children") == 1) | (F.col("seg") == "") | differs
         chosen = child.join(whole, ["host", "node"]).select("host", "node", "seg", F.when((F.col("seg") != "*") & literal, F.col("seg")).otherwise("*").alias("branch"))
         now = rows.join(chosen, ["host", "node", "seg"], "left").select("host", "path", "n", "labelled", "bad", "segs", F.when(F.col("seg").isNull(), F.col("node")).otherwise(F.concat("node", F.lit("/"), "branch")).alias("node"))
-        if level in (1, 3, 5):  # each level joins the last one with itself: cut the plan before it doubles again
+        if level % 2 and level < max_depth:  # each level joins the last one with itself: cut the plan before it doubles again
             now, path = store(now, "url-tree")
             if old:
                 drop_stored(urls.sparkSession, old)
             old = path
             if not now.where(F.size("segs") > level + 1).take(1):
-                break
-    return now.select("host", "path", "n", "labelled", "bad", F.when(F.size("segs") > max_depth, F.concat("node", F.lit("/**"))).otherwise(F.col("node")).alias("template"))
+                return now.select("host", "path", "n", "labelled", "bad", F.col("node").alias("template"))
 
 
 def judge(pages: DataFrame, rules: list[tuple[str, str]], labels: DataFrame | None = None, prior: float = 4.0, reject_at: float = 0.5, **tree) -> DataFrame:

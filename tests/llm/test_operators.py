@@ -75,6 +75,16 @@ def test_url_deep_paths(spark):
     assert got[1].endswith("/**") and got[2] == "/"
 
 
+def test_url_branches_below_the_eighth_segment(spark):
+    """Deep branches are told apart; rests that go on alike end in ``**``."""
+    deep = "http://deep.net/" + "/".join("abcdefghi")
+    urls = [(i, f"{deep}/good/x/{i}") for i in range(30)] + [(100 + i, f"{deep}/bad/x/{i}") for i in range(30)] + [(200, f"{deep}"), (201, "http://one.net/" + "/".join("abcdefghijkl"))]
+    labels = spark.createDataFrame([(i, 0) for i in range(20)] + [(100 + i, 1) for i in range(20)], "page_id long, bad int")
+    got = {r.page_id: (r.template, r.verdict) for r in url_filter.judge(spark.createDataFrame(urls, "page_id long, url string"), [], labels).collect()}
+    assert len(got) == len(urls) and got[200][0] == "/a/b/c/d/e/f/g/h/i" and got[201][0] == "/a/b/c/d/e/f/g/h/**"
+    assert {got[i] for i in range(30)} == {("/a/b/c/d/e/f/g/h/i/good/x/*", "allow")} and {got[100 + i] for i in range(30)} == {("/a/b/c/d/e/f/g/h/i/bad/x/*", "block")}
+
+
 # 2 ------------------------------------------------------------------------------------------------------------------
 
 
