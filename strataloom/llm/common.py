@@ -5,6 +5,7 @@ from __future__ import annotations
 import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +16,35 @@ SPACE = " \t\n\x0b\x0c\r"
 LAST_ID = (1 << 63) - 1
 
 
+def free_names(columns: list[str], *wanted: str) -> list[str]:
+    """The wanted names, each with underscores added until no column has it (names are compared as Spark does, without case)."""
+    taken = {c.lower() for c in columns}
+    out = []
+    for name in wanted:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+@contextlib.contextmanager
+def settings(spark: SparkSession, **values: str) -> Iterator[None]:
+    """Session settings (dots as ``__``) for the jobs that run inside; what was set before comes back."""
+    keys = {k.replace("__", "."): v for k, v in values.items()}
+    before = {k: spark.conf.get(k, None) for k in keys}
+    for k, v in keys.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
+
+
 def small_batches(spark: SparkSession, rows: int = 2000, size: str = "8m") -> None:
     """Bound what one Arrow batch holds, so that long texts can't fill a worker's memory."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
@@ -32,10 +62,15 @@ def shared_dir(spark: SparkSession) -> str:
     return own
 
 
+def new_path(spark: SparkSession, label: str) -> str:
+    """Where a table of this application goes that nothing else uses."""
+    return f"{shared_dir(spark)}/strataloom/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
+
+
 def store(df: DataFrame, label: str, partition_by: list[str] | None = None) -> tuple[DataFrame, str]:
     """Write df as a table in the shared folder and read it again: cuts lineage and survives lost executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/strataloom/{label}-{uuid.uuid4().hex}"
+    path = new_path(spark, label)
     writer = df.write
     if partition_by:
         writer = writer.partitionBy(*partition_by)
@@ -51,6 +86,11 @@ def drop_stored(spark: SparkSession, *paths: str) -> None:
             where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def clean_up(spark: SparkSession) -> None:
+    """Delete all that this application has stored. Results of the operators read such tables: write them first."""
+    drop_stored(spark, f"{shared_dir(spark)}/strataloom/{spark.sparkContext.applicationId}")
+
+
 def row_key() -> tuple[Column, Column]:
     """(doc_id with nulls last, hash of the text): names a row of documents by what it holds, so that it is the same in every pass."""
     return F.coalesce("doc_id", F.lit(LAST_ID)).cast("long"), F.xxhash64(F.coalesce("text", F.lit("")))

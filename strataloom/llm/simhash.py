@@ -13,7 +13,8 @@ pairs. Components of the links are joined up by distributed alternation.
 
 Defined cases: null text or no words: fingerprint zero, linked like any other. Fewer words than a shingle: one shingle of
 them all. Rows with a null doc_id take part and come back; a component of such rows alone has a null component_id.
-Repeated rows give repeated results. An empty table gives an empty result.
+Repeated rows give repeated results; one_of_each() keeps one of them, and of rows of one component the first by doc_id and then by a
+hash of the text. Other columns, whatever their names, come back from one_of_each() as they were. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, row_key, small_batches, store
+from .common import components, free_names, row_key, settings, small_batches, store
 
 BITS = 64
 SEED = 42
@@ -229,8 +230,8 @@ def links(fps: DataFrame, budget: int = 3, node_rows: int = 1_000_000) -> DataFr
             if child.any():
                 yield pa.RecordBatch.from_arrays([pa.array(fp[child]), pa.array(fp[root[child]])], ["a", "b"])
 
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100000")
-    return ordered.select("block", "key", "task", "fp").mapInArrow(joined, "a long, b long")
+    with settings(spark, spark__sql__execution__arrow__maxRecordsPerBatch="100000"):  # four numbers a row
+        return store(ordered.select("block", "key", "task", "fp").mapInArrow(joined, "a long, b long"), "links")[0]
 
 
 def _tasks(fp: int, block: int, width: int, d: int, budget: int) -> list[int]:
@@ -252,10 +253,8 @@ def _rooted(docs: DataFrame, size: int, budget: int) -> tuple[DataFrame, DataFra
     """The fingerprints of all rows, and each distinct one's root, copies and first row."""
     fps, _ = store(fingerprints(docs, size), "fingerprints")
     nodes, _ = store(fps.groupBy("fp").agg(F.min("doc_id").alias("first"), F.min(F.struct("did", "th")).alias("row"), F.count("*").alias("copies")), "nodes")
-    links_, _ = store(links(nodes.select("fp"), budget), "links")
-    roots = components(links_).withColumnRenamed("node", "fp")
+    roots = components(links(nodes.select("fp"), budget)).withColumnRenamed("node", "fp")
     tied, _ = store(nodes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")), "roots")
-    small_batches(docs.sparkSession)
     return fps, tied
 
 
@@ -272,9 +271,9 @@ def one_of_each(docs: DataFrame, size: int = 3, budget: int = 3) -> DataFrame:
     fps, tied = _rooted(docs, size, budget)
     kept = tied.groupBy("root").agg(F.min("row").alias("row")).select("row.did", "row.th")
     kept, _ = store(kept, "kept-rows")
-    did, th = row_key()
-    own = docs.withColumns({"_sl_did": did, "_sl_th": th})
-    out = own.join(kept.select(F.col("did").alias("_sl_did"), F.col("th").alias("_sl_th")), ["_sl_did", "_sl_th"], "left_semi")
+    key = free_names(docs.columns, "_sl_did", "_sl_th")
+    own = docs.withColumns(dict(zip(key, row_key(), strict=True)))
+    out = own.join(kept.toDF(*key), key, "left_semi")
     if fps.join(kept, ["did", "th"], "left_semi").groupBy("did", "th").count().where("count > 1").take(1):  # one of the repeated rows stays
-        out = out.dropDuplicates(["_sl_did", "_sl_th"])
+        out = out.dropDuplicates(key)
     return out.select(*docs.columns)
