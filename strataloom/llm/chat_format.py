@@ -10,10 +10,13 @@ back needs a conversation in order: it streams over rows sorted by (conv_id, pla
 The template is ``### Role: text</turn>\\n``. Inside roles and texts, a backslash goes before every ``### ``, ``</turn>``
 and backslash, so that any text, control strings included, comes back as it was.
 
-Defined cases: null role or text: empty. Null conv_id is a conversation of its own. Null seq comes first; ties are ordered
-by message_id, kind, role and text; repeated ``message`` events are separate turns. Null kind counts as ``message``. An event
-with null message_id is a message of its own whatever its kind, folded as its only event: a ``regenerate`` is empty, any other
-keeps its text.
+Defined cases: null role or text: empty; a message's role is that of its first event with one. Null conv_id is a conversation of its
+own. Null seq comes first. Of events of one seq (or none), deltas come last; the others are ordered by kind, role and text, deltas by text.
+``message`` events without an id are separate turns, also when repeated; those of one id are one message. Null kind counts as ``message``. An
+event with null message_id is a message of its own whatever its kind, folded as its only event: a ``regenerate`` is empty, any other
+keeps its text. Very long texts are taken whole. Other columns, whatever their names, are left out. An empty log gives an empty result.
+
+One message's deltas meet in one row, as its text must; nothing else is gathered.
 """
 
 from __future__ import annotations
@@ -33,9 +36,23 @@ CONTROL = r"(### |</turn>|\\|: )"
 TURNS = "conv_id long, place long, nth long, segment string, loss_from long, loss_to long"
 
 
-def turn_events(conversations: DataFrame) -> DataFrame:
-    """A table of whole turns (conv_id, turn, role, text) as events: each row is a message of its own, with an id of its own."""
-    return conversations.select("conv_id", F.col("turn").alias("seq"), F.lit("message").alias("kind"), F.monotonically_increasing_id().cast("string").alias("message_id"), "role", "text")
+def turn_events(conversations: DataFrame, streams: int = 3) -> DataFrame:
+    """The event log that leads to a table of whole turns (conv_id, turn, role, text): each row is a message of its own, with an id of its own.
+
+    An assistant's turn is opened empty, streamed, regenerated and streamed again in ``streams`` deltas; any other is sent with the first half of
+    its text and then edited. seq is 16 * turn and upwards, in the order of the events, as a decimal, which no turn overflows. A row
+    without a turn has no order of events: it is sent as a whole.
+    """
+    text = F.coalesce("text", F.lit(""))
+    n = F.char_length(text)
+    piece = lambda i: text.substr(F.floor(n * i / streams).cast("int") + 1, (F.floor(n * (i + 1) / streams) - F.floor(n * i / streams)).cast("int"))
+    step = lambda i, kind, said, role="role": F.struct(F.lit(i).alias("step"), F.lit(kind).alias("kind"), (F.col(role) if role else F.lit(None)).cast("string").alias("role"), said.cast("string").alias("text"))
+    half = text.substr(F.lit(1), F.floor(n / 2).cast("int"))
+    streamed = [step(0, "message", F.lit("")), step(1, "delta", half, None), step(2, "regenerate", F.lit(None), None), *(step(3 + i, "delta", piece(i), None) for i in range(streams))]
+    log = F.when(F.col("turn").isNull(), F.array(step(0, "message", F.col("text")))).when(F.lower("role") == "assistant", F.array(*streamed)).otherwise(F.array(step(0, "message", half), step(1, "edit", F.col("text"))))
+    named = conversations.select("conv_id", "turn", "role", "text", F.monotonically_increasing_id().cast("string").alias("message_id"))
+    rows = named.select("conv_id", "turn", "message_id", F.explode(log).alias("e"))
+    return rows.select("conv_id", (F.col("turn").cast("decimal(30,0)") * 16 + F.col("e.step")).alias("seq"), "e.kind", "message_id", "e.role", "e.text")
 
 
 def fold(events: DataFrame) -> DataFrame:
@@ -46,9 +63,9 @@ def fold(events: DataFrame) -> DataFrame:
     e = events.select("conv_id", "seq", F.coalesce("kind", F.lit("message")).alias("kind"), "message_id", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     alone = e.where(F.col("message_id").isNull()).select("conv_id", F.col("seq").alias("place"), "role", F.when(F.col("kind") == "regenerate", F.lit("")).otherwise(F.col("text")).alias("text"))
     kept = e.where(F.col("message_id").isNotNull())
-    order = F.struct("seq", "kind", "role", "text")
+    order = F.struct("seq", "kind", "role", "text")  # nulls come first
     parts = kept.groupBy("conv_id", "message_id").agg(F.min(F.struct("seq"))["seq"].alias("place"), F.min_by("role", F.when(F.col("role") != "", order)).alias("role"), F.max(F.when(F.col("kind") != "delta", order)).alias("start"), F.collect_list(F.when(F.col("kind") == "delta", order)).alias("deltas"))
-    later = F.filter(F.array_sort("deltas"), lambda d: F.col("start").isNull() | (d["seq"] > F.col("start.seq")) | (F.col("start.seq").isNull() & d["seq"].isNotNull()))
+    later = F.filter(F.array_sort("deltas"), lambda d: F.col("start").isNull() | F.col("start.seq").isNull() | F.coalesce(d["seq"] >= F.col("start.seq"), F.lit(False)))
     base = F.when(F.col("start.kind") == "regenerate", F.lit("")).otherwise(F.coalesce("start.text", F.lit("")))
     text = F.concat(base, F.array_join(F.transform(later, lambda d: d["text"]), ""))
     return alone.unionByName(parts.select("conv_id", "place", F.coalesce("role", F.lit("")).alias("role"), text.alias("text")))
