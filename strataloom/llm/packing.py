@@ -4,13 +4,14 @@ Texts become pieces of at most ``capacity`` tokens (only longer documents are cu
 The rest is dealt into groups of bounded size, each packed best-fit decreasing and certified: a dual-feasible function
 turns the lengths into a lower bound on the number of sequences, and a group that meets it can't be improved. Groups
 with a gap give up their badly filled sequences, whose documents are exchanged and packed anew in larger company, until
-all is certified or one group is left.
+all is certified, one group is left, or a round no longer frees a tenth of what it was dealt. ``certificate()`` tells how far the whole
+packing is from the bound over all pieces.
 
 Groups are dealt by a hash of the piece, never by a column's value, so no key can fill one. Texts are read once; what
 is shuffled is six numbers for each piece.
 
-Defined cases: null text: empty, a document of the one end token. Null ids and repeated rows are packed row by row. An
-empty table gives an empty result.
+Defined cases: null or empty text: a document of the one end token. Very long texts are cut, never shortened. Null ids, ties and
+repeated rows are packed row by row. Other columns, whatever their names, are left out. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ import math
 import zlib
 from array import array
 from collections.abc import Callable, Iterator
+from itertools import count
 
 import numpy as np
 import pandas as pd
@@ -140,18 +142,18 @@ def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) -
     return docs.select("doc_id", "text").mapInArrow(cut, PIECES)
 
 
-def lower_bound(lengths: np.ndarray, capacity: int = CAPACITY) -> int:
-    """Fewest sequences that these lengths need by any of the dual-feasible functions tried.
+def lower_bound(lengths: np.ndarray, capacity: int = CAPACITY, times: np.ndarray | None = None) -> int:
+    """Fewest sequences that these lengths (each ``times`` over, if given) need by any of the dual-feasible functions tried.
 
     u_e counts lengths over capacity - e as whole and drops those under e, for every e up to half the capacity; the
     rounding functions f_k keep x if (k+1)x/capacity is whole, else floor((k+1)x/capacity)/k. e = 0 is the plain sum.
     """
     if not len(lengths):
         return 0
-    count = np.bincount(lengths, minlength=capacity + 1).astype(np.int64)
+    many = np.bincount(lengths, times, minlength=capacity + 1).astype(np.int64)
     sizes = np.arange(capacity + 1, dtype=np.int64)
-    mass = np.concatenate([[0], np.cumsum(count * sizes)])
-    heads = np.concatenate([[0], np.cumsum(count)])
+    mass = np.concatenate([[0], np.cumsum(many * sizes)])
+    heads = np.concatenate([[0], np.cumsum(many)])
     e = np.arange(0, capacity // 2 + 1)
     whole = heads[-1] - heads[capacity - e + 1]
     middle = mass[capacity - e + 1] - mass[e]
@@ -159,7 +161,7 @@ def lower_bound(lengths: np.ndarray, capacity: int = CAPACITY) -> int:
     for k in range(1, 41):
         t = (k + 1) * sizes
         f = np.where(t % capacity == 0, sizes * k, (t // capacity) * capacity)  # times k * capacity
-        best = max(best, -int(-(count * f).sum() // (k * capacity)))
+        best = max(best, -int(-(many * f).sum() // (k * capacity)))
     return best
 
 
@@ -205,26 +207,34 @@ def _packer(round_: int, last: bool, capacity: int, slack: float) -> Callable[[t
     return packed
 
 
-def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, group_rows: int = 8192, slack: float = 0.005, max_rounds: int = 8) -> DataFrame:
+def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, group_rows: int = 8192, slack: float = 0.005) -> DataFrame:
     """A row of PACKED for each piece. Groups hold about ``group_rows`` pieces; a group with a gap gives up its sequences with over ``slack`` of their room free."""
     spark = docs.sparkSession
     cut, _ = store(pieces(docs, path, capacity), "pieces")
     one = cut.where(F.col("length") == capacity)
     done = [one.select("doc_id", "piece", "start", "length", "ids_crc32", (F.lit(1 << 62) + F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))]
     left = cut.where(F.col("length") < capacity).withColumn("salt", F.xxhash64("doc_id", "piece", "salt", "ids_crc32"))
-    n = left.count()
-    for round_ in range(max_rounds):
+    n, before = left.count(), math.inf
+    for round_ in count():
         if not n:
             break
         groups = max(1, math.ceil(n / group_rows))
-        last = groups == 1 or round_ == max_rounds - 1
+        last = groups == 1 or n > 0.9 * before
 
         dealt = left.withColumn("grp", F.pmod(F.xxhash64("salt", F.lit(round_)), F.lit(groups)))
         result, _ = store(dealt.groupBy("grp").applyInPandas(_packer(round_, last, capacity, slack), f"{PIECES}, final boolean, sequence_id long, offset long"), "packed")
         done.append(result.where("final").select(*[c.split()[0] for c in PACKED.split(", ")]))
         left = result.where("NOT final").select(*[c.split()[0] for c in PIECES.split(", ")])
-        n = 0 if last else left.count()
+        n, before = 0 if last else left.count(), n
     out = done[0]
     for df in done[1:]:
         out = out.unionByName(df)
     return out
+
+
+def certificate(packed: DataFrame, capacity: int = CAPACITY) -> dict[str, int]:
+    """``sequences`` of a packing, the ``bound`` below which none can go, and ``over``: how many sequences are not certified to be needed."""
+    lengths = packed.groupBy("length").agg(F.count("*").alias("n")).collect()  # at most one row for each length up to the capacity
+    bound = lower_bound(np.array([r.length for r in lengths], np.int64), capacity, np.array([r.n for r in lengths], np.float64)) if lengths else 0
+    sequences = packed.select("sequence_id").distinct().count()
+    return {"sequences": sequences, "bound": bound, "over": sequences - bound}
