@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from strataloom.llm import chat_format, common, decontaminate, line_dedup, packing, quality_knn, quality_rules, simhash, suffix_dedup, toxicity, url_filter
 from strataloom.llm.queries import URL_RULES
@@ -123,7 +124,8 @@ def test_simhash_rows(odd, none):
     key = lambda r: tuple((x is None, str(x)) for x in r)
     assert rows_of(simhash.near_duplicates(odd).select("doc_id", "fingerprint", "component_id")) == sorted(want, key=key)
     kept = simhash.one_of_each(odd)
-    assert kept.columns == odd.columns and kept.count() == len(set(comp))
+    whole = {tuple(r) for r in odd_rows()}
+    assert kept.dtypes == odd.dtypes and kept.count() == len(set(comp)) and all(tuple(r) in whole for r in kept.collect())
     assert simhash.near_duplicates(none).count() == 0 and simhash.one_of_each(none).count() == 0
 
 
@@ -229,6 +231,25 @@ def test_chat_events_without_seq_or_id(spark):
     assert got == [(1, 0, "user", "Start more."), (1, 0, "user", "kept!"), (2, 1, "user", "a"), (2, 2, "user", "b"), (2, 3, "user", "c"), (2, 4, "user", "")]
 
 
+def test_chat_deltas_on_the_seq_of_their_message(spark):
+    """At one seq (or none), deltas come after what they add to."""
+    events = [(1, 1, "message", "m", "user", "a"), (1, 1, "delta", "m", None, "b"), (1, None, "message", "n", "user", "c"), (1, None, "delta", "n", None, "d"), (1, 2, "delta", "n", None, "e"), (1, 3, "regenerate", "o", "user", None), (1, 3, "delta", "o", None, "f"), (1, 2, "delta", "o", None, "lost")]
+    df = spark.createDataFrame([(*e, "x", 9) for e in events], "conv_id long, seq long, kind string, message_id string, role string, text string, place string, start int").repartition(4)
+    assert sorted((r.place or 0, r.text) for r in chat_format.fold(df).collect()) == [(0, "cde"), (1, "ab"), (2, "f")]
+
+
+def test_chat_log_is_folded_back(spark):
+    """turn_events() streams, edits and regenerates; the fold gives back what was said, from the log in any order."""
+    said = ["", None, "a", "ab", "Grüße \U0001f600!" * 30, "x" * 50_000]
+    rows = [(c, t, role, text) for c in (1, None) for t, (text, role) in enumerate((x, r) for x in said for r in ("user", "Assistant", None))] + [(2, None, "assistant", "no turn"), (2, (1 << 63) - 1, "assistant", "late")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(3)
+    log = chat_format.turn_events(df)
+    assert {r.kind for r in log.select("kind").distinct().collect()} == {"message", "delta", "edit", "regenerate"}
+    got = chat_format.fold(log.orderBy(F.rand(3)))
+    key = lambda r: tuple((x is None, str(x)) for x in r)
+    assert sorted(((r.conv_id, None if r.place is None else int(r.place) // 16, r.role, r.text) for r in got.collect()), key=key) == sorted(((c, t, r or "", x or "") for c, t, r, x in rows), key=key)
+
+
 def test_chat_turns_pass_through_the_fold(spark):
     rows = [(1, 0, "user", "same"), (1, 0, "user", "same"), (None, None, None, None)]
     events = chat_format.turn_events(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(3))
@@ -259,12 +280,39 @@ def brute_lines(rows):
 @pytest.mark.parametrize(("batches", "fanout"), [(1, 2), (5, 2), (4, 3)])
 def test_line_dedup(odd, none, batches, fanout):
     got = line_dedup.dedup(odd, batches=batches, fanout=fanout)
-    got = [(r.doc_id, r.n_lines, r.n_dropped, r.text or "") for r in got.select("doc_id", "n_lines", "n_dropped", "text").collect()]
+    got = [(r.doc_id, r.n_lines_, r.n_dropped, r.text or "") for r in got.collect()]
     key = lambda r: (r[0] is None, str(r))
     assert sorted(got, key=key) == sorted(brute_lines([(r[0], r[1]) for r in odd_rows()]), key=key)
     assert line_dedup.dedup(none).count() == 0
 
 
+def test_line_dedup_leaves_other_columns(odd):
+    """A table's own columns keep names, types and values; ours move out of their way."""
+    mine = odd.selectExpr("*", "7.5D AS n_dropped", "'x' AS _SL_gone")
+    got = line_dedup.dedup(mine)
+    assert got.dtypes == [*mine.dtypes, ("n_lines_", "bigint"), ("n_dropped_", "bigint")]
+    rest = [c for c in mine.columns if c != "text"]
+    assert rows_of(got.select(*rest)) == rows_of(mine.select(*rest))
+    want = [(n, gone) for _, n, gone, _ in brute_lines([(r[0], r[1]) for r in odd_rows()])]
+    assert sorted((r.n_lines_, r.n_dropped_) for r in got.collect()) == sorted(want)
+
+
+def test_line_runs_are_neither_shuffled_nor_sorted(spark):
+    """Past the first batch, an anti-join shuffles and sorts the batch alone, however many runs there are."""
+    runs = line_dedup.Runs(spark, fanout=3)
+    batch = lambda k: spark.range(2000).selectExpr(f"xxhash64(id, {k % 3}) AS h1", f"xxhash64(id, {k % 3}, 1) AS h2", "id AS did")
+    for k in range(5):
+        runs.add(batch(k))
+    assert [len(level) for level in runs.levels] == [2, 1]
+    with common.settings(spark, spark__sql__legacy__bucketedTableScan__outputOrdering="true", spark__sql__autoBroadcastJoinThreshold="-1"):
+        fresh = batch(0).groupBy("h1", "h2").agg(F.min("did").alias("first"))
+        for name, _ in (run for level in runs.levels for run in level):
+            fresh = fresh.join(spark.table(name).select("h1", "h2"), ["h1", "h2"], "left_anti")
+        plan = fresh._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("SortMergeJoin") == 3 and plan.count("Exchange") == 1 and plan.count("+- Sort ") + plan.count(":- Sort ") == 1
+    assert runs.close().count() == 6000
+
+
 def test_line_dedup_random(spark):
     r = random.Random(9)
     pool = [f"{'Shared line number'[: r.randrange(3, 18)]} {k}" for k in range(40)]
@@ -301,13 +349,15 @@ def check_places(got, capacity):
 
 
 @pytest.mark.parametrize("group_rows", [4, 8192])
-def test_packing(odd, none, group_rows):
+def test_packing(spark, odd, none, group_rows):
     rows = [(r[0], r[1]) for r in odd_rows()]
     got = packing.pack(odd, capacity=256, group_rows=group_rows).collect()
     key = lambda r: tuple((x is None, str(x)) for x in r)
     assert sorted(((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in got), key=key) == sorted(pieces_of(rows, 256), key=key)
     n = check_places(got, 256)
     assert n <= -(-sum(r.length for r in got) // 256) + 1
+    told = packing.certificate(spark.createDataFrame(got), 256)
+    assert told["sequences"] == n and told["bound"] == packing.lower_bound(np.array([r.length for r in got]), 256) and told["over"] == n - told["bound"]
     assert packing.pack(none).count() == 0
 
 
