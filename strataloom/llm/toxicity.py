@@ -1,22 +1,26 @@
 """Toxicity: a weighted finite-state pattern grammar.
 
 A text's words become symbols: insult, threat, target, negation, reported speech, clause end; all else is skipped but counted.
-Small transducers each read the symbols and weigh what others can't see: the clause's target, a negation just before, a
-report around. They are composed into one machine by the product construction; running it over a text scores each
-matched clause, not each word. The clauses' scores make the document's by a logistic curve.
+Small transducers each read the symbols: one accepts clauses that aim an insult or threat at a target, one those in which an
+insult follows another; two weigh a negation just before and a report around. They are composed into one machine by the product
+construction. A clause that the machine doesn't accept scores nothing, whatever words it holds: neither ``a fool`` alone nor
+``the burn of wood`` do. The scores of the matched clauses make the document's by a logistic curve.
 
 The insult lexicon is a short fixed list plus words and stems learned from labelled documents: those that toxic ones hold
 far more often than chance allows. It is learned from at most ``max_train`` documents, chosen by a hash of their id;
 counts go through an aggregation, and at most ``max_terms`` terms are kept, so the broadcast machine has a fixed size.
 
-Defined cases: null or empty text: no symbol, the lowest score. Null doc_id: not held out, never in the sample. Without
-labels the fixed lists and curve are used. Repeated rows give repeated results. An empty table gives an empty result.
+Defined cases: null or empty text: no symbol, the lowest score. Very long texts are read whole. Null doc_id: not held out, never in the
+sample. Without labels, or without documents of both kinds, the fixed lists and curve are used. Ties among terms go by the term, repeated
+labels of a document by the largest. Repeated rows give repeated results. Other columns, whatever their names, are left out. An empty
+table gives an empty result.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Callable, Iterator
 from itertools import product
 
 import numpy as np
@@ -41,22 +45,52 @@ _ENDS = ".!?;"
 
 
 class Transducer:
-    """States 0..n-1, start 0. step: (state, symbol) -> (state, factor on the weight of an insult or threat read here)."""
+    """States 0..n-1, start 0. step: (state, symbol) -> (state, factor on the weight of an insult or threat read here).
 
-    def __init__(self, states: int, step: dict[tuple[int, int], tuple[int, float]]) -> None:
+    A clause counts if it ends in a state of ``accept``; a transducer without such only weighs.
+    """
+
+    def __init__(self, states: int, step: dict[tuple[int, int], tuple[int, float]], accept: set[int] | None = None) -> None:
         self.states = states
         self.step = step
+        self.accept = set(range(states)) if accept is None else accept
 
     def __call__(self, state: int, symbol: int) -> tuple[int, float]:
         return self.step.get((state, symbol), (state, 1.0))
 
-    def compose(self, other: Transducer) -> Transducer:
-        """Both read the same symbols side by side; factors multiply."""
+    def _product(self, other: Transducer, how: Callable[[Iterator[bool]], bool]) -> Transducer:
         step = {}
         for a, b, s in product(range(self.states), range(other.states), range(7)):
             (x, f), (y, g) = self(a, s), other(b, s)
             step[a * other.states + b, s] = (x * other.states + y, f * g)
-        return Transducer(self.states * other.states, step)
+        accept = {a * other.states + b for a, b in product(range(self.states), range(other.states)) if how([a in self.accept, b in other.accept])}
+        return Transducer(self.states * other.states, step, accept)
+
+    def compose(self, other: Transducer) -> Transducer:
+        """Both read the same symbols side by side; factors multiply, both must accept."""
+        return self._product(other, all)
+
+    def union(self, other: Transducer) -> Transducer:
+        """The same, but one that accepts is enough."""
+        return self._product(other, any)
+
+
+def aimed(factor: float = 1.5) -> Transducer:
+    """Accepts clauses with an insult or threat and its target, in either order; one after its target weighs more."""
+    nothing, who, struck, both = range(4)
+    step = {(nothing, TARGET): (who, 1.0), (struck, TARGET): (both, 1.0)} | {(q, END): (nothing, 1.0) for q in range(4)}
+    for s in (INSULT, THREAT):
+        step |= {(nothing, s): (struck, 1.0), (who, s): (both, factor), (both, s): (both, factor)}
+    return Transducer(4, step, {both})
+
+
+def repeated(reach: int = 12) -> Transducer:
+    """Accepts clauses with an insult that follows another one, in the same clause or at most ``reach`` clauses back: abuse, not a word."""
+    first, again = reach + 1, reach + 2  # below: the clauses that an earlier insult is remembered for
+    step = {(0, INSULT): (first, 1.0), (first, INSULT): (again, 1.0), (first, END): (reach, 1.0), (again, END): (reach, 1.0)}
+    for q in range(1, reach + 1):
+        step |= {(q, INSULT): (again, 1.0), (q, END): (q - 1, 1.0)}
+    return Transducer(reach + 3, step, {again})
 
 
 def negation(reach: int = 3, factor: float = 0.5) -> Transducer:
@@ -72,13 +106,8 @@ def report(factor: float = 0.6) -> Transducer:
     return Transducer(2, {(0, REPORT): (1, 1.0), (1, INSULT): (1, factor), (1, THREAT): (1, factor), (1, END): (0, 1.0)})
 
 
-def target(factor: float = 1.5) -> Transducer:
-    """An insult or threat after its target weighs more; so does one after another insult, in the same clause."""
-    return Transducer(3, {(0, TARGET): (1, 1.0), (1, INSULT): (2, factor), (1, THREAT): (2, factor), (0, INSULT): (2, 1.0), (2, INSULT): (2, factor), (2, THREAT): (2, factor), (1, END): (0, 1.0), (2, END): (0, 1.0)})
-
-
 def grammar() -> Transducer:
-    return target().compose(negation()).compose(report())
+    return aimed().union(repeated()).compose(negation()).compose(report())
 
 
 class Machine:
@@ -116,15 +145,15 @@ class Machine:
         if not any(x[1] for x in found):
             return [], len(tokens)
         out, state, score = [], 0, 0.0
+        step, accept = self.grammar.step, self.grammar.accept
         for s, weight, ends in found:
-            state, factor = self.grammar(state, s)
+            state, factor = step[state, s]
             score += weight * factor
             if ends:
-                if score:
+                if score and state in accept:
                     out.append(score)
-                state, _ = self.grammar(state, END)
-                score = 0.0
-        if score:
+                state, score = step[state, END][0], 0.0
+        if score and state in accept:
             out.append(score)
         return out, len(tokens)
 
@@ -146,16 +175,12 @@ class Machine:
         self.__init__(*state)
 
 
-def terms(text: str | None, cap: int = 4) -> tuple[dict[str, int], int]:
-    """Words of a text ("w:") and their stems ("s:"), with how many different words have the stem (``cap`` at most); the number of different words."""
-    out: dict[str, int] = {}
-    words = {w for w in (t.strip(_STRIP) for t in (text or "").lower().split()) if 3 <= len(w) <= 40}
-    for w in words:
-        out["w:" + w] = 1
-        for k in STEMS:
-            if len(w) > k:
-                s = "s:" + w[:k]
-                out[s] = min(cap, out.get(s, 0) + 1)
+def terms(text: str | None) -> tuple[dict[str, int], int]:
+    """Words of a text ("w:") and their stems ("s:"), with how many different words have the stem; the number of different words."""
+    words = {t.strip(_STRIP) for t in (text or "").lower().split()} - {""}
+    out = {"w:" + w: 1 for w in words}
+    for k in STEMS:
+        out |= Counter("s:" + w[:k] for w in words if len(w) > k)
     return out, len(words)
 
 
