@@ -1,22 +1,24 @@
 """Quality classifier: nearest-neighbour voting in a latent-semantic space.
 
-Texts become histograms of character-class pairs, common words, word lengths and repetition; their weighted logs are
-projected on the leading directions of a sample of labelled documents. The sample's vectors and labels are broadcast
-(``max_train`` vectors of ``dims`` numbers, a fixed size); each batch of documents is compared with all of them by blocked matrix
-products, exactly, and its nearest neighbours vote with weights that grow with cosine similarity.
-
-Documents are read three times (words of the sample, vectors of the sample, scores) and never shuffled; the sample, at most
-``max_train`` labelled documents chosen by a hash of their id, is the only thing that is bounded. A worker holds one Arrow
-batch.
-
-Defined cases: null or empty text: scored like any other, by neighbours of next to no length. Null doc_id: not held out, and never
-in the sample. Without any label all scores are 0.5. Repeated rows give repeated results; repeated labels of a document
-count by their largest value.
+A text becomes two blocks of numbers: its terms, hashed into ``TERMS`` slots and weighted by log frequency and by how few documents of the
+sample hold them; and its form (pairs of character classes, word lengths, size, repetition). Both are projected together on the leading
+singular directions of a sample of labelled documents. The sample's vectors and labels are broadcast (``max_train`` vectors of
+``dims`` numbers, a fixed size); each batch of documents is compared with all of them by blocked matrix products, exactly, and its
+nearest neighbours vote with weights that grow with cosine similarity.
+
+Documents are read twice (vectors of the sample, scores) and never shuffled; the sample, at most ``max_train`` labelled documents chosen
+by a hash of their id, is the only thing that is bounded. A worker holds one Arrow batch. The model is the same however the
+documents are partitioned.
+
+Defined cases: null or empty text: scored like any other, by neighbours of next to no length. Very long texts are read whole. Null
+doc_id: not held out, and never in the sample. Without any label, or any document that has one, all scores are 0.5. Repeated rows
+give repeated results; repeated labels of a document count by their largest value. Of neighbours at one distance, those first in the
+order of their vectors vote. Other columns, whatever their names, are left out. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-from collections import Counter
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,64 +36,86 @@ for _i, _g in enumerate(_GROUPS):
     _KIND[[ord(c) for c in _g]] = _i
 _KIND[128:] = _KINDS - 1
 _LENGTHS, _SIZES, _RATIOS = 24, 24, 3
-
-
-def common_words(texts: list[bytes], n: int = 200) -> list[bytes]:
-    """The words that most of the texts hold."""
-    seen: Counter[bytes] = Counter()
-    for t in texts:
-        seen.update(set(t.split()))
-    return [w for w, _ in sorted(seen.items(), key=lambda x: (-x[1], x[0]))[:n]]
-
-
-def features(text: bytes | None, known: dict[bytes, int]) -> np.ndarray:
-    """Counts of character-class pairs and common words, by length of words and text, and ten-part shares of repetition."""
+#: Slots that terms are hashed into, and what their block weighs beside the form's.
+TERMS, TERM_WEIGHT = 2048, 8.0
+_slots: dict[bytes, int] = {}
+
+
+def _slot(words: list[bytes]) -> np.ndarray:
+    """Each word's slot; remembers short ones, up to a fixed number."""
+    if len(_slots) > 300_000:
+        _slots.clear()
+    found = list(map(_slots.get, words))
+    if None in found:
+        for i, x in enumerate(found):
+            if x is None:
+                found[i] = zlib.crc32(words[i]) % TERMS
+                if len(words[i]) < 40:
+                    _slots[words[i]] = found[i]
+    return np.fromiter(found, np.int64, len(found))
+
+
+def features(text: bytes | None) -> np.ndarray:
+    """Log counts of the hashed terms, then the form: class pairs, word lengths, ten-part shares of repetition, size of the text."""
     text = text or b""
     kinds = _KIND[np.frombuffer(text, np.uint8)]
     pairs = np.bincount(kinds[:-1] * _KINDS + kinds[1:], minlength=_KINDS * _KINDS) if len(kinds) > 1 else np.zeros(_KINDS * _KINDS)
     words = text.split()
     n = len(words)
-    get = known.get
-    common = np.bincount(np.fromiter((get(w, 0) for w in words), np.int64, n), minlength=len(known) + 1)
+    terms = np.bincount(_slot(words), minlength=TERMS)
     lengths = np.bincount(np.minimum(np.fromiter(map(len, words), np.int64, n), _LENGTHS - 1), minlength=_LENGTHS)
     size = np.zeros(_SIZES)
     size[min(_SIZES - 1, len(text).bit_length())] = 1
-    h = np.fromiter(map(hash, words), np.int64, n)
     distinct = len(set(words)) / n if n else 1.0
-    same = float((h[1:] == h[:-1]).mean()) if n > 1 else 0.0
+    same = sum(map(bytes.__eq__, words[1:], words)) / (n - 1) if n > 1 else 0.0
     lines = text.split(b"\n")
     again = 1 - len(set(lines)) / len(lines)
     ratios = np.zeros((_RATIOS, 11))
     for k, v in enumerate((distinct, same, again)):
         ratios[k, int(10 * v)] = 1
-    counts = [pairs / max(1, len(text)), common / max(1, n), lengths / max(1, n)]
-    return np.concatenate([*(np.log1p(200 * c) for c in counts), 2 * ratios.ravel(), 0.5 * size]).astype(np.float32)
+    form = [pairs / max(1, len(text)), lengths / max(1, n)]
+    return np.concatenate([np.log1p(terms), *(np.log1p(200 * c) for c in form), 2 * ratios.ravel(), 0.5 * size]).astype(np.float16)
+
+
+def leading_directions(x: np.ndarray, dims: int, rounds: int = 8, spare: int = 16) -> np.ndarray:
+    """The first right singular vectors of x, as columns, by subspace iteration from a fixed start."""
+    q = np.random.default_rng(7).standard_normal((x.shape[1], min(dims + spare, x.shape[1]))).astype(x.dtype)
+    for _ in range(rounds):
+        q, _ = np.linalg.qr(x.T @ (x @ q))
+    y = x @ q
+    _, _, turn = np.linalg.svd(y.T @ y)
+    return (q @ turn.T)[:, :dims]
 
 
 class Model:
-    """Projection, labelled vectors and how they vote."""
+    """Term weights, projection, labelled vectors and how they vote."""
 
-    def __init__(self, words: list[bytes], x: np.ndarray, y: np.ndarray, dims: int, neighbours: int, power: float) -> None:
-        self.known = {w: i + 1 for i, w in enumerate(words)}
+    def __init__(self, x: np.ndarray, y: np.ndarray, dims: int, neighbours: int, power: float) -> None:
         self.neighbours, self.power = neighbours, power
-        self.mean = x.mean(axis=0, dtype=np.float64).astype(np.float32)
-        centred = (x - self.mean).astype(np.float64)
-        _, axes = np.linalg.eigh(centred.T @ centred)
-        self.axes = axes[:, ::-1][:, :dims].astype(np.float32)
-        self.vectors, self.labels = self.project(x), y.astype(np.float32)
+        self.rarity = np.log((1 + len(x)) / (1 + (x[:, :TERMS] > 0).sum(axis=0))).astype(np.float32)
+        weighed = self.weigh(x)
+        self.mean = weighed.mean(axis=0, dtype=np.float64).astype(np.float32)
+        self.axes = leading_directions(weighed - self.mean, dims)
+        self.vectors, self.labels = self.project(weighed), y.astype(np.float32)
         self.prior = float((y.sum() + 1) / (len(y) + 2))
 
-    def project(self, x: np.ndarray) -> np.ndarray:
-        v = (x - self.mean) @ self.axes
+    def weigh(self, x: np.ndarray) -> np.ndarray:
+        x = x.astype(np.float32)
+        terms = x[:, :TERMS] * self.rarity
+        x[:, :TERMS] = TERM_WEIGHT * terms / np.maximum(np.linalg.norm(terms, axis=1, keepdims=True), 1e-9)
+        return x
+
+    def project(self, weighed: np.ndarray) -> np.ndarray:
+        v = (weighed - self.mean) @ self.axes
         return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)
 
     def score(self, texts: list[bytes | None], block: int = 256) -> np.ndarray:
         out = []
         for at in range(0, len(texts), block):
-            v = self.project(np.stack([features(t, self.known) for t in texts[at : at + block]]))
+            v = self.project(self.weigh(np.stack([features(t) for t in texts[at : at + block]])))
             cos = v @ self.vectors.T
             k = min(self.neighbours, cos.shape[1])
-            near = np.argpartition(-cos, k - 1, axis=1)[:, :k]
+            near = np.argsort(-cos, axis=1, kind="stable")[:, :k] if cos.shape[1] < 64 else np.argpartition(-cos, k - 1, axis=1)[:, :k]
             w = np.maximum(np.take_along_axis(cos, near, axis=1), 0) ** self.power
             out.append(((w * self.labels[near]).sum(axis=1) + 0.1 * self.prior) / (w.sum(axis=1) + 0.1))
         return np.concatenate(out) if out else np.empty(0)
@@ -114,28 +138,17 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", parts: int =
     small_batches(docs.sparkSession)
     rows = sample(docs, labels, label, parts, part, max_train)
 
-    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter[bytes] = Counter()
-        for b in batches:
-            for t in b.column("text").to_pylist():
-                seen.update({w for w in (t or b"").split() if len(w) <= 12})
-        top = sorted(seen.items(), key=lambda x: (-x[1], x[0]))[:5000]
-        yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in top], pa.binary()), pa.array([n for _, n in top], pa.int64())], ["w", "n"])
-
-    best = rows.mapInArrow(words, "w binary, n long").groupBy("w").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "w").limit(200).collect()
-    known = {bytes(r.w): i + 1 for i, r in enumerate(best)}
-
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            v = [features(t, known).tobytes() for t in b.column("text").to_pylist()]
+            v = [features(t).tobytes() for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(v, pa.binary()), b.column("y").cast(pa.int32())], ["v", "y"])
 
     got = rows.mapInArrow(vectors, "v binary, y int").collect()  # max_train vectors of one size
     if not got:
         return None
     got.sort(key=lambda r: (bytes(r.v), r.y))
-    x = np.stack([np.frombuffer(r.v, np.float32) for r in got])
-    return Model(list(known), x, np.array([r.y for r in got]), dims, neighbours, power)
+    x = np.stack([np.frombuffer(r.v, np.float16) for r in got])
+    return Model(x, np.array([r.y for r in got]), dims, neighbours, power)
 
 
 def score(docs: DataFrame, model: Model | None) -> DataFrame:
