@@ -397,6 +397,34 @@ def test_quality_knn(spark, odd, none):
     assert quality_knn.fit(docs, labels.limit(0)) is None and quality_knn.score(docs.limit(2), None).first().score == 0.5
 
 
+def test_quality_knn_votes(spark):
+    """The blocked products against neighbours taken one by one."""
+    r = np.random.default_rng(5)
+    texts = [(prose(i, 30 + i % 40) if i % 3 else " ".join(f"q{r.integers(99)}x" for _ in range(40))).encode() for i in range(150)] + [None, b"", b"\xff\n"]
+    x = np.stack([quality_knn.features(t) for t in texts[:120]])
+    y = np.array([int(i % 3 > 0) for i in range(120)])
+    model = quality_knn.Model(x, y, 16, 7, 8.0)
+    v = [model.project(model.weigh(quality_knn.features(t)[None]))[0] for t in texts]
+    want = []
+    for a in v:
+        near = sorted(((float(a @ b), float(k)) for b, k in zip(model.vectors, model.labels, strict=True)), reverse=True)[:7]
+        w = [max(0.0, c) ** 8 for c, _ in near]
+        want.append((sum(a * k for a, (_, k) in zip(w, near, strict=True)) + 0.1 * model.prior) / (sum(w) + 0.1))
+    assert model.score(texts, block=11) == pytest.approx(np.array(want), abs=1e-4)
+    q = quality_knn.leading_directions((z := r.standard_normal((60, 20)) * np.arange(20, 0, -1) ** 2.0).astype(np.float32), 5)
+    assert np.abs(q.T @ np.linalg.svd(z)[2][:5].T) == pytest.approx(np.eye(5), abs=1e-2)
+
+
+def test_quality_knn_is_the_same_however_partitioned(spark):
+    """More than 5,000 different words in each of 40 partitions, long ones too: the model hangs on none of this."""
+    docs = [(i, " ".join(f"w{'o' * (k % 30)}{i}x{k}" for k in range(260)) + (" !!" if i % 4 else " ok")) for i in range(800)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 4 > 0)) for i, _ in docs], "doc_id long, quality int")
+    one, many = quality_knn.fit(df.repartition(1), labels), quality_knn.fit(df.repartition(40), labels)
+    assert all((getattr(one, k) == getattr(many, k)).all() for k in ("rarity", "mean", "axes", "vectors", "labels"))
+    assert quality_knn.fit(df.limit(0), labels) is None
+
+
 def test_toxicity(spark, odd, none):
     r = random.Random(4)
     clean = [(i, prose(i, 60)) for i in range(300)]
@@ -411,7 +439,52 @@ def test_toxicity(spark, odd, none):
     assert toxicity.score(none, machine).count() == 0
     plain = toxicity.learn(docs, labels.limit(0))
     assert plain.score("you are an idiot.") > plain.score("you are not an idiot.") > plain.score("you are tall.")
-    assert plain.score("an idiot.") > plain.score("he said an idiot.") and plain.clauses("you idiot. they moron.")[0] == [1.5, 1.5]
+    assert plain.score("you idiot.") > plain.score("he said you idiot.") and plain.clauses("you idiot. they moron.")[0] == [1.5, 1.5]
+
+
+def brute_clauses(text, words, reach=12):
+    """Scores of a text's clauses, clause by clause, by the rules as they are said."""
+    kinds = [(toxicity.TARGETS, "T"), (toxicity.NEGATIONS, "N"), (toxicity.REPORTS, "R"), (toxicity.THREATS, "H")]
+    out, last = [], None
+    clauses, now = [], []
+    for token in text.split():
+        w = token.lower().strip(toxicity._STRIP)
+        now.append("I" if w in words else next((k for ws, k in kinds if w in ws), "."))
+        if token[-1] in ".!?;":
+            clauses.append(now)
+            now = []
+    for no, clause in enumerate([*clauses, now]):
+        score, target, struck, denied, told = 0.0, False, 0, 0, False
+        for s in clause:
+            if s in "IH":
+                weight = words_of(s)
+                score += weight * (1.5 if target else 1) * (0.5 if denied else 1) * (0.6 if told else 1)
+                struck += 1
+            target, told = target or s == "T", told or s == "R"
+            denied = 3 if s == "N" else max(0, denied - 1)
+        insults = clause.count("I")
+        if (target and struck) or insults > 1 or (insults and last is not None and no - last <= reach):
+            out.append(score)
+        last = no if insults else last
+    return out
+
+
+def words_of(symbol):
+    return {"I": 1.0, "H": 0.6}[symbol]
+
+
+def test_toxicity_grammar(spark):
+    """The composed machine against the rules said clause by clause; single words score nothing."""
+    plain = toxicity.Machine(dict.fromkeys(toxicity.INSULTS, 1.0), {})
+    assert all(plain.clauses(t)[0] == [] for t in ("", "a fool.", "the burn of wood", "fool", "you. fool. it burns", "not a fool; you are tall"))
+    assert plain.clauses("fool. you fool. burn them!")[0] == [1.5, 0.6] and plain.clauses("a fool, a clown")[0] == [2.0]
+    r = random.Random(6)
+    pool = ["fool", "Clown,", "burn", "kill", "you", "them", "not", "never", "said", "wrote", "house", "river", "stone", "of"]
+    for _ in range(400):
+        text = " ".join(r.choice(pool) + r.choice(["", "", "", ".", "!", ";"]) for _ in range(r.randrange(60)))
+        assert plain.clauses(text)[0] == pytest.approx(brute_clauses(text, set(toxicity.INSULTS))), text
+    far = "fool. " + "stone. " * 11 + "fool."
+    assert plain.clauses(far)[0] == [1.0] and plain.clauses(far.replace("stone. ", "stone. stone. ", 1))[0] == []
 
 
 # 8 ------------------------------------------------------------------------------------------------------------------
