@@ -1,23 +1,28 @@
 """URL filter: a path-template tree per host, judged by smoothed labelled purity, under a list of fixed rules.
 
 Everything is DataFrame operators. Urls are first counted by (host, path), so a host or url with a third of the rows is
-combined map-side. The tree is then built level by level: at each node, children are counted and either kept as
-literal branches or generalised into the wildcard ``*``; a level is two aggregations and one equi-join on
-(host, node, segment). Below ``max_depth``, a node under which all paths go on alike ends in ``**``, which stands for that one
-rest; all others are built on until no path has a further segment, so rounds go by the depth of the last branch.
-
-Defined cases: null url or no ``://``: host and path empty. Such rows, like all unlabelled hosts, fall back to the share
-of bad labels over all hosts. Repeated rows give repeated results. An empty table gives an empty result.
+combined map-side. The tree is then built node by node from the root: what all paths of a node go on with alike is skipped in one
+step, so there are as many rounds as a path has branchings, however deep it is. At a branching, the next segment becomes
+``*`` where it varies (it looks like a number, date or hash; or the position is open: surely most of its urls have a segment of their
+own, by the Wilson bound of that share) and where its branch is shown to be like its siblings (the shares of bad labels are
+equal to within ``margin``, at a confidence of ``z``). All other branches stay as they are, those without labels too.
+
+A node's share of bad labels is smoothed towards its parent's, that of a root towards the share of all hosts.
+
+Defined cases: null url or no ``://``: host and path empty; such rows are a host like any other. Hosts and branches without labels have
+their parent's share. Very long urls are taken whole. Ties don't arise: all choices are tests against numbers. Null page_id and repeated
+rows give a row each; repeated labels of a page count by their largest value. Other columns, whatever their names, are left
+out. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-from itertools import count
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_stored, lower_az, store
+from .common import lower_az, store
 
 #: Segments that vary by page: numbers, dates, hashes, uuids, with or without a file ending.
 VARIABLE = r"^([0-9][0-9._-]*|[0-9a-fA-F]{8,}|[0-9a-fA-F]{8}-[0-9a-fA-F-]{27})(\.[A-Za-z0-9]{1,5})?$"
@@ -41,51 +46,66 @@ def rule_of(host: Column, path: Column, rules: list[tuple[str, str]]) -> tuple[C
     return rule, verdict
 
 
-def templates(urls: DataFrame, max_depth: int = 8, z: float = 2.0) -> DataFrame:
-    """urls (host, path, n, labelled, bad), one row for each host and path, with their ``template`` added.
-
-    At a node, a segment becomes ``*`` if it looks variable or if its share of bad labels is statistically like its
-    siblings': a two-proportion z below ``z``. A node with one child keeps it; so is the end of a path in ``/``.
-    """
-    segments = F.split(F.regexp_replace("path", "^/", ""), "/", -1)
-    now = urls.select("host", "path", "n", "labelled", "bad", F.when(F.col("path") == "", F.array()).otherwise(segments).cast("array<string>").alias("segs"), F.lit("").alias("node"))
-    done, old = None, None
-    for level in count():
-        if level >= max_depth:  # rests with one form under a node can't be told apart: they end here
-            deeper = F.size("segs") > level
-            rest = F.slice("segs", level + 1, F.size("segs"))
-            form = now.where(deeper).groupBy("host", "node").agg((F.min(rest) == F.max(rest)).alias("alike"))
-            seen = now.join(form, ["host", "node"], "left").withColumn("ends", ~deeper | F.col("alike"))
-            ended = seen.where("ends").select("host", "path", "n", "labelled", "bad", F.when(deeper, F.concat("node", F.lit("/**"))).otherwise(F.col("node")).alias("template"))
-            done = ended if done is None else done.unionByName(ended)
-            now, old = store(seen.where(~F.col("ends")).select(now.columns), "url-tree")[0], None
-            if not now.take(1):
-                return done
-        seg = F.get("segs", F.lit(level))
-        rows = now.withColumn("seg", F.when(seg.rlike(VARIABLE), F.lit("*")).otherwise(seg))
-        child = rows.where(F.col("seg").isNotNull()).groupBy("host", "node", "seg").agg(*(F.sum(c).alias(f"c_{c}") for c in ("n", "labelled", "bad")))
-        whole = child.groupBy("host", "node").agg(F.count("*").alias("children"), *(F.sum(f"c_{c}").alias(f"w_{c}") for c in ("n", "labelled", "bad")))
-        rest_l, rest_b = F.col("w_labelled") - F.col("c_labelled"), F.col("w_bad") - F.col("c_bad")
-        pooled, per_child, per_rest = F.try_divide(F.col("w_bad"), F.col("w_labelled")), F.try_divide(F.col("c_bad"), F.col("c_labelled")), F.try_divide(rest_b, rest_l)
-        spread = F.sqrt(pooled * (1 - pooled) * (F.try_divide(F.lit(1), F.col("c_labelled")) + F.try_divide(F.lit(1), rest_l)))
-        differs = F.coalesce((spread > 0) & (F.abs(per_child - per_rest) >= z * spread), F.lit(False))  # no labels on either side: no difference
-        literal = (F.col("children") == 1) | (F.col("seg") == "") | differs
-        chosen = child.join(whole, ["host", "node"]).select("host", "node", "seg", F.when((F.col("seg") != "*") & literal, F.col("seg")).otherwise("*").alias("branch"))
-        now = rows.join(chosen, ["host", "node", "seg"], "left").select("host", "path", "n", "labelled", "bad", "segs", F.when(F.col("seg").isNull(), F.col("node")).otherwise(F.concat("node", F.lit("/"), "branch")).alias("node"))
-        if level % 2 and level < max_depth:  # each level joins the last one with itself: cut the plan before it doubles again
-            now, path = store(now, "url-tree")
-            if old:
-                drop_stored(urls.sparkSession, old)
-            old = path
-            if not now.where(F.size("segs") > level + 1).take(1):
-                return now.select("host", "path", "n", "labelled", "bad", F.col("node").alias("template"))
-
-
-def judge(pages: DataFrame, rules: list[tuple[str, str]], labels: DataFrame | None = None, prior: float = 4.0, reject_at: float = 0.5, **tree) -> DataFrame:
+def smoothed(bad: Column, labelled: Column, towards: Column, prior: float) -> Column:
+    return (bad + prior * towards) / (labelled + prior)
+
+
+def templates(urls: DataFrame, prior: float = 4.0, z: float = 2.0, margin: float = 0.25) -> DataFrame:
+    """urls (host, path, n, labelled, bad), one row for each host and path, with their ``template`` and its ``purity``, the smoothed share of bad labels."""
+    every = urls.agg(F.coalesce(F.sum("bad"), F.lit(0)).alias("b"), F.coalesce(F.sum("labelled"), F.lit(0)).alias("l")).first()
+    hosts = urls.groupBy("host").agg(smoothed(F.sum("bad"), F.sum("labelled"), F.lit((every.b + 0.5) / (every.l + 1)), prior).alias("share"))
+    segments = F.transform(F.split(F.regexp_replace("path", "^/", ""), "/", -1), lambda s: F.when(s.rlike(VARIABLE), F.lit("*")).otherwise(s))
+    start = urls.join(hosts, "host").select("host", "path", "labelled", "bad", "share", F.lit("").alias("node"), F.when(F.col("path") == "", F.array().cast("array<string>")).otherwise(segments).alias("rest"))
+    now, _ = store(start, "url-tree")
+    ended = []
+    while now.take(1):
+        # what all rests of a node begin with is what the least and the greatest begin with
+        bounds = now.groupBy("host", "node").agg(F.min("rest").alias("lo"), F.max("rest").alias("hi"))
+        apart = F.array_position(F.zip_with("lo", "hi", lambda a, b: ~a.eqNullSafe(b)), True)
+        common = F.when(apart > 0, apart - 1).otherwise(F.size("lo")).cast("int")
+        skip = bounds.select("host", "node", F.slice("lo", F.lit(1), common).alias("alike"), (apart == 0).alias("alone"))
+        seen = now.join(skip, ["host", "node"])
+        longer = F.concat("node", F.when(F.size("alike") > 0, F.concat(F.lit("/"), F.array_join("alike", "/"))).otherwise(F.lit("")))
+        left = F.slice("rest", F.size("alike") + 1, F.size("rest"))
+        seen, _ = store(seen.select("host", "path", "labelled", "bad", "share", longer.alias("node"), left.alias("rest"), "alone"), "url-nodes")
+        stop = seen.where(F.size("rest") == 0)
+        # paths that end where others go on are a branch of their own
+        own = stop.groupBy("host", "node").agg(F.sum("labelled").alias("o_l"), F.sum("bad").alias("o_b"))
+        purity = F.when(F.col("alone"), F.col("share")).otherwise(smoothed(F.col("o_b"), F.col("o_l"), F.col("share"), prior))
+        ended.append(stop.join(own, ["host", "node"]).select("host", "path", F.col("node").alias("template"), purity.alias("purity")))
+        rows = seen.where(F.size("rest") > 0).withColumn("seg", F.get("rest", F.lit(0)))
+        child = rows.groupBy("host", "node", "seg").agg(F.count("*").alias("urls"), F.sum("labelled").alias("l"), F.sum("bad").alias("b"), F.max("share").alias("share"))
+        child, _ = store(child, "url-children")
+        whole = child.groupBy("host", "node").agg(F.sum("urls").alias("w_urls"), F.sum("l").alias("w_l"), F.sum("b").alias("w_b"), F.count_if((F.col("urls") == 1) & (F.col("seg") != "")).alias("singles"))
+        chosen = child.join(whole, ["host", "node"]).withColumn("branch", F.when(_varies(z) | _alike(z, margin), F.lit("*")).otherwise(F.col("seg")))
+        branches = chosen.groupBy("host", "node", "branch").agg(smoothed(F.sum("b"), F.sum("l"), F.max("share"), prior).alias("next"))
+        to = chosen.select("host", "node", "seg", "branch").join(branches, ["host", "node", "branch"])
+        moved = rows.drop("share").join(to, ["host", "node", "seg"])
+        now, _ = store(moved.select("host", "path", "labelled", "bad", F.col("next").alias("share"), F.concat("node", F.lit("/"), "branch").alias("node"), F.slice("rest", F.lit(2), F.size("rest")).alias("rest")), "url-tree")
+    return reduce(DataFrame.unionByName, ended) if ended else urls.select("host", "path", F.lit("").alias("template"), F.lit(0.0).alias("purity"))
+
+
+def _varies(z: float) -> Column:
+    """Whether a segment varies: by its looks, or as one url's own segment at a place where the Wilson bound of such urls' share is half or more."""
+    p, n = F.col("singles") / F.col("w_urls"), F.col("w_urls")
+    low = (p + z * z / (2 * n) - z * F.sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n)
+    return (F.col("seg") == "*") | ((F.col("seg") != "") & (F.col("urls") == 1) & (low >= 0.5))
+
+
+def _alike(z: float, margin: float) -> Column:
+    """Whether a branch is shown to have the share of bad labels that its siblings have; never without labels on both sides."""
+    l, b = F.col("l"), F.col("b")  # noqa: E741
+    rest_l, rest_b = F.col("w_l") - l, F.col("w_b") - b
+    gap = F.abs((b + 0.5) / (l + 1) - (rest_b + 0.5) / (rest_l + 1))
+    pooled = (F.col("w_b") + 1) / (F.col("w_l") + 2)
+    spread = F.sqrt(pooled * (1 - pooled) * (F.try_divide(F.lit(1), l) + F.try_divide(F.lit(1), rest_l)))
+    return (F.col("seg") != "") & F.coalesce(gap + z * spread <= margin, F.lit(False))
+
+
+def judge(pages: DataFrame, rules: list[tuple[str, str]], labels: DataFrame | None = None, reject_at: float = 0.5, **tree) -> DataFrame:
     """pages (page_id, url) with host, path, rule, verdict, template and purity (the smoothed share of bad labels).
 
-    A rule's verdict holds where one fits. Else the template's: its bad labels are smoothed towards its host's share,
-    that towards the share of all hosts, each with ``prior`` pseudo-labels; ``reject_at`` or more is blocked.
+    A rule's verdict holds where one fits. Else the template's: a purity of ``reject_at`` or more is blocked.
     labels (page_id, bad 0/1) are known verdicts of pages; pages under a rule count as labelled by it as well.
     """
     p = pages.select("page_id", "url")
@@ -98,12 +118,6 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]], labels: DataFrame | No
         marks = labels.groupBy("page_id").agg(F.max("bad").alias("own"))
         known = known.join(marks, "page_id", "left").withColumn("mark", F.coalesce("own", "mark")).drop("own")
     urls = known.groupBy("host", "path").agg(F.count("*").alias("n"), F.count("mark").alias("labelled"), F.coalesce(F.sum("mark"), F.lit(0)).alias("bad"))
-    tree_ = templates(urls, **tree)
-    by_template = tree_.groupBy("host", "template").agg(F.sum("labelled").alias("t_l"), F.sum("bad").alias("t_b"))
-    by_host = by_template.groupBy("host").agg(F.sum("t_l").alias("h_l"), F.sum("t_b").alias("h_b"))
-    every = by_host.agg(((F.coalesce(F.sum("h_b"), F.lit(0)) + 0.5) / (F.coalesce(F.sum("h_l"), F.lit(0)) + 1)).alias("g"))
-    host_share = (F.col("h_b") + prior * F.col("g")) / (F.col("h_l") + prior)
-    purity = by_template.join(by_host, "host").join(F.broadcast(every)).select("host", "template", ((F.col("t_b") + prior * host_share) / (F.col("t_l") + prior)).alias("purity"))
-    found = tree_.select("host", "path", "template").join(purity, ["host", "template"])
+    found = templates(urls, **tree)
     verdict = F.coalesce("by_rule", F.when(F.col("purity") >= reject_at, "block").otherwise("allow"))
     return p.join(found, ["host", "path"], "left").select("page_id", "host", "path", "rule", verdict.alias("verdict"), "template", "purity")

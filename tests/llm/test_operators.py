@@ -70,20 +70,91 @@ def test_url_small_folders_of_a_large_host(spark):
     assert {got[1000 * f + i] for f in range(1, 100) for i in range(30)} == {("/*/*", "allow")} and {got[501_000 + 1000 * f + i] for f in range(99) for i in range(30)} == {("/*/*", "block")}
 
 
-def test_url_deep_paths(spark):
-    urls = [(1, "http://h/" + "/".join("abcdefghijkl")), (2, "http://h/")]
+def test_url_branches_without_labels_stay(spark):
+    """Merging needs labels that show likeness: folders without any keep their names, and their parent's share."""
+    urls = [(100 * f + i, f"http://quiet.net/{folder}/page{'ab'[i % 2]}/{i}") for f, folder in enumerate(("news", "shop", "blog")) for i in range(20)]
+    got = {r.page_id: (r.template, r.purity) for r in url_filter.judge(spark.createDataFrame(urls, "page_id long, url string"), []).collect()}
+    assert {t for t, _ in got.values()} == {f"/{folder}/page{x}/*" for folder in ("news", "shop", "blog") for x in "ab"} and {p for _, p in got.values()} == {0.5}
+
+
+def test_url_open_positions(spark):
+    """Where nearly every url has a segment of its own, such segments are one branch; frequent ones stay."""
+    urls = [(i, f"http://slugs.net/story/some-title-{chr(97 + i % 26)}{chr(97 + i // 26)}") for i in range(60)] + [(100 + i, f"http://slugs.net/story/archive/{i}") for i in range(20)]
     got = {r.page_id: r.template for r in url_filter.judge(spark.createDataFrame(urls, "page_id long, url string"), []).collect()}
-    assert got[1].endswith("/**") and got[2] == "/"
+    assert {got[i] for i in range(60)} == {"/story/*"} and {got[100 + i] for i in range(20)} == {"/story/archive/*"}
 
 
-def test_url_branches_below_the_eighth_segment(spark):
-    """Deep branches are told apart; rests that go on alike end in ``**``."""
-    deep = "http://deep.net/" + "/".join("abcdefghi")
-    urls = [(i, f"{deep}/good/x/{i}") for i in range(30)] + [(100 + i, f"{deep}/bad/x/{i}") for i in range(30)] + [(200, f"{deep}"), (201, "http://one.net/" + "/".join("abcdefghijkl"))]
+def test_url_branches_at_any_depth(spark):
+    """Paths of hundreds of segments take as many rounds as they have branchings."""
+    deep = "http://deep.net/" + "/".join(f"s{k}x" for k in range(300))
+    urls = [(i, f"{deep}/good/x/{i}") for i in range(30)] + [(100 + i, f"{deep}/bad/x/{i}") for i in range(30)] + [(200, deep), (201, "http://one.net/" + "/".join("abcdefghijkl") + "/7"), (202, "http://h/"), (203, "http://h/" + "z" * 20_000)]
     labels = spark.createDataFrame([(i, 0) for i in range(20)] + [(100 + i, 1) for i in range(20)], "page_id long, bad int")
     got = {r.page_id: (r.template, r.verdict) for r in url_filter.judge(spark.createDataFrame(urls, "page_id long, url string"), [], labels).collect()}
-    assert len(got) == len(urls) and got[200][0] == "/a/b/c/d/e/f/g/h/i" and got[201][0] == "/a/b/c/d/e/f/g/h/**"
-    assert {got[i] for i in range(30)} == {("/a/b/c/d/e/f/g/h/i/good/x/*", "allow")} and {got[100 + i] for i in range(30)} == {("/a/b/c/d/e/f/g/h/i/bad/x/*", "block")}
+    stem = deep.removeprefix("http://deep.net")
+    assert len(got) == len(urls) and got[200][0] == stem and got[201][0] == "/" + "/".join("abcdefghijkl") + "/*" and got[202][0] == "/" and got[203][0] == "/" + "z" * 20_000
+    assert {got[i] for i in range(30)} == {(f"{stem}/good/x/*", "allow")} and {got[100 + i] for i in range(30)} == {(f"{stem}/bad/x/*", "block")}
+
+
+def brute_templates(urls, prior=4.0, z=2.0, margin=0.25):
+    """(host, path) -> (template, purity) of urls (host, path) -> (labelled, bad), one node at a time."""
+    import re
+
+    out = {}
+    share_of = lambda rows, up: (sum(b for *_, b in rows) + prior * up) / (sum(l for _, _, l, _ in rows) + prior)  # noqa: E731, E741
+
+    def node(host, name, rows, share):
+        alike = 0
+        while all(len(r[1]) > alike for r in rows) and len({r[1][alike] for r in rows}) == 1:
+            alike += 1
+        name = "".join([name, *("/" + s for s in rows[0][1][:alike])])
+        rows = [(p, rest[alike:], l, b) for p, rest, l, b in rows]  # noqa: E741
+        stop, go = [r for r in rows if not r[1]], [r for r in rows if r[1]]
+        for p, *_ in stop:
+            out[host, p] = name, share_of(stop, share) if go else share
+        if not go:
+            return
+        kids = {}
+        for r in go:
+            kids.setdefault(r[1][0], []).append(r)
+        n, all_l, all_b = len(go), sum(r[2] for r in go), sum(r[3] for r in go)
+        p = sum(len(k) == 1 and s != "" for s, k in kids.items()) / n
+        low = (p + z * z / (2 * n) - z * (p * (1 - p) / n + z * z / (4 * n * n)) ** 0.5) / (1 + z * z / n)
+        branches = {}
+        for s, k in kids.items():
+            l, b = sum(r[2] for r in k), sum(r[3] for r in k)  # noqa: E741
+            name_ = s
+            if s == "*" or (s and len(k) == 1 and low >= 0.5):
+                name_ = "*"
+            elif s and l and all_l - l:
+                q = (all_b + 1) / (all_l + 2)
+                gap = abs((b + 0.5) / (l + 1) - (all_b - b + 0.5) / (all_l - l + 1))
+                if gap + z * (q * (1 - q) * (1 / l + 1 / (all_l - l))) ** 0.5 <= margin:
+                    name_ = "*"
+            branches.setdefault(name_, []).extend((p_, rest[1:], l_, b_) for p_, rest, l_, b_ in k)
+        for s, k in branches.items():
+            node(host, f"{name}/{s}", k, share_of(k, share))
+
+    hosts = {}
+    for (host, path), (l, b) in urls.items():  # noqa: E741
+        rest = [] if not path else [("*" if re.search(url_filter.VARIABLE, s) else s) for s in path[1:].split("/")]
+        hosts.setdefault(host, []).append((path, rest, l, b))
+    every = sum(b for _, b in urls.values()), sum(l for l, _ in urls.values())  # noqa: E741
+    for host, rows in hosts.items():
+        node(host, "", rows, share_of(rows, (every[0] + 0.5) / (every[1] + 1)))
+    return out
+
+
+def test_url_tree_by_brute_force(spark):
+    r = random.Random(8)
+    urls = {}
+    for _ in range(700):
+        host = r.choice(["a.net", "b.net", "c.org", ""])
+        path = "/".join(["", *(r.choice(["en", "de", "shop", "x", "12", "2020-01-02", "", f"slug{r.random()}"][: 4 + r.randrange(5)]) for _ in range(r.randrange(6)))])
+        labelled = r.choice([0, 0, 1, 3])
+        urls[host, path] = labelled, min(labelled, r.choice([0, 0, 3 if "shop" in path else 1]))
+    df = spark.createDataFrame([(*k, 1, *v) for k, v in urls.items()], "host string, path string, n long, labelled long, bad long").repartition(3)
+    got = {(x.host, x.path): (x.template, pytest.approx(x.purity)) for x in url_filter.templates(df).collect()}
+    assert len(got) == len(urls) and got == brute_templates(urls)
 
 
 # 2 ------------------------------------------------------------------------------------------------------------------
