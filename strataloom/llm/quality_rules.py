@@ -1,13 +1,17 @@
 """Quality rules: word, symbol and repetition counts, then distribution divergence from language references.
 
 A document's character classes and common words are compared with those of each language's reference by
-Jensen-Shannon distance; the nearest reference counts. References are the summed histograms of all documents of a
-language that pass the base rules; they take one pass of their own over the corpus and have a fixed size.
+Jensen-Shannon distance; the nearest reference counts. A reference is the mean histogram of the documents in that language: those
+that pass the base rules and of whose words a tenth are common words of the language, by the fixed lists. So neither junk, however
+much of it there is, nor single long documents make a reference, and no label of a language is needed.
 
-No shuffle but the sum of the references. One Arrow batch (bounded in bytes) is in a worker's memory at a time.
+Texts are measured once: a stored table holds each document's measures, from which references and verdicts are taken. No shuffle but
+the sum of the references, which have a fixed size. One Arrow batch (bounded in bytes) is in a worker's memory at a time.
 
-Defined cases: null or empty text: no words, base_failed. Documents under ``MIN_WORDS`` words, or a corpus without any
-reference, are judged by the base rules alone. Repeated rows and null ids give a row each.
+Defined cases: null or empty text: no words, base_failed. Very long texts are measured whole. A distance of a text too short for it
+(``MIN_WORDS``, ``MIN_CHARS``) doesn't count; without any document in a reference language none does. References of few words allow for larger
+distances, as short texts do. Of references at one distance, the first of ``COMMON`` counts. Repeated rows and null ids give a row
+each. Other columns, whatever their names, come back from keep() as they were. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -15,11 +19,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import free_names, small_batches, store
 
 # Common words of the reference languages.
 COMMON = {
@@ -28,12 +33,12 @@ COMMON = {
     "fr": "de la le et les des en un du une que est pour qui dans a par plus pas au sur ne se ce il sont la avec ou son aux mais comme on tout nous sa fait été aussi leur bien peut ces y deux cette même elle si entre sans très".split(),
     "es": "de la que el en y a los se del las un por con no una su para es al lo como más o pero sus le ha me si sin sobre este ya entre cuando todo esta ser son dos también fue había era muy años hasta desde".split(),
 }
-#: Documents with fewer words are too short for their histograms to mean anything.
-MIN_WORDS = 20
-#: References with fewer words are no references.
-MIN_REFERENCE_WORDS = 2000
+#: Shorter texts' histograms of common words, and of character classes, say nothing.
+MIN_WORDS, MIN_CHARS = 30, 100
+#: The least share of common words of a language in a document of its reference.
+ANCHOR = 0.1
 #: Largest distances to the nearest reference: of the character classes, of the common words, and of both added up.
-#: Each is (for endless texts, what one over the root of the words adds): short texts stray from any reference by chance.
+#: Each is (for endless texts, what noise adds): short texts and small references stray by chance, by one over the root of their words.
 CLASSES_AT, WORDS_AT, SUM_AT = (0.24, 0.6), (0.27, 0.8), (0.38, 1.0)
 
 CLASSES = ("lower", "upper", "digit", "blank", "newline", "stop", "symbol", "other", "beyond")
@@ -124,88 +129,125 @@ def js_distance(p: np.ndarray, q: np.ndarray) -> float:
     return float(np.sqrt(max(0.0, kl / 2)))
 
 
-def references(docs: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray]]:
-    """Character-class and common-word histograms of each reference language over all documents that pass the base rules."""
+MEASURED = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, histograms binary"
+_BASE = [c.split()[0] for c in MEASURED.split(", ")[:-1]]
+_WIDTH = len(CLASSES) + len(_VOCABULARY) + 1
+
+
+def _packed(classes: np.ndarray, common: np.ndarray) -> bytes:
+    """The non-zero slots of both histograms."""
+    h = np.concatenate([classes, common])
+    at = np.flatnonzero(h)
+    return at.astype("<u2").tobytes() + h[at].astype("<i8").tobytes()
+
+
+def _unpacked(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    n = len(raw) // 10
+    h = np.zeros(_WIDTH, np.int64)
+    h[np.frombuffer(raw, "<u2", n)] = np.frombuffer(raw, "<i8", n, 2 * n)
+    return h[: len(CLASSES)], h[len(CLASSES) :]
+
+
+def measures(text: Column) -> Column:
+    """A struct of MEASURED for each text (as bytes)."""
+
+    @F.pandas_udf(MEASURED)
+    def measured(texts: pd.Series) -> pd.DataFrame:
+        rows = [(*base, _packed(*hist)) for base, *hist in map(measure, texts)]
+        return pd.DataFrame(rows, columns=[*_BASE, "histograms"])
+
+    return measured(F.coalesce(text, F.lit("")).cast("binary"))
+
+
+def references(measured: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray, float]]:
+    """Character-class and common-word shares of each reference language, and the number of words they rest on. measured: a struct ``m`` of MEASURED."""
+    own = {k: np.array(sorted({_VOCABULARY[w.encode()] for w in ws})) for k, ws in COMMON.items()}
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        width = len(CLASSES) + len(_VOCABULARY) + 1
-        total = {k: np.zeros(width, np.int64) for k in COMMON}
+        # shares in fixed point, so that sums are the same in any order
+        total = {k: np.zeros(_WIDTH, np.int64) for k in COMMON}
+        seen = {k: np.zeros(2, np.int64) for k in COMMON}
         for b in batches:
-            for text, lang in zip(b.column("text"), b.column("lang").to_pylist()):
-                if lang in total:
-                    base, classes, common = measure(text.as_py())
-                    if not failed(base):
-                        total[lang] += np.concatenate([classes, common])
-        found = [(k, i, int(v)) for k, t in total.items() for i, v in enumerate(t) if v]
+            for m in b.column("m").to_pylist():
+                if failed([m[k] for k in _BASE]):
+                    continue
+                classes, common = _unpacked(m["histograms"])
+                share = {k: common[at].sum() / common.sum() for k, at in own.items()}
+                lang = max(share, key=share.get)
+                if share[lang] >= ANCHOR:
+                    total[lang] += np.concatenate([np.rint(classes / classes.sum() * (1 << 30)), np.rint(common / common.sum() * (1 << 30))]).astype(np.int64)
+                    seen[lang] += [1, m["n_words"]]
+        found = [(k, i, int(v)) for k, t in total.items() for i, v in enumerate([*t, *seen[k]]) if v]
         yield pa.RecordBatch.from_arrays([pa.array([f[j] for f in found], t) for j, t in enumerate((pa.string(), pa.int32(), pa.int64()))], ["lang", "slot", "n"])
 
-    small_batches(docs.sparkSession)
     # bounded: a number for each language and slot
-    rows = docs.select(F.col("text").cast("binary").alias("text"), "lang").mapInArrow(sums, "lang string, slot int, n long").groupBy("lang", "slot").agg(F.sum("n").alias("n")).collect()
+    rows = measured.select("m").mapInArrow(sums, "lang string, slot int, n long").groupBy("lang", "slot").agg(F.sum(F.col("n").cast("decimal(38,0)")).alias("n")).collect()
     out = {}
     for lang in COMMON:
-        h = np.zeros(len(CLASSES) + len(_VOCABULARY) + 1)
+        h = np.zeros(_WIDTH + 2)
         for r in rows:
             if r.lang == lang:
-                h[r.slot] = r.n
-        classes, common = h[: len(CLASSES)], h[len(CLASSES) :]
-        if common.sum() >= MIN_REFERENCE_WORDS:
-            out[lang] = classes, common
+                h[r.slot] = float(r.n)
+        if h[_WIDTH]:
+            out[lang] = h[: len(CLASSES)], h[len(CLASSES) : _WIDTH], h[_WIDTH + 1]
     return out
 
 
 def divergence(classes: np.ndarray, common: np.ndarray, refs: dict) -> tuple[float, float, str | None]:
     """Distances of the classes and of the common words from the nearest reference, and its language."""
     best = (0.0, 0.0, None)
-    for lang, (c, w) in refs.items():
+    for lang, (c, w, _) in refs.items():
         got = js_distance(classes, c), js_distance(common, w), lang
         if best[2] is None or got[0] + got[1] < best[0] + best[1]:
             best = got
     return best
 
 
-def keeps(base: list[int], by_class: float, by_word: float) -> bool:
-    """The verdict on a document's distances, given its length."""
-    if base[0] < MIN_WORDS:
-        return True
-    noise = base[0] ** -0.5
-    return all(d <= far + noise * near for d, (far, near) in ((by_class, CLASSES_AT), (by_word, WORDS_AT), (by_class + by_word, SUM_AT)))
+def keeps(classes: np.ndarray, common: np.ndarray, refs: dict) -> tuple[bool, float, float, str | None]:
+    """The verdict on a document's histograms, its distances and the reference they are from."""
+    by_class, by_word, lang = divergence(classes, common, refs)
+    if lang is None:
+        return True, by_class, by_word, lang
+    words = int(common.sum())
+    noise = (1 / max(1, words) + 1 / refs[lang][2]) ** 0.5
+    told = [(by_class, CLASSES_AT)] if classes.sum() >= MIN_CHARS else []
+    told += [(by_word, WORDS_AT)] if words >= MIN_WORDS else []
+    told += [(by_class + by_word, SUM_AT)] if len(told) == 2 else []
+    return all(d <= far + noise * near for d, (far, near) in told), by_class, by_word, lang
 
 
 SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, class_distance double, word_distance double, reference string"
+JUDGED = "base_failed boolean, kept boolean, class_distance double, word_distance double, reference string"
 
 
-def score(docs: DataFrame, refs: dict | None = None) -> DataFrame:
-    """A row of SCHEMA for each document."""
-    small_batches(docs.sparkSession)
-    refs = references(docs) if refs is None else refs
+def verdicts(m: Column, refs: dict) -> Column:
+    """A struct of JUDGED for each struct of MEASURED."""
 
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out = []
-            for i, text in zip(b.column("doc_id").to_pylist(), b.column("text")):
-                base, classes, common = measure(text.as_py())
-                bad = failed(base)
-                d = divergence(classes, common, refs)
-                out.append((i, *base, bad, not bad and keeps(base, d[0], d[1]), *d))
-            types = [pa.int64()] * 6 + [pa.bool_()] * 2 + [pa.float64()] * 2 + [pa.string()]
-            names = [c.split()[0] for c in SCHEMA.split(", ")]
-            yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in out], t) for j, t in enumerate(types)], names)
+    @F.pandas_udf(JUDGED)
+    def judged(rows: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for base, raw in zip(rows[_BASE].itertuples(index=False), rows["histograms"], strict=True):
+            bad = failed(base)
+            kept, *told = keeps(*_unpacked(raw), refs)
+            out.append((bad, kept and not bad, *told))
+        return pd.DataFrame(out, columns=[c.split()[0] for c in JUDGED.split(", ")])
 
-    return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(rows, SCHEMA)
+    return judged(m)
 
 
-def keep(docs: DataFrame, refs: dict | None = None) -> DataFrame:
-    """The documents that the rules keep, with all their columns: one narrow pass, no join."""
+def score(docs: DataFrame, refs: dict | None = None) -> DataFrame:
+    """A row of SCHEMA for each document. refs: of references(), else those of these documents."""
     small_batches(docs.sparkSession)
-    refs = references(docs) if refs is None else refs
+    measured, _ = store(docs.select(F.col("doc_id").cast("long").alias("doc_id"), measures(F.col("text")).alias("m")), "measures")
+    refs = references(measured) if refs is None else refs
+    judged = measured.withColumn("v", verdicts(F.col("m"), refs))
+    return judged.select("doc_id", *[f"m.{c}" for c in _BASE], "v.*")
 
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            mask = []
-            for text in b.column("text").cast(pa.binary()):
-                base, classes, common = measure(text.as_py())
-                mask.append(not failed(base) and keeps(base, *divergence(classes, common, refs)[:2]))
-            yield b.filter(pa.array(mask, pa.bool_()))
 
-    return docs.mapInArrow(rows, docs.schema)
+def keep(docs: DataFrame, refs: dict | None = None) -> DataFrame:
+    """The documents that the rules keep, with all their columns: one pass over the texts, then one over stored documents; no join."""
+    small_batches(docs.sparkSession)
+    (m,) = free_names(docs.columns, "_sl_measures")
+    stored, _ = store(docs.withColumn(m, measures(F.col("text"))), "measured-documents")
+    refs = references(stored.select(F.col(m).alias("m"))) if refs is None else refs
+    return stored.where(verdicts(F.col(m), refs)["kept"]).select(*docs.columns)
