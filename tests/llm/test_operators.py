@@ -254,18 +254,83 @@ def test_quality_base(odd, none):
     assert quality_rules.score(none).count() == 0 and quality_rules.keep(none).count() == 0
 
 
-def test_quality_divergence(spark):
+def brute_classes(text):
+    def kind(c):
+        if ord(c) > 127:
+            return "beyond"
+        for name, chars in (("newline", "\n"), ("blank", " \t\x0b\x0c\r"), ("digit", "0123456789"), ("stop", ".,;:?'\"()-"), ("symbol", "#*$%&|<>")):
+            if c in chars:
+                return name
+        return "lower" if "a" <= c <= "z" else "upper" if "A" <= c <= "Z" else "other"
+
+    return Counter(map(kind, text))
+
+
+def brute_verdicts(texts):
+    """kept of each text, with references of these texts, by the rules as they are said."""
+    import math
+    import re
+
+    known = {w for ws in quality_rules.COMMON.values() for w in ws}
+    of = [(brute_base(t), brute_classes(t or ""), Counter(w if w in known else None for w in re.findall(r"[^\x20\x09-\x0D]+", t or ""))) for t in texts]
+    refs = {}
+    for base, classes, words in of:
+        if not base[5]:
+            share = {k: sum(words[w] for w in set(ws)) / base[0] for k, ws in quality_rules.COMMON.items()}
+            lang = max(share, key=share.get)
+            if share[lang] >= 0.1:
+                c, w, n = refs.setdefault(lang, (Counter(), Counter(), [0]))
+                n[0] += base[0]
+                for total, own in ((c, classes), (w, words)):
+                    for k, v in own.items():
+                        total[k] += v / sum(own.values())
+
+    def distance(p, q):
+        p, q = ({k: v / sum(h.values()) for k, v in h.items()} for h in (p, q))
+        half = lambda a, b: sum(v * math.log2(2 * v / (v + b.get(k, 0))) for k, v in a.items() if v)
+        return max(0.0, (half(p, q) + half(q, p)) / 2) ** 0.5
+
+    out = []
+    for base, classes, words in of:
+        kept = not base[5]
+        if kept and refs:
+            a, b, n = min(((distance(classes, c), distance(words, w), n[0]) for c, w, n in refs.values()), key=lambda x: x[0] + x[1])
+            noise = (1 / base[0] + 1 / n) ** 0.5
+            told = [(a, quality_rules.CLASSES_AT)] if sum(classes.values()) >= 100 else []
+            told += [(b, quality_rules.WORDS_AT)] if base[0] >= 30 else []
+            told += [(a + b, quality_rules.SUM_AT)] if len(told) == 2 else []
+            kept = all(d <= far + noise * near for d, (far, near) in told)
+        out.append(kept)
+    return out
+
+
+def test_quality_divergence(spark, odd):
     r = random.Random(1)
     common_ = quality_rules.COMMON["en"][:30]
     good = [(i, " ".join(r.choice(common_ if r.random() < 0.5 else WORDS) for _ in range(200)), "en") for i in range(60)]
     bad = [(100, " ".join(f"zq{i}x$$$" for i in range(200)), "en"), (101, "short but clean text", "en")]
-    df = spark.createDataFrame(good + bad, "doc_id long, text string, lang string")
-    kept = {x.doc_id for x in quality_rules.keep(df).collect()}
-    assert kept == set(range(60))
-    assert {x.doc_id for x in quality_rules.score(df).where("kept").collect()} == kept
+    edge = [(200 + i, " ".join(r.choice(common_ if r.random() < i / 40 else [f"x{k}|" for k in range(50)]) for _ in range(20 + 2 * i)), None) for i in range(40)]
+    mixed = [(300 + i, " ".join(r.choice(quality_rules.COMMON[k][:40]) + r.choice(["", "", ",", ". "]) for _ in range(15 + 9 * i)), "de") for i, k in enumerate(("de", "fr", "es") * 4)]
+    df = spark.createDataFrame(good + bad + edge + mixed, "doc_id long, text string, lang string").repartition(5)
+    want = {i for (i, _, _), k in zip(good + bad + edge + mixed, brute_verdicts([t for _, t, _ in good + bad + edge + mixed]), strict=True) if k}
+    assert {x.doc_id for x in quality_rules.keep(df).collect()} == want == {x.doc_id for x in quality_rules.score(df).where("kept").collect()}
+    assert not {100, 101} & want and 0 < len(want & set(range(200, 240))) < 40
+    assert {x.doc_id for x in quality_rules.keep(df.where("doc_id < 200")).collect()} == set(range(60))
+    kept = quality_rules.keep(odd)
+    assert kept.dtypes == odd.dtypes and sorted(kept.collect(), key=str) == sorted((x for x, k in zip(odd.collect(), brute_verdicts([x.text for x in odd.collect()]), strict=True) if k), key=str)
     assert quality_rules.js_distance(np.array([1, 0]), np.array([0, 1])) == pytest.approx(1.0)
     assert quality_rules.js_distance(np.array([2, 2]), np.array([1, 1])) == pytest.approx(0.0)
-    assert quality_rules.references(df.where("doc_id > 99")) == {}
+
+
+def test_quality_references_are_not_of_junk(spark):
+    """Ten times as much junk as prose, labelled as the language: the reference is the prose's."""
+    r = random.Random(3)
+    prose_ = [(i, " ".join(r.choice(quality_rules.COMMON["en"][:50]) for _ in range(500)), "en") for i in range(10)]
+    junk = [(100 + i, " ".join(f"q{r.randrange(10**6)}x||" for _ in range(400)), "en") for i in range(100)]
+    df = spark.createDataFrame(prose_ + junk, "doc_id long, text string, lang string")
+    assert {x.doc_id for x in quality_rules.keep(df).collect()} == set(range(10))
+    alone = df.where("doc_id >= 100")
+    assert quality_rules.references(alone.select(quality_rules.measures(alone.text).alias("m"))) == {} and quality_rules.keep(alone).count() == 100
 
 
 # 4 ------------------------------------------------------------------------------------------------------------------
@@ -661,8 +726,7 @@ def test_pipeline(spark, tmp_path):
     spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
-    refs = quality_rules.references(docs)
-    want = [r for r in rows if not brute_base(r[1])[5] and quality_rules.keeps(*(lambda m: (m[0], *quality_rules.divergence(m[1], m[2], refs)[:2]))(quality_rules.measure((r[1] or "").encode())))]
+    want = [r for r, kept in zip(rows, brute_verdicts([r[1] for r in rows]), strict=True) if kept]
     lines = [(i, t) for i, _, _, t in brute_lines([(r[0], r[1]) for r in want])]
     comp = brute_components([brute_fingerprint(t) for _, t in lines])
     one = [lines[i] for i in range(len(lines)) if comp[i] == i]
