@@ -626,8 +626,8 @@ def test_toxicity_grammar(spark):
 # 8 ------------------------------------------------------------------------------------------------------------------
 
 
-@pytest.mark.parametrize("block_bytes", [1, 1 << 20])
-def test_decontamination(spark, odd, none, block_bytes):
+@pytest.mark.parametrize("how", [{"filter_bits": 6, "chunk": 1}, {}])
+def test_decontamination(spark, odd, none, how):
     items = [(1, prose(77, 40)), (2, prose(78, 12)), (3, "just Three words"), (4, None), (5, ""), (None, prose(79, 25)), (2, prose(78, 12))]
     w = items[0][1].split()
     docs = [(1, prose(1, 50) + " " + items[0][1].upper().lower() + " " + prose(2, 900)), (2, "well just three WORDS here"), (3, " ".join(w[:36])), (4, " ".join(w[:25])), (5, prose(3, 30) + " " + items[5][1]), (None, items[1][1]), (6, None)]
@@ -646,9 +646,11 @@ def test_decontamination(spark, odd, none, block_bytes):
                 want.append((i, j, len(s), n, n / len(s)))
     d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
     key = lambda r: tuple((x is None, str(x)) for x in r)
-    assert rows_of(decontaminate.search(d, b, block_bytes=block_bytes)) == sorted(want, key=key)
-    assert sorted(r.doc_id for r in decontaminate.clean(d, b, block_bytes=block_bytes).collect()) == [4, 6]
-    assert decontaminate.clean(odd, b).columns == odd.columns and decontaminate.search(none, b).count() == 0
+    assert rows_of(decontaminate.search(d, b, **how)) == sorted(want, key=key)
+    assert sorted(r.doc_id for r in decontaminate.clean(d, b, **how).collect()) == [4, 6]
+    left = decontaminate.clean(odd, b.unionByName(spark.createDataFrame([(9, "ONE")], b.schema)))
+    assert left.dtypes == odd.dtypes and sorted(map(str, left.collect())) == sorted(str(r) for r in odd.collect() if r.doc_id != 13)
+    assert decontaminate.search(none, b).count() == 0
     assert decontaminate.search(d, b.limit(0)).count() == 0 and decontaminate.clean(d, b.limit(0)).count() == len(docs)
 
 
