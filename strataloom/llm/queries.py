@@ -98,12 +98,12 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: Exact containment of the items' shingles; texts in bytes differ from texts in characters in no word or shingle.
 OP8_SQL = r"""
-WITH w AS (SELECT item_id, row_number() OVER () AS n, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), x -> x <> '') AS ws FROM benchmark),
+WITH w AS (SELECT item_id, row_number() OVER () AS n, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM benchmark),
 k AS (SELECT *, least(5, len(ws)) AS k FROM w WHERE len(ws) > 0),
-s AS (SELECT DISTINCT n, item_id, k, unnest(list_transform(range(1, len(ws) - k + 2), i -> array_to_string(ws[i : i + k - 1], ' '))) AS shingle FROM k),
+s AS (SELECT DISTINCT n, item_id, k, unnest(list_transform(range(1, len(ws) - k + 2), lambda i: array_to_string(ws[i : i + k - 1], ' '))) AS shingle FROM k),
 t AS (SELECT n, count(*) AS item_shingles FROM s GROUP BY 1),
-d AS (SELECT doc_id, row_number() OVER () AS m, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), x -> x <> '') AS ws FROM documents),
-g AS (SELECT DISTINCT m, doc_id, k, unnest(list_transform(range(1, len(ws) - k + 2), i -> array_to_string(ws[i : i + k - 1], ' '))) AS shingle FROM d, (SELECT DISTINCT k FROM k)),
+d AS (SELECT doc_id, row_number() OVER () AS m, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+g AS (SELECT DISTINCT m, doc_id, k, unnest(list_transform(range(1, len(ws) - k + 2), lambda i: array_to_string(ws[i : i + k - 1], ' '))) AS shingle FROM d, (SELECT DISTINCT k FROM k)),
 f AS (SELECT g.m, any_value(g.doc_id) AS doc_id, s.n, any_value(s.item_id) AS item_id, count(*) AS found_shingles FROM g JOIN s USING (k, shingle) GROUP BY g.m, s.n)
 SELECT doc_id, item_id, item_shingles, found_shingles, found_shingles / item_shingles AS containment FROM f JOIN t USING (n) WHERE found_shingles >= ceil(0.8 * item_shingles - 1e-9)
 """
