@@ -3,25 +3,28 @@
 Sorting every suffix would move many times the input. Instead each window of ``length`` bytes has an anchor, its leftmost
 64-byte gram of least hash; equal windows have theirs at the same place, so only suffixes at anchors matter: about one in
 sixty. Anchors whose gram occurs once are dropped. The others are classed by their whole context, the bytes that any
-window with that anchor could cover: contexts that occur twice need no further look, all their windows are repeated.
+window with that anchor could cover; of a class, two places at most go on, so a passage that many documents share is two rows.
 
-One suffix of each class is then sorted, distributed: tasks cut suffixes from the texts and exchange them as sorted,
-front-coded runs (the shared prefix's length and the rest), and receivers merge the runs with a loser tree that carries
-common-prefix lengths, so no known prefix is compared again. In the merged order suffixes of one gram are neighbours;
-their contexts' windows are compared by rolling hashes, column by column. As all windows of an anchor overlap in its
-gram, what they cover is one span around it.
+These suffixes are sorted, distributed: tasks cut them from the texts and exchange them as sorted, front-coded runs (the shared
+prefix's length and the rest), and receivers merge the runs with a loser tree that carries common-prefix lengths, so no known
+prefix is compared again. In the merged order suffixes of one gram are neighbours; their contexts' windows are compared by
+rolling hashes, column by column. As all windows of an anchor overlap in its gram, what they cover is one span around it.
 
-A gram with very many classes (a passage in a large share of all documents) isn't gathered in one task: its windows are
-hashed and counted by an aggregation, which combines map-side.
+A gram with very many classes (where a passage in a large share of all documents begins or ends) isn't gathered in one task: its
+window columns are halved until no task has more than ``crowd``. The windows of fewer columns have more bytes in common, their
+core: contexts that differ there part ways, those that differ only beyond the columns' reach fall together. They go through the
+same merge, behind their columns.
 
-Defined cases: null text: empty. Texts under ``length`` bytes lose nothing. Null ids and repeated rows: each row counts as
-a place of its own, and rows of the same id and text have the same result. An empty table gives an empty result.
+Defined cases: null or empty text: no bytes, nothing removed. Texts under ``length`` bytes lose nothing; very long ones are taken whole. Null
+ids and repeated rows: each row counts as a place of its own, and rows of the same id and text have the same result. Nothing hangs on
+the order of ties. Other columns, whatever their names, are left out. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -75,7 +78,8 @@ def anchor_table(keyed: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Da
     return keyed.select("did", "th", "text").mapInArrow(rows, ANCHORS)
 
 
-RUNS = "bucket int, run long, nth int, shared int, rest binary, before binary, kh long, ch long"
+RUNS = "bucket int, run long, nth int, shared int, rest binary, before binary, core long, sub long"
+_BUCKET, _SUFFIX, _BEFORE, _CORE, _SUB = range(5)
 
 
 def common_prefixes(suffixes: list[bytes]) -> list[int]:
@@ -153,7 +157,7 @@ class LoserTree:
             self.winner = w
 
 
-SPANS = "kh long, ch long, l int, r int"
+SPANS = "core long, sub long, l int, r int"
 
 
 def _windows(contexts: np.ndarray, left: np.ndarray, right: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
@@ -185,51 +189,70 @@ def shared_windows(contexts: np.ndarray, left: np.ndarray, right: np.ndarray, gr
     return hit, reach - first[hit], last[hit] + length - reach
 
 
-def suffix_runs(keyed: DataFrame, wanted: DataFrame, buckets: int, length: int, gram: int, run_bytes: int = 16 << 20) -> DataFrame:
-    """Front-coded sorted RUNS of the wanted anchors' suffixes. wanted: (did, th, pos, l, r, kh, ch)."""
+def _tagged(lo: int, hi: int, suffix: bytes) -> bytes:
+    """A suffix behind its columns, so that only suffixes for the same columns are neighbours."""
+    return bytes((lo, hi)) + suffix
 
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+class _RunWriter:
+    """Gathers suffixes and gives them out as sorted, front-coded runs of about ``run_bytes``."""
+
+    def __init__(self, run_bytes: int) -> None:
         from pyspark import TaskContext
 
-        run = (TaskContext.get().partitionId() + 1) << 24
-        held: list[tuple[int, bytes, bytes, int, int]] = []
-        size = 0
+        self.run_bytes, self.run = run_bytes, (TaskContext.get().partitionId() + 1) << 24
+        self.held: list[tuple[int, bytes, bytes, int, int]] = []
+        self.size = 0
+
+    def add(self, *row: object) -> None:
+        self.held.append(row)
+        self.size += 64 + len(row[_SUFFIX]) + len(row[_BEFORE])
+
+    def full(self) -> bool:
+        return self.size > self.run_bytes
+
+    def flush(self) -> pa.RecordBatch:
+        held = sorted(self.held, key=lambda x: (x[_BUCKET], x[_SUFFIX]))
+        shared = common_prefixes([x[_SUFFIX] for x in held])
+        for i in range(1, len(held)):
+            if held[i][_BUCKET] != held[i - 1][_BUCKET]:
+                shared[i] = 0
+        out = [[x[_BUCKET] for x in held], [self.run] * len(held), range(len(held)), shared, [x[_SUFFIX][p:] for x, p in zip(held, shared, strict=True)], *([x[k] for x in held] for k in (_BEFORE, _CORE, _SUB))]
+        self.held, self.size, self.run = [], 0, self.run + 1
+        return _batch(out, RUNS)
+
+
+def _at_rows(keyed: DataFrame, wanted: DataFrame, columns: tuple[str, ...]) -> DataFrame:
+    """(text, places): the rows of documents with places wanted in them."""
+    by_row = wanted.groupBy("did", "th").agg(F.collect_list(F.struct("pos", "l", "r", *columns)).alias("places"))
+    return keyed.join(by_row, ["did", "th"]).select("text", "places")
+
 
-        def flush() -> pa.RecordBatch:
-            held.sort(key=lambda x: (x[0], x[1]))
-            shared = common_prefixes([x[1] for x in held])
-            for i in range(1, len(held)):
-                if held[i][0] != held[i - 1][0]:
-                    shared[i] = 0
-            out = [[x[0] for x in held], [run] * len(held), range(len(held)), shared, [x[1][p:] for x, p in zip(held, shared, strict=True)], [x[2] for x in held], [x[3] for x in held], [x[4] for x in held]]
-            return _batch(out, RUNS)
+def suffix_runs(keyed: DataFrame, wanted: DataFrame, buckets: int, length: int, gram: int, run_bytes: int = 16 << 20) -> DataFrame:
+    """Front-coded sorted RUNS of the wanted anchors' suffixes, for all columns. wanted: (did, th, pos, l, r, kh, ch)."""
 
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = _RunWriter(run_bytes)
         for b in batches:
             for text, places in zip(b.column("text"), b.column("places").to_pylist(), strict=True):
                 text = text.as_py()
                 for p in places:
                     a = p["pos"]
-                    held.append((p["kh"] % buckets, text[a : a + p["r"]], text[a - p["l"] : a], p["kh"], p["ch"]))
-                    size += 400
-                if size > run_bytes:
-                    yield flush()
-                    run += 1
-                    held, size = [], 0
-        if held:
-            yield flush()
+                    out.add(p["kh"] % buckets, _tagged(0, length - gram, text[a : a + p["r"]]), text[a - p["l"] : a], p["kh"], p["ch"])
+                    if out.full():
+                        yield out.flush()
+        yield out.flush()
 
-    by_row = wanted.groupBy("did", "th").agg(F.collect_list(F.struct("pos", "l", "r", "kh", "ch")).alias("places"))
-    one = keyed.join(by_row, ["did", "th"]).select("text", "places")
-    return one.mapInArrow(rows, RUNS)
+    return _at_rows(keyed, wanted, ("kh", "ch")).mapInArrow(rows, RUNS)
 
 
 def merged_spans(runs: DataFrame, buckets: int, length: int, gram: int, chunk: int = 4096) -> DataFrame:
-    """A row of SPANS for each class that shares a window with another of its gram."""
+    """A row of SPANS for each class that shares a window with another of its core, or occurs twice."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bucket, held = None, []
         for b in batches:
-            cols = [b.column(k).to_pylist() for k in ("bucket", "run", "shared", "rest", "before", "kh", "ch")]
+            cols = [b.column(k).to_pylist() for k in ("bucket", "run", "shared", "rest", "before", "core", "sub")]
             for row in zip(*cols, strict=True):
                 if row[0] != bucket:
                     yield from merge(held)
@@ -239,16 +262,17 @@ def merged_spans(runs: DataFrame, buckets: int, length: int, gram: int, chunk: i
 
     def merge(held: list) -> Iterator[pa.RecordBatch]:
         by_run: dict[int, list] = {}
-        for run, shared, rest, before, kh, ch in held:
-            by_run.setdefault(run, []).append((shared, rest, (before, kh, ch)))
+        for run, shared, rest, before, core, sub in held:
+            by_run.setdefault(run, []).append((shared, rest, (before, core, sub)))
         group, waiting = -1, []
-        for shared, suffix, (before, kh, ch) in LoserTree([iter(r) for r in by_run.values()]):
-            if shared < gram:
+        for shared, suffix, (before, core, sub) in LoserTree([iter(r) for r in by_run.values()]):
+            lo, hi = suffix[0], suffix[1]
+            if shared < 2 + length - (hi - lo):  # another core begins
                 if len(waiting) >= chunk:
                     yield from windows(waiting)
                     waiting = []
                 group += 1
-            waiting.append((group, suffix, before, kh, ch))
+            waiting.append((group, suffix[2 + lo :], before + suffix[2 : 2 + lo], core, sub))
         if waiting:
             yield from windows(waiting)
 
@@ -268,37 +292,75 @@ def merged_spans(runs: DataFrame, buckets: int, length: int, gram: int, chunk: i
 
     small_batches(runs.sparkSession, 20_000)
     dealt = runs.repartition(buckets, "bucket").sortWithinPartitions("bucket", "run", "nth")
-    return dealt.select("bucket", "run", "shared", "rest", "before", "kh", "ch").mapInArrow(rows, SPANS)
+    return dealt.select("bucket", "run", "shared", "rest", "before", "core", "sub").mapInArrow(rows, SPANS)
+
 
+MEMBERS = "core long, sub long, kh long, ch long, w int, lo int, hi int, l int, r int, ctx binary"
 
-def counted_spans(keyed: DataFrame, wanted: DataFrame, length: int, gram: int) -> DataFrame:
-    """The same as merged_spans() for grams of very many classes: windows are hashed, counted and joined back."""
-    schema = "kh long, ch long, x int, w1 long, w2 long"
+
+def contexts(keyed: DataFrame, wanted: DataFrame, length: int, gram: int) -> DataFrame:
+    """A row of MEMBERS for each wanted class, for all columns. wanted: (did, th, pos, l, r, kh, ch, w)."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from xxhash import xxh3_128_intdigest as digest
+        for b in batches:
+            out = [
+                (p["kh"], p["ch"], p["kh"], p["ch"], p["w"], 0, length - gram, p["l"], p["r"], text.as_py()[p["pos"] - p["l"] : p["pos"] + p["r"]])
+                for text, places in zip(b.column("text"), b.column("places").to_pylist(), strict=True)
+                for p in places
+            ]
+            yield _batch(list(zip(*out, strict=True)) if out else [[]] * 10, MEMBERS)
+
+    return _at_rows(keyed, wanted, ("kh", "ch", "w")).mapInArrow(rows, MEMBERS)
+
+
+def halved(members: DataFrame, length: int) -> DataFrame:
+    """members for each half of their columns: contexts are cut to what these columns' windows cover, and have a longer core in common."""
+    half = F.floor((F.col("lo") + F.col("hi")) / 2).cast("int")
+    two = members.withColumn("half", F.explode(F.array(F.struct(F.col("lo").alias("a"), half.alias("z")), F.struct((half + 1).alias("a"), F.col("hi").alias("z")))))
+    lo, hi = F.col("half.a"), F.col("half.z")
+    left, right = F.least(hi, F.col("l")), F.least(length - lo, F.col("r"))
+    own = two.where(left + right >= length).select("kh", "ch", "w", lo.alias("lo"), hi.alias("hi"), left.alias("l"), right.alias("r"), F.substring("ctx", F.col("l") - left + 1, left + right).alias("ctx"))
+    core = F.xxhash64(F.substring("ctx", F.col("l") - F.col("lo") + 1, F.lit(length) - F.col("hi") + F.col("lo")), "lo", "hi")
+    return own.select(core.alias("core"), F.xxhash64("ctx", "l").alias("sub"), *[c.split()[0] for c in MEMBERS.split(", ")[2:]])
+
+
+def split_crowds(members: DataFrame, crowd: int, length: int) -> tuple[DataFrame | None, DataFrame | None]:
+    """Cores of more than ``crowd`` contexts, split by halves of their window columns until none is: (suffixes that need a merge, members they stand for).
+
+    At half the columns, contexts have more bytes in common or part ways; many fall together. A single column's core is its window.
+    """
+    settled, known = [], []
+    now = members
+    while now.take(1):
+        now, _ = store(halved(now, length), "halves")
+        subs = now.groupBy("core", "sub").agg(F.least(F.sum("w"), F.lit(2)).alias("n"), F.min(F.struct("lo", "hi", "l", "r", "ctx")).alias("at"))
+        subs, _ = store(subs, "subs")
+        sizes, _ = store(subs.groupBy("core").agg(F.sum("n").alias("m"), (F.first("at.lo") == F.first("at.hi")).alias("last")).where("m > 1").withColumn("done", (F.col("m") <= crowd) | F.col("last")), "cores")
+        settled.append(subs.join(sizes.where("done").select("core"), "core").select("core", "sub", "n", "at.*"))
+        known.append(now.select("core", "sub", "kh", "ch"))
+        now = now.join(sizes.where("NOT done").select("core"), "core", "left_semi")
+    if not settled:
+        return None, None
+    return reduce(DataFrame.unionByName, settled), reduce(DataFrame.unionByName, known)
+
+
+def context_runs(settled: DataFrame, buckets: int, run_bytes: int = 16 << 20) -> DataFrame:
+    """RUNS of contexts that are cut already, each as often as it was found, twice at most. settled: (core, sub, n, lo, hi, l, r, ctx)."""
 
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = _RunWriter(run_bytes)
         for b in batches:
-            out: list[tuple] = []
-            for text, places in zip(b.column("text"), b.column("places").to_pylist(), strict=True):
-                text = text.as_py()
-                for p in places:
-                    a = p["pos"]
-                    for s in range(a - p["l"], min(a, a + p["r"] - length) + 1):
-                        w = digest(text[s : s + length], a - s)
-                        out.append((p["kh"], p["ch"], a - s, (w >> 65), w & ((1 << 63) - 1)))
-                    if len(out) > 100_000:
-                        yield _batch(list(zip(*out, strict=True)), schema)
-                        out = []
-            yield _batch(list(zip(*out, strict=True)) if out else [[]] * 5, schema)
+            for core, sub, n, lo, hi, l, ctx in zip(*(b.column(k).to_pylist() for k in ("core", "sub", "n", "lo", "hi", "l", "ctx")), strict=True):  # noqa: E741
+                for _ in range(n):
+                    out.add(core % buckets, _tagged(lo, hi, ctx[l - lo :]), ctx[: l - lo], core, sub)
+                if out.full():
+                    yield out.flush()
+        yield out.flush()
 
-    by_row = wanted.groupBy("did", "th").agg(F.collect_list(F.struct("pos", "l", "r", "kh", "ch")).alias("places"))
-    windows, _ = store(keyed.join(by_row, ["did", "th"]).select("text", "places").mapInArrow(rows, schema), "windows")
-    twice = windows.groupBy("w1", "w2").agg(F.count("*").alias("n")).where("n > 1").select("w1", "w2")
-    return windows.join(twice, ["w1", "w2"]).groupBy("kh", "ch").agg(F.max("x").alias("l"), (F.lit(length) - F.min("x")).cast("int").alias("r"))
+    return settled.mapInArrow(rows, RUNS)
 
 
-def spans(keyed: DataFrame, length: int = LENGTH, gram: int = GRAM, crowd: int = 200_000) -> DataFrame:
+def spans(keyed: DataFrame, length: int = LENGTH, gram: int = GRAM, crowd: int = 1024) -> DataFrame:
     """(did, th, spans): each row's spans as start << 32 | end, not merged; rows that lose nothing are absent."""
     spark = keyed.sparkSession
     small_batches(spark)
@@ -307,21 +369,27 @@ def spans(keyed: DataFrame, length: int = LENGTH, gram: int = GRAM, crowd: int =
     again, second = store(all_.groupBy("kh").agg(F.count("*").alias("n")).where("n > 1").select("kh"), "grams-again")
     known, _ = store(all_.join(again, "kh", "left_semi"), "anchors-again")
     drop_stored(spark, first, second)
-    classes, _ = store(known.groupBy("kh", "ch").agg(F.count("*").alias("n"), F.min(F.struct("did", "th", "pos", "l", "r")).alias("at")), "classes")
-    mixed, _ = store(classes.groupBy("kh").agg(F.count("*").alias("c")).where("c > 1"), "mixed")
-    wanted = classes.join(mixed, "kh").select("at.*", "kh", "ch", "c")
-    n = mixed.agg(F.sum("c")).first()[0] or 0
+    place = F.struct("did", "th", "pos", "l", "r")
+    classes, _ = store(known.groupBy("kh", "ch").agg(F.least(F.count("*"), F.lit(2)).cast("int").alias("w"), F.min(place).alias("at"), F.max(place).alias("to")), "classes")
+    sizes, _ = store(classes.groupBy("kh").agg(F.sum("w").alias("m")), "grams")
+    sized = classes.join(sizes, "kh")
+    n = sizes.agg(F.sum("m")).first()[0] or 0
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), n // 50_000)
-    runs = suffix_runs(keyed, wanted.where(F.col("c") <= crowd), buckets, length, gram)
+    wanted = sized.where(F.col("m") <= crowd).select("kh", "ch", F.explode(F.array_distinct(F.array("at", "to"))).alias("at")).select("kh", "ch", "at.*")
+    runs = suffix_runs(keyed, wanted, buckets, length, gram)
+    members = None
+    if sizes.where(F.col("m") > crowd).take(1):
+        crowded, _ = store(contexts(keyed, sized.where(F.col("m") > crowd).select("kh", "ch", "w", "at.*"), length, gram), "contexts")
+        settled, members = split_crowds(crowded, crowd, length)
+        runs = runs.unionByName(context_runs(settled, buckets))
     small_batches(spark)
-    partial = merged_spans(runs, buckets, length, gram)
-    if mixed.where(F.col("c") > crowd).take(1):
-        partial = partial.unionByName(counted_spans(keyed, wanted.where(F.col("c") > crowd), length, gram))
-    partial, _ = store(partial, "spans")
-    # a class that occurs twice is repeated as a whole; else what it shares with others of its gram
-    whole = classes.where("n > 1").select("kh", "ch", "at.l", "at.r")
-    single = partial.join(classes.where("n > 1").select("kh", "ch"), ["kh", "ch"], "left_anti")
-    covered = whole.unionByName(single).withColumnsRenamed({"l": "cl", "r": "cr"})
+    partial, _ = store(merged_spans(runs, buckets, length, gram), "spans")
+    if members is not None:
+        partial = partial.withColumnsRenamed({"core": "kh", "sub": "ch"}).unionByName(partial.join(members, ["core", "sub"]).select("kh", "ch", "l", "r"))
+    else:
+        partial = partial.withColumnsRenamed({"core": "kh", "sub": "ch"})
+    # all windows of an anchor overlap in its gram, so what they cover is one span
+    covered = partial.groupBy("kh", "ch").agg(F.max("l").alias("cl"), F.max("r").alias("cr"))
     small_batches(spark)
     found = known.join(covered, ["kh", "ch"]).select("did", "th", (F.shiftleft((F.col("pos") - F.col("cl")).cast("long"), 32) + F.col("pos") + F.col("cr")).alias("span"))
     return store(found.groupBy("did", "th").agg(F.sort_array(F.collect_set("span")).alias("spans")), "row-spans")[0]
@@ -344,7 +412,7 @@ def _kept(text: bytes, start: np.ndarray, end: np.ndarray) -> list[bytes]:
     return [text[a:z] for a, z in zip(cuts[::2], cuts[1::2], strict=True)]
 
 
-def report(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, crowd: int = 200_000) -> DataFrame:
+def report(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, crowd: int = 1024) -> DataFrame:
     """A row of REPORT for each document."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -364,7 +432,7 @@ def report(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, crowd: int =
     return keyed.join(found, ["did", "th"], "left").select(F.col("doc_id").cast("long").alias("doc_id"), "text", "spans").mapInArrow(rows, REPORT)
 
 
-def strip(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, crowd: int = 200_000) -> DataFrame:
+def strip(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, crowd: int = 1024) -> DataFrame:
     """(doc_id, kept): what is left of each document's bytes. Cuts may fall inside a character."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
