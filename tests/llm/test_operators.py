@@ -673,7 +673,7 @@ def brute_repeats(rows, length):
     return out
 
 
-@pytest.mark.parametrize("crowd", [1, 200_000])
+@pytest.mark.parametrize("crowd", [1, 1024])
 def test_suffix_dedup(odd, none, crowd):
     key = lambda r: tuple((x is None, str(x)) for x in r)
     want = brute_repeats([(r[0], r[1]) for r in odd_rows()], 200)
@@ -681,7 +681,7 @@ def test_suffix_dedup(odd, none, crowd):
     assert suffix_dedup.report(none).count() == 0
 
 
-@pytest.mark.parametrize("crowd", [2, 200_000])
+@pytest.mark.parametrize("crowd", [2, 9, 1024])
 def test_suffix_dedup_random(spark, crowd):
     r = random.Random(12)
     pool = [prose(1000 + k, 90) for k in range(6)]
