@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.pixel import normalize_rect
+from .labels import rect_pairs
 from .sinks import png, stored_zip
 
 #: A rectangle needs this many pixels, a ROI that is verified this much reference.
@@ -39,11 +40,8 @@ def added_seeds(seeds: DataFrame) -> DataFrame:
 
 def reference_inside(px: DataFrame, rois: DataFrame) -> DataFrame:
     """(image_id, ord, reference): reference pixels in each ROI that aren't excluded; ROIs without any have 0."""
-    from .labels import BROADCAST_RECTS
-
     r = rois.select(F.col("image_id").alias("r_image"), "ord", "x0", "y0", "x1", "y1")
-    small = F.broadcast(r) if r.limit(BROADCAST_RECTS + 1).count() <= BROADCAST_RECTS else r
-    hit = px.where("ref = 1 AND excl = 0").join(small, (F.col("image_id") == F.col("r_image")) & F.col("x").between(F.col("x0"), F.col("x1")) & F.col("y").between(F.col("y0"), F.col("y1")))
+    hit = rect_pairs(px.where("ref = 1 AND excl = 0").select("image_id", "y", "x"), r)
     n = hit.groupBy("image_id", "ord").agg(F.count("*").alias("reference"))
     return rois.select("image_id", "ord").join(n, ["image_id", "ord"], "left").withColumn("reference", F.coalesce("reference", F.lit(0)))
 

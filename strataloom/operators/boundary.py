@@ -67,18 +67,24 @@ def nms_kernel(planes: dict[str, np.ndarray], x0: int, y0: int, w: int, h: int)
     return {"thin": (mask & keep).astype(np.int32)}
 
 
-def nms(df: DataFrame) -> DataFrame:
-    """df (cand, score, orientation, orientation_angle, w, h) with the thinned mask ``thin``."""
-    made = tiled(df, ["cand", "score", "orientation", "orientation_angle"], {"thin": "int"}, PLATEAU + 2, nms_kernel)
-    return df.drop("thin").join(made.select("image_id", "y", "x", "thin"), ["image_id", "y", "x"])
+def nms(df: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """df (cand, score, orientation, orientation_angle, w, h and the kept columns, without nulls) with the thinned mask ``thin``."""
+    return tiled(df, ["cand", "score", "orientation", "orientation_angle", *keep], {"thin": "int"}, PLATEAU + 2, nms_kernel)
 
 
-def boundary_mask(feat: DataFrame, conf: Params | None = None, calibration: dict | None = None, exclusion: str | None = None) -> DataFrame:
-    """(key, w, h, score, pred): the whole mask pipeline. exclusion: a 0/1 column of feat."""
-    conf = conf or Params()
+def thinned(feat: DataFrame, conf: Params, calibration: dict | None = None, exclusion: str | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(key, w, h, score, thin, exclusion and the kept columns, without nulls): candidates after non-maximum suppression, out of the exclusion."""
     df = candidates(feat, conf, calibration)
+    keep = (*keep, exclusion) if exclusion else keep
     out_of = (lambda c: F.when(F.col(exclusion) == 1, 0).otherwise(F.col(c))) if exclusion else F.col
     df = df.withColumn("cand", out_of("cand"))
-    df = nms(df) if conf.centerline_nms else df.withColumn("thin", F.col("cand"))
-    df = min_component(df.withColumn("thin", out_of("thin")), "thin", "pred", conf.min_component)
-    return df.withColumn("pred", out_of("pred")).select("image_id", "y", "x", "w", "h", "score", "pred", *([exclusion] if exclusion else []))
+    df = nms(df, keep) if conf.centerline_nms else df.withColumn("thin", F.col("cand"))
+    return df.withColumn("thin", out_of("thin")).select("image_id", "y", "x", "w", "h", "score", "thin", *keep)
+
+
+def boundary_mask(feat: DataFrame, conf: Params | None = None, calibration: dict | None = None, exclusion: str | None = None) -> DataFrame:
+    """(key, w, h, score, pred): the whole mask pipeline. exclusion: a 0/1 column of feat."""
+    conf = conf or Params()
+    df = min_component(thinned(feat, conf, calibration, exclusion), "thin", "pred", conf.min_component)
+    out = F.when(F.col(exclusion) == 1, 0).otherwise(F.col("pred")) if exclusion else F.col("pred")
+    return df.withColumn("pred", out).select("image_id", "y", "x", "w", "h", "score", "pred", *([exclusion] if exclusion else []))

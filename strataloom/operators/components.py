@@ -16,10 +16,11 @@ from ..plans.graph import min_labels, stored
 
 
 def runs(px: DataFrame, on: Column) -> DataFrame:
-    """(image_id, y, a, b, run): maximal runs of the pixels where ``on`` holds; ``run`` numbers them by y and a."""
+    """(image_id, y, a, b, run): maximal runs of the pixels where ``on`` holds; ``run`` numbers them by y and a. With w and h where px has them."""
+    size = [c for c in ("w", "h") if c in px.columns]
     island = F.col("x") - F.row_number().over(Window.partitionBy("image_id", "y").orderBy("x"))
-    r = px.where(on).select("image_id", "y", "x").withColumn("_i", island).groupBy("image_id", "y", "_i").agg(F.min("x").alias("a"), F.max("x").alias("b"))
-    return r.select("image_id", "y", "a", "b", F.shiftleft(F.col("y").cast("long"), 32).bitwiseOR(F.col("a").cast("long")).alias("run"))
+    r = px.where(on).select("image_id", "y", "x", *size).withColumn("_i", island).groupBy("image_id", "y", "_i").agg(F.min("x").alias("a"), F.max("x").alias("b"), *[F.first(c).alias(c) for c in size])
+    return r.select("image_id", "y", "a", "b", F.shiftleft(F.col("y").cast("long"), 32).bitwiseOR(F.col("a").cast("long")).alias("run"), *size)
 
 
 def touching(r: DataFrame, connectivity: int) -> DataFrame:
@@ -48,23 +49,29 @@ def _union(rows: pd.DataFrame) -> pd.DataFrame:
 
 
 def labelled_runs(px: DataFrame, on: Column, connectivity: int = 8, group_runs: int = 5_000_000) -> DataFrame:
-    """Runs with ``root``, the first run of their component."""
+    """Runs with ``root``, the first run of their component. Images with more than ``group_runs`` runs, and these alone, are labelled by distributed rounds."""
     r = stored(runs(px, on), "runs")
     e = touching(r, connectivity)
     kind = dict(r.dtypes)["image_id"]
-    big = [x.image_id for x in r.groupBy("image_id").count().where(F.col("count") > group_runs).select("image_id").take(1)]
-    if big:
-        roots = min_labels(e)
-    else:
-        roots = e.groupBy("image_id").applyInPandas(_union, f"image_id {kind}, node long, root long")
+    large = r.groupBy("image_id").count().where(F.col("count") > group_runs).select("image_id")
+    some = bool(large.take(1))
+    small = e.join(large, "image_id", "left_anti") if some else e
+    roots = small.groupBy("image_id").applyInPandas(_union, f"image_id {kind}, node long, root long")
+    if some:
+        roots = roots.unionByName(min_labels(e.join(large, "image_id", "left_semi")))
     return r.join(roots.withColumnRenamed("node", "run"), ["image_id", "run"], "left").withColumn("root", F.coalesce("root", "run"))
 
 
+def pixels_of(r: DataFrame, *columns: str) -> DataFrame:
+    """(image_id, y, x, columns) of runs: labels go back to pixels without a join."""
+    return r.select("image_id", "y", F.explode(F.sequence("a", "b")).alias("x"), *columns)
+
+
 def label_pixels(px: DataFrame, on: Column, connectivity: int = 8) -> DataFrame:
     """Pixels where ``on`` holds with ``root``; px's other columns are kept."""
-    r = labelled_runs(px, on, connectivity).select("image_id", "y", F.col("a").alias("x"), "root")
-    started = px.where(on).join(r, ["image_id", "y", "x"], "left")
-    return started.withColumn("root", F.last("root", ignorenulls=True).over(Window.partitionBy("image_id", "y").orderBy("x")))
+    own = pixels_of(labelled_runs(px, on, connectivity), "root")
+    rest = [c for c in px.columns if c not in ("image_id", "y", "x")]
+    return px.join(own, ["image_id", "y", "x"]).select("image_id", "y", "x", *rest, "root") if rest else own
 
 
 def sizes(px: DataFrame, on: Column, connectivity: int = 8) -> DataFrame:
@@ -72,23 +79,39 @@ def sizes(px: DataFrame, on: Column, connectivity: int = 8) -> DataFrame:
     return labelled_runs(px, on, connectivity).groupBy("image_id", "root").agg(F.sum(F.col("b") - F.col("a") + 1).alias("size"))
 
 
-def numbered(components: DataFrame) -> DataFrame:
-    """Components with dense labels from 1 in raster order of their first pixel."""
-    return components.withColumn("label", F.row_number().over(Window.partitionBy("image_id").orderBy("root")))
+def numbered(components: DataFrame, band: int = 256) -> DataFrame:
+    """Components with dense labels from 1 in raster order of their first pixel: counted by bands of rows first, so no task numbers a whole image."""
+    c = components.withColumn("_band", F.floor(F.shiftright("root", 32) / band))
+    before = F.sum("_many").over(Window.partitionBy("image_id").orderBy("_band").rowsBetween(Window.unboundedPreceding, -1))
+    bands = c.groupBy("image_id", "_band").agg(F.count("*").alias("_many")).withColumn("_before", F.coalesce(before, F.lit(0))).drop("_many")
+    nth = F.row_number().over(Window.partitionBy("image_id", "_band").orderBy("root"))
+    return c.withColumn("_nth", nth).join(bands, ["image_id", "_band"]).withColumn("label", (F.col("_nth") + F.col("_before")).cast("int")).drop("_band", "_nth", "_before")
+
+
+def _index(r: DataFrame) -> DataFrame:
+    """(image_id, root, size, edge_mask, first_p) of labelled runs with w and h."""
+    edges = F.when(F.col("a") == 0, 1).otherwise(0) + F.when(F.col("y") == 0, 2).otherwise(0) + F.when(F.col("b") == F.col("w") - 1, 4).otherwise(0) + F.when(F.col("y") == F.col("h") - 1, 8).otherwise(0)
+    return r.groupBy("image_id", "root").agg(F.sum(F.col("b") - F.col("a") + 1).alias("size"), F.bit_or(edges).alias("edge_mask"), F.min(F.col("y") * F.col("w") + F.col("a")).cast("long").alias("first_p"))
 
 
 def component_index(px: DataFrame, on: Column, min_pixels: int = 1, connectivity: int = 4) -> DataFrame:
-    """(image_id, root, size, edge_mask, first_p, active, label). Needs w and h."""
-    lab = label_pixels(px.withColumn("_e", edge_bits(F.col("w"), F.col("h"))), on, connectivity)
-    c = lab.groupBy("image_id", "root").agg(F.count("*").alias("size"), F.bit_or("_e").alias("edge_mask"), F.min(F.col("y") * F.col("w") + F.col("x")).cast("long").alias("first_p"))
-    return numbered(c.withColumn("active", F.col("size") >= min_pixels))
+    """(image_id, root, size, edge_mask, first_p, active, label), from the runs alone. Needs w and h."""
+    return numbered(_index(labelled_runs(px, on, connectivity)).withColumn("active", F.col("size") >= min_pixels))
 
 
 def labels_and_index(px: DataFrame, on: Column, connectivity: int = 4, extra: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
     """Labelled pixels (key, root, extra columns) and (image_id, root, size, edge_mask), from one stored pass. Needs w and h."""
-    lab = label_pixels(px.withColumn("_e", edge_bits(F.col("w"), F.col("h"))), on, connectivity)
-    lab = stored(lab.select("image_id", "y", "x", "root", "_e", *extra), "labels")
-    return lab.drop("_e"), lab.groupBy("image_id", "root").agg(F.count("*").alias("size"), F.bit_or("_e").alias("edge_mask"))
+    r = stored(labelled_runs(px.select("image_id", "y", "x", "w", "h", on.alias("_on"), *extra), F.col("_on"), connectivity), "labels")
+    lab = pixels_of(r, "root")
+    if extra:
+        lab = stored(px.select("image_id", "y", "x", *extra).join(lab, ["image_id", "y", "x"]), "labelled")
+    return lab, _index(r).drop("first_p")
+
+
+def sized_runs(px: DataFrame, on: Column, connectivity: int = 8) -> DataFrame:
+    """Labelled runs with the ``size`` of their component."""
+    r = stored(labelled_runs(px, on, connectivity), "labels")
+    return r.join(r.groupBy("image_id", "root").agg(F.sum(F.col("b") - F.col("a") + 1).alias("size")), ["image_id", "root"])
 
 
 def min_component(px: DataFrame, mask: str, out: str, least: int) -> DataFrame:
@@ -99,17 +122,16 @@ def min_component(px: DataFrame, mask: str, out: str, least: int) -> DataFrame:
     if least <= 1:
         return df.withColumn(out, F.col("_sup")).drop("_sup")
     df = stored(df, "support")
-    kept = label_pixels(df.select("image_id", "y", "x", "_sup"), F.col("_sup") == 1, 8)
-    kept = kept.withColumn("_n", F.count("*").over(Window.partitionBy("image_id", "root"))).where(F.col("_n") >= least).select("image_id", "y", "x", F.lit(1).alias(out))
+    kept = pixels_of(sized_runs(df.select("image_id", "y", "x", "_sup"), F.col("_sup") == 1).where(F.col("size") >= least)).withColumn(out, F.lit(1))
     return df.join(kept, ["image_id", "y", "x"], "left").withColumn(out, F.coalesce(out, F.lit(0))).drop("_sup")
 
 
 def hotspots(df: DataFrame, kinds: list[str], features: list[str], per_kind: int = 16, limit: int = 24) -> DataFrame:
-    """The largest 8-connected blobs of each error mask, with bounds and mean features: a top-k report."""
+    """The largest 8-connected blobs of each error mask, with bounds and mean features as shares of 255: a top-k report."""
     out = None
     for k in kinds:
         lab = label_pixels(df, F.col(k) == 1, 8)
-        g = lab.groupBy("image_id", "root").agg(F.min("x").alias("x0"), F.min("y").alias("y0"), F.max("x").alias("x1"), F.max("y").alias("y1"), F.count("*").alias("pixels"), *[F.avg(f).alias(f) for f in features]).withColumn("kind", F.lit(k))
+        g = lab.groupBy("image_id", "root").agg(F.min("x").alias("x0"), F.min("y").alias("y0"), F.max("x").alias("x1"), F.max("y").alias("y1"), F.count("*").alias("pixels"), *[(F.avg(f) / 255).alias(f) for f in features]).withColumn("kind", F.lit(k))
         out = g if out is None else out.unionByName(g)
     best = F.row_number().over(Window.partitionBy("image_id", "kind").orderBy(F.desc("pixels"), "root"))
     top = out.withColumn("_r", best).where(F.col("_r") <= per_kind)
@@ -117,13 +139,20 @@ def hotspots(df: DataFrame, kinds: list[str], features: list[str], per_kind: int
     return top.withColumn("rank", rank).where(F.col("rank") <= limit).drop("_r", "root")
 
 
-def region_index(px: DataFrame, safety: int) -> DataFrame:
+def closed_regions(px: DataFrame, safety: int) -> tuple[DataFrame, DataFrame]:
+    """The labelled runs of what isn't reference, stored, and region_index() of them. Needs ref, w and h."""
+    r = stored(labelled_runs(px, F.col("ref") == 0, 4), "regions")
+    return r, stored(region_index(px, safety, r), "region-index")
+
+
+def region_index(px: DataFrame, safety: int, r: DataFrame | None = None) -> DataFrame:
     """Closed-region index of what isn't reference: component_index() with edge pixels, reference contacts (by adjacency) and safe pixels. Needs ref, w and h."""
     from .windows import dilate
 
+    r = labelled_runs(px, F.col("ref") == 0, 4) if r is None else r
     wx, wy = Window.partitionBy("image_id", "y").orderBy("x"), Window.partitionBy("image_id", "x").orderBy("y")
     near = [F.coalesce(f("ref").over(w), F.lit(0)) for f in (F.lag, F.lead) for w in (wx, wy)]
-    df = dilate(px, "ref", "_safe", safety).withColumns({"_touch": near[0] + near[1] + near[2] + near[3], "_e": edge_bits(F.col("w"), F.col("h"))})
-    lab = label_pixels(df, F.col("ref") == 0, 4)
+    df = dilate(px.select("image_id", "y", "x", "w", "h", "ref"), "ref", "_safe", safety).withColumns({"_touch": near[0] + near[1] + near[2] + near[3], "_e": edge_bits(F.col("w"), F.col("h"))})
+    lab = df.where("ref = 0").join(pixels_of(r, "root"), ["image_id", "y", "x"])
     c = lab.groupBy("image_id", "root").agg(F.count("*").alias("size"), F.bit_or("_e").alias("edge_mask"), F.count_if(F.col("_e") > 0).alias("edge_pixels"), F.sum("_touch").alias("contacts"), F.count_if(F.col("_safe") == 0).alias("safe_size"))
     return numbered(c)

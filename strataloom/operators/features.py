@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..conf import MARGINS, Params
 from ..functions.pixel import lab_planes, luminance
 from ..plans.tiles import View, tiled
-from .windows import local_dark, local_feature, tensor_orientation
+from .windows import local_dark, local_features, tensor_orientation
 
 #: The four sampled normals with their tangents and angles: across columns, diagonal, across rows, other diagonal.
 DIRECTIONS = [((1, 0), (0, 1), 0.0), ((1, 1), (-1, 1), np.pi / 4), ((0, 1), (1, 0), np.pi / 2), ((-1, 1), (1, 1), 3 * np.pi / 4)]
@@ -87,22 +87,27 @@ def ridge(px: DataFrame) -> DataFrame:
     return tiled(px, ["luma"], {"ridge": "int", "orientation": "int", "orientation_angle": "float", "ridge_scale": "int"}, 7, ridge_kernel)
 
 
+def feature_kernel(planes: dict[str, np.ndarray], x0: int, y0: int, w: int, h: int) -> dict[str, np.ndarray]:
+    """Ridge, then colour and texture across the ridge's direction at each pixel: one tile for all three."""
+    made = ridge_kernel(planes, x0, y0, w, h)
+    both = planes | made
+    return made | color_kernel(both, x0, y0, w, h) | dendrite_kernel(both, x0, y0, w, h)
+
+
 def features(px: DataFrame, conf: Params | None = None) -> DataFrame:
-    """The feature bundle of an RGB raster with w and h: dark, ridge, color, dendrite, orientation, orientation_angle, ridge_scale."""
+    """The feature bundle of an RGB raster with w and h: dark, ridge, color, dendrite, orientation, orientation_angle, ridge_scale.
+
+    Columns are carried along, so nothing is joined: windows (four exchanges), one pass over tiles, windows again (two).
+    """
     conf = conf or Params()
     radius, strength = max(8, round(conf.local_window / 2)), conf.local_strength if conf.local_enabled else 0.0
     lum, a, b = lab_planes()
-    base = px.withColumns({"luma": luminance(), "lab_l": lum, "lab_a": a, "lab_b": b})
     key = ["image_id", "y", "x"]
-    dark = local_dark(base.select(*key, "luma"), F.col("luma"), "dark", radius, strength).select(*key, "dark")
-    r = ridge(base)
-    lines = r.select(*key, "ridge", "orientation", "orientation_angle", "ridge_scale")
-    both = base.select(*key, "w", "h", "lab_l", "lab_a", "lab_b").join(lines, key)
-    color = tiled(both, ["orientation", "lab_l", "lab_a", "lab_b"], {"color": "int"}, 7, color_kernel).select(*key, "color")
-    texture = tensor_orientation(base.select(*key, "w", "h", "luma"), "luma").join(lines.select(*key, "orientation"), key)
-    dendrite = tiled(texture, ["orientation", "dendrite_orientation", "dendrite_coherence"], {"dendrite": "int"}, 14, dendrite_kernel).select(*key, "dendrite")
-    out = base.select(*key, "w", "h").join(dark, key).join(lines, key).join(color, key).join(dendrite, key)
+    df = px.select(*key, "w", "h", luminance().alias("luma"), lum.alias("lab_l"), a.alias("lab_a"), b.alias("lab_b"))
+    df = tensor_orientation(local_dark(df, F.col("luma"), "dark", radius, strength), "luma")
+    made = {"ridge": "int", "orientation": "int", "orientation_angle": "float", "ridge_scale": "int", "color": "int", "dendrite": "int"}
+    out = tiled(df, ["luma", "lab_l", "lab_a", "lab_b", "dendrite_orientation", "dendrite_coherence", "dark"], made, max(DENDRITE_AT) + 1, feature_kernel)
     if strength > 0:
-        out = local_feature(out.withColumnRenamed("ridge", "_raw"), "_raw", "ridge", radius, 0.45 * strength).drop("_raw")
-        out = local_feature(out.withColumnRenamed("color", "_raw"), "_raw", "color", radius, strength).drop("_raw")
+        raw = out.withColumnsRenamed({"ridge": "_ridge", "color": "_color"})
+        out = local_features(raw, {"ridge": ("_ridge", 0.45 * strength), "color": ("_color", strength)}, radius)
     return out.select(*key, "w", "h", *MARGINS, "orientation", "orientation_angle", "ridge_scale")

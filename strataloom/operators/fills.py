@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..conf import Params
 from ..functions.pixel import edge_sides, js_round, opposite_edges
-from .components import label_pixels, region_index
+from .components import closed_regions, label_pixels, pixels_of
 from .windows import dilate
 
-U32 = 0xFFFFFFFF
+U32 = 0xFFFFFFFF  # the multipliers below are fixed values
 
 
 def _wrapped(c: Column) -> Column:
@@ -18,13 +20,16 @@ def _wrapped(c: Column) -> Column:
     return c.cast("long").bitwiseAND(U32)
 
 
-def classify_seeds(px: DataFrame, seeds: DataFrame, conf: Params) -> DataFrame:
+def classify_seeds(px: DataFrame, seeds: DataFrame, conf: Params, regions: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """seeds (image_id, ord, x, y, border_assisted) with label, region_pixels, fill_pixels, uses_border and reason (null: accepted). Needs ref, w and h.
 
-    Checks go in the reference order; of several seeds that pass in one region the first counts.
+    Checks go in the reference order; of several seeds that pass in one region the first counts. regions: closed_regions() of px, to label once for
+    several uses.
     """
-    index = region_index(px, conf.fill_safety)
-    at = label_pixels(px, F.col("ref") == 0, 4).select("image_id", "y", "x", "root")
+    r, index = regions or closed_regions(px, conf.fill_safety)
+    # a seed lies in the run of its row that begins at or before it
+    on = (F.col("image_id") == F.col("s_image")) & (F.col("y") == F.col("s_y")) & (F.col("a") <= F.col("s_x")) & (F.col("b") >= F.col("s_x"))
+    at = seeds.select(F.col("image_id").alias("s_image"), F.col("y").alias("s_y"), F.col("x").alias("s_x")).distinct().join(r, on).select("image_id", "y", F.col("s_x").alias("x"), "root")
     sizes = px.groupBy("image_id").agg(F.first("w").alias("w"), F.first("h").alias("h"))
     s = seeds.join(sizes, "image_id").join(at, ["image_id", "y", "x"], "left").join(index, ["image_id", "root"], "left")
     total = F.col("w") * F.col("h")
@@ -47,12 +52,13 @@ def classify_seeds(px: DataFrame, seeds: DataFrame, conf: Params) -> DataFrame:
     return s.withColumn("reason", why).select("image_id", "ord", "x", "y", "border_assisted", "root", "label", F.coalesce("size", F.lit(0)).alias("region_pixels"), F.when(F.col("reason").isNull() | (F.col("reason") == "region-too-small"), F.col("safe_size")).otherwise(0).alias("fill_pixels"), (F.col("reason").isNull() & (edge > 0)).alias("uses_border"), "reason")
 
 
-def fill_mask(px: DataFrame, seeds: DataFrame, conf: Params) -> DataFrame:
-    """px with ``fill``: the accepted regions, less what lies within the safety distance of the reference."""
-    ok = classify_seeds(px, seeds, conf).where("reason IS NULL").select("image_id", "root").distinct()
-    lab = label_pixels(dilate(px, "ref", "_safe", conf.fill_safety), F.col("ref") == 0, 4).where("_safe = 0")
-    hit = lab.join(ok, ["image_id", "root"], "left_semi").select("image_id", "y", "x", F.lit(1).alias("fill"))
-    return px.join(hit, ["image_id", "y", "x"], "left").withColumn("fill", F.coalesce("fill", F.lit(0)))
+def fill_mask(px: DataFrame, seeds: DataFrame, conf: Params, regions: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    """px with ``fill``: the accepted regions, less what lies within the safety distance of the reference. regions: as of classify_seeds()."""
+    regions = regions or closed_regions(px, conf.fill_safety)
+    ok = classify_seeds(px, seeds, conf, regions).where("reason IS NULL").select("image_id", "root").distinct()
+    hit = pixels_of(regions[0].join(ok, ["image_id", "root"], "left_semi")).withColumn("_hit", F.lit(1))
+    df = dilate(px, "ref", "_safe", conf.fill_safety).join(hit, ["image_id", "y", "x"], "left")
+    return df.withColumn("fill", F.when((F.col("_hit") == 1) & (F.col("_safe") == 0), 1).otherwise(0)).drop("_hit", "_safe")
 
 
 def region_hash(x: Column, y: Column, label: Column, pixels: Column) -> Column:
@@ -90,14 +96,20 @@ def spatial_holdout(px: DataFrame, mask: str = "ref", fraction: float = 0.2, col
     c = px.where(F.col(mask) == 1).groupBy("image_id", cell.cast("int").alias("cell")).agg(F.count("*").alias("n"))
     g = c.groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct("cell", "n"))).alias("cells"), F.sum("n").alias("total")).where(F.size("cells") >= 2)
     s = g.withColumn("subset", F.explode(F.sequence(F.lit(1).cast("long"), F.pow(F.lit(2.0), F.size("cells")).cast("long") - 2)))
-    start = F.struct(F.lit(0).cast("long").alias("i"), F.lit(0).cast("long").alias("pixels"), F.lit(0).cast("long").alias("cells"), F.lit(2166136261).cast("long").alias("tie"))
+    # plain sums over the cells' bits, in generated code; only subsets that tie are folded
+    bit = lambda i: F.shiftright("subset", i).bitwiseAND(1)
+    sums = [bit(i) * F.coalesce(F.get("cells", F.lit(i))["n"], F.lit(0)) for i in range(cols * rows)]
+    target, want = F.greatest(F.lit(1), js_round(F.col("total") * fraction)), F.greatest(F.lit(1), js_round(F.size("cells") * fraction))
+    s = s.select("image_id", "subset", "cells", "total", reduce(lambda a, b: a + b, sums).alias("pixels"), F.bit_count("subset").cast("long").alias("many"))
+    s = s.withColumn("error", F.struct(F.abs(F.col("pixels") - target), F.abs(F.col("many") - want)))
+    least = s.groupBy("image_id").agg(F.min("error").alias("error"))
+    s = s.join(least, ["image_id", "error"])
+    start = F.struct(F.lit(0).alias("i"), F.lit(2166136261).cast("long").alias("tie"))
 
-    def add(acc, v):
+    def add(acc: Column, v: Column) -> Column:
         on = F.col("subset").bitwiseAND(F.pow(F.lit(2.0), acc["i"]).cast("long")) > 0
         mixed = F.pmod(acc["tie"].bitwiseXOR(((v["cell"] + 1).cast("long") * 16777619).bitwiseAND(U32)).bitwiseAND(U32) * 16777619, F.lit(1 << 32))
-        return F.struct((acc["i"] + 1).alias("i"), F.when(on, acc["pixels"] + v["n"]).otherwise(acc["pixels"]).alias("pixels"), F.when(on, acc["cells"] + 1).otherwise(acc["cells"]).alias("cells"), F.when(on, mixed).otherwise(acc["tie"]).alias("tie"))
+        return F.struct((acc["i"] + 1).alias("i"), F.when(on, mixed).otherwise(acc["tie"]).alias("tie"))
 
-    s = s.withColumn("f", F.aggregate("cells", start, add))
-    target, want = F.greatest(F.lit(1), js_round(F.col("total") * fraction)), F.greatest(F.lit(1), js_round(F.size("cells") * fraction))
-    rank = F.struct(F.abs(F.col("f.pixels") - target), F.abs(F.col("f.cells") - want), F.col("f.tie"), F.col("subset"))
-    return s.groupBy("image_id").agg(F.min_by(F.struct("subset", "f.pixels", "f.cells"), rank).alias("b")).select("image_id", "b.subset", "b.pixels", F.col("b.cells").alias("cells"))
+    rank = F.struct(F.aggregate("cells", start, add)["tie"], F.col("subset"))
+    return s.groupBy("image_id").agg(F.min_by(F.struct("subset", "pixels", "many"), rank).alias("b")).select("image_id", "b.subset", "b.pixels", F.col("b.many").alias("cells"))

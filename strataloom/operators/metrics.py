@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.pixel import cell_of, ratio
-from .labels import BROADCAST_RECTS, error_masks, with_bands
-from .windows import chebyshev_distance, dilate
+from .labels import error_masks, label_state, rect_pairs, with_bands
+from .windows import chebyshev_distance, chebyshev_distances, separable_many
 
 
 def counters() -> list[Column]:
@@ -37,10 +37,19 @@ def compare(scene: DataFrame, tolerance: int) -> DataFrame:
     return ratios(error_masks(with_bands(scene, tolerance)).groupBy("image_id").agg(*counters()))
 
 
-def regional(scene: DataFrame, tolerance: int, cols: int = 4, rows: int = 4) -> DataFrame:
-    """Counters and ratios of each image (rx and ry null) and of each of its cells, by grouping sets: one scan, one shuffle. Needs w and h."""
+def regional(scene: DataFrame, tolerance: int, cols: int = 4, rows: int = 4, review_radius: int | None = None) -> DataFrame:
+    """Counters and ratios of each image (rx and ry null) and of each of its cells, by grouping sets: one scan, one shuffle. Needs w and h.
+
+    With a review radius there is also alignment_error: how far reference pixels are from a prediction, on average, as far as it reaches; exclusions
+    are in the way.
+    """
+    more = []
+    if review_radius is not None:
+        clean = scene.withColumn("clean", F.when(F.col("excl") == 1, 0).otherwise(F.col("pred")))
+        scene = chebyshev_distance(clean, "clean", "d", review_radius, "excl", ("pred", "ref", "neg"))
+        more = [F.avg(F.when((F.col("ref") == 1) & (F.col("excl") == 0), F.col("d"))).alias("alignment_error")]
     df = error_masks(with_bands(scene, tolerance)).withColumns({"rx": cell_of("x", F.col("w"), cols), "ry": cell_of("y", F.col("h"), rows)})
-    return ratios(df.groupingSets([["image_id", "rx", "ry"], ["image_id"]], "image_id", "rx", "ry").agg(*counters()))
+    return ratios(df.groupingSets([["image_id", "rx", "ry"], ["image_id"]], "image_id", "rx", "ry").agg(*counters(), *more))
 
 
 def macro(regions: DataFrame) -> DataFrame:
@@ -55,19 +64,20 @@ def macro(regions: DataFrame) -> DataFrame:
 
 
 def multi_tolerance(scene: DataFrame, tolerances: list[int]) -> DataFrame:
-    """compare() at several tolerances: a row for each image and tolerance."""
-    out = None
-    for t in tolerances:  # a handful: each needs frames of its own width
-        part = compare(scene, t).withColumn("tolerance", F.lit(t))
-        out = part if out is None else out.unionByName(part)
-    return out
+    """compare() at several tolerances: a row for each image and tolerance. A distance of each pixel to the reference and the prediction answers all of them. Needs w and h."""
+    clean = scene.withColumn("clean", F.when(F.col("excl") == 1, 0).otherwise(F.col("pred")))
+    d = chebyshev_distances(clean, {"to_ref": ("ref", None), "to_pred": ("clean", None)}, max(tolerances), ("neg", "excl"))
+    df = d.withColumn("tolerance", F.explode(F.array(*[F.lit(t) for t in tolerances])))
+    df = df.withColumns({"ref_band": F.coalesce((F.col("to_ref") <= F.col("tolerance")).cast("int"), F.lit(0)), "pred_band": F.coalesce((F.col("to_pred") <= F.col("tolerance")).cast("int"), F.lit(0))})
+    df = error_masks(df.withColumn("state", label_state(F.col("ref_band"), F.col("neg"), F.col("excl"))))
+    return ratios(df.groupBy("image_id", "tolerance").agg(*counters()))
 
 
 def alignment(scene: DataFrame, tolerance: int, review_radius: int) -> DataFrame:
-    """Distance from reference to prediction: mean, nearest-rank median and 90th percentile, matched and unmatched pixels."""
+    """Distance from reference to prediction: mean, nearest-rank median and 90th percentile, matched and unmatched pixels. Exclusions are in the way. Needs w and h."""
     reach = max(tolerance + 1, review_radius)
     df = scene.withColumn("clean", F.when(F.col("excl") == 1, 0).otherwise(F.col("pred")))
-    df = chebyshev_distance(df, "clean", "d", reach).where((F.col("ref") == 1) & (F.col("excl") == 0))
+    df = chebyshev_distance(df, "clean", "d", reach, "excl", ("ref",)).where((F.col("ref") == 1) & (F.col("excl") == 0))
     # a histogram of the few distances: its size doesn't grow with the image
     hist = df.groupBy("image_id", "d").agg(F.count("*").alias("n"))
     whole = hist.groupBy("image_id").agg(F.coalesce(F.sum(F.when(F.col("d").isNotNull(), F.col("n"))), F.lit(0)).alias("matched"), F.coalesce(F.sum(F.when(F.col("d").isNull(), F.col("n"))), F.lit(0)).alias("unmatched"), F.sum(F.col("d") * F.col("n")).alias("s"), F.array_sort(F.collect_list(F.when(F.col("d").isNotNull(), F.struct("d", "n")))).alias("h"))
@@ -83,16 +93,13 @@ def alignment(scene: DataFrame, tolerance: int, review_radius: int) -> DataFrame
 def roi_metrics(scene: DataFrame, rects: DataFrame, tolerance: int = 1) -> DataFrame:
     """Precision, recall and F1 of each ROI (roi -1: their union, where overlaps count once); both masks are clipped before they are widened."""
     r = rects.select(F.col("image_id").alias("r_image"), F.col("ord").alias("roi"), "x0", "y0", "x1", "y1")
-    # pixels around a ROI take part as empty ones: the square frames pass through them
-    near = (scene.image_id == r.r_image) & (scene.x >= r.x0 - tolerance) & (scene.x <= r.x1 + tolerance) & (scene.y >= r.y0 - tolerance) & (scene.y <= r.y1 + tolerance)
-    if r.limit(BROADCAST_RECTS + 1).count() <= BROADCAST_RECTS:
-        r = F.broadcast(r)
     inside = ((F.col("x") >= F.col("x0")) & (F.col("x") <= F.col("x1")) & (F.col("y") >= F.col("y0")) & (F.col("y") <= F.col("y1")) & (F.col("excl") == 0)).cast("int")
-    own = scene.join(r, near).select("image_id", "y", "x", "pred", "ref", "roi", inside.alias("inside"))
+    # pixels around a ROI take part as empty ones: the square frames pass through them
+    own = rect_pairs(scene.select("image_id", "y", "x", "pred", "ref", "excl"), r, tolerance).select("image_id", "y", "x", "pred", "ref", "roi", inside.alias("inside"))
     union = own.groupBy("image_id", "y", "x").agg(F.first("pred").alias("pred"), F.first("ref").alias("ref"), F.lit(-1).alias("roi"), F.max("inside").alias("inside"))
     both = own.unionByName(union)
     keyed = both.withColumns({"image": F.col("image_id"), "image_id": F.struct("image_id", "roi"), "ref": F.col("ref") * F.col("inside"), "pred": F.col("pred") * F.col("inside")})
-    keyed = dilate(dilate(keyed, "ref", "rb", tolerance), "pred", "pb", tolerance).where("inside = 1")
+    keyed = separable_many(keyed, {"rb": ("ref", tolerance, F.max), "pb": ("pred", tolerance, F.max)}).where("inside = 1")
     m = keyed.groupBy("image", "roi").agg(
         F.count_if((F.col("pred") == 1) & (F.col("rb") == 1)).alias("true_positive"), F.count_if((F.col("pred") == 1) & (F.col("rb") == 0)).alias("false_positive"),
         F.count_if((F.col("ref") == 1) & (F.col("pb") == 1)).alias("matched_reference"), F.count_if((F.col("ref") == 1) & (F.col("pb") == 0)).alias("false_negative"), F.count("*").alias("evaluated_pixels"),

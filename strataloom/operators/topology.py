@@ -12,14 +12,13 @@ from ..conf import Params
 from ..functions.pixel import edge_sides, js_round, opposite_edges, ratio
 from ..plans.graph import stored
 from .components import label_pixels, labels_and_index
-from .windows import dilate, erode, separable
+from .windows import dilate, erode, separable_many
 
 
 def endpoints(px: DataFrame, mask: str = "pred", margin: int = 3) -> DataFrame:
     """(image_id, y, x, out_x, out_y): set pixels with exactly one set neighbour, and the unit vector away from it. Needs w and h."""
     df = px.withColumns({"_m": F.col(mask).cast("int"), "_mx": F.col(mask) * F.col("x"), "_my": F.col(mask) * F.col("y")})
-    for c in ("_m", "_mx", "_my"):
-        df = separable(df, F.col(c), f"{c}s", 1, F.sum)
+    df = separable_many(df, {f"{c}s": (c, 1, F.sum) for c in ("_m", "_mx", "_my")})
     deep = (F.col("x") >= margin) & (F.col("y") >= margin) & (F.col("x") < F.col("w") - margin) & (F.col("y") < F.col("h") - margin)
     df = df.where((F.col(mask) == 1) & deep & (F.col("_ms") == 2))
     tx, ty = 2 * F.col("x") - F.col("_mxs"), 2 * F.col("y") - F.col("_mys")  # away from the one neighbour
@@ -69,9 +68,11 @@ def gap_candidates(px: DataFrame, conf: Params, mask: str = "pred", max_distance
 
 
 def _evidence(inner: DataFrame, feat: DataFrame) -> DataFrame:
-    """Mean ridge and colour evidence along each gap."""
+    """Mean ridge and colour evidence along each gap; of a pixel with one of them alone, that one counts in full, one with neither not at all."""
     seen = inner.join(feat.select("image_id", "y", "x", "ridge", "color"), ["image_id", "y", "x"])
-    return seen.groupBy("image_id", "rank").agg(F.avg((0.65 * F.coalesce(F.col("ridge"), F.lit(0)) + 0.35 * F.coalesce(F.col("color"), F.lit(0))) / 255).alias("evidence"))
+    weight = F.when(F.col("ridge").isNotNull(), 0.65).otherwise(0.0) + F.when(F.col("color").isNotNull(), 0.35).otherwise(0.0)
+    value = (0.65 * F.coalesce(F.col("ridge"), F.lit(0)) + 0.35 * F.coalesce(F.col("color"), F.lit(0))) / 255
+    return seen.groupBy("image_id", "rank").agg(F.avg(F.when(weight > 0, value / weight)).alias("evidence"))
 
 
 def _greedy(limit: int):

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.pixel import byte, clamp01, tensor_bytes
+from ..plans.tiles import tiled
 
 
 def along_x(a: int, b: int):
@@ -24,6 +28,17 @@ def separable(df: DataFrame, value: Column, out: str, radius: int, how=F.max, be
     return df.withColumn(out, how("_row").over(along_y(-radius, radius))).drop("_row")
 
 
+def separable_many(df: DataFrame, wanted: dict[str, tuple[Column | str, int, Callable[[Column], Column]]]) -> DataFrame:
+    """separable() for several columns at once, out -> (value, radius, how): all rows under one sort, then all columns, so two exchanges in all.
+
+    A radius of 0 or less copies the value.
+    """
+    value = {k: F.col(v) if isinstance(v, str) else v for k, (v, _, _) in wanted.items()}
+    row = {f"_r_{k}": how(value[k]).over(along_x(-r, r)) if r > 0 else value[k] for k, (_, r, how) in wanted.items()}
+    df = df.withColumns(row)
+    return df.withColumns({k: how(f"_r_{k}").over(along_y(-r, r)) if r > 0 else F.col(f"_r_{k}") for k, (_, r, how) in wanted.items()}).drop(*row)
+
+
 def dilate(df: DataFrame, mask: Column | str, out: str, radius: int) -> DataFrame:
     """Square dilation of a 0/1 mask; radius 0 or less copies it."""
     mask = F.col(mask) if isinstance(mask, str) else mask
@@ -42,28 +57,32 @@ def erode(df: DataFrame, mask: Column | str, out: str, radius: int) -> DataFrame
 
 def box_mean(df: DataFrame, value: Column, out: str, radius: int) -> DataFrame:
     """Mean over the square, smaller at the frame, in single precision after each pass."""
-    df = df.withColumn("_row", F.avg(value).over(along_x(-radius, radius)).cast("float"))
-    return df.withColumn(out, F.avg("_row").over(along_y(-radius, radius)).cast("float")).drop("_row")
+    return box_means(df, {out: value}, radius)
 
 
-def prefix_sum(df: DataFrame, value: Column, out: str, radius: int) -> DataFrame:
-    """Sum over the square by differences of running sums: linear however large the radius. Pixels must be dense."""
-    for axis, part, order in (("x", ["image_id", "y"], "x"), ("y", ["image_id", "x"], "y")):
+def box_means(df: DataFrame, values: dict[str, Column], radius: int) -> DataFrame:
+    """box_mean() of several columns."""
+    return separable_many(df, {out: (v, radius, lambda c: F.avg(c).cast("float")) for out, v in values.items()})
+
+
+def prefix_sums(df: DataFrame, values: dict[str, Column], radius: int) -> DataFrame:
+    """Sums over the square by differences of running sums: linear however large the radius, two exchanges for all columns.
+
+    Frames go by coordinate, so missing pixels count as nothing.
+    """
+    for part, order in ((["image_id", "y"], "x"), (["image_id", "x"], "y")):
         w = Window.partitionBy(*part).orderBy(order)
-        run = F.sum(value).over(w.rowsBetween(Window.unboundedPreceding, 0))
-        df = df.withColumn("_run", run)
-        top = F.last("_run").over(w.rowsBetween(0, radius))
-        below = F.coalesce(F.lag("_run", radius + 1).over(w), F.lit(0.0))
-        df = df.withColumn("_part", top - below).drop("_run")
-        value = F.col("_part")
-    return df.withColumn(out, F.col("_part")).drop("_part")
+        df = df.withColumns({f"_run_{k}": F.sum(v).over(w.rangeBetween(Window.unboundedPreceding, 0)) for k, v in values.items()})
+        top = {k: F.last(f"_run_{k}").over(w.rangeBetween(0, radius)) for k in values}
+        below = {k: F.coalesce(F.last(f"_run_{k}").over(w.rangeBetween(Window.unboundedPreceding, -radius - 1)), F.lit(0.0)) for k in values}
+        df = df.withColumns({f"_part_{k}": top[k] - below[k] for k in values}).drop(*(f"_run_{k}" for k in values))
+        values = {k: F.col(f"_part_{k}") for k in values}
+    return df.withColumnsRenamed({f"_part_{k}": k for k in values})
 
 
 def local_dark(df: DataFrame, luma: Column, out: str, radius: int, strength: float) -> DataFrame:
     """Darkness against the neighbourhood's mean and spread, mixed with absolute darkness."""
-    df = prefix_sum(df.withColumn("_l", luma.cast("double")), F.col("_l"), "_s", radius)
-    df = prefix_sum(df, F.col("_l") * F.col("_l"), "_q", radius)
-    df = prefix_sum(df, F.lit(1.0), "_n", radius)
+    df = prefix_sums(df.withColumn("_l", luma.cast("double")), {"_s": F.col("_l"), "_q": F.col("_l") * F.col("_l"), "_n": F.lit(1.0)}, radius)
     mean = F.col("_s") / F.col("_n")
     std = F.sqrt(F.greatest(F.lit(1e-6), F.col("_q") / F.col("_n") - mean * mean))
     z = F.greatest(F.lit(0.0), (mean - F.col("_l")) / (std + 0.018))
@@ -73,13 +92,23 @@ def local_dark(df: DataFrame, luma: Column, out: str, radius: int, strength: flo
 
 def local_feature(df: DataFrame, feature: str, out: str, radius: int, strength: float) -> DataFrame:
     """A feature byte against its neighbourhood's mean."""
-    if strength <= 0:
-        return df.withColumn(out, F.col(feature))
-    raw = (F.col(feature) / 255.0).cast("float").cast("double")
-    df = prefix_sum(df.withColumn("_f", raw), F.col("_f"), "_s", radius)
-    df = prefix_sum(df, F.lit(1.0), "_n", radius)
-    relative = clamp01(F.col("_f") / (F.col("_s") / F.col("_n") * 2.15 + 0.035))
-    return df.withColumn(out, byte(F.col("_f") * (1 - strength) + relative * strength)).drop("_f", "_s", "_n")
+    return local_features(df, {out: (feature, strength)}, radius)
+
+
+def local_features(df: DataFrame, wanted: dict[str, tuple[str, float]], radius: int) -> DataFrame:
+    """local_feature() of several bytes, out -> (feature, strength)."""
+    df = df.withColumns({f"_f_{k}": (F.col(f) / 255.0).cast("float").cast("double") for k, (f, _) in wanted.items()})
+    sums = {f"_s_{k}": F.col(f"_f_{k}") for k, (_, strength) in wanted.items() if strength > 0}
+    if sums:
+        df = prefix_sums(df, sums | {"_n": F.lit(1.0)}, radius)
+
+    def mixed(k: str, feature: str, strength: float) -> Column:
+        if strength <= 0:
+            return F.col(feature)
+        own = F.col(f"_f_{k}")
+        return byte(own * (1 - strength) + clamp01(own / (F.col(f"_s_{k}") / F.col("_n") * 2.15 + 0.035)) * strength)
+
+    return df.withColumns({k: mixed(k, f, strength) for k, (f, strength) in wanted.items()}).drop("_n", *(f"_f_{k}" for k in wanted), *sums)
 
 
 def sobel(df: DataFrame, luma: str) -> DataFrame:
@@ -95,9 +124,8 @@ def sobel(df: DataFrame, luma: str) -> DataFrame:
 
 def tensor_orientation(df: DataFrame, luma: str, radius: int = 7) -> DataFrame:
     """dendrite_orientation and dendrite_coherence bytes of the blurred structure tensor."""
-    df = sobel(df, luma)
-    for name, e in (("_xx", F.col("gx") * F.col("gx")), ("_yy", F.col("gy") * F.col("gy")), ("_xy", F.col("gx") * F.col("gy"))):
-        df = box_mean(df, F.coalesce(e, F.lit(0.0)).cast("float"), name, radius)
+    products = {"_xx": F.col("gx") * F.col("gx"), "_yy": F.col("gy") * F.col("gy"), "_xy": F.col("gx") * F.col("gy")}
+    df = box_means(sobel(df, luma), {k: F.coalesce(e, F.lit(0.0)).cast("float") for k, e in products.items()}, radius)
     o, c = tensor_bytes(*(F.col(k).cast("double") for k in ("_xx", "_yy", "_xy")))
     return df.withColumns({"dendrite_orientation": o, "dendrite_coherence": c}).drop("gx", "gy", "_xx", "_yy", "_xy")
 
@@ -122,18 +150,51 @@ def endpoint_proxy(df: DataFrame, mask: str, margin: int = 3) -> DataFrame:
     return df.groupBy("image_id").agg(F.count_if(own).alias("set_pixels"), F.count_if(own & deep & (F.col("_near") <= 1)).alias("endpoints")).withColumn("per_100k", F.when(F.col("set_pixels") > 0, F.col("endpoints") * 100000.0 / F.col("set_pixels")).otherwise(0.0))
 
 
-def chebyshev_distance(df: DataFrame, mask: str, out: str, furthest: int) -> DataFrame:
-    """Chebyshev distance to the mask where it is at most ``furthest``, else null: along each row, then the least over columns.
+def distance_kernel(outs: dict[str, tuple[str, str | None]]) -> Callable[..., dict[str, np.ndarray]]:
+    """Chebyshev distances by two raster passes, out -> (mask, walls); walls neither have nor pass on a distance.
 
-    The least over dy of max(|dy|, distance along the row) is found by a window over the column; exact, one window an axis.
+    Without walls they are exact. With them, a path may only turn as the two passes do, which is what the reference's figures rest on. Along
+    a row, the pass is a running minimum that starts anew behind each wall.
     """
-    wx = Window.partitionBy("image_id", "y").orderBy("x")
-    hit = F.when(F.col(mask) == 1, F.col("x"))
-    back = F.last(hit, ignorenulls=True).over(wx.rowsBetween(Window.unboundedPreceding, 0))
-    ahead = F.first(hit, ignorenulls=True).over(wx.rowsBetween(0, Window.unboundedFollowing))
-    row = F.least(F.col("x") - back, ahead - F.col("x"))
-    df = df.withColumn("_d", F.when(row <= furthest, row))
-    near = F.collect_list(F.when(F.col("_d").isNotNull(), F.struct("y", "_d"))).over(along_y(-furthest, furthest))
-    df = df.withColumn("_near", near)
-    best = F.array_min(F.transform("_near", lambda n: F.greatest(F.abs(n["y"] - F.col("y")), n["_d"])))
-    return df.withColumn(out, F.when(best <= furthest, best)).drop("_d", "_near")
+
+    def swept(d: np.ndarray, wall: np.ndarray, far: int) -> np.ndarray:
+        n = d.shape[1]
+        x = np.arange(n)
+        for y in range(d.shape[0]):
+            row, solid = d[y], wall[y]
+            if y:
+                up = np.concatenate([[far], d[y - 1], [far]])
+                row = np.where(solid, row, np.minimum(row, np.minimum(np.minimum(up[:-2], up[1:-1]), up[2:]) + 1))
+            start = np.cumsum(solid) * (4 * far)
+            row = np.minimum(row, np.minimum.accumulate(row - x - start) + x + start)
+            d[y] = np.where(solid, far, np.minimum(row, far))
+        return d
+
+    def kernel(planes: dict[str, np.ndarray], x0: int, y0: int, w: int, h: int) -> dict[str, np.ndarray]:
+        made = {}
+        for out, (mask, walls) in outs.items():
+            shape = planes[mask].shape
+            far = shape[0] + shape[1] + w + h
+            wall = (planes[walls] > 0) if walls else np.zeros(shape, bool)
+            y, x = np.mgrid[y0 : y0 + shape[0], x0 : x0 + shape[1]]
+            wall = wall | (x < 0) | (y < 0) | (x >= w) | (y >= h)
+            d = swept(np.where((planes[mask] > 0) & ~wall, 0, far).astype(np.int64), wall, far)
+            made[out] = swept(d[::-1, ::-1].copy(), wall[::-1, ::-1], far)[::-1, ::-1].astype(np.int32)
+        return made
+
+    return kernel
+
+
+def chebyshev_distances(df: DataFrame, outs: dict[str, tuple[str, str | None]], furthest: int, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(key, w, h, masks, walls, keep) with the Chebyshev distance to each mask, out -> (0/1 mask, 0/1 walls or None), where it is at most ``furthest``, else null.
+
+    One exchange: a tile sees ``furthest`` pixels around it, as far as any path to a distance that counts. Needs w and h; kept columns hold no nulls.
+    """
+    inputs = list(dict.fromkeys([c for pair in outs.values() for c in pair if c] + list(keep)))
+    made = tiled(df, inputs, {k: "int" for k in outs}, furthest, distance_kernel(outs), max(256, 2 * furthest))
+    return made.withColumns({k: F.when(F.col(k) <= furthest, F.col(k)) for k in outs})
+
+
+def chebyshev_distance(df: DataFrame, mask: str, out: str, furthest: int, walls: str | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """chebyshev_distances() to one mask."""
+    return chebyshev_distances(df, {out: (mask, walls)}, furthest, keep)

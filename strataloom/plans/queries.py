@@ -258,7 +258,7 @@ def endpoint_proxy(spark, d):
 @query(BASE + """, dd AS (SELECT a.image_id, a.y, a.x, min(greatest(abs(a.x-b.x), abs(a.y-b.y))) AS d FROM s a JOIN s b ON a.image_id=b.image_id AND b.thin=1 AND b.x BETWEEN a.x-6 AND a.x+6 AND b.y BETWEEN a.y-6 AND a.y+6 GROUP BY 1,2,3)
 SELECT image_id, d::INT AS d, count(*) AS n FROM dd GROUP BY 1,2""")
 def chebyshev_distance(spark, d):
-    c = windows.chebyshev_distance(scene(spark, d).select(*KEY, "thin"), "thin", "d", 6).where("d IS NOT NULL")
+    c = windows.chebyshev_distance(scene(spark, d).select(*KEY, "w", "h", "thin"), "thin", "d", 6).where("d IS NOT NULL")
     return c.groupBy("image_id", F.col("d").cast("int").alias("d")).agg(F.count("*").alias("n"))
 
 
@@ -266,7 +266,7 @@ def chebyshev_distance(spark, d):
 SELECT image_id, d::INT AS d, count(*) AS n FROM dd GROUP BY 1,2""")
 def chebyshev_distance_review(spark, d):
     """As far as the review radius of the configuration and the reference."""
-    c = windows.chebyshev_distance(scene(spark, d).select(*KEY, "thin"), "thin", "d", CONF.review_radius).where("d IS NOT NULL")
+    c = windows.chebyshev_distance(scene(spark, d).select(*KEY, "w", "h", "thin"), "thin", "d", CONF.review_radius).where("d IS NOT NULL")
     return c.groupBy("image_id", F.col("d").cast("int").alias("d")).agg(F.count("*").alias("n"))
 
 
@@ -471,6 +471,7 @@ def spatial_holdout(spark, d):
 
 # search ------------------------------------------------------------------------------------------------------------
 
+_TUNED = ("recall", "leakage", "macro_leakage", "score")
 _CANDIDATES = [CONF.with_(sensitivity=s, dark_weight=dw, ridge_weight=40, color_weight=25, dendrite_weight=20) for s in (40, 62, 80) for dw in (0, 15)]
 
 
@@ -481,19 +482,19 @@ v AS (SELECT image_id,y,x,w,h,ref,neg,excl,rb,ord, CASE WHEN x>=1 AND y>=1 AND x
 g AS (SELECT image_id, ord, sum(ref) AS ref, count(*) FILTER (ref=1 AND hit) AS matched, count(*) FILTER (neg=1 AND rb=0) AS ng, count(*) FILTER (neg=1 AND rb=0 AND pr) AS bad FROM (SELECT *, max(hx) OVER (PARTITION BY image_id, ord, x ORDER BY y RANGE BETWEEN 2 PRECEDING AND 2 FOLLOWING)=1 AS hit FROM (SELECT *, max(pr::INT) OVER (PARTITION BY image_id, ord, y ORDER BY x RANGE BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS hx FROM (SELECT * FROM v UNION ALL SELECT image_id,y,x,w,h,0,0,1,0,ord,false FROM s CROSS JOIN c WHERE excl=1))) WHERE excl=0 GROUP BY 1,2)
 SELECT image_id, ord, round(matched::DOUBLE/ref, 9) AS recall, round(bad::DOUBLE/ng, 9) AS leakage FROM g""")
 def tune_one_coordinate(spark, d):
-    s = tune.raw_scores(scene(spark, d), tune.candidate_table(spark, _CANDIDATES), 2)
+    s = tune.raw_scores(scene(spark, d), _CANDIDATES, 2)
     return _rounded(s.select("image_id", "ord", "recall", "leakage"), ("recall", "leakage"))
 
 
 @query()
 def tune_best_candidate(spark, d):
-    s = tune.raw_scores(scene(spark, d), tune.candidate_table(spark, _CANDIDATES), 2)
-    return _rounded(tune.best(s), ("recall", "leakage", "macro_leakage", "score"))
+    s = tune.raw_scores(scene(spark, d), _CANDIDATES, 2)
+    return _rounded(tune.best(s).select("image_id", "ord", *_TUNED), _TUNED)
 
 
 @query()
 def min_component_search(spark, d):
-    return _rounded(tune.min_component_search(scene(spark, d), 2), ("recall", "leakage", "macro_leakage", "score"))
+    return _rounded(tune.min_component_search(scene(spark, d), 2).select("image_id", "least", *_TUNED), _TUNED)
 
 
 @query()

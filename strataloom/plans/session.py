@@ -8,11 +8,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..conf import Params
-from ..functions.pixel import primary_score, ratio
+from ..functions.pixel import primary_score
 from ..operators import topology, tune
 from ..operators.boundary import boundary_mask
+from ..operators.components import closed_regions
 from ..operators.features import features
 from ..operators.fills import fill_mask
+from ..operators.labels import in_rects
 from ..operators.metrics import compare, macro, multi_tolerance, regional, roi_metrics
 from ..sources.raster import with_size
 from .graph import stored
@@ -61,34 +63,41 @@ class Session:
     def compare(self) -> dict[str, DataFrame]:
         """Whole, regional and multi-tolerance metrics, and the ROIs' where there are any."""
         p = self.predicted()
-        out = {"whole": compare(p, self.conf.tolerance), "regional": regional(p, self.conf.tolerance), "tolerances": multi_tolerance(p, [1, 2, 3, 4])}
+        out = {"whole": compare(p, self.conf.tolerance), "regional": regional(p, self.conf.tolerance, review_radius=self.conf.review_radius), "tolerances": multi_tolerance(p, [1, 2, 3, 4])}
         if self.rois is not None:
-            out["rois"] = roi_metrics(p, self.rois)
+            out["rois"] = roi_metrics(p, self.rois, self.conf.tolerance)
         return out
 
     def filled(self, p: DataFrame) -> DataFrame:
         """p with fill and border_fill from the seeds."""
         if self.seeds is None:
             return p.withColumns({"fill": F.lit(0), "border_fill": F.lit(0)})
-        f = fill_mask(p, self.seeds, self.conf)
-        b = fill_mask(p, self.seeds.where("border_assisted"), self.conf).select(*KEY, F.col("fill").alias("border_fill"))
+        regions = closed_regions(p, self.conf.fill_safety)  # labelled once for both
+        f = fill_mask(p, self.seeds, self.conf, regions)
+        b = fill_mask(p, self.seeds.where("border_assisted"), self.conf, regions).select(*KEY, F.col("fill").alias("border_fill"))
         return f.join(b, KEY)
 
+    def judged(self) -> DataFrame:
+        """The scene with roi: whether a verified ROI holds the pixel."""
+        s = self.scene()
+        return in_rects(s, self.verified(), "roi") if self.rois is not None else s
+
+    def verified(self) -> DataFrame:
+        """The ROIs that count: all but those marked as not verified."""
+        return self.rois.where(F.coalesce(F.col("verified"), F.lit(True))) if "verified" in self.rois.columns else self.rois
+
     def evaluate(self, p: DataFrame, mask: str = "pred") -> dict:
         """One row of figures over all images: what guards and stages compare."""
         df = p.drop("pred").withColumn("pred", F.col(mask)) if mask != "pred" else p
         r = stored(regional(df, self.conf.tolerance), "regional")
         whole = r.where("rx IS NULL").agg(F.avg("recall").alias("recall"), F.avg("leakage").alias("leakage")).first().asDict()
         whole["macro_leakage"] = macro(r).agg(F.avg("macro_leakage")).first()[0]
-        whole["roi_f1"] = roi_metrics(df, self.rois).where("roi = -1").agg(F.avg("f1")).first()[0] if self.rois is not None else None
+        whole["roi_f1"] = roi_metrics(df, self.verified(), self.conf.tolerance).where("roi = -1").agg(F.avg("f1")).first()[0] if self.rois is not None else None
         if self.seeds is not None:
             prof = stored(topology.closure_profile(self.filled(df), self.conf), "profile")
-            s = topology.profile_summary(prof).agg(F.sum("regions").alias("regions"), F.avg("weighted_closure").alias("weighted_closure"), F.avg("mean_required_radius").alias("mean_required_radius")).first().asDict()
-            base = prof.where("radius = 0").agg(F.sum("open").alias("open"), F.sum("closed").alias("closed")).first().asDict()
-            whole |= s | base
-            whole["closure_rate"] = base["closed"] / s["regions"] if s["regions"] else None
-        row = p.sparkSession.range(1).select(primary_score(F.lit(whole["roi_f1"]).cast("double"), F.lit(whole["recall"]), F.lit(whole["leakage"])).alias("v"), ratio(F.lit(0), F.lit(1)).alias("z")).first()
-        return whole | {"primary": row.v}
+            whole |= topology.profile_summary(prof).agg(F.sum("regions").alias("regions"), F.avg("weighted_closure").alias("weighted_closure"), F.avg("mean_required_radius").alias("mean_required_radius"), F.sum("open_after_max").alias("open_after_max")).first().asDict()
+        score = primary_score(F.lit(whole["roi_f1"]).cast("double"), F.lit(whole["recall"]), F.lit(whole["macro_leakage"]))
+        return whole | {"primary": p.sparkSession.range(1).select(score.alias("v")).first().v}
 
     def optimize(self, rounds: int = 1) -> tuple[Session, DataFrame, list[dict]]:
         """Global search, local calibration, safe and extended repair; each stage stands only if its guard lets it."""
@@ -96,22 +105,24 @@ class Session:
         now = self
         before = now.evaluate(now.predicted())
         trace.append({"stage": "baseline", **before})
-        conf, _ = tune.auto_tune(now.scene(), now.conf, now.conf.tolerance, rounds)
+        spark = now.px.sparkSession
+        conf, search = tune.auto_tune(now.judged(), now.conf, now.conf.tolerance, rounds)
+        trace[0]["search"] = search
         tried = now.with_conf(conf)
         after = tried.evaluate(tried.predicted())
-        fine, why = tune.stage_guard(before, after)
+        fine, why = tune.stage_guard(spark, before, after)
         fine = fine and after["primary"] >= before["primary"] - 0.002
         trace.append({"stage": "global", "accepted": fine, "reason": why, **after})
         if fine:
             now, before = tried, after
-        choice = tune.local_choice(tune.local_scores(now.scene(), now.conf, now.conf.tolerance))
+        choice = tune.local_choice(tune.local_scores(now.judged(), now.conf, now.conf.tolerance))
         # one grid for the set: the mean over its images
         cells = {(r.rx, r.ry): r.v for r in tune.calibration_fill(choice).groupBy("rx", "ry").agg(F.avg("value").alias("v")).collect()}
         if cells:
             tried = now.with_conf(now.conf)
             tried.calibration = {"cols": 4, "rows": 4, "values": [cells.get((x, y), 0.0) for y in range(4) for x in range(4)]}
             after = tried.evaluate(tried.predicted())
-            fine, why = tune.stage_guard(before, after)
+            fine, why = tune.stage_guard(spark, before, after)
             trace.append({"stage": "local", "accepted": fine, "reason": why, **after})
             if fine:
                 now, before = tried, after
@@ -120,7 +131,7 @@ class Session:
             gaps = topology.bridge(p, now.conf, mode, now.features())
             q = stored(topology.apply_bridges(p, gaps), "bridged")
             after = now.evaluate(q, "bridged")
-            fine = tune.gap_guard(before, after)
+            fine = tune.gap_guard(spark, before, after)
             trace.append({"stage": mode, "accepted": fine, **after})
             if fine:
                 p, before = q.drop("pred").withColumnRenamed("bridged", "pred"), after

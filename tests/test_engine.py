@@ -390,12 +390,23 @@ def test_tuning(spark):
     assert tune.coordinate_candidates("ridge_weight", 55, 2) == [0, 45, 50, 55, 60, 65]
     filled = {(r.rx, r.ry): (r.value, r.measured) for r in tune.calibration_fill(spark.createDataFrame([(0, 0, 0, 0), (0, 0, 1, 8)], "image_id int, rx int, ry int, delta int")).collect()}
     assert filled[0, 0] == (0.0, True) and filled[0, 1] == (8.0, True) and filled[1, 0][0] == pytest.approx((8 / 2) / (1.5 + 1.5)) and filled[3, 3] == (0.0, False)
-    rows = [(0, 0, 0, 0, 30, 0.9, 0.5, 0.60), (0, 0, 0, 10, 30, 0.8, 0.9, 0.85), (0, 0, 0, 4, 30, 0.89, 0.6, 0.70), (0, 1, 0, 0, 5, 0.9, 0.5, 0.6)]
-    s = spark.createDataFrame(rows, "image_id int, rx int, ry int, delta int, ref int, recall double, precision double, f1 double")
-    assert [(r.rx, r.delta) for r in tune.local_choice(s).collect()] == [(0, 4)]
-    assert tune.stage_guard({"recall": 0.9, "leakage": 0.1}, {"recall": 0.8, "leakage": 0.1}) == (False, "recall") and tune.stage_guard({"recall": 0.9, "open": 1}, {"recall": 0.9, "open": 3}) == (True, None)
-    base = {"recall": 0.9, "leakage": 0.1, "regions": 5, "weighted_closure": 0.5, "open": 3, "mean_required_radius": 1.0, "primary": 0.9}
-    assert tune.gap_guard(base, base | {"open": 2}) and not tune.gap_guard(base, base) and not tune.gap_guard(base, base | {"open": 2, "recall": 0.8})
+    rows = [(0, 0, 0, 0, 0, 30, 0.9, 0.5, 0.60), (0, 0, 0, 10, 10, 30, 0.8, 0.9, 0.85), (0, 0, 0, 4, 4, 30, 0.89, 0.6, 0.70), (0, 1, 0, 0, 0, 5, 0.9, 0.5, 0.6)]
+    rows += [(0, 2, 0, d, min(d, 2), 30, 0.5, 0.5, 0.5 + d / 100) for d in (0, 4, 10, 18)]  # the limit holds the sensitivity: what is kept is what it moved by
+    rows += [(0, 3, 0, d, 0, 30, 0.5, 0.5, 0.5) for d in (0, 4, 10, 18)]
+    s = spark.createDataFrame(rows, "image_id int, rx int, ry int, delta int, moved int, ref int, recall double, precision double, f1 double")
+    assert sorted((r.rx, r.delta) for r in tune.local_choice(s).collect()) == [(0, 4), (2, 2), (3, 0)]
+
+
+def test_guards(spark):
+    base = {"recall": 0.9, "leakage": 0.1, "macro_leakage": 0.1, "roi_f1": 0.8, "regions": 5, "weighted_closure": 0.5, "open_after_max": 3, "mean_required_radius": 1.0, "primary": 0.9}
+    stage = lambda **after: tune.stage_guard(spark, base, base | after)
+    assert stage() == (True, None) and stage(recall=0.8951, macro_leakage=0.1049, roi_f1=0.7981, weighted_closure=0.4901, open_after_max=6, leakage=0.9) == (True, None)
+    assert stage(recall=0.89, macro_leakage=0.5) == (False, "positive-recall-regression") and stage(macro_leakage=0.2, roi_f1=0.1) == (False, "macro-negative-leakage-regression")
+    assert stage(roi_f1=0.79) == (False, "verified-roi-f1-regression") and stage(weighted_closure=0.48) == (False, "weighted-closure-regression") and stage(open_after_max=7) == (False, "open-at-3-regression")
+    assert stage(roi_f1=None, regions=0, open_after_max=9) == (True, None) and tune.stage_guard(spark, None, base) == (False, "missing-evaluation")
+    gap = lambda **after: tune.gap_guard(spark, base, base | after)
+    assert gap(open_after_max=2) and gap(weighted_closure=0.51) and gap(mean_required_radius=0.9) and not gap() and not gap(open_after_max=2, recall=0.8) and not gap(open_after_max=2, macro_leakage=0.12) and not gap(open_after_max=2, roi_f1=0.7)
+    assert not gap(regions=0, open_after_max=1) and gap(regions=0, primary=0.92) and not tune.gap_guard(spark, base, None)
 
 
 def test_auto_tune_finds_the_dark_channel(spark):
@@ -407,8 +418,152 @@ def test_auto_tune_finds_the_dark_channel(spark):
     neg = (np.abs(np.mgrid[0:40, 0:40][1] - 20) > 5).astype(int)
     s = frame(spark, dark=dark, ridge=junk, color=junk, dendrite=junk, orientation=np.zeros_like(ref), ref=ref, neg=neg, excl=np.zeros_like(ref)).withColumn("orientation_angle", F.lit(0.0).cast("float"))
     start = Params(sensitivity=62, dark_weight=15, ridge_weight=40, min_component=4)
-    conf, trace = tune.auto_tune(s, start, 2, rounds=1)
-    assert trace[-1]["score"] >= trace[0]["score"] and conf.ridge_weight < 40
+    conf, found = tune.auto_tune(s, start, 2, rounds=1)
+    assert found["final"]["objective"]["score"] == pytest.approx(1.0) > found["baseline"]["objective"]["score"]
+    assert conf.dark_weight / sum(conf.weights().values()) > start.dark_weight / sum(start.weights().values())
+    assert [x["label"] for x in found["ablation"]] == ["full", "-Dark", "-Ridge", "-Color", "-Dendrite"] and found["ablation"][1]["objective"]["score"] < found["ablation"][0]["objective"]["score"]
+
+
+class PlainTuning:
+    """The search by loops over one small image, as it is described, without thinning."""
+
+    def __init__(self, planes, ref, neg, excl, roi, tolerance):
+        self.planes, self.ref, self.neg, self.excl, self.roi, self.t = planes, ref, neg, excl, roi, tolerance
+        self.h, self.w = ref.shape
+
+    def wide(self, m):
+        out = np.zeros_like(m)
+        for y, x in zip(*np.nonzero(m), strict=True):
+            out[max(0, y - self.t) : y + self.t + 1, max(0, x - self.t) : x + self.t + 1] = 1
+        return out
+
+    def score(self, pred, by_share):
+        pred = pred * (1 - self.excl)
+        seen, band, near = self.excl == 0, self.wide(self.ref), self.wide(pred)
+        ref, neg = seen & (self.ref == 1), seen & (self.neg == 1) & (band == 0)
+        div = lambda a, b: a / b if b else 0.0
+        harmonic = lambda a, b: 2 * a * b / (a + b) if a + b else 0.0
+        y, x = np.mgrid[0 : self.h, 0 : self.w]
+        if by_share:
+            cell = np.minimum(3, y * 4 // self.h) * 4 + np.minimum(3, x * 4 // self.w)
+        else:
+            edges = lambda n: np.searchsorted([i * n // 4 for i in range(1, 4)], np.arange(n), "right")
+            cell = edges(self.h)[:, None] * 4 + edges(self.w)[None, :]
+        recall, leak = div((near[ref] == 1).sum(), ref.sum()), div(pred[neg].sum(), neg.sum())
+        macro = [pred[neg & (cell == c)].mean() for c in range(16) if (neg & (cell == c)).any()]
+        macro = sum(macro) / len(macro) if macro else 0.0
+        value = recall if not neg.any() else harmonic(recall, 1 - macro)
+        out = {"recall": recall, "leakage": leak, "macro_leakage": macro, "roi_recall": None, "roi_f1": None}
+        inner = seen & (self.roi == 1)
+        if inner.any():
+            r, p = self.ref * inner, pred * inner
+            rb, pb = self.wide(r), self.wide(p)
+            precision, roi_recall = div((p * rb).sum(), p.sum()), div((r * pb).sum(), r.sum())
+            value = harmonic(precision, roi_recall)
+            out |= {"roi_recall": roi_recall, "roi_f1": value}
+        return out | {"score": value}
+
+    def values(self, c):
+        y, x = np.mgrid[0 : self.h, 0 : self.w]
+        total, share = np.zeros((self.h, self.w)), np.zeros((self.h, self.w))
+        for name, margin in (("dark", 0), ("ridge", 5), ("color", 7), ("dendrite", 14)):
+            there = (x >= margin) & (y >= margin) & (x < self.w - margin) & (y < self.h - margin)
+            weight = c.weights()[name]
+            total += there * self.planes[name] / 255 * weight
+            share += there * weight
+        framed = (x >= 1) & (y >= 1) & (x < self.w - 1) & (y < self.h - 1) & (share > 0)
+        return (framed & (total / np.maximum(share, 1e-12) >= 0.76 - c.sensitivity / 100 * 0.5)).astype(int)
+
+    def sizes(self, c):
+        raw = self.values(c) * (1 - self.excl)
+        around = sum(np.pad(raw, 1)[1 + dy : 1 + dy + self.h, 1 + dx : 1 + dx + self.w] for dy in (-1, 0, 1) for dx in (-1, 0, 1)) - raw
+        sup = raw * (around >= 2)
+        size, seen = np.zeros_like(sup), set()
+        for start in zip(*np.nonzero(sup), strict=True):
+            if start in seen:
+                continue
+            stack, blob = [start], {start}
+            while stack:
+                y, x = stack.pop()
+                for p in ((y + dy, x + dx) for dy in (-1, 0, 1) for dx in (-1, 0, 1)):
+                    if p not in blob and 0 <= p[0] < self.h and 0 <= p[1] < self.w and sup[p]:
+                        blob.add(p)
+                        stack.append(p)
+            seen |= blob
+            for p in blob:
+                size[p] = len(blob)
+        return size
+
+    def better(self, a, b):
+        if b is None or abs(a["score"] - b["score"]) > 1e-9:
+            return b is None or a["score"] > b["score"]
+        for k, sign in (("roi_recall", 1), ("recall", 1)):
+            if a[k] is not None and abs(a[k] - b[k]) > 1e-9:
+                return a[k] > b[k]
+        return a["macro_leakage"] < b["macro_leakage"] - 1e-9
+
+    def processed(self, c):
+        return self.score((self.sizes(c) >= c.min_component).astype(int), False) | {"conf": c}
+
+    def sized(self, c):
+        size, top = self.sizes(c), None
+        for least in sorted({1, 4, 8, 16, 24, 40, 64, 96, 128, 192, 256, c.min_component}):
+            got = self.score((size >= least).astype(int), False) | {"conf": c.with_(min_component=least)}
+            top = got if self.better(got, top) else top
+        return top
+
+    def run(self, conf, rounds):
+        top = self.sized(conf)
+        steps = [("baseline", top["conf"], top["score"])]
+        working, standing = top["conf"], top
+        for k in range(rounds):
+            changed = False
+            for name in ("sensitivity", "dark_weight", "ridge_weight", "color_weight", "dendrite_weight"):
+                old, pick, best = getattr(working, name), None, None
+                for v in tune.coordinate_candidates(name, old, k):
+                    got = self.score(self.values(working.with_(**{name: v})), True)
+                    if self.better(got, best):
+                        best, pick = got, v
+                accepted = pick == old
+                if pick != old:
+                    got = self.processed(working.with_(**{name: pick}))
+                    if self.better(got, standing):
+                        working, standing, accepted, changed = got["conf"], got, True, True
+                steps.append((name, pick, accepted, getattr(working, name)))
+            after = self.sized(working)
+            kept = self.better(after, top)
+            top = after if kept else top
+            working, standing = top["conf"], top
+            steps.append(("round", kept, top["conf"]))
+            if not changed and not kept:
+                break
+        for name in ("dark_weight", "ridge_weight", "color_weight", "dendrite_weight"):
+            steps.append(("without", name, self.processed(top["conf"].with_(**{name: 0}))["score"]))
+        return top["conf"], steps
+
+
+@pytest.mark.parametrize(("with_rois", "rounds"), [(True, 1), (False, 2)])
+def test_auto_tune_step_by_step(spark, with_rois, rounds):
+    """Every proposal, acceptance, component size, reversal and ablation against plain loops."""
+    r = np.random.default_rng(5)
+    h, w = 34, 37
+    y, x = np.mgrid[0:h, 0:w]
+    ref = ((x == 18) | (y == 20) & (x > 8)).astype(int)
+    line = np.abs(x - 18) <= 1
+    planes = {"dark": np.where(line, 190, 90) + r.integers(-40, 40, ref.shape), "ridge": np.where(ref == 1, 200, 40) + r.integers(0, 50, ref.shape), "color": r.integers(0, 255, ref.shape), "dendrite": np.where(y > 18, 180, 30) + r.integers(0, 60, ref.shape)}
+    neg, excl = ((x < 12) & (y < 15) | (x > 26)).astype(int), ((x > 30) & (y < 6)).astype(int)
+    roi = ((x > 10) & (x < 30) & (y > 5) & (y < 30)).astype(int) if with_rois else np.zeros_like(ref)
+    s = frame(spark, **planes, orientation=np.zeros_like(ref), ref=ref, neg=neg, excl=excl, **({"roi": roi} if with_rois else {})).withColumn("orientation_angle", F.lit(0.0).cast("float"))
+    start = Params(sensitivity=62, dark_weight=15, ridge_weight=40, color_weight=25, dendrite_weight=20, min_component=10, centerline_nms=False)
+    plain = PlainTuning(planes, ref, neg, excl, roi, 2)
+    conf, steps = plain.run(start, rounds)
+    got, found = tune.auto_tune(s, start, 2, rounds)
+    mine = [("baseline", found["baseline"]["parameters"], pytest.approx(found["baseline"]["objective"]["score"]))]
+    for k in found["rounds"]:
+        mine += [(c["name"], c["proposed"], c["accepted"], c["selected"]) for c in k["coordinates"]]
+        mine.append(("round", k["accepted"], k["parameters"] if k["accepted"] else k["reverted_to"]))
+    mine += [("without", a["disabled"], pytest.approx(a["objective"]["score"])) for a in found["ablation"][1:]]
+    assert steps == mine and got == conf
 
 
 def test_guide(spark):
