@@ -13,6 +13,8 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .labels import BOUNDARY_RGB
+
 PROJECT_FORMAT, PROJECT_VERSION = "strataloom-project", 1
 
 
@@ -148,8 +150,9 @@ def gray(value: Column) -> Column:
     return F.concat(h, h, h, F.lit("ff"))
 
 
-def boundary_overlay(mask: Column, opacity: float = 0.85) -> Column:
-    return F.when(mask == 1, f"ff3b30{int(opacity * 255 + 0.5):02x}").otherwise("00000000")
+def boundary_overlay(mask: Column, opacity: float = 0.9) -> Column:
+    """Colour (rgba in hex) of a boundary pixel, clear elsewhere. mask: a condition."""
+    return F.when(mask, f"{BOUNDARY_RGB}{int(opacity * 255 + 0.5):02x}").otherwise("00000000")
 
 
 def diagnostic_report(**parts: DataFrame) -> DataFrame:

@@ -62,7 +62,8 @@ def box_mean(df: DataFrame, value: Column, out: str, radius: int) -> DataFrame:
 
 def box_means(df: DataFrame, values: dict[str, Column], radius: int) -> DataFrame:
     """box_mean() of several columns."""
-    return separable_many(df, {out: (v, radius, lambda c: F.avg(c).cast("float")) for out, v in values.items()})
+    df = df.withColumns({f"_r_{k}": F.avg(v).over(along_x(-radius, radius)).cast("float") for k, v in values.items()})
+    return df.withColumns({k: F.avg(f"_r_{k}").over(along_y(-radius, radius)).cast("float") for k in values}).drop(*(f"_r_{k}" for k in values))
 
 
 def prefix_sums(df: DataFrame, values: dict[str, Column], radius: int) -> DataFrame:

@@ -311,11 +311,32 @@ def error_masks(spark, d):
     return e.groupBy("image_id").agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "fn", "unknown_prediction")])
 
 
-@query(BASE + _bands(2) + """ SELECT rgba, count(*) AS n FROM (SELECT CASE WHEN fn=1 THEN 'ff8000ff' WHEN fp=1 THEN 'ff0000e0' WHEN unk=1 THEN 'ffd000a0' WHEN tp=1 THEN '00ff00c0' WHEN state='negative' THEN 'ff00ff20' WHEN state='positive' THEN '00a0ff30' WHEN state='excluded' THEN '80808060' ELSE '00000000' END AS rgba FROM er) GROUP BY 1""")
+#: Colours and alphas of an opacity of 90 %, as the reference states them.
+_OVERLAY = """CASE WHEN excl=1 THEN '00000000' WHEN ref=1 AND pb=0 THEN 'ffd84aff' WHEN pred=1 AND rb=1 THEN '58e38ae6' WHEN pred=1 AND neg=1 THEN 'ff5e67e6' WHEN pred=1 THEN '23f5de33' WHEN rb=1 THEN 'ffd84a37' WHEN neg=1 THEN 'ff8a0037' ELSE '00000000' END"""
+
+
+@query(BASE + _bands(2) + f" SELECT rgba, count(*) AS n FROM (SELECT {_OVERLAY} AS rgba FROM er) GROUP BY 1")
 def comparison_overlay(spark, d):
     return labels.overlay(labels.error_masks(labels.with_bands(scene(spark, d), 2))).groupBy("rgba").agg(F.count("*").alias("n"))
 
 
+@query(BASE + " SELECT CASE WHEN pred=1 THEN '23f5dee6' ELSE '00000000' END AS rgba, count(*) AS n FROM s GROUP BY 1")
+def boundary_overlay(spark, d):
+    return scene(spark, d).withColumn("rgba", sinks.boundary_overlay(F.col("pred") == 1)).groupBy("rgba").agg(F.count("*").alias("n"))
+
+
+#: The distance's two raster passes, row by row: what comes from the row before, then along the row as far as no exclusion is between.
+_STEP = "list_transform(range(1, 65), lambda x: CASE WHEN t.e[x]=1 THEN 999 ELSE least({own}, coalesce(p.d[x-1], 999)+1, coalesce(p.d[x], 999)+1, coalesce(p.d[x+1], 999)+1) END)"
+_ALONG = "list_transform(range(1, 65), lambda x: CASE WHEN e[x]=1 THEN 999 ELSE list_min(list_transform(range(1, 65), lambda k: CASE WHEN {side} AND list_sum(e[least(k,x):greatest(k,x)])=0 THEN v[k]+abs(x-k) ELSE 999 END)) END)"
+_WALLED = BASE + f""", t AS (SELECT image_id, y, list(CASE WHEN thin=1 AND excl=0 THEN 0 ELSE 999 END ORDER BY x) AS m, list(excl ORDER BY x) AS e, any_value(h) AS h FROM s GROUP BY 1,2),
+f AS (SELECT image_id, y, {_ALONG.format(side="k<=x")} AS d FROM (SELECT *, m AS v FROM t WHERE y=0)
+ UNION ALL SELECT image_id, y, {_ALONG.format(side="k<=x")} FROM (SELECT t.image_id, t.y, t.e, {_STEP.format(own="t.m[x]")} AS v FROM f p JOIN t ON t.image_id=p.image_id AND t.y=p.y+1)),
+t2 AS (SELECT t.image_id, t.y, t.e, t.h, f.d AS m FROM t JOIN f USING (image_id, y)),
+g AS (SELECT image_id, y, {_ALONG.format(side="k>=x")} AS d FROM (SELECT *, m AS v FROM t2 WHERE y=h-1)
+ UNION ALL SELECT image_id, y, {_ALONG.format(side="k>=x")} FROM (SELECT t.image_id, t.y, t.e, {_STEP.format(own="t.m[x]")} AS v FROM g p JOIN t2 t ON t.image_id=p.image_id AND t.y=p.y-1)),
+wd AS (SELECT image_id, y, unnest(range(64))::INT AS x, unnest(d) AS d FROM g)"""
+
+
 # metrics -----------------------------------------------------------------------------------------------------------
 
 
@@ -333,6 +354,12 @@ def regional_metrics(spark, d):
     return _rounded(metrics.regional(scene(spark, d), 2), RATIO_COLS)
 
 
+@query(_WALLED + f", q AS (SELECT image_id, {_RX} AS rx, {_RY} AS ry, CASE WHEN ref=1 AND excl=0 AND d<={CONF.review_radius} THEN d END AS d FROM s JOIN wd USING (image_id, y, x)) SELECT image_id, rx, ry, round(avg(d), 9) AS alignment_error FROM q GROUP BY GROUPING SETS ((image_id, rx, ry), (image_id))")
+def regional_alignment(spark, d):
+    s = scene(spark, d).withColumn("pred", F.col("thin"))
+    return _rounded(metrics.regional(s, 2, review_radius=CONF.review_radius).select("image_id", "rx", "ry", "alignment_error"), ("alignment_error",))
+
+
 @query(_REGIONAL + """ SELECT image_id, round(coalesce(avg(leakage) FILTER (negative_pixels>0), 0), 9) AS macro_leakage, round(avg(label_f1) FILTER (matched_reference+false_negative>0), 9) AS macro_f1, round(max(negative_pixels)::DOUBLE/sum(negative_pixels), 9) AS max_negative_share FROM rg WHERE rx IS NOT NULL GROUP BY 1""")
 def macro_metrics(spark, d):
     return _rounded(metrics.macro(metrics.regional(scene(spark, d), 2)), ("macro_leakage", "macro_f1", "max_negative_share"))
@@ -351,11 +378,11 @@ def alignment_summary(spark, d):
     return _rounded(metrics.alignment(s, 2, 5), ("mean",)).withColumns({c: F.col(c).cast("int") for c in ("median", "p90")})
 
 
-@query(BASE + f""", dd AS (SELECT a.image_id, a.y, a.x, min(CASE WHEN b.x IS NOT NULL THEN greatest(abs(a.x-b.x), abs(a.y-b.y)) END) AS d FROM s a LEFT JOIN s b ON a.image_id=b.image_id AND b.thin=1 AND b.excl=0 AND b.x BETWEEN a.x-{CONF.review_radius} AND a.x+{CONF.review_radius} AND b.y BETWEEN a.y-{CONF.review_radius} AND a.y+{CONF.review_radius} WHERE a.ref=1 AND a.excl=0 GROUP BY 1,2,3),
+@query(_WALLED + f""", dd AS (SELECT image_id, CASE WHEN d<={CONF.review_radius} THEN d END AS d FROM s JOIN wd USING (image_id, y, x) WHERE ref=1 AND excl=0),
 l AS (SELECT image_id, list_sort(list(d) FILTER (d IS NOT NULL)) AS v, count(d) AS matched, count(*)-count(d) AS unmatched, sum(d) AS t FROM dd GROUP BY 1)
 SELECT image_id, round(t::DOUBLE/nullif(matched,0), 9) AS mean, v[floor((matched-1)*0.5+0.5)::INT+1]::INT AS median, v[floor((matched-1)*0.9+0.5)::INT+1]::INT AS p90, matched, unmatched FROM l""")
 def alignment_summary_review(spark, d):
-    """As far as the review radius of the configuration and the reference."""
+    """As far as the review radius of the configuration and the reference, round exclusions, which are in the way."""
     s = scene(spark, d).withColumn("pred", F.col("thin"))
     return _rounded(metrics.alignment(s, 2, CONF.review_radius), ("mean",)).withColumns({c: F.col(c).cast("int") for c in ("median", "p90")})
 
@@ -412,15 +439,29 @@ def component_index(spark, d):
     return components.component_index(scene(spark, d), F.col("thin") == 1, 3, 4).select("image_id", "label", "size", F.col("edge_mask").cast("int").alias("edge_mask"), "first_p", "active")
 
 
-@query()
+def _labels(mask: str, near: str, frm: str) -> str:
+    """CTE cc (image_id, p, root): the least pixel number of each component, by labels that spread until none changes."""
+    return f""", m AS (SELECT image_id, y, x, w, h, y*w+x AS p FROM {frm} WHERE {mask}),
+adj AS (SELECT a.image_id, a.p AS u, b.p AS v FROM m a JOIN m b ON a.image_id=b.image_id AND a.p<>b.p AND {near}),
+cc(image_id, p, root) USING KEY (image_id, p) AS (SELECT image_id, p, p FROM m UNION SELECT adj.image_id, adj.v, min(c.root) FROM cc c JOIN adj ON adj.image_id=c.image_id AND adj.u=c.p JOIN recurring.cc e ON e.image_id=adj.image_id AND e.p=adj.v WHERE c.root<e.root GROUP BY 1,2)"""
+
+
+@query(BASE + _square("pred", "nb", 1, "s", "sum") + _labels("pred=1 AND nb-pred>=2", _N8, "nb_t") + """, z AS (SELECT image_id, root, count(*) AS n FROM cc GROUP BY 1,2 HAVING count(*)>=24)
+SELECT sz.image_id, coalesce(sum(n), 0)::BIGINT AS kept FROM sz LEFT JOIN z USING (image_id) GROUP BY 1""")
 def min_component_filter(spark, d):
     return components.min_component(scene(spark, d), "pred", "kept", 24).groupBy("image_id").agg(F.sum("kept").cast("long").alias("kept"))
 
 
-@query()
+_CHANNELS = ("dark", "ridge", "color", "dendrite")
+
+
+@query(BASE + _bands(2) + """, k AS (SELECT image_id AS i, kind, {image_id: image_id, kind: kind} AS image_id, y, x, w, h, dark, ridge, color, dendrite FROM (SELECT *, unnest([CASE WHEN fp=1 THEN 'fp' END, CASE WHEN fn=1 THEN 'fn' END, CASE WHEN unk=1 THEN 'unknown_prediction' END]) AS kind FROM er) WHERE kind IS NOT NULL)""" + _labels("true", _N8, "k") + """,
+b AS (SELECT k.i AS image_id, k.kind, root, min(x)::INT AS x0, min(y)::INT AS y0, max(x)::INT AS x1, max(y)::INT AS y1, count(*) AS pixels, round(avg(dark)/255, 6) AS dark, round(avg(ridge)/255, 6) AS ridge, round(avg(color)/255, 6) AS color, round(avg(dendrite)/255, 6) AS dendrite FROM k JOIN cc ON cc.image_id=k.image_id AND cc.p=k.y*k.w+k.x GROUP BY 1,2,3),
+t AS (SELECT * FROM b QUALIFY row_number() OVER (PARTITION BY image_id, kind ORDER BY pixels DESC, root)<=16)
+SELECT * EXCLUDE (root), (row_number() OVER (PARTITION BY image_id ORDER BY pixels DESC, kind, root))::INT AS rank FROM t QUALIFY row_number() OVER (PARTITION BY image_id ORDER BY pixels DESC, kind, root)<=24""")
 def hotspots_topk(spark, d):
     e = labels.error_masks(labels.with_bands(scene(spark, d), 2))
-    return _rounded(components.hotspots(e, ["fp", "fn", "unknown_prediction"], ["dark", "ridge"]), ("dark", "ridge"), 6)
+    return _rounded(components.hotspots(e, ["fp", "fn", "unknown_prediction"], list(_CHANNELS)), _CHANNELS, 6)
 
 
 _FILL = BASE.replace("ref AS", "ref0 AS") + _cc("grid=0", _N4) + _square("grid", "sf", 1, "s") + """,
@@ -464,7 +505,13 @@ def component_holdout(spark, d):
     return fills.component_holdout(scene(spark, d), "dash").drop("root")
 
 
-@query()
+@query(BASE + """, c AS (SELECT image_id, (least(3, floor(y*4/h))*4+least(3, floor(x*4/w)))::INT AS cell, count(*) AS n FROM s WHERE ref=1 GROUP BY 1,2),
+g AS (SELECT image_id, list(cell ORDER BY cell) AS cells, list(n ORDER BY cell) AS ns, sum(n) AS total, count(*) AS many FROM c GROUP BY 1 HAVING count(*)>=2),
+ub AS (SELECT *, unnest(range(1, (1::BIGINT<<many)-1)) AS subset FROM g),
+eb AS (SELECT *, list_sum(list_transform(range(1, many+1), lambda i: ((subset>>(i-1))&1)*ns[i]))::BIGINT AS pixels, bit_count(subset)::BIGINT AS picked FROM ub),
+r AS (SELECT *, abs(pixels-greatest(1, floor(total*0.2+0.5))) AS e1, abs(picked-greatest(1, floor(many*0.2+0.5))) AS e2 FROM eb QUALIFY rank() OVER (PARTITION BY image_id ORDER BY e1, e2)=1),
+f AS (SELECT *, list_reduce(list_prepend(2166136261::BIGINT, list_transform(list_filter(range(1, many+1), lambda i: (subset>>(i-1))&1=1), lambda i: (cells[i]+1)::BIGINT)), lambda t, q: ((xor(t, (q*16777619)&4294967295)&4294967295)*16777619)%4294967296) AS tie FROM r)
+SELECT image_id, subset, pixels, picked AS cells FROM f QUALIFY row_number() OVER (PARTITION BY image_id ORDER BY tie, subset)=1""")
 def spatial_holdout(spark, d):
     return fills.spatial_holdout(scene(spark, d))
 
@@ -486,22 +533,79 @@ def tune_one_coordinate(spark, d):
     return _rounded(s.select("image_id", "ord", "recall", "leakage"), ("recall", "leakage"))
 
 
-@query()
+def _judged(bits: str, frm: str, rx: str, ry: str, key: str = "ord") -> str:
+    """CTEs that score predictions pr of each candidate: frm (image_id, y, x, w, h, ref, neg, excl, rb, {key}, pr) -> sc (image_id, {key}, recall, leakage, macro_leakage, score)."""
+    w = lambda of, part, by, out: f"max({of}) OVER (PARTITION BY image_id, {key}, {part} ORDER BY {by} RANGE BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS {out}"
+    return f""", j0 AS (SELECT * REPLACE ((pr AND excl=0)::INT AS pr) FROM {frm}), j1 AS (SELECT *, {w("pr", "y", "x", "hx")} FROM j0), j2 AS (SELECT *, {w("hx", "x", "y", "hit")} FROM j1),
+j3 AS (SELECT image_id, {key}, {rx} AS rx, {ry} AS ry, count(*) FILTER (ref=1) AS ref, count(*) FILTER (ref=1 AND hit=1) AS got, count(*) FILTER (neg=1 AND rb=0) AS ng, count(*) FILTER (neg=1 AND rb=0 AND pr=1) AS bad FROM j2 WHERE excl=0 GROUP BY 1,2,3,4),
+j4 AS (SELECT image_id, {key}, sum(got)::DOUBLE/greatest(sum(ref),1) AS recall, sum(bad)::DOUBLE/greatest(sum(ng),1) AS leakage, coalesce(avg(bad::DOUBLE/ng) FILTER (ng>0), 0) AS macro_leakage, sum(ng) AS ng FROM j3 GROUP BY 1,2),
+sc AS (SELECT image_id, {key}, recall, leakage, macro_leakage, CASE WHEN ng=0 THEN recall WHEN recall+1-macro_leakage>0 THEN 2*recall*(1-macro_leakage)/(recall+1-macro_leakage) ELSE 0 END AS score FROM j4)"""
+
+
+_THIRD = ("least(3, floor(x*4/w))::INT", "least(3, floor(y*4/h))::INT")
+_SCORED = BASE + _square("ref", "rb", 2, "s") + """, c AS (SELECT * FROM (VALUES (0,40,0),(1,40,15),(2,62,0),(3,62,15),(4,80,0),(5,80,15)) t(ord,sn,dw)),
+v AS (SELECT rb_t.*, ord, sn, dw, dark/255.0::DOUBLE*dw AS a0, CASE WHEN x>=5 AND y>=5 AND x<w-5 AND y<h-5 THEN 40 ELSE 0 END AS w1, CASE WHEN x>=7 AND y>=7 AND x<w-7 AND y<h-7 THEN 25 ELSE 0 END AS w2, CASE WHEN x>=14 AND y>=14 AND x<w-14 AND y<h-14 THEN 20 ELSE 0 END AS w3 FROM rb_t CROSS JOIN c),
+pv AS (SELECT image_id, y, x, w, h, ref, neg, excl, rb, ord, x>=1 AND y>=1 AND x<w-1 AND y<h-1 AND dw+w1+w2+w3>0 AND (a0+ridge/255.0::DOUBLE*w1+color/255.0::DOUBLE*w2+dendrite/255.0::DOUBLE*w3)/greatest(dw+w1+w2+w3,1) >= 0.76-sn/100.0::DOUBLE*0.50 AS pr FROM v)""" + _judged("pr", "pv", *_THIRD)
+_ROUND4 = "round(recall, 9) AS recall, round(leakage, 9) AS leakage, round(macro_leakage, 9) AS macro_leakage, round(score, 9) AS score"
+
+
+@query(_SCORED + f" SELECT image_id, ord, {_ROUND4} FROM sc QUALIFY row_number() OVER (PARTITION BY image_id ORDER BY round(sc.score,9) DESC, round(sc.recall,9) DESC, round(sc.macro_leakage,9), ord)=1")
 def tune_best_candidate(spark, d):
     s = tune.raw_scores(scene(spark, d), _CANDIDATES, 2)
     return _rounded(tune.best(s).select("image_id", "ord", *_TUNED), _TUNED)
 
 
-@query()
+@query(BASE + _square("ref", "rb", 2, "s") + _square("thin", "nb", 1, "rb_t", "sum") + _labels("thin=1 AND nb-thin>=2", _N8, "nb_t") + """, n AS (SELECT image_id, p, count(*) OVER (PARTITION BY image_id, root) AS size FROM cc),
+pv AS (SELECT t.image_id, y, x, w, h, ref, neg, excl, rb, least, coalesce(size>=least, false) AS pr FROM nb_t t LEFT JOIN n ON n.image_id=t.image_id AND n.p=t.y*t.w+t.x CROSS JOIN (SELECT unnest([1,4,8,16,24,40,64,96,128,192,256])::INT AS least))""" + _judged("pr", "pv", _RX, _RY, "least") + f" SELECT image_id, least, {_ROUND4} FROM sc")
 def min_component_search(spark, d):
     return _rounded(tune.min_component_search(scene(spark, d), 2).select("image_id", "least", *_TUNED), _TUNED)
 
 
-@query()
+_LOCAL = BASE + _square("ref", "rb", 2, "s") + f""", c AS (SELECT unnest([-18,-10,-4,0,4,10,18])::INT AS delta),
+pv AS (SELECT image_id, y, x, w, h, ref, neg, excl, rb, delta, (excl=0 AND dark/255.0::DOUBLE*20/120+ridge/255.0::DOUBLE*55/120+color/255.0::DOUBLE*25/120+dendrite/255.0::DOUBLE*20/120 >= 0.76-(62+delta)/100.0::DOUBLE*0.50)::INT AS pr FROM rb_t CROSS JOIN c),
+l1 AS (SELECT *, max(pr) OVER (PARTITION BY image_id, delta, y ORDER BY x RANGE BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS hx FROM pv), l2 AS (SELECT *, max(hx) OVER (PARTITION BY image_id, delta, x ORDER BY y RANGE BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS hit FROM l1),
+l3 AS (SELECT image_id, {_RX} AS rx, {_RY} AS ry, delta, sum(ref) AS ref, count(*) FILTER (ref=1 AND hit=1) AS got, count(*) FILTER (pr=1 AND rb=1) AS good, count(*) FILTER (pr=1 AND (rb=1 OR neg=1)) AS every FROM l2 WHERE excl=0 GROUP BY 1,2,3,4),
+l4 AS (SELECT *, CASE WHEN ref>0 THEN got::DOUBLE/ref ELSE 0 END AS recall, CASE WHEN every>0 THEN good::DOUBLE/every ELSE 0 END AS prec FROM l3),
+l5 AS (SELECT *, CASE WHEN prec+recall>0 THEN 2*prec*recall/(prec+recall) ELSE 0 END-0.035*abs(delta)/18 AS adj FROM l4 WHERE ref>=5),
+l6 AS (SELECT *, max(adj) FILTER (delta=0) OVER (PARTITION BY image_id, rx, ry) AS adj0, max(recall) FILTER (delta=0) OVER (PARTITION BY image_id, rx, ry) AS rec0 FROM l5),
+lc AS (SELECT image_id, rx, ry, delta, adj-adj0 AS gain FROM l6 WHERE delta=0 OR (recall>=rec0-0.02 AND adj-adj0>=0.001) QUALIFY row_number() OVER (PARTITION BY image_id, rx, ry ORDER BY round(adj,9) DESC, round(recall,9) DESC, delta<>0, delta)=1)"""
+
+
+@query(_LOCAL + " SELECT image_id, rx, ry, delta, round(gain, 9) AS gain FROM lc")
 def local_sensitivity(spark, d):
     return _rounded(tune.local_choice(tune.local_scores(scene(spark, d), CONF, 2), least_reference=5), ("gain",))
 
 
+_GUARD_SIDES = """WITH f AS (SELECT event_id, user_id, value, abs(value)%1 AS u, event_id%11/1000.0::DOUBLE-0.005 AS da, event_id%13/1000.0::DOUBLE-0.006 AS db, event_id%7/1000.0::DOUBLE-0.003 AS dc, event_id%5/100.0::DOUBLE-0.02 AS dd, event_id%9-4 AS de FROM events),
+g AS (SELECT event_id, 0.5+u/4 AS recall0, 0.5+u/4+da AS recall1, u/5 AS leak0, u/5+db AS leak1, CASE WHEN user_id%3>0 THEN u END AS f0, CASE WHEN user_id%3>0 THEN u+dc END AS f1, (user_id%4)::BIGINT AS regions, u AS c0, u+dd AS c1, (user_id%10)::BIGINT AS o0, (user_id%10+de)::BIGINT AS o1, 1+u AS r0, 1+u+dc AS r1 FROM f),
+p AS (SELECT *, coalesce(f0, 0.72*recall0+0.28*(1-leak0)) AS p0, coalesce(f1, 0.72*recall1+0.28*(1-leak1)) AS p1 FROM g)"""
+
+
+def _guard_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """An evaluation before and after for each event, from its numbers."""
+    e = F.col("event_id")
+    step = lambda n, by, off: e % n / by - off
+    f = _t(spark, d, "events").select("event_id", "user_id", (F.abs("value") % 1).alias("u"), step(11, 1000.0, 0.005).alias("da"), step(13, 1000.0, 0.006).alias("db"), step(7, 1000.0, 0.003).alias("dc"), step(5, 100.0, 0.02).alias("dd"), (e % 9 - 4).alias("de"))
+    u, zero = F.col("u"), F.lit(0.0)
+
+    def side(da, db, dc, dd, de):
+        recall, leak, f1 = 0.5 + u / 4 + da, u / 5 + db, F.when(F.col("user_id") % 3 > 0, u + dc)
+        return F.struct(recall.alias("recall"), leak.alias("macro_leakage"), f1.alias("roi_f1"), (F.col("user_id") % 4).alias("regions"), (u + dd).alias("weighted_closure"), (F.col("user_id") % 10 + de).alias("open_after_max"), (1 + u + dc).alias("mean_required_radius"), pixel.primary_score(f1, recall, leak).alias("primary"))
+
+    return f.select("event_id", side(zero, zero, zero, zero, F.lit(0)).alias("before"), side(*(F.col(c) for c in ("da", "db", "dc", "dd", "de"))).alias("after"))
+
+
+@query(_GUARD_SIDES + """ SELECT event_id, CASE WHEN recall1-recall0 < -0.005 THEN 'positive-recall-regression' WHEN leak1-leak0 > 0.005 THEN 'macro-negative-leakage-regression' WHEN f1-f0 < -0.002 THEN 'verified-roi-f1-regression'
+ WHEN regions>0 AND c1-c0 < -0.01 THEN 'weighted-closure-regression' WHEN regions>0 AND o1-o0 > 3 THEN 'open-at-3-regression' END AS reason FROM p""")
+def stage_guard(spark, d):
+    return _guard_pairs(spark, d).select("event_id", tune.stage_reason().alias("reason"))
+
+
+@query(_GUARD_SIDES + """ SELECT event_id, recall1-recall0 >= -0.001 AND leak1-leak0 <= 0.001 AND coalesce(f1-f0 >= -0.001, true) AND CASE WHEN regions>0 THEN c1-c0 > 0.00025 OR o1-o0 < 0 OR r1-r0 < -0.002 ELSE p1-p0 > 0.001 END AS passes FROM p""")
+def gap_guard(spark, d):
+    return _guard_pairs(spark, d).select("event_id", tune.gap_passes().alias("passes"))
+
+
 _MEASURED = [(0, 0, 0, 0), (0, 1, 0, 10), (0, 3, 3, -18), (1, 2, 2, 4), (1, 2, 3, 0), (1, 0, 3, 18)]
 
 
@@ -513,7 +617,9 @@ def calibration_fill(spark, d):
     return tune.calibration_fill(m).withColumn("value", F.round(F.col("value").cast("double"), 6))
 
 
-@query()
+@query(_LOCAL + """, gr AS (SELECT sz.image_id, (i%4)::INT AS rx, (i//4)::INT AS ry FROM sz, range(16) t(i)),
+q AS (SELECT gr.image_id, gr.rx, gr.ry, delta::DOUBLE AS v, (gr.rx-lc.rx)*(gr.rx-lc.rx)+(gr.ry-lc.ry)*(gr.ry-lc.ry) AS d2 FROM gr LEFT JOIN lc ON lc.image_id=gr.image_id AND (gr.rx-lc.rx)*(gr.rx-lc.rx)+(gr.ry-lc.ry)*(gr.ry-lc.ry)<=2)
+SELECT image_id, rx, ry, round(coalesce(max(v) FILTER (d2=0), sum(v/d2) FILTER (d2>0)/(1.5+sum(1.0/d2) FILTER (d2>0)), 0)::FLOAT::DOUBLE, 6) AS value, coalesce(bool_or(d2=0), false) AS measured FROM q GROUP BY 1,2,3""")
 def calibration_fill_measured(spark, d):
     """The calibration measured on the tables' rasters, of every image."""
     s = scene(spark, d)

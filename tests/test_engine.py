@@ -666,7 +666,7 @@ def test_sinks(spark, tmp_path):
         assert f.namelist() == ["a.json", "ü.txt"] and f.testzip() is None
     with pytest.raises(ValueError):
         sinks.stored_zip([("a", b""), ("a", b"")], dt.datetime(2024, 1, 1))
-    colours = df.withColumn("rgba", sinks.boundary_overlay(F.col("m")))
+    colours = df.withColumn("rgba", sinks.boundary_overlay(F.col("m") == 1))
     assert sinks.write_pngs(colours, str(tmp_path / "png")).first().png[:8] == b"\x89PNG\r\n\x1a\n"
     path = str(tmp_path / "auto")
     sinks.autosave(spark.createDataFrame([("ab", "1"), ("cd", "2")], "key string, document string"), path)
