@@ -51,6 +51,18 @@ def replay(deltas: DataFrame, cursor: int | None = None) -> DataFrame:
     return d.groupBy("layer", "x", "y").agg(F.max_by("after", "seq").alias("v")).where("v = 1").select("layer", "x", "y")
 
 
+def replays(deltas: DataFrame, cursors: list[int]) -> DataFrame:
+    """(cursor, layer, x, y): replay() at several cursors, from one pass over the log."""
+    at = lambda c: F.max_by("after", F.when(F.col("seq") <= c, F.col("seq")))
+    g = deltas.groupBy("layer", "x", "y").agg(F.array(*[F.struct(F.lit(c).cast("long").alias("cursor"), at(c).alias("v")) for c in cursors]).alias("s"))
+    return g.select("layer", "x", "y", F.explode("s").alias("s")).where("s.v = 1").select("s.cursor", "layer", "x", "y")
+
+
+def clear_all(state: DataFrame, seq: int) -> DataFrame:
+    """The deltas that empty all layers of a state (layer, x, y) at once; an empty layer has none."""
+    return state.select(F.lit(seq).cast("long").alias("seq"), "layer", "x", "y", F.lit(1).alias("before"), F.lit(0).alias("after"))
+
+
 def cursor_after(commands: DataFrame) -> DataFrame:
     """Per session, the state of the two stacks after its commands (session, ord, command, seq): edit, undo, redo.
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..conf import Params
 from ..functions.pixel import edge_sides, js_round, opposite_edges
 from .components import closed_regions, label_pixels, pixels_of
-from .windows import dilate
+from .windows import dilate, separable_many
 
 U32 = 0xFFFFFFFF  # the multipliers below are fixed values
 
@@ -113,3 +113,34 @@ def spatial_holdout(px: DataFrame, mask: str = "ref", fraction: float = 0.2, col
 
     rank = F.struct(F.aggregate("cells", start, add)["tie"], F.col("subset"))
     return s.groupBy("image_id").agg(F.min_by(F.struct("subset", "pixels", "many"), rank).alias("b")).select("image_id", "b.subset", "b.pixels", F.col("b.many").alias("cells"))
+
+
+def negative_holdout(px: DataFrame, seeds: DataFrame, conf: Params, line: str = "neg_line", radius: int = 2, fraction: float = 0.2, least: int = 20) -> DataFrame:
+    """px with neg_tune and neg_validation (0/1): negatives drawn by hand (``line``) and closed regions, each held out as wholes. Needs ref, w and h.
+
+    Lines are split by component and widened by ``radius`` if the held out ones have ``least`` pixels, closed regions if any is held out; what isn't
+    split is for tuning. Neither covers the reference. An image whose validation has fewer than ``least`` pixels in all has none.
+    """
+    key = ["image_id", "y", "x"]
+    comps = component_holdout(px, line, fraction).where("validation")
+    enough = comps.groupBy("image_id").agg(F.sum("size").alias("n")).where(F.col("n") >= least).select("image_id")
+    held = comps.join(enough, "image_id", "left_semi").select("image_id", "root", F.lit(1).alias("_held"))
+    drawn = label_pixels(px.select(*key, line), F.col(line) == 1, 8).join(held, ["image_id", "root"], "left").select(*key, F.coalesce("_held", F.lit(0)).alias("_held"))
+    regions = closed_regions(px, conf.fill_safety)
+    ok = region_holdout(classify_seeds(px, seeds, conf, regions).where("reason IS NULL"), fraction)
+    closed = pixels_of(regions[0].join(ok.select("image_id", "root", F.col("validation").cast("int").alias("_out")), ["image_id", "root"]), "_out")
+    df = px.join(drawn, key, "left").join(closed, key, "left")
+    df = separable_many(df, {"_mt": (F.coalesce(1 - F.col("_held"), F.lit(0)), radius, F.max), "_mv": (F.coalesce("_held", F.lit(0)), radius, F.max), "_safe": ("ref", conf.fill_safety, F.max)})
+    free, fill = F.col("ref") == 0, F.col("_out").isNotNull() & (F.col("_safe") == 0)
+    tune, validation = free & ((F.col("_mt") == 1) | (fill & (F.col("_out") == 0))), free & ((F.col("_mv") == 1) | (fill & (F.col("_out") == 1)))
+    df = df.withColumns({"neg_tune": F.coalesce(tune, F.lit(False)).cast("int"), "neg_validation": F.coalesce(validation, F.lit(False)).cast("int")}).drop("_held", "_out", "_mt", "_mv", "_safe")
+    fine = df.groupBy("image_id").agg(F.sum("neg_validation").alias("n")).where(F.col("n") >= least).select("image_id", F.lit(1).alias("_fine"))
+    df = df.join(fine, "image_id", "left")
+    return df.withColumn("neg_validation", F.col("neg_validation") * F.coalesce("_fine", F.lit(0))).drop("_fine")
+
+
+def holdout_summary(split: DataFrame) -> DataFrame:
+    """(image_id, tuning_pixels, validation_pixels, mode) of negative_holdout()."""
+    g = split.groupBy("image_id").agg(F.sum("neg_tune").alias("tuning_pixels"), F.sum("neg_validation").alias("validation_pixels"))
+    mode = F.when(F.col("validation_pixels") > 0, "independent-region-holdout").when(F.col("tuning_pixels") > 0, "validation-unavailable").otherwise("no-negative-labels")
+    return g.withColumn("mode", mode)

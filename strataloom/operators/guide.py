@@ -107,9 +107,9 @@ def spaced(candidates: DataFrame, count: int = 3) -> DataFrame:
     return g.select("image_id", F.posexplode("s").alias("i", "v")).select("image_id", (F.col("i") + 1).alias("selection_rank"), "v.rx", "v.ry")
 
 
-def active(regions: DataFrame, occupied: DataFrame, verified: Column, count: int = 3, rollback: bool = False) -> DataFrame:
-    """The chosen cells with role and score."""
-    s = active_scores(regions, occupied, verified, rollback)
+def active(regions: DataFrame, occupied: DataFrame, verified: Column, count: int = 3, rollback: bool = False, most: int = 9) -> DataFrame:
+    """The chosen cells with role and score; none once ``most`` ROIs are verified."""
+    s = active_scores(regions, occupied, verified, rollback).where(verified < most)
     order = Window.partitionBy("image_id").orderBy(F.desc(F.round("score", 9)), "ry", "rx")
     s = s.withColumn("rank", F.row_number().over(order))
     return s.join(spaced(s, count), ["image_id", "rx", "ry"]).select("image_id", "selection_rank", "rx", "ry", "role", "score")

@@ -47,9 +47,9 @@ def project_documents(masks: DataFrame, settings: dict, extra: list[str] | None
 
 
 def read_projects(documents: DataFrame, schema: str) -> DataFrame:
-    """Documents parsed by a schema, with ``error`` where the format, version or sizes are wrong (null where usable)."""
+    """Documents parsed by a schema, with ``error`` where format or version are wrong (null where usable). projects.restore() checks image and size too."""
     d = documents.withColumn("p", F.from_json("document", schema))
-    error = F.when(F.col("p").isNull() | F.col("p.format").isNull(), "not a project").when(F.col("p.format") != PROJECT_FORMAT, "another format").when(F.col("p.formatVersion") > PROJECT_VERSION, "a newer version")
+    error = F.when(F.col("p").isNull() | F.col("p.format").isNull(), "not a project").when(F.col("p.format") != PROJECT_FORMAT, "another format").when(~F.col("p.formatVersion").eqNullSafe(PROJECT_VERSION), "another version")
     return d.withColumn("error", error)
 
 

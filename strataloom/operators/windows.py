@@ -66,6 +66,11 @@ def box_means(df: DataFrame, values: dict[str, Column], radius: int) -> DataFram
     return df.withColumns({k: F.avg(f"_r_{k}").over(along_y(-radius, radius)).cast("float") for k in values}).drop(*(f"_r_{k}" for k in values))
 
 
+def prefix_sum(df: DataFrame, value: Column, out: str, radius: int) -> DataFrame:
+    """prefix_sums() of one column."""
+    return prefix_sums(df, {out: value}, radius)
+
+
 def prefix_sums(df: DataFrame, values: dict[str, Column], radius: int) -> DataFrame:
     """Sums over the square by differences of running sums: linear however large the radius, two exchanges for all columns.
 

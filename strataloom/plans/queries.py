@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..conf import Params
 from ..functions import pixel
-from ..operators import annotations, boundary, components, edits, features, fills, guide, labels, metrics, sinks, topology, tune, windows
+from ..operators import annotations, boundary, components, edits, features, fills, guide, labels, metrics, projects, sinks, topology, tune, windows
 from ..sources import raster
 from ..streaming import live
 from .session import Session
@@ -726,9 +726,18 @@ def _edits(spark: SparkSession, d: str) -> DataFrame:
 _EDITS = "SELECT event_id AS seq, event_type AS layer, (user_id%64)::INT AS x, (abs(floor(value))%48)::INT AS y, (event_id%3>0)::INT AS after FROM events"
 
 
-@query(f"WITH e AS ({_EDITS}) SELECT layer, x, y FROM (SELECT *, row_number() OVER (PARTITION BY layer, x, y ORDER BY seq DESC) AS k FROM e WHERE seq <= 5000) WHERE k=1 AND after=1")
+@query(f"WITH e AS ({_EDITS}), c AS (SELECT unnest([max(seq)//4, max(seq)//2, max(seq)]) AS cursor FROM e) SELECT cursor, layer, x, y FROM (SELECT *, row_number() OVER (PARTITION BY cursor, layer, x, y ORDER BY seq DESC) AS k FROM e JOIN c ON seq <= cursor) WHERE k=1 AND after=1")
 def edit_log_replay(spark, d):
-    return edits.replay(_edits(spark, d), 5000)
+    """The states at undo cursors after a quarter, half and all of the log."""
+    e = _edits(spark, d)
+    last = e.agg(F.coalesce(F.max("seq"), F.lit(0)).alias("m")).first().m
+    return edits.replays(e, [last // 4, last // 2, last])
+
+
+@query(f"WITH e AS ({_EDITS}), n AS (SELECT layer, x, y FROM (SELECT *, row_number() OVER (PARTITION BY layer, x, y ORDER BY seq DESC) AS k FROM e) WHERE k=1 AND after=1) SELECT layer, min(x) AS x0, min(y) AS y0, max(x) AS x1, max(y) AS y1, count(*) AS changed FROM n GROUP BY 1")
+def clear_all(spark, d):
+    """Emptying all layers: what changes, and where."""
+    return edits.bounds(edits.clear_all(edits.replay(_edits(spark, d)), 1 << 40)).drop("seq")
 
 
 @query(f"WITH e AS ({_EDITS}) SELECT layer, x, y FROM (SELECT *, row_number() OVER (PARTITION BY layer, x, y ORDER BY seq DESC) AS k FROM e) WHERE k=1 AND after=1")
@@ -816,9 +825,11 @@ def mask_bitset_roundtrip(spark, d):
     return u.groupBy("image_id").agg(F.count("*").alias("n"), F.sum("bit").cast("long").alias("set_bits"), F.sum(F.col("bit") * (F.col("y") * F.col("w") + F.col("x"))).cast("long").alias("checksum"))
 
 
-@query("SELECT doc_id, sha256(length(text)::VARCHAR || substr(text,1,64) || substr(text,(greatest(0,length(text)//2-32)+1)::INT,64) || substr(text,greatest(0,length(text)-64)+1,64)) AS fingerprint FROM documents")
+@query("SELECT doc_id, sha256(length(text)::VARCHAR || '|' || (doc_id%97+1)::VARCHAR || '|' || (doc_id%89+1)::VARCHAR || '|24' || substr(text,1,65536) || substr(text,(greatest(0,length(text)//2-32768)+1)::INT,65536) || substr(text,greatest(0,length(text)-65536)+1,65536)) AS fingerprint FROM documents")
 def source_fingerprint(spark, d):
-    return _t(spark, d, "documents").select("doc_id", raster.fingerprint_of(F.col("text"), F.char_length("text"), 64).alias("fingerprint"))
+    """With a description of size, width, height and bits, as a bitmap's."""
+    meta = F.concat_ws("|", F.char_length("text"), F.col("doc_id") % 97 + 1, F.col("doc_id") % 89 + 1, F.lit(24))
+    return _t(spark, d, "documents").select("doc_id", raster.fingerprint_of(F.col("text"), F.char_length("text"), meta=meta).alias("fingerprint"))
 
 
 @query("SELECT doc_id, sha256(length(text)::VARCHAR || substr(text,1,65536) || substr(text,(greatest(0,length(text)//2-32768)+1)::INT,65536) || substr(text,greatest(0,length(text)-65536)+1,65536)) AS fingerprint FROM documents")
@@ -842,6 +853,37 @@ def project_documents(spark, d):
     return sinks.project_documents(sinks.pack_mask(scene(spark, d), "pred"), CONF.to_settings())
 
 
+@query(BASE + " SELECT image_id, sum(ref)::BIGINT AS ref, sum(neg)::BIGINT AS neg, sum(rb)::BIGINT AS ref_band, 10::BIGINT AS seeds, 3::BIGINT AS rects, sum(CASE WHEN ref=1 THEN y*w+x ELSE 0 END)::BIGINT AS checksum FROM rb_t GROUP BY 1".replace(" SELECT", _square("ref", "rb", 2, "s") + " SELECT", 1))
+def project_round_trip(spark, d):
+    """Whole sessions written as project documents and restored: what comes back."""
+    s = windows.dilate(scene(spark, d), "ref", "ref_band", 2).withColumn("neg_band", F.col("neg"))
+    images = s.groupBy("image_id").agg(F.first("w").alias("w"), F.first("h").alias("h")).withColumns({"scale": F.lit(1.0), "fingerprint": F.sha2(F.col("image_id").cast("string"), 256)})
+    back = projects.restore(projects.snapshot(images, s, "{}", seeds(spark, s), rects(spark, s), rects(spark, s)), images)
+    n = None
+    for name in ("ref", "neg", "ref_band"):
+        part = projects.restored_mask(back, name).join(images.select("image_id", "w"), "image_id").groupBy("image_id").agg(F.sum(name).cast("long").alias(name), F.sum(F.col(name) * (F.col("y") * F.col("w") + F.col("x"))).cast("long").alias(f"sum_{name}"))
+        n = part if n is None else n.join(part, "image_id")
+    n = n.join(projects.restored_seeds(back).groupBy("image_id").agg(F.count("*").alias("seeds")), "image_id").join(projects.restored_rects(back, "exclusionRects").groupBy("image_id").agg(F.count("*").alias("rects")), "image_id")
+    return n.select("image_id", "ref", "neg", "ref_band", "seeds", "rects", F.col("sum_ref").alias("checksum"))
+
+
+@query("""SELECT event_id, CASE WHEN event_id%7=0 THEN 'not a project' WHEN event_id%5=0 THEN 'another version' WHEN event_id%11=0 THEN 'no preview' WHEN event_id%3=0 AND user_id%2=1 THEN 'another image' WHEN event_id%4=0 THEN 'another size' END AS error FROM events""")
+def project_checks(spark, d):
+    """Documents with and without faults, against the images they are for."""
+    e = _t(spark, d, "events")
+    fault = lambda n: F.col("event_id") % n == 0
+    doc = F.to_json(F.struct(F.when(fault(7), "other").otherwise(sinks.PROJECT_FORMAT).alias("format"), F.when(fault(5), 9).otherwise(sinks.PROJECT_VERSION).alias("formatVersion"), F.struct(F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("f"), F.col("user_id") % 2)).alias("fingerprint")).alias("source"), F.struct(F.when(fault(11), 0).when(fault(4), 5).otherwise(8).alias("width"), F.lit(6).alias("height")).alias("preview")))
+    documents = e.select(F.col("event_id").alias("image_id"), doc.alias("document"))
+    images = e.select(F.col("event_id").alias("image_id"), F.lit(8).alias("w"), F.lit(6).alias("h"), F.lit("f0").alias("fingerprint"))
+    return projects.restore(documents, images).select(F.col("image_id").alias("event_id"), "error")
+
+
+@query()
+def negative_holdout(spark, d):
+    s = scene(spark, d).withColumns({"neg_line": F.when((F.col("x") % 8 == 4) & (F.col("y") % 8).between(2, 6), 1).otherwise(0), "ref": F.col("grid")})
+    return fills.holdout_summary(fills.negative_holdout(s, seeds(spark, s), _FILL_CONF, radius=1))
+
+
 @query()
 def diagnostic_report(spark, d):
     s = scene(spark, d)
