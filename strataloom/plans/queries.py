@@ -657,10 +657,34 @@ def gap_bridge_extended(spark, d):
     return _rounded(topology.bridge(s, CONF, "extended", s).drop("path"), ("distance", "alignment", "score", "evidence"))
 
 
-@query()
+def _spread(mask: str, frm: str, tag: str) -> str:
+    """CTE cc{tag} (image_id, p, root) of 4-connected components, through neighbours looked up by their place."""
+    return f""", m{tag} AS (SELECT image_id, y, x, y*w+x AS p FROM {frm} WHERE {mask}),
+adj{tag} AS (SELECT a.image_id, a.p AS u, b.p AS v FROM m{tag} a CROSS JOIN (VALUES (0,1),(0,-1),(1,0),(-1,0)) o(dy,dx) JOIN m{tag} b ON b.image_id=a.image_id AND b.y=a.y+dy AND b.x=a.x+dx),
+cc{tag}(image_id, p, root) USING KEY (image_id, p) AS (SELECT image_id, p, p FROM m{tag} UNION SELECT j.image_id, j.v, min(c.root) FROM cc{tag} c JOIN adj{tag} j ON j.image_id=c.image_id AND j.u=c.p JOIN recurring.cc{tag} e ON e.image_id=j.image_id AND e.p=j.v WHERE c.root<e.root GROUP BY 1,2)"""
+
+
+_CLOSURE = (
+    BASE
+    + ", pr AS (SELECT * REPLACE ((grid=1 AND NOT (x%8=4 AND y%16=8))::INT AS pred), (grid=0)::INT AS fl FROM s)"
+    + _square("pred", "w1", 1, "pr") + _square("pred", "w2", 2, "w1_t") + _square("pred", "w3", 3, "w2_t") + _square("fl", "cr", 1, "w3_t", "min")
+    + _spread("cr=1 AND x>0 AND y>0 AND x<w-1 AND y<h-1", "cr_t", "a")
+    + ", ws AS (SELECT {image_id: image_id, r: k} AS image_id, y, x, w, h, CASE k WHEN 0 THEN pred WHEN 1 THEN w1 WHEN 2 THEN w2 ELSE w3 END AS wall FROM cr_t CROSS JOIN (SELECT unnest([0,1,2,3])::INT AS k))"
+    + _spread("wall=0", "ws", "b")
+    + """, bg AS (SELECT ws.image_id.image_id AS image_id, ws.image_id.r AS r, y*w+x AS p, max((x=0 OR y=0 OR x=w-1 OR y=h-1)::INT) OVER (PARTITION BY ws.image_id, root) AS edge FROM ws JOIN ccb ON ccb.image_id=ws.image_id AND ccb.p=y*w+x),
+co AS (SELECT image_id, p, root, count(*) OVER (PARTITION BY image_id, root) AS n FROM cca),
+st AS (SELECT co.image_id, rr.r, root, coalesce(max(edge), 0) AS open FROM co CROSS JOIN (SELECT unnest([0,1,2,3])::INT AS r) rr LEFT JOIN bg ON bg.image_id=co.image_id AND bg.r=rr.r AND bg.p=co.p WHERE n>=4 GROUP BY 1,2,3),
+pf AS (SELECT image_id, r, count(*) AS regions, count(*) FILTER (open=0) AS closed FROM st GROUP BY 1,2),
+nw AS (SELECT *, greatest(0, closed-coalesce(max(closed) OVER (PARTITION BY image_id ORDER BY r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS fresh FROM pf),
+sm AS (SELECT image_id, min(regions) AS regions, avg(closed::DOUBLE/regions) AS weighted_closure, greatest(0, min(regions)-max(closed)) AS left_, sum(fresh*r) AS need, '{' || string_agg('"' || r || '":' || fresh, ',' ORDER BY r) AS hist FROM nw GROUP BY 1)"""
+)
+
+
+@query(_CLOSURE + """ SELECT image_id, regions, round(weighted_closure, 9) AS weighted_closure, round((need+left_*4)::DOUBLE/regions, 9) AS mean_required_radius, 3 AS max_radius, left_ AS open_after_max, hist || ',">3":' || left_ || '}' AS histogram FROM sm""")
 def closure_profile(spark, d):
     s = scene(spark, d).withColumns({"pred": ((F.col("grid") == 1) & ~((F.col("x") % 8 == 4) & (F.col("y") % 16 == 8))).cast("int"), "fill": (F.col("grid") == 0).cast("int"), "border_fill": F.lit(0)})
-    return topology.profile_summary(topology.closure_profile(s, CONF.with_(core_erosion=1, min_core_pixels=4))).withColumn("histogram", F.to_json("histogram"))
+    p = topology.profile_summary(topology.closure_profile(s, CONF.with_(core_erosion=1, min_core_pixels=4))).withColumn("histogram", F.to_json("histogram"))
+    return _rounded(p, ("weighted_closure", "mean_required_radius"))
 
 
 @query()
