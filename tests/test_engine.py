@@ -82,6 +82,18 @@ def test_chebyshev(spark):
             assert got[y, x] == (d if d <= 4 else -1)
 
 
+def walled(mask, wall):
+    """Distances by the two raster passes, pixel by pixel; walls are in the way."""
+    h, w = mask.shape
+    d = np.where((mask == 1) & (wall == 0), 0, h + w + 1)
+    for order, near in ((1, ((0, -1), (-1, 0), (-1, -1), (-1, 1))), (-1, ((0, 1), (1, 0), (1, -1), (1, 1)))):
+        for y in range(h)[::order]:
+            for x in range(w)[::order]:
+                if d[y, x] and not wall[y, x]:
+                    d[y, x] = min([d[y, x], *(d[y + b, x + a] + 1 for b, a in near if 0 <= y + b < h and 0 <= x + a < w)])
+    return d
+
+
 def test_distances_reach_the_review_radius(spark, tmp_path):
     """The registered queries see pixels up to 18 away, against brute force."""
     h, w, at = 45, 64, [(3, 10), (30, 12), (38, 60)]  # thin pixels (y, x); g is 0 there and 255 elsewhere
@@ -94,7 +106,9 @@ def test_distances_reach_the_review_radius(spark, tmp_path):
     assert got == {k: int((d == k).sum()) for k in range(19)}
     ys, xs = np.mgrid[:h, :w]
     excl = (xs >= 3) & (xs <= 9) & (ys >= 2) & (ys <= 6)
-    far = d[((xs + 2 * ys) % 17 == 0) & ~excl]
+    thin = np.zeros((h, w), int)
+    thin[tuple(zip(*at, strict=True))] = 1
+    far = walled(thin, excl.astype(int))[((xs + 2 * ys) % 17 == 0) & ~excl]
     near = np.sort(far[far <= 18])
     r = queries.queries()["alignment_summary_review"](spark, str(tmp_path)).first()
     rank = lambda q: near[math.floor((len(near) - 1) * q + 0.5)]
@@ -758,3 +772,50 @@ def test_optimize_never_loses(spark):
     assert [t["stage"] for t in trace][:2] == ["baseline", "global"] and {t["stage"] for t in trace} >= {"safe", "extended"}
     kept = [t for t in trace if t.get("accepted", True)]
     assert kept[-1]["primary"] >= trace[0]["primary"] - 0.002 and mask.count() == 36 * 36
+
+
+def test_negative_holdout(spark):
+    """Lines and closed regions go to one side as wholes; both sides together are all negatives, less the reference."""
+    ref = np.zeros((60, 64), int)
+    for y, x in ((4, 4), (4, 34), (32, 4)):
+        ref[y : y + 21, [x, x + 21]] = 1
+        ref[[y, y + 20], x : x + 22] = 1
+    line = np.zeros_like(ref)
+    line[30, 5:45] = line[56, 5:45] = line[33:55, 60] = 1
+    s = frame(spark, ref=ref, neg_line=line)
+    seeds = spark.createDataFrame([(0, k, x + 10, y + 10, False) for k, (y, x) in enumerate(((4, 4), (4, 34), (32, 4)))], "image_id int, ord int, x int, y int, border_assisted boolean")
+    conf = Params(fill_safety=1)
+    got = fills.negative_holdout(s, seeds, conf, radius=1)
+    tune, held = plane(got, "neg_tune", ref.shape, int), plane(got, "neg_validation", ref.shape, int)
+    fill = plane(fills.fill_mask(s, seeds, conf), "fill", ref.shape, int)
+    assert ((tune | held) == ((window(line, 1, np.max) | fill) & (1 - ref))).all() and not (tune & held).any() and tune.any()
+    assert held.sum() >= 20 and len({int(tune[y + 10, x + 10]) for y, x in ((4, 4), (4, 34), (32, 4))}) == 2
+    assert fills.holdout_summary(got).first().mode == "independent-region-holdout"
+    none = fills.negative_holdout(s.withColumn("neg_line", F.lit(0)), seeds.limit(0), conf)
+    assert fills.holdout_summary(none).first().asDict() == {"image_id": 0, "tuning_pixels": 0, "validation_pixels": 0, "mode": "no-negative-labels"}
+
+
+def test_walled_distance(spark):
+    """The two passes with exclusions in the way, against the passes pixel by pixel, over several tiles."""
+    h, w, far = 23, 41, 9
+    mask, wall = noise(4, (h, w), 0.03), noise(9, (h, w), 0.25)
+    d = walled(mask, wall)
+    got = plane(windows.chebyshev_distance(frame(spark, m=mask, e=wall), "m", "d", far, "e"), "d", (h, w), int)
+    assert (got == np.where(d <= far, d, -1)).all()
+
+
+def test_windows_share_their_exchanges(spark):
+    """Whatever the number of columns: two exchanges for the label bands, two for the local contrast."""
+    s = frame(spark, pred=noise(1, (9, 9)), ref=noise(2, (9, 9)), neg=noise(3, (9, 9)), excl=noise(4, (9, 9)), luma=noise(5, (9, 9)).astype(float))
+    for df in (labels.with_bands(s, 2), windows.local_dark(s, F.col("luma"), "o", 3, 0.7)):
+        assert df._jdf.queryExecution().executedPlan().toString().count("Exchange") == 2
+
+
+def test_prefix_sums_with_holes(spark):
+    """Frames go by coordinate: a missing pixel counts as nothing and shifts nothing."""
+    v, there = np.random.default_rng(7).random((12, 15)), noise(8, (12, 15), 0.7)
+    df = frame(spark, v=v, there=there).where("there = 1")
+    got = plane(windows.prefix_sum(df, F.col("v"), "o", 2), "o", v.shape)
+    rows = np.array([[(v * there)[y, max(0, x - 2) : x + 3].sum() for x in range(15)] for y in range(12)])
+    want = np.array([[sum(rows[k, x] for k in range(max(0, y - 2), min(12, y + 3)) if there[k, x]) for x in range(15)] for y in range(12)])
+    assert (np.abs(got - want) < 1e-9)[there == 1].all()
