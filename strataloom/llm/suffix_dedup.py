@@ -11,9 +11,9 @@ prefix is compared again. In the merged order suffixes of one gram are neighbour
 rolling hashes, column by column. As all windows of an anchor overlap in its gram, what they cover is one span around it.
 
 A gram with very many classes (where a passage in a large share of all documents begins or ends) isn't gathered in one task: its
-window columns are halved until no task has more than ``crowd``. The windows of fewer columns have more bytes in common, their
-core: contexts that differ there part ways, those that differ only beyond the columns' reach fall together. They go through the
-same merge, behind their columns.
+window columns are parted until no task has more than ``crowd``: at the ends of what all its contexts share, by their common prefixes.
+The windows of fewer columns have more bytes in common, their core: contexts that differ there part ways, those that differ
+only beyond the columns' reach fall together. They go through the same merge, behind their columns.
 
 Defined cases: null or empty text: no bytes, nothing removed. Texts under ``length`` bytes lose nothing; very long ones are taken whole. Null
 ids and repeated rows: each row counts as a place of its own, and rows of the same id and text have the same result. Nothing hangs on
@@ -25,8 +25,10 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from functools import reduce
+from os.path import commonprefix
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -313,32 +315,53 @@ def contexts(keyed: DataFrame, wanted: DataFrame, length: int, gram: int) -> Dat
     return _at_rows(keyed, wanted, ("kh", "ch", "w")).mapInArrow(rows, MEMBERS)
 
 
-def halved(members: DataFrame, length: int) -> DataFrame:
-    """members for each half of their columns: contexts are cut to what these columns' windows cover, and have a longer core in common."""
+def parted(members: DataFrame, length: int) -> DataFrame:
+    """members for parts of their columns: contexts are cut to what a part's windows cover, and have a longer core in common.
+
+    The columns whose windows lie within what all contexts of a core share, by the common prefixes of the least and the greatest to either side,
+    are one part; those to its left and right are others, of which each window holds a byte in which the contexts part ways. Where all have too
+    little in common for that, the columns are halved.
+    """
+
+    @F.pandas_udf("int")
+    def common(a: pd.Series, b: pd.Series) -> pd.Series:
+        """Bytes that two strings in hexadecimal begin with."""
+        return pd.Series([len(commonprefix([x, y])) // 2 for x, y in zip(a, b, strict=True)], dtype="int32")
+
+    right, left = F.hex(F.substring("ctx", F.col("l") + 1, F.col("r"))), F.reverse(F.hex(F.substring("ctx", F.lit(1), F.col("l"))))
+    bounds = members.groupBy("core").agg(F.min(right).alias("r0"), F.max(right).alias("r1"), F.min(left).alias("l0"), F.max(left).alias("l1"), F.first("lo").alias("lo"), F.first("hi").alias("hi"))
+    known = bounds.select("core", "lo", "hi", F.greatest("lo", length - common("r0", "r1")).alias("a"), F.least("hi", common("l0", "l1")).alias("z"))
     half = F.floor((F.col("lo") + F.col("hi")) / 2).cast("int")
-    two = members.withColumn("half", F.explode(F.array(F.struct(F.col("lo").alias("a"), half.alias("z")), F.struct((half + 1).alias("a"), F.col("hi").alias("z")))))
-    lo, hi = F.col("half.a"), F.col("half.z")
-    left, right = F.least(hi, F.col("l")), F.least(length - lo, F.col("r"))
-    own = two.where(left + right >= length).select("kh", "ch", "w", lo.alias("lo"), hi.alias("hi"), left.alias("l"), right.alias("r"), F.substring("ctx", F.col("l") - left + 1, left + right).alias("ctx"))
+    part = lambda a, z: F.struct(a.cast("int").alias("a"), z.cast("int").alias("z"))
+    three = F.array(part(F.col("lo"), F.col("a") - 1), part(F.col("a"), F.col("z")), part(F.col("z") + 1, F.col("hi")))
+    two = F.array(part(F.col("lo"), half), part(half + 1, F.col("hi")))
+    wide = 4 * (F.col("z") - F.col("a") + 1) >= F.col("hi") - F.col("lo") + 1
+    parts, _ = store(known.select("core", F.filter(F.when(wide, three).otherwise(two), lambda p: p["a"] <= p["z"]).alias("parts")), "parts")
+    some = members.join(parts, "core").withColumn("part", F.explode("parts"))
+    lo, hi = F.col("part.a"), F.col("part.z")
+    left_, right_ = F.least(hi, F.col("l")), F.least(length - lo, F.col("r"))
+    own = some.where(left_ + right_ >= length).select("kh", "ch", "w", lo.alias("lo"), hi.alias("hi"), left_.alias("l"), right_.alias("r"), F.substring("ctx", F.col("l") - left_ + 1, left_ + right_).alias("ctx"))
     core = F.xxhash64(F.substring("ctx", F.col("l") - F.col("lo") + 1, F.lit(length) - F.col("hi") + F.col("lo")), "lo", "hi")
     return own.select(core.alias("core"), F.xxhash64("ctx", "l").alias("sub"), *[c.split()[0] for c in MEMBERS.split(", ")[2:]])
 
 
 def split_crowds(members: DataFrame, crowd: int, length: int) -> tuple[DataFrame | None, DataFrame | None]:
-    """Cores of more than ``crowd`` contexts, split by halves of their window columns until none is: (suffixes that need a merge, members they stand for).
+    """Cores of more than ``crowd`` contexts, split by parts of their window columns until none is: (suffixes that need a merge, members they stand for).
 
-    At half the columns, contexts have more bytes in common or part ways; many fall together. A single column's core is its window.
+    With fewer columns, contexts have more bytes in common or part ways; many fall together. A single column's core is its window.
     """
     settled, known = [], []
-    now = members
+    spark = members.sparkSession
+    now, old = members, None
     while now.take(1):
-        now, _ = store(halved(now, length), "halves")
-        subs = now.groupBy("core", "sub").agg(F.least(F.sum("w"), F.lit(2)).alias("n"), F.min(F.struct("lo", "hi", "l", "r", "ctx")).alias("at"))
-        subs, _ = store(subs, "subs")
-        sizes, _ = store(subs.groupBy("core").agg(F.sum("n").alias("m"), (F.first("at.lo") == F.first("at.hi")).alias("last")).where("m > 1").withColumn("done", (F.col("m") <= crowd) | F.col("last")), "cores")
-        settled.append(subs.join(sizes.where("done").select("core"), "core").select("core", "sub", "n", "at.*"))
-        known.append(now.select("core", "sub", "kh", "ch"))
-        now = now.join(sizes.where("NOT done").select("core"), "core", "left_semi")
+        parts, first = store(parted(now, length), "column-parts")
+        known.append(store(parts.select("core", "sub", "kh", "ch"), "members")[0])
+        subs, second = store(parts.groupBy("core", "sub").agg(F.least(F.sum("w"), F.lit(2)).alias("n"), F.min(F.struct("lo", "hi", "l", "r", "ctx")).alias("at")), "subs")
+        sizes, third = store(subs.groupBy("core").agg(F.sum("n").alias("m"), ((F.first("at.lo") == F.first("at.hi")) | (F.count("*") == 1)).alias("last")).where("m > 1").withColumn("done", (F.col("m") <= crowd) | F.col("last")), "cores")
+        settled.append(store(subs.join(sizes.where("done").select("core"), "core").select("core", "sub", "n", "at.*"), "settled")[0])
+        now, new = store(parts.join(sizes.where("NOT done").select("core"), "core", "left_semi"), "crowded")
+        drop_stored(spark, first, second, third, *([old] if old else []))
+        old = new
     if not settled:
         return None, None
     return reduce(DataFrame.unionByName, settled), reduce(DataFrame.unionByName, known)
@@ -360,7 +383,7 @@ def context_runs(settled: DataFrame, buckets: int, run_bytes: int = 16 << 20) ->
     return settled.mapInArrow(rows, RUNS)
 
 
-def spans(keyed: DataFrame, length: int = LENGTH, gram: int = GRAM, crowd: int = 1024) -> DataFrame:
+def spans(keyed: DataFrame, length: int = LENGTH, gram: int = GRAM, crowd: int = 16_384) -> DataFrame:
     """(did, th, spans): each row's spans as start << 32 | end, not merged; rows that lose nothing are absent."""
     spark = keyed.sparkSession
     small_batches(spark)
@@ -389,7 +412,7 @@ def spans(keyed: DataFrame, length: int = LENGTH, gram: int = GRAM, crowd: int =
     else:
         partial = partial.withColumnsRenamed({"core": "kh", "sub": "ch"})
     # all windows of an anchor overlap in its gram, so what they cover is one span
-    covered = partial.groupBy("kh", "ch").agg(F.max("l").alias("cl"), F.max("r").alias("cr"))
+    covered, _ = store(partial.groupBy("kh", "ch").agg(F.max("l").alias("cl"), F.max("r").alias("cr")), "covered")
     small_batches(spark)
     found = known.join(covered, ["kh", "ch"]).select("did", "th", (F.shiftleft((F.col("pos") - F.col("cl")).cast("long"), 32) + F.col("pos") + F.col("cr")).alias("span"))
     return store(found.groupBy("did", "th").agg(F.sort_array(F.collect_set("span")).alias("spans")), "row-spans")[0]
@@ -412,7 +435,7 @@ def _kept(text: bytes, start: np.ndarray, end: np.ndarray) -> list[bytes]:
     return [text[a:z] for a, z in zip(cuts[::2], cuts[1::2], strict=True)]
 
 
-def report(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, crowd: int = 1024) -> DataFrame:
+def report(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, crowd: int = 16_384) -> DataFrame:
     """A row of REPORT for each document."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -432,7 +455,7 @@ def report(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, crowd: int =
     return keyed.join(found, ["did", "th"], "left").select(F.col("doc_id").cast("long").alias("doc_id"), "text", "spans").mapInArrow(rows, REPORT)
 
 
-def strip(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, crowd: int = 1024) -> DataFrame:
+def strip(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, crowd: int = 16_384) -> DataFrame:
     """(doc_id, kept): what is left of each document's bytes. Cuts may fall inside a character."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
