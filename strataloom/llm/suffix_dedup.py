@@ -86,7 +86,7 @@ _BUCKET, _SUFFIX, _BEFORE, _CORE, _SUB = range(5)
 
 def common_prefixes(suffixes: list[bytes]) -> list[int]:
     """Length of the prefix that each of the sorted strings shares with the one before."""
-    out = [0]
+    out = [0] if suffixes else []
     for a, b in zip(suffixes, suffixes[1:], strict=False):
         out.append(shared_from(a, b, 0))
     return out
