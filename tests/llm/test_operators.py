@@ -697,6 +697,15 @@ def test_suffix_dedup_random(spark, crowd):
     assert rows_of(got) == sorted(brute_repeats(rows, 200), key=lambda r: tuple((x is None, str(x)) for x in r))
 
 
+def test_suffix_runs_of_empty_partitions(spark):
+    """A task without any suffix to give out gives none, on both ways into the merge."""
+    wanted = spark.createDataFrame([], "did long, th long, pos int, l int, r int, kh long, ch long")
+    keyed = spark.createDataFrame([(1, 2, b"x")], "did long, th long, text binary")
+    assert suffix_dedup.suffix_runs(keyed, wanted, 4, 200, 64).count() == 0
+    settled = spark.createDataFrame([(1, 2, 2, 0, 136, 0, 200, b"y" * 200)], "core long, sub long, n int, lo int, hi int, l int, r int, ctx binary")
+    assert suffix_dedup.context_runs(settled.repartition(3), 4).count() == 2
+
+
 def test_loser_tree():
     r = random.Random(1)
     runs = []
