@@ -720,6 +720,22 @@ def _regions(spark: SparkSession, d: str) -> DataFrame:
     return r.join(g, ["image_id", "rx", "ry"], "left")
 
 
+_RX8, _RY8 = _bounds(8, 8)
+
+
+@query(BASE + _bands(2) + f", cx AS (SELECT *, {_RX8} AS rx, {_RY8} AS ry FROM er), rg AS (" + RATIOS + f" (SELECT image_id, rx, ry, {COUNTERS} FROM cx GROUP BY GROUPING SETS ((image_id, rx, ry), (image_id)))))" + """,
+gl AS (SELECT image_id, recall AS g_recall FROM rg WHERE rx IS NULL), gm AS (SELECT image_id, coalesce(avg(leakage) FILTER (negative_pixels>0), 0) AS g_leak FROM rg WHERE rx IS NOT NULL GROUP BY 1),
+b AS (SELECT rg.*, g_recall, g_leak, greatest(1, (floor((rx+1)*w/8)-floor(rx*w/8))*(floor((ry+1)*h/8)-floor(ry*h/8))) AS area, matched_reference+false_negative AS refs, matched_prediction+false_positive+unknown_prediction AS preds, greatest(abs(rx-1), abs(ry-1)) AS dist, (rx*3+ry)%7 AS risk FROM rg JOIN gl USING (image_id) JOIN gm USING (image_id) JOIN sz USING (image_id) WHERE rx IS NOT NULL AND NOT (rx=1 AND ry=1)),
+v AS (SELECT *, preds/area AS dens, preds/area-refs/area*1.35 AS exc, CASE WHEN refs>=20 THEN greatest(0, g_recall-recall) ELSE 0 END AS rgap, CASE WHEN negative_pixels>=20 THEN greatest(0, leakage-g_leak) ELSE 0 END AS lgap, dist>=3 AS cov FROM b WHERE excluded_pixels/area<0.60),
+p AS (SELECT *, least(1, greatest(0, (rgap-0.05)/0.20)) AS p1, least(1, greatest(0, (lgap-0.03)/0.20)) AS p2, least(1, greatest(0, (exc-0.008)/0.05)) AS p3, least(1, greatest(0, (risk-3)/12.0)) AS p4, CASE WHEN cov THEN least(1, greatest(0, (dist-1)/4.0)) ELSE 0 END AS p5 FROM v WHERE rgap>0.05 OR lgap>0.03 OR (dens>0.015 AND exc>0.008) OR risk>=3 OR cov)
+SELECT image_id, rx, ry, CASE greatest(p1,p2,p3,p4,p5) WHEN p1 THEN 'low-recall' WHEN p2 THEN 'high-leakage' WHEN p3 THEN 'fp-suspect' WHEN p4 THEN 'local-risk' ELSE 'coverage' END AS role, round(p1*0.30+p2*0.25+p3*0.25+p4*0.12+p5*0.08, 6)::DOUBLE AS score FROM p""")
+def guide_scores(spark, d):
+    """Every cell worth labelling, with its role and score: what guide_active picks from."""
+    r = _regions(spark, d).withColumn("risk", (F.col("rx") * 3 + F.col("ry")) % 7)
+    o = r.select("image_id").distinct().withColumns({"rx": F.lit(1), "ry": F.lit(1)})
+    return _rounded(guide.active_scores(r, o, F.lit(1)).select("image_id", "rx", "ry", "role", "score"), ("score",), 6)
+
+
 @query()
 def guide_active(spark, d):
     r = _regions(spark, d)
