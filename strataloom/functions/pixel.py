@@ -146,16 +146,15 @@ def normalize_rect(x0: Column, y0: Column, x1: Column, y1: Column, width: int, h
     )
 
 
-def interpolated_delta(values: list[float], cols: int, rows: int, width: Column, height: Column) -> Column:
-    """Bilinear interpolation of a small calibration grid at a pixel; the grid is a literal."""
-    grid = F.array(*[F.lit(float(v)) for v in values])
+def grid_place(cols: int, rows: int, width: Column, height: Column) -> tuple[Column, Column, Column, Column]:
+    """Where a pixel lies in a grid of cell centres: the cell up and left of it, and the shares of the way to the next ones."""
     gx = clamp(F.col("x") / F.greatest(F.lit(1), width - 1) * cols - 0.5, 0, cols - 1)
     gy = clamp(F.col("y") / F.greatest(F.lit(1), height - 1) * rows - 0.5, 0, rows - 1)
-    x0, y0 = F.floor(gx).cast("int"), F.floor(gy).cast("int")
-    x1, y1 = F.least(x0 + 1, F.lit(cols - 1)), F.least(y0 + 1, F.lit(rows - 1))
-    at = lambda x, y: F.get(grid, y * cols + x)
-    sx, sy = gx - x0, gy - y0
-    return (at(x0, y0) * (1 - sx) + at(x1, y0) * sx) * (1 - sy) + (at(x0, y1) * (1 - sx) + at(x1, y1) * sx) * sy
+    return F.floor(gx).cast("int"), F.floor(gy).cast("int"), gx - F.floor(gx), gy - F.floor(gy)
+
+
+def bilinear(v00: Column, v10: Column, v01: Column, v11: Column, sx: Column, sy: Column) -> Column:
+    return (v00 * (1 - sx) + v10 * sx) * (1 - sy) + (v01 * (1 - sx) + v11 * sx) * sy
 
 
 def local_mask(value: Column, sensitivity: Column, delta: Column) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..conf import MARGINS, Params
-from ..functions.pixel import edge_aware_score, interpolated_delta, local_mask
+from ..functions.pixel import bilinear, edge_aware_score, grid_place, local_mask
 from ..plans.tiles import View, tiled
 from .components import min_component
 
@@ -15,14 +15,31 @@ EPSILON = 1e-7
 PLATEAU = 8
 
 
-def candidates(feat: DataFrame, conf: Params, calibration: dict | None = None) -> DataFrame:
-    """feat with the single-precision ``score`` and the candidate mask ``cand``; the threshold sees the unrounded score."""
+def with_delta(feat: DataFrame, grid: DataFrame, out: str = "delta", cols: int = 4, rows: int = 4) -> DataFrame:
+    """feat with the image's own calibration interpolated at each pixel. grid (image_id, rx, ry, value); a cell without a value counts as 0.
+
+    The grid becomes a row for each cell with its four corners, which pixels join by image and cell: ``cols * rows`` rows an image, so that
+    Spark can broadcast them or split what is skewed.
+    """
+    cells = grid.groupBy("image_id").agg(F.map_from_entries(F.collect_list(F.struct((F.col("ry") * cols + F.col("rx")).alias("k"), F.col("value").cast("double").alias("v")))).alias("m"))
+    value = lambda x, y: F.coalesce(F.col("m")[F.least(y, F.lit(rows - 1)) * cols + F.least(x, F.lit(cols - 1))], F.lit(0.0))
+    k = F.col("k")
+    ix, iy = (k % cols).cast("int"), F.floor(k / cols).cast("int")
+    corners = cells.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(cols * rows - 1)))).select("image_id", ix.alias("_ix"), iy.alias("_iy"), value(ix, iy).alias("_v00"), value(ix + 1, iy).alias("_v10"), value(ix, iy + 1).alias("_v01"), value(ix + 1, iy + 1).alias("_v11"))
+    x0, y0, sx, sy = grid_place(cols, rows, F.col("w"), F.col("h"))
+    df = feat.withColumns({"_ix": x0, "_iy": y0, "_sx": sx, "_sy": sy}).join(corners, ["image_id", "_ix", "_iy"], "left")
+    delta = bilinear(*(F.coalesce(c, F.lit(0.0)) for c in ("_v00", "_v10", "_v01", "_v11")), F.col("_sx"), F.col("_sy"))
+    return df.withColumn(out, delta).drop("_ix", "_iy", "_sx", "_sy", "_v00", "_v10", "_v01", "_v11")
+
+
+def candidates(feat: DataFrame, conf: Params, calibration: DataFrame | None = None) -> DataFrame:
+    """feat with the single-precision ``score`` and the candidate mask ``cand``; the threshold sees the unrounded score. calibration: a grid for each image, as of with_delta()."""
     delta = F.lit(0.0)
-    if calibration:
-        delta = interpolated_delta(calibration["values"], calibration["cols"], calibration["rows"], F.col("w"), F.col("h"))
+    if calibration is not None:
+        feat, delta = with_delta(feat, calibration, "_delta"), F.col("_delta")
     df = feat.withColumn("_v", edge_aware_score(conf.weights(), F.col("w"), F.col("h"), conf.frame_guard))
     framed = (F.col("x") >= conf.frame_guard) & (F.col("y") >= conf.frame_guard) & (F.col("x") < F.col("w") - conf.frame_guard) & (F.col("y") < F.col("h") - conf.frame_guard)
-    return df.withColumns({"score": F.col("_v").cast("float"), "cand": (framed & local_mask(F.col("_v"), F.lit(conf.sensitivity), delta)).cast("int")}).drop("_v")
+    return df.withColumns({"score": F.col("_v").cast("float"), "cand": (framed & local_mask(F.col("_v"), F.lit(conf.sensitivity), delta)).cast("int")}).drop("_v", "_delta")
 
 
 def nms_kernel(planes: dict[str, np.ndarray], x0: int, y0: int, w: int, h: int) -> dict[str, np.ndarray]:
@@ -72,7 +89,7 @@ def nms(df: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     return tiled(df, ["cand", "score", "orientation", "orientation_angle", *keep], {"thin": "int"}, PLATEAU + 2, nms_kernel)
 
 
-def thinned(feat: DataFrame, conf: Params, calibration: dict | None = None, exclusion: str | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+def thinned(feat: DataFrame, conf: Params, calibration: DataFrame | None = None, exclusion: str | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
     """(key, w, h, score, thin, exclusion and the kept columns, without nulls): candidates after non-maximum suppression, out of the exclusion."""
     df = candidates(feat, conf, calibration)
     keep = (*keep, exclusion) if exclusion else keep
@@ -82,7 +99,7 @@ def thinned(feat: DataFrame, conf: Params, calibration: dict | None = None, excl
     return df.withColumn("thin", out_of("thin")).select("image_id", "y", "x", "w", "h", "score", "thin", *keep)
 
 
-def boundary_mask(feat: DataFrame, conf: Params | None = None, calibration: dict | None = None, exclusion: str | None = None) -> DataFrame:
+def boundary_mask(feat: DataFrame, conf: Params | None = None, calibration: DataFrame | None = None, exclusion: str | None = None) -> DataFrame:
     """(key, w, h, score, pred): the whole mask pipeline. exclusion: a 0/1 column of feat."""
     conf = conf or Params()
     df = min_component(thinned(feat, conf, calibration, exclusion), "thin", "pred", conf.min_component)

@@ -1,7 +1,8 @@
-"""Connected components of masks, by runs: pixels of a row collapse to runs, touching runs of adjacent rows are edges.
+"""Connected components of masks by two levels: runs of each tile are labelled there, then labels are united along the tiles' borders.
 
-Runs and edges are window and join work. Labels come from a union-find of each image's runs in one Arrow group, or, for
-images with more than ``group_runs`` runs, from distributed rounds.
+A tile of 256 pixels is one Arrow group whatever the image's size. What leaves it are its runs with the label of their part; parts
+that touch across a seam between tiles are edges, found by equi-joins on the seam's pixels and united in distributed rounds. No group
+holds an image, a row of it, or all its labels.
 """
 
 from __future__ import annotations
@@ -13,53 +14,83 @@ from pyspark.sql import functions as F
 
 from ..functions.pixel import edge_bits
 from ..plans.graph import min_labels, stored
+from ..plans.tiles import TILE
 
 
-def runs(px: DataFrame, on: Column) -> DataFrame:
-    """(image_id, y, a, b, run): maximal runs of the pixels where ``on`` holds; ``run`` numbers them by y and a. With w and h where px has them."""
-    size = [c for c in ("w", "h") if c in px.columns]
-    island = F.col("x") - F.row_number().over(Window.partitionBy("image_id", "y").orderBy("x"))
-    r = px.where(on).select("image_id", "y", "x", *size).withColumn("_i", island).groupBy("image_id", "y", "_i").agg(F.min("x").alias("a"), F.max("x").alias("b"), *[F.first(c).alias(c) for c in size])
-    return r.select("image_id", "y", "a", "b", F.shiftleft(F.col("y").cast("long"), 32).bitwiseOR(F.col("a").cast("long")).alias("run"), *size)
-
-
-def touching(r: DataFrame, connectivity: int) -> DataFrame:
-    """(image_id, a, b): runs of adjacent rows that touch; 8 counts corners, 4 doesn't."""
-    slack = 1 if connectivity == 8 else 0
-    p = r.select(F.col("image_id").alias("p_image"), F.col("y").alias("py"), F.col("a").alias("pa"), F.col("b").alias("pb"), F.col("run").alias("p_run"))
-    on = (F.col("image_id") == F.col("p_image")) & (F.col("py") == F.col("y") - 1) & (F.col("a") <= F.col("pb") + slack) & (F.col("b") >= F.col("pa") - slack)
-    return r.join(p, on).select("image_id", F.col("p_run").alias("a"), F.col("run").alias("b"))
-
-
-def _union(rows: pd.DataFrame) -> pd.DataFrame:
-    a, b = rows["a"].to_numpy(), rows["b"].to_numpy()
-    nodes, flat = np.unique(np.concatenate([a, b]), return_inverse=True)
-    u, v = flat[: len(a)], flat[len(a) :]
-    root = np.arange(len(nodes))
+def _roots(n: int, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """The least node of each of n nodes' component under the edges u-v."""
+    root = np.arange(n)
     while True:
         ru, rv = root[u], root[v]
         apart = ru != rv
         if not apart.any():
-            break
+            return root
         u, v = u[apart], v[apart]
         np.minimum.at(root, np.maximum(ru, rv)[apart], np.minimum(ru, rv)[apart])
         while not (root[root] == root).all():
             root = root[root]
-    return pd.DataFrame({"image_id": [rows["image_id"].iloc[0]] * len(nodes), "node": nodes, "root": nodes[root]})
 
 
-def labelled_runs(px: DataFrame, on: Column, connectivity: int = 8, group_runs: int = 5_000_000) -> DataFrame:
-    """Runs with ``root``, the first run of their component. Images with more than ``group_runs`` runs, and these alone, are labelled by distributed rounds."""
-    r = stored(runs(px, on), "runs")
-    e = touching(r, connectivity)
-    kind = dict(r.dtypes)["image_id"]
-    large = r.groupBy("image_id").count().where(F.col("count") > group_runs).select("image_id")
-    some = bool(large.take(1))
-    small = e.join(large, "image_id", "left_anti") if some else e
-    roots = small.groupBy("image_id").applyInPandas(_union, f"image_id {kind}, node long, root long")
-    if some:
-        roots = roots.unionByName(min_labels(e.join(large, "image_id", "left_semi")))
-    return r.join(roots.withColumnRenamed("node", "run"), ["image_id", "run"], "left").withColumn("root", F.coalesce("root", "run"))
+def tile_runs(y: np.ndarray, x: np.ndarray, connectivity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(y, a, b, root) of the runs of set pixels; root is the index of the first run of the part. 8 counts corners, 4 doesn't."""
+    order = np.lexsort((x, y))
+    y, x = y[order].astype(np.int64), x[order].astype(np.int64)
+    first = np.ones(len(y), bool)
+    first[1:] = (y[1:] != y[:-1]) | (x[1:] != x[:-1] + 1)
+    last = np.append(first[1:], True)
+    y, a, b = y[first], x[first], x[last]
+    slack, low = int(connectivity == 8), a.min(initial=0)
+    wide = int(b.max(initial=0) - low) + 4
+    place = lambda row, col: row * wide + (col - low + 1)  # noqa: E731  one number for a row and column, with room for the slack at both ends
+    begin = np.searchsorted(place(y, b), place(y - 1, a - slack), "left")
+    end = np.searchsorted(place(y, a), place(y - 1, b + slack), "right")
+    many = np.maximum(0, end - begin)
+    here = np.repeat(np.arange(len(y)), many)
+    above = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(begin, many)
+    return y, a, b, _roots(len(y), here, above)
+
+
+def parts(px: DataFrame, on: Column, connectivity: int, tile: int = TILE) -> DataFrame:
+    """(image_id, y, a, b, run, part): the runs of each tile where ``on`` holds; ``part`` is the first run of what touches within the tile. With w and h where px has them."""
+    size = [c for c in ("w", "h") if c in px.columns]
+    kinds = dict(px.dtypes)
+    cell = lambda c: F.floor(F.col(c) / tile).cast("int")
+    at = px.where(on).select("image_id", F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x"), *size, cell("y").alias("ty"), cell("x").alias("tx"))
+
+    def label(rows: pd.DataFrame) -> pd.DataFrame:
+        y, a, b, root = tile_runs(rows["y"].to_numpy(), rows["x"].to_numpy(), connectivity)
+        run = (y << 32) | a
+        out = pd.DataFrame({"image_id": [rows["image_id"].iloc[0]] * len(y), "y": y.astype(np.int32), "a": a.astype(np.int32), "b": b.astype(np.int32), "run": run, "part": run[root]})
+        for c in size:
+            out[c] = rows[c].iloc[0]
+        return out
+
+    schema = f"image_id {kinds['image_id']}, y int, a int, b int, run long, part long" + "".join(f", {c} {kinds[c]}" for c in size)
+    return at.groupBy("image_id", "ty", "tx").applyInPandas(label, schema)
+
+
+def seams(r: DataFrame, connectivity: int, tile: int = TILE) -> DataFrame:
+    """(image_id, a, b): parts that touch across the border of two tiles, each pair once for each tile row or column it touches in."""
+    reach = [-1, 0, 1] if connectivity == 8 else [0]
+    near = F.explode(F.array(*[F.lit(i) for i in reach]))
+    # across a vertical border: the last pixel of a run that ends there, and the first one of a run that begins behind it
+    left = r.where(F.col("b") % tile == tile - 1).select("image_id", (F.col("b") + 1).alias("x"), near.alias("_d"), "y", F.col("part").alias("p")).withColumn("y", F.col("y") + F.col("_d")).drop("_d")
+    right = r.where(F.col("a") % tile == 0).select("image_id", F.col("a").alias("x"), "y", F.col("part").alias("q"))
+    # across a horizontal one: the pixels of the runs in the row above and below it
+    upper = r.where(F.col("y") % tile == tile - 1).select("image_id", (F.col("y") + 1).alias("y"), F.explode(F.sequence(F.col("a") + min(reach), F.col("b") + max(reach))).alias("x"), F.col("part").alias("p"))
+    lower = r.where(F.col("y") % tile == 0).select("image_id", "y", F.explode(F.sequence("a", "b")).alias("x"), F.col("part").alias("q"))
+    met = left.join(right, ["image_id", "y", "x"]).select("image_id", "p", "q").unionByName(upper.join(lower, ["image_id", "y", "x"]).select("image_id", "p", "q"))
+    return met.select("image_id", F.col("p").alias("a"), F.col("q").alias("b")).distinct()
+
+
+def labelled_runs(px: DataFrame, on: Column, connectivity: int = 8, tile: int = TILE) -> DataFrame:
+    """Runs (image_id, y, a, b, run) with ``root``, the first run of their component; runs end at tile borders. Images of one tile have no seams."""
+    r = stored(parts(px, on, connectivity, tile), "parts")
+    edges = stored(seams(r, connectivity, tile), "seams")
+    if not edges.take(1):
+        return r.withColumnRenamed("part", "root")
+    roots = min_labels(edges).select("image_id", F.col("node").alias("part"), "root")
+    return r.join(roots, ["image_id", "part"], "left").withColumn("root", F.coalesce("root", "part")).drop("part")
 
 
 def pixels_of(r: DataFrame, *columns: str) -> DataFrame:
@@ -67,6 +98,22 @@ def pixels_of(r: DataFrame, *columns: str) -> DataFrame:
     return r.select("image_id", "y", F.explode(F.sequence("a", "b")).alias("x"), *columns)
 
 
+def runs_at(points: DataFrame, r: DataFrame, also: tuple[str, ...] = (), tile: int = TILE) -> DataFrame:
+    """points (image_id, also, y, x) with ``root`` of the run they lie in; others are dropped. An equi-join, as runs end at tile borders."""
+    own = r.select("image_id", *also, "y", "a", "b", "root", F.floor(F.col("a") / tile).alias("_tx"))
+    met = points.withColumn("_tx", F.floor(F.col("x") / tile)).join(own, ["image_id", *also, "y", "_tx"])
+    return met.where((F.col("a") <= F.col("x")) & (F.col("b") >= F.col("x"))).drop("a", "b", "_tx")
+
+
+def layered_runs(px: DataFrame, layer: str, connectivity: int = 4) -> DataFrame:
+    """labelled_runs() of the pixels of several layers of each image at once. px (image_id, layer, y, x, w, h); the runs keep ``layer``."""
+    kinds = dict(px.dtypes)
+    keyed = px.select(F.concat_ws(":", layer, "image_id").alias("image_id"), "y", "x", "w", "h")
+    r = labelled_runs(keyed, F.lit(True), connectivity)
+    rest = F.expr("substr(image_id, instr(image_id, ':') + 1)").cast(kinds["image_id"])
+    return r.select(rest.alias("image_id"), F.split_part("image_id", F.lit(":"), F.lit(1)).cast(kinds[layer]).alias(layer), "y", "a", "b", "root", "w", "h")
+
+
 def label_pixels(px: DataFrame, on: Column, connectivity: int = 8) -> DataFrame:
     """Pixels where ``on`` holds with ``root``; px's other columns are kept."""
     own = pixels_of(labelled_runs(px, on, connectivity), "root")
@@ -88,15 +135,15 @@ def numbered(components: DataFrame, band: int = 256) -> DataFrame:
     return c.withColumn("_nth", nth).join(bands, ["image_id", "_band"]).withColumn("label", (F.col("_nth") + F.col("_before")).cast("int")).drop("_band", "_nth", "_before")
 
 
-def _index(r: DataFrame) -> DataFrame:
-    """(image_id, root, size, edge_mask, first_p) of labelled runs with w and h."""
+def index_of(r: DataFrame, *also: str) -> DataFrame:
+    """(image_id, also, root, size, edge_mask, first_p) of labelled runs with w and h."""
     edges = F.when(F.col("a") == 0, 1).otherwise(0) + F.when(F.col("y") == 0, 2).otherwise(0) + F.when(F.col("b") == F.col("w") - 1, 4).otherwise(0) + F.when(F.col("y") == F.col("h") - 1, 8).otherwise(0)
-    return r.groupBy("image_id", "root").agg(F.sum(F.col("b") - F.col("a") + 1).alias("size"), F.bit_or(edges).alias("edge_mask"), F.min(F.col("y") * F.col("w") + F.col("a")).cast("long").alias("first_p"))
+    return r.groupBy("image_id", *also, "root").agg(F.sum(F.col("b") - F.col("a") + 1).alias("size"), F.bit_or(edges).alias("edge_mask"), F.min(F.col("y") * F.col("w") + F.col("a")).cast("long").alias("first_p"))
 
 
 def component_index(px: DataFrame, on: Column, min_pixels: int = 1, connectivity: int = 4) -> DataFrame:
     """(image_id, root, size, edge_mask, first_p, active, label), from the runs alone. Needs w and h."""
-    return numbered(_index(labelled_runs(px, on, connectivity)).withColumn("active", F.col("size") >= min_pixels))
+    return numbered(index_of(labelled_runs(px, on, connectivity)).withColumn("active", F.col("size") >= min_pixels))
 
 
 def labels_and_index(px: DataFrame, on: Column, connectivity: int = 4, extra: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
@@ -105,7 +152,7 @@ def labels_and_index(px: DataFrame, on: Column, connectivity: int = 4, extra: tu
     lab = pixels_of(r, "root")
     if extra:
         lab = stored(px.select("image_id", "y", "x", *extra).join(lab, ["image_id", "y", "x"]), "labelled")
-    return lab, _index(r).drop("first_p")
+    return lab, index_of(r).drop("first_p")
 
 
 def sized_runs(px: DataFrame, on: Column, connectivity: int = 8) -> DataFrame:

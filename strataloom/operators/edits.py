@@ -40,9 +40,9 @@ def compact(changes: DataFrame) -> DataFrame:
     return g.where("before <> after")
 
 
-def bounds(deltas: DataFrame) -> DataFrame:
-    """The dirty rectangle of each seq and layer."""
-    return deltas.groupBy("seq", "layer").agg(F.min("x").alias("x0"), F.min("y").alias("y0"), F.max("x").alias("x1"), F.max("y").alias("y1"), F.count("*").alias("changed"))
+def bounds(deltas: DataFrame, *also: str) -> DataFrame:
+    """The dirty rectangle of each seq and layer, and of other columns."""
+    return deltas.groupBy(*also, "seq", "layer").agg(F.min("x").alias("x0"), F.min("y").alias("y0"), F.max("x").alias("x1"), F.max("y").alias("y1"), F.count("*").alias("changed"))
 
 
 def replay(deltas: DataFrame, cursor: int | None = None) -> DataFrame:

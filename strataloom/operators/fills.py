@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..conf import Params
 from ..functions.pixel import edge_sides, js_round, opposite_edges
-from .components import closed_regions, label_pixels, pixels_of
+from .components import closed_regions, label_pixels, pixels_of, runs_at
 from .windows import dilate, separable_many
 
 U32 = 0xFFFFFFFF  # the multipliers below are fixed values
@@ -27,9 +27,7 @@ def classify_seeds(px: DataFrame, seeds: DataFrame, conf: Params, regions: tuple
     several uses.
     """
     r, index = regions or closed_regions(px, conf.fill_safety)
-    # a seed lies in the run of its row that begins at or before it
-    on = (F.col("image_id") == F.col("s_image")) & (F.col("y") == F.col("s_y")) & (F.col("a") <= F.col("s_x")) & (F.col("b") >= F.col("s_x"))
-    at = seeds.select(F.col("image_id").alias("s_image"), F.col("y").alias("s_y"), F.col("x").alias("s_x")).distinct().join(r, on).select("image_id", "y", F.col("s_x").alias("x"), "root")
+    at = runs_at(seeds.select("image_id", "y", "x").distinct(), r)
     sizes = px.groupBy("image_id").agg(F.first("w").alias("w"), F.first("h").alias("h"))
     s = seeds.join(sizes, "image_id").join(at, ["image_id", "y", "x"], "left").join(index, ["image_id", "root"], "left")
     total = F.col("w") * F.col("h")

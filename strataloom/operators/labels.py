@@ -33,6 +33,11 @@ def _pairs(px: DataFrame, rects: DataFrame, grid: int) -> DataFrame:
 
 def in_rects(px: DataFrame, rects: DataFrame, out: str) -> DataFrame:
     """px with a 0/1 column: within any of the rectangles (inclusive bounds)."""
+    if rects.limit(BROADCAST_RECTS + 1).count() <= BROADCAST_RECTS:
+        # an image's rectangles as one array: no pixel is shuffled
+        own = rects.groupBy("image_id").agg(F.collect_list(F.struct("x0", "y0", "x1", "y1")).alias("_rects"))
+        inside = F.exists("_rects", lambda r: F.col("x").between(r["x0"], r["x1"]) & F.col("y").between(r["y0"], r["y1"]))
+        return px.join(F.broadcast(own), "image_id", "left").withColumn(out, F.coalesce(inside, F.lit(False)).cast("int")).drop("_rects")
     r = rects.select(F.col("image_id").alias("r_image"), "x0", "y0", "x1", "y1")
     hit = rect_pairs(px.select("image_id", "y", "x"), r).select("image_id", "y", "x").distinct().withColumn(out, F.lit(1))
     return px.join(hit, ["image_id", "y", "x"], "left").withColumn(out, F.coalesce(out, F.lit(0)))

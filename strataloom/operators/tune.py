@@ -322,3 +322,11 @@ def stage_guard(spark: SparkSession, before: dict | None, after: dict | None) ->
 def gap_guard(spark: SparkSession, before: dict | None, after: dict | None) -> bool:
     """gap_passes() of two evaluations."""
     return _guarded(spark, before, after).select(gap_passes().alias("g")).first().g
+
+
+def stage_verdict(spark: SparkSession, before: dict | None, after: dict | None) -> tuple[bool, str | None]:
+    """Whether a tuning stage stands: stage_guard(), and the primary score may fall by 0.002 at most."""
+    fine, why = stage_guard(spark, before, after)
+    if fine and after["primary"] < before["primary"] - 0.002:
+        return False, "primary-score-regression"
+    return fine, why

@@ -79,7 +79,7 @@ def prefix_sums(df: DataFrame, values: dict[str, Column], radius: int) -> DataFr
     for part, order in ((["image_id", "y"], "x"), (["image_id", "x"], "y")):
         w = Window.partitionBy(*part).orderBy(order)
         df = df.withColumns({f"_run_{k}": F.sum(v).over(w.rangeBetween(Window.unboundedPreceding, 0)) for k, v in values.items()})
-        top = {k: F.last(f"_run_{k}").over(w.rangeBetween(0, radius)) for k in values}
+        top = {k: F.last(f"_run_{k}").over(w.rangeBetween(Window.unboundedPreceding, radius)) for k in values}  # frames that only grow cost the same at any radius
         below = {k: F.coalesce(F.last(f"_run_{k}").over(w.rangeBetween(Window.unboundedPreceding, -radius - 1)), F.lit(0.0)) for k in values}
         df = df.withColumns({f"_part_{k}": top[k] - below[k] for k in values}).drop(*(f"_run_{k}" for k in values))
         values = {k: F.col(f"_part_{k}") for k in values}

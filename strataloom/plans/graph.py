@@ -5,11 +5,28 @@ from __future__ import annotations
 import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+@contextlib.contextmanager
+def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    """Session settings for what runs inside; what was set before comes back."""
+    before = {k: spark.conf.get(k, None) for k in values}
+    for k, v in values.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """spark.checkpoint.dir of the session; one of our own where it is unset, in local mode only."""
     if found := spark.conf.get("spark.checkpoint.dir", None):
@@ -21,9 +38,24 @@ def shared_dir(spark: SparkSession) -> str:
     return own
 
 
+def own_folder(spark: SparkSession) -> str:
+    """The folder of all that this application stores."""
+    return f"{shared_dir(spark)}/strataloom/{spark.sparkContext.applicationId}"
+
+
+def new_path(spark: SparkSession, label: str) -> str:
+    return f"{own_folder(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def clean_up(spark: SparkSession) -> None:
+    """Delete all that this application has stored, once the results that read it are written."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(own_folder(spark))
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
-    """df written to the shared folder and read again: cuts lineage, survives lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/strataloom/{label}-{uuid.uuid4().hex}"
+    """df written to the application's folder and read again: cuts lineage, survives lost executors."""
+    path = new_path(df.sparkSession, label)
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._stored = path

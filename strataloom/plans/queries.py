@@ -5,6 +5,7 @@ Rasters come from ``embeddings`` (an image for each label) and ``lineitem``; lab
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,9 +13,10 @@ from pyspark.sql import functions as F
 
 from ..conf import Params
 from ..functions import pixel
-from ..operators import annotations, boundary, components, edits, features, fills, guide, labels, metrics, projects, sinks, topology, tune, windows
+from ..operators import annotations, boundary, components, dirty, edits, features, fills, guide, labels, metrics, projects, sinks, topology, tune, windows
 from ..sources import raster
-from ..streaming import live
+from ..streaming import live, sessions
+from .graph import new_path
 from .session import Session
 
 KEY = ["image_id", "y", "x"]
@@ -156,8 +158,30 @@ c AS (SELECT image_id, floor(gx)::INT AS x0, floor(gy)::INT AS y0, gx-floor(gx)
 v AS (SELECT *, least(3,x0+1) AS x1, least(3,y0+1) AS y1, [0.0,4,-4,10,2,0,0,-18,5,5,1,0,3,-3,0,18]::DOUBLE[] AS g FROM c)
 SELECT image_id, round(avg((g[y0*4+x0+1]*(1-sx)+g[y0*4+x1+1]*sx)*(1-sy)+(g[y1*4+x0+1]*(1-sx)+g[y1*4+x1+1]*sx)*sy), 6) AS mean_delta FROM v GROUP BY 1""")
 def calibration_interp(spark, d):
-    v = [0.0, 4, -4, 10, 2, 0, 0, -18, 5, 5, 1, 0, 3, -3, 0, 18]
-    return scene(spark, d).groupBy("image_id").agg(F.round(F.avg(pixel.interpolated_delta(v, 4, 4, F.col("w"), F.col("h"))), 6).alias("mean_delta"))
+    v = F.array(*[F.lit(float(i)) for i in [0, 4, -4, 10, 2, 0, 0, -18, 5, 5, 1, 0, 3, -3, 0, 18]])
+    s = scene(spark, d)
+    grid = s.select("image_id").distinct().select("image_id", F.posexplode(v).alias("k", "value")).select("image_id", (F.col("k") % 4).alias("rx"), F.floor(F.col("k") / 4).alias("ry"), "value")
+    return boundary.with_delta(s, grid).groupBy("image_id").agg(F.round(F.avg("delta"), 6).alias("mean_delta"))
+
+
+#: A grid for each image, from the mean of its cells' red.
+_GRID = """, gr AS (SELECT image_id, (x*4//w)::INT AS rx, (y*4//h)::INT AS ry, (floor(avg(r)*8)%37-18)::DOUBLE AS v FROM s GROUP BY ALL)"""
+
+
+@query(BASE + _GRID + """, q AS (SELECT *, greatest(0, least(3, x/63.0::DOUBLE*4-0.5)) AS gx, greatest(0, least(3, (y/(greatest(1, h-1))::DOUBLE)*4-0.5)) AS gy FROM s),
+c AS (SELECT *, floor(gx)::INT AS x0, floor(gy)::INT AS y0, gx-floor(gx) AS sx, gy-floor(gy) AS sy FROM q),
+v AS (SELECT c.*, (coalesce(a.v,0)*(1-sx)+coalesce(b2.v,0)*sx)*(1-sy)+(coalesce(c2.v,0)*(1-sx)+coalesce(d2.v,0)*sx)*sy AS delta FROM c LEFT JOIN gr a ON a.image_id=c.image_id AND a.rx=x0 AND a.ry=y0 LEFT JOIN gr b2 ON b2.image_id=c.image_id AND b2.rx=least(3,x0+1) AND b2.ry=y0
+ LEFT JOIN gr c2 ON c2.image_id=c.image_id AND c2.rx=x0 AND c2.ry=least(3,y0+1) LEFT JOIN gr d2 ON d2.image_id=c.image_id AND d2.rx=least(3,x0+1) AND d2.ry=least(3,y0+1)),
+sc AS (SELECT *, (dark/255.0::DOUBLE*20/120 + CASE WHEN x>=5 AND y>=5 AND x<w-5 AND y<h-5 THEN ridge/255.0::DOUBLE*55/120 ELSE 0 END + CASE WHEN x>=7 AND y>=7 AND x<w-7 AND y<h-7 THEN color/255.0::DOUBLE*25/120 ELSE 0 END + CASE WHEN x>=14 AND y>=14 AND x<w-14 AND y<h-14 THEN dendrite/255.0::DOUBLE*20/120 ELSE 0 END)
+ / (20.0::DOUBLE/120 + CASE WHEN x>=5 AND y>=5 AND x<w-5 AND y<h-5 THEN 55.0::DOUBLE/120 ELSE 0 END + CASE WHEN x>=7 AND y>=7 AND x<w-7 AND y<h-7 THEN 25.0::DOUBLE/120 ELSE 0 END + CASE WHEN x>=14 AND y>=14 AND x<w-14 AND y<h-14 THEN 20.0::DOUBLE/120 ELSE 0 END) AS score FROM v)
+SELECT image_id, count(*) FILTER (x>=1 AND y>=1 AND x<w-1 AND y<h-1 AND score >= 0.76-greatest(1, least(100, 62+delta))/100*0.50) AS n, round(avg(delta), 6) AS mean_delta FROM sc GROUP BY 1""")
+def calibrated_mask(spark, d):
+    """Candidates under each image's own calibration grid."""
+    s = scene(spark, d)
+    cell = lambda at, size: F.floor(F.col(at) * 4 / F.col(size)).cast("int")
+    grid = s.groupBy("image_id", cell("x", "w").alias("rx"), cell("y", "h").alias("ry")).agg((F.floor(F.avg("r") * 8) % 37 - 18).cast("double").alias("value"))
+    c = boundary.candidates(boundary.with_delta(s, grid), CONF, grid)
+    return c.groupBy("image_id").agg(F.sum("cand").alias("n"), F.round(F.avg("delta"), 6).alias("mean_delta"))
 
 
 # neighbourhoods ----------------------------------------------------------------------------------------------------
@@ -630,15 +654,68 @@ def calibration_fill_measured(spark, d):
 # topology ----------------------------------------------------------------------------------------------------------
 
 
-@query(BASE + """ SELECT image_id, y, x, out_x, out_y FROM (SELECT image_id, y, x, CASE WHEN x%10=0 THEN -1.0::DOUBLE ELSE 1.0::DOUBLE END AS out_x, 0.0::DOUBLE AS out_y FROM s WHERE lines=1 AND (x%10=0 OR x%10=6) AND x>=3 AND y>=3 AND x<w-3 AND y<h-3)""")
+def _ends(frm: str, mask: str, t: str) -> str:
+    """CTEs ending in ge{t}: the ends of a mask's lines, from each set pixel's neighbours."""
+    return f""", gm{t} AS (SELECT image_id, y, x, w, h FROM {frm} WHERE {mask}=1),
+gn{t} AS (SELECT a.image_id, a.y, a.x, a.w, a.h, count(*) AS n, sum(b.x-a.x)::INT AS nx, sum(b.y-a.y)::INT AS ny FROM gm{t} a JOIN gm{t} b ON b.image_id=a.image_id AND b.x BETWEEN a.x-1 AND a.x+1 AND b.y BETWEEN a.y-1 AND a.y+1 AND (b.x<>a.x OR b.y<>a.y) GROUP BY ALL),
+ge{t} AS (SELECT image_id, y, x, (-nx)/sqrt((nx*nx+ny*ny)::DOUBLE) AS out_x, (-ny)/sqrt((nx*nx+ny*ny)::DOUBLE) AS out_y FROM gn{t} WHERE n=1 AND x>=3 AND y>=3 AND x<w-3 AND y<h-3)"""
+
+
+def _pairs(frm: str, mask: str, far: float, t: str) -> str:
+    """CTEs ending in gs{t} (pairs of ends within reach) and gr{t} (those that face each other across free pixels, ranked)."""
+    cell = max(2, math.ceil(far))
+    least = math.cos(math.radians(CONF.max_gap_angle_deg))
+    return _ends(frm, mask, t) + f""", gp{t} AS (SELECT a.image_id, a.x AS x1, a.y AS y1, b.x AS x2, b.y AS y2, b.x-a.x AS dx, b.y-a.y AS dy, sqrt(((b.x-a.x)*(b.x-a.x)+(b.y-a.y)*(b.y-a.y))::DOUBLE) AS distance, a.out_x AS ax, a.out_y AS ay, b.out_x AS bx, b.out_y AS by_
+ FROM ge{t} a JOIN ge{t} b ON b.image_id=a.image_id AND (b.y>a.y OR (b.y=a.y AND b.x>a.x)) AND b.x BETWEEN a.x-{cell} AND a.x+{cell} AND b.y BETWEEN a.y AND a.y+{cell}),
+gf{t} AS (SELECT *, (ax*dx+ay*dy)/distance AS fa, -(bx*dx+by_*dy)/distance AS fb FROM gp{t} WHERE distance>1.1 AND distance<={far}),
+gs{t} AS (SELECT *, least(fa,fb) AS alignment, least(fa,fb)*0.75::DOUBLE+(1-least(1.0::DOUBLE,(distance-1)/{max(0.5, far - 1)}::DOUBLE))*0.25::DOUBLE AS score, greatest(1, floor(distance+0.5)::INT-1)::INT AS missing, fa>={least!r}::DOUBLE AND fb>={least!r}::DOUBLE AS facing, y2//{cell}-y1//{cell} AS ty, x2//{cell}-x1//{cell} AS tx, greatest(abs(dx),abs(dy)) AS n FROM gf{t}),
+gi{t} AS (SELECT image_id, x1, y1, x2, y2, step, floor(x1+dx*(step/n::DOUBLE)+0.5)::INT AS x, floor(y1+dy*(step/n::DOUBLE)+0.5)::INT AS y FROM (SELECT *, unnest(range(1, n)) AS step FROM gs{t} WHERE facing)),
+gc{t} AS (SELECT DISTINCT gi{t}.image_id, x1, y1, x2, y2 FROM gi{t} JOIN gm{t} USING (image_id, x, y)),
+gr{t} AS (SELECT g.*, row_number() OVER (PARTITION BY g.image_id ORDER BY score DESC, distance, y1, x1, ty, tx, y2, x2) AS rank FROM gs{t} g ANTI JOIN gc{t} USING (image_id, x1, y1, x2, y2) WHERE facing)"""
+
+
+def _bridged(frm: str, mask: str, mode: str, t: str, neg: str = "neg", evidence: str | None = None) -> str:
+    """CTEs ending in gb{t}: the ranked gaps with reason and added pixels, matched one after another; gt{t} are the drawn pixels."""
+    far = topology.reach_of(CONF, mode)
+    near = f"CASE WHEN distance>{CONF.gap_apply_max_distance} THEN 'distance' WHEN score<{CONF.min_gap_score} THEN 'score' END" if mode == "safe" else f"CASE WHEN distance<={CONF.gap_apply_max_distance} THEN 'safe-range' WHEN distance>{far} THEN 'distance' WHEN score<{CONF.extended_min_gap_score} THEN 'score' END"
+    seen = "NULL::DOUBLE" if evidence is None else f"(SELECT avg(e.v) FROM (SELECT i.image_id, i.x1, i.y1, i.x2, i.y2, {evidence} AS v FROM gi{t} i JOIN {frm} f ON f.image_id=i.image_id AND f.x=i.x AND f.y=i.y) e WHERE e.image_id=g.image_id AND e.x1=g.x1 AND e.y1=g.y1 AND e.x2=g.x2 AND e.y2=g.y2)"
+    weak = "" if mode == "safe" else f" WHEN evidence IS NULL THEN 'evidence-unavailable' WHEN evidence<{CONF.min_path_evidence} THEN 'evidence'"
+    limit = 400 if mode == "safe" else 240
+    return _pairs(frm, mask, far, t) + f""", gk{t} AS (SELECT * FROM gr{t} WHERE rank<={topology.CONSIDERED[mode]}),
+gw{t} AS (SELECT image_id, rank, i.x, i.y, true AS inner_ FROM gk{t} JOIN gi{t} i USING (image_id, x1, y1, x2, y2) UNION ALL SELECT image_id, rank, x1, y1, false FROM gk{t} UNION ALL SELECT image_id, rank, x2, y2, false FROM gk{t}),
+gg{t} AS (SELECT DISTINCT image_id, x+i-1 AS x, y+j-1 AS y FROM {frm}, range(3) a(i), range(3) b(j) WHERE {neg}=1),
+gl{t} AS (SELECT image_id, rank, coalesce(list(DISTINCT y*100000+x) FILTER (inner_), []) AS path, list(DISTINCT y*100000+x) FILTER (NOT inner_) AS ends, bool_or(excl) AS on_excl, bool_or(guard) AS on_neg
+ FROM (SELECT gw.*, coalesce(f.excl=1, false) AS excl, gg.x IS NOT NULL AS guard FROM gw{t} gw LEFT JOIN {frm} f ON f.image_id=gw.image_id AND f.x=gw.x AND f.y=gw.y LEFT JOIN gg{t} gg ON gg.image_id=gw.image_id AND gg.x=gw.x AND gg.y=gw.y) GROUP BY 1,2),
+gv{t} AS (SELECT g.*, l.path, l.ends, l.on_excl, l.on_neg, {seen} AS evidence, {near} AS early FROM gk{t} g JOIN gl{t} l USING (image_id, rank)),
+gq{t} AS (SELECT *, CASE WHEN len(path)=0 THEN 'no-interior-pixels' WHEN on_excl THEN 'exclusion' WHEN on_neg THEN 'negative'{weak} END AS late FROM gv{t}),
+gz{t}(image_id, rank, used, drawn, taken, reason, added) AS (
+ SELECT DISTINCT image_id, 0::BIGINT, []::INT[], []::INT[], 0::BIGINT, NULL::VARCHAR, 0::BIGINT FROM gq{t}
+ UNION ALL
+ SELECT image_id, rank, CASE WHEN reason IS NULL THEN list_concat(used, ends) ELSE used END, CASE WHEN reason IS NULL THEN list_concat(drawn, fresh) ELSE drawn END, CASE WHEN reason IS NULL THEN taken+1 ELSE taken END, reason, CASE WHEN reason IS NULL THEN len(fresh) ELSE 0 END
+ FROM (SELECT q.image_id, q.rank, z.used, z.drawn, z.taken, q.ends, list_filter(q.path, lambda p: NOT list_contains(z.drawn, p)) AS fresh,
+  CASE WHEN early IS NOT NULL THEN early WHEN list_has_any(z.used, q.ends) THEN 'endpoint-conflict' WHEN late IS NOT NULL THEN late WHEN z.taken>={limit} THEN 'limit' WHEN len(list_filter(q.path, lambda p: NOT list_contains(z.drawn, p)))=0 THEN 'nothing-added' END AS reason
+  FROM gz{t} z JOIN gq{t} q ON q.image_id=z.image_id AND q.rank=z.rank+1)),
+gb{t} AS (SELECT q.image_id, q.rank::INT AS rank, x1, y1, x2, y2, distance, alignment, score, missing, evidence, z.reason, z.added::INT AS added, path FROM gq{t} q JOIN gz{t} z USING (image_id, rank)),
+gt{t} AS (SELECT DISTINCT image_id, p%100000 AS x, p//100000 AS y FROM (SELECT image_id, unnest(path) AS p FROM gb{t} WHERE reason IS NULL))"""
+
+
+_EVIDENCE = "(0.65::DOUBLE*f.ridge+0.35::DOUBLE*f.color)/255/(0.65::DOUBLE+0.35::DOUBLE)"
+_GAP_COLUMNS = "image_id, x1, y1, x2, y2, round(distance,9) AS distance, round(alignment,9) AS alignment, round(score,9) AS score, missing"
+
+
+@query(BASE + _ends("s", "lines", "1") + _ends("s", "thin", "2") + " SELECT 'lines' AS mask, image_id, y, x, round(out_x,9) AS out_x, round(out_y,9) AS out_y FROM ge1 UNION ALL SELECT 'thin', image_id, y, x, round(out_x,9), round(out_y,9) FROM ge2")
 def gap_endpoints(spark, d):
-    return topology.endpoints(scene(spark, d), "lines")
+    s = scene(spark, d)
+    both = [topology.endpoints(s, m).withColumn("mask", F.lit(m)) for m in ("lines", "thin")]
+    return _rounded(both[0].unionByName(both[1]), ("out_x", "out_y"))
 
 
-@query(BASE + """ SELECT image_id, x+0 AS x1, y AS y1, x+4 AS x2, y AS y2, 4.0::DOUBLE AS distance, 1.0::DOUBLE AS alignment, round(0.75+(1-3.0/3.25)*0.25,9)::DOUBLE AS score, 3 AS missing FROM s WHERE lines=1 AND x%10=6 AND x>=3 AND y>=3 AND x+4<w-3 AND y<h-3""")
+@query(BASE + _pairs("s", "lines", CONF.gap_max_distance, "1") + _pairs("s", "thin", CONF.gap_max_distance, "2") + f" SELECT 'lines' AS mask, {_GAP_COLUMNS} FROM gr1 UNION ALL SELECT 'thin', {_GAP_COLUMNS} FROM gr2")
 def gap_candidates(spark, d):
-    g = topology.gap_candidates(scene(spark, d), CONF, "lines", limit=None)
-    return _rounded(g.drop("rank"), ("distance", "alignment", "score"))
+    """On straight lines and on a mask of scattered ends, with pairs out of angle and across set pixels."""
+    s = scene(spark, d)
+    both = [topology.gap_candidates(s, CONF, m, limit=None).drop("rank").withColumn("mask", F.lit(m)) for m in ("lines", "thin")]
+    return _rounded(both[0].unionByName(both[1]), ("distance", "alignment", "score"))
 
 
 def _gap_scene(spark: SparkSession, d: str) -> DataFrame:
@@ -646,17 +723,59 @@ def _gap_scene(spark: SparkSession, d: str) -> DataFrame:
     return scene(spark, d).withColumns({"pred": ((y % 6 == 3) & ~(x % 10).between(7, 7 + y % 3)).cast("int"), "neg": ((y % 12 == 5) & (x > 40)).cast("int"), "ridge": F.lit(200), "color": F.lit(180)})
 
 
-@query()
+_GAP_SCENE = ", gsc AS (SELECT * REPLACE ((y%6=3 AND NOT (x%10 BETWEEN 7 AND 7+y%3))::INT AS pred, (y%12=5 AND x>40)::INT AS neg, 200 AS ridge, 180 AS color) FROM s)"
+
+
+@query(BASE + _GAP_SCENE + _bridged("gsc", "pred", "safe", "1") + f" SELECT {_GAP_COLUMNS}, rank, reason, added FROM gb1")
 def gap_bridge_safe(spark, d):
     return _rounded(topology.bridge(_gap_scene(spark, d), CONF, "safe").drop("path", "evidence"), ("distance", "alignment", "score"))
 
 
-@query()
+@query(BASE + _GAP_SCENE + _bridged("gsc", "pred", "extended", "1", evidence=_EVIDENCE) + f" SELECT {_GAP_COLUMNS}, rank, reason, added, round(evidence,9) AS evidence FROM gb1")
 def gap_bridge_extended(spark, d):
     s = _gap_scene(spark, d)
     return _rounded(topology.bridge(s, CONF, "extended", s).drop("path"), ("distance", "alignment", "score", "evidence"))
 
 
+def _reviews(mode: str) -> str:
+    return f"""SELECT image_id, row_number() OVER (PARTITION BY image_id ORDER BY turn, rank)::INT AS n, x1, y1, x2, y2, round(distance,9) AS distance, round(alignment,9) AS alignment, round(score,9) AS score, missing, disposition, rejection_reason, round(evidence,9) AS evidence, added FROM (
+ SELECT image_id, 0 AS turn, row_number() OVER (PARTITION BY image_id ORDER BY y1, x1, ty, tx, y2, x2) AS rank, x1, y1, x2, y2, distance, alignment, score, missing, 'rejected-angle' AS disposition, 'angle' AS rejection_reason, NULL::DOUBLE AS evidence, 0 AS added FROM gs1 WHERE NOT facing
+ UNION ALL SELECT image_id, 1, rank, x1, y1, x2, y2, distance, alignment, score, missing, CASE WHEN reason IS NULL THEN 'accepted-{mode}' WHEN reason LIKE 'evidence%' THEN 'rejected-evidence' WHEN reason='no-interior-pixels' THEN 'rejected-empty' ELSE 'rejected-'||reason END, reason, evidence, added FROM gb1 WHERE reason IS NULL OR reason NOT IN ('safe-range','nothing-added'))
+ QUALIFY row_number() OVER (PARTITION BY image_id ORDER BY turn, rank) <= {topology.REVIEWED[mode]}"""
+
+
+def _reviewed(s: DataFrame, mode: str) -> DataFrame:
+    scan = topology.gap_scan(s, CONF, mode, "thin")
+    return _rounded(topology.gap_reviews(topology.bridge(s, CONF, mode, s, "thin", scan=scan), topology.angle_rejected(scan, mode), mode), ("distance", "alignment", "score", "evidence"))
+
+
+@query(BASE + _bridged("s", "thin", "safe", "1") + _reviews("safe"))
+def gap_reviews(spark, d):
+    """What became of each pair of ends of a scattered mask: out of angle, too far, too weak, in conflict, guarded, or bridged."""
+    return _reviewed(scene(spark, d), "safe")
+
+
+@query(BASE + _bridged("s", "thin", "extended", "1", evidence=_EVIDENCE) + _reviews("extended"))
+def gap_reviews_extended(spark, d):
+    return _reviewed(scene(spark, d), "extended")
+
+
+_REASONS = ("distance", "score", "endpoint-conflict", "no-interior-pixels", "exclusion", "negative", "evidence", "evidence-unavailable", "limit", "safe-range")
+_COUNTED = ", ".join(f"count(*) FILTER (reason='{r}') AS n_{r.replace('-', '_')}" for r in _REASONS)
+_COUNTED_NAMES = ", ".join(f"coalesce(n_{r.replace('-', '_')}, 0) AS n_{r.replace('-', '_')}" for r in _REASONS)
+
+
+@query(BASE + _bridged("s", "thin", "extended", "1", evidence=_EVIDENCE) + f""", im AS (SELECT DISTINCT image_id FROM gs1 WHERE NOT facing UNION SELECT image_id FROM gr1),
+an AS (SELECT image_id, least(count(*), 2400) AS n_angle FROM gs1 WHERE NOT facing GROUP BY 1), sc AS (SELECT image_id, count(*) AS source_candidates FROM gr1 GROUP BY 1),
+cn AS (SELECT image_id, count(*) AS considered, count(*) FILTER (reason IS NULL) AS accepted, coalesce(sum(added) FILTER (reason IS NULL), 0)::BIGINT AS added_pixels, {_COUNTED} FROM gb1 GROUP BY 1)
+SELECT image_id, coalesce(source_candidates,0) AS source_candidates, coalesce(considered,0) AS considered, coalesce(accepted,0) AS accepted, coalesce(added_pixels,0) AS added_pixels, coalesce(n_angle,0) AS n_angle, coalesce(source_candidates,0)>coalesce(considered,0) AS truncated, {_COUNTED_NAMES} FROM im LEFT JOIN an USING (image_id) LEFT JOIN sc USING (image_id) LEFT JOIN cn USING (image_id)""")
+def gap_rejections(spark, d):
+    """The counters of a review."""
+    s = scene(spark, d)
+    scan = topology.gap_scan(s, CONF, "extended", "thin")
+    return topology.gap_counters(scan, topology.bridge(s, CONF, "extended", s, "thin", scan=scan), "extended")
+
+
 def _spread(mask: str, frm: str, tag: str) -> str:
     """CTE cc{tag} (image_id, p, root) of 4-connected components, through neighbours looked up by their place."""
     return f""", m{tag} AS (SELECT image_id, y, x, y*w+x AS p FROM {frm} WHERE {mask}),
@@ -664,34 +783,84 @@ adj{tag} AS (SELECT a.image_id, a.p AS u, b.p AS v FROM m{tag} a CROSS JOIN (VAL
 cc{tag}(image_id, p, root) USING KEY (image_id, p) AS (SELECT image_id, p, p FROM m{tag} UNION SELECT j.image_id, j.v, min(c.root) FROM cc{tag} c JOIN adj{tag} j ON j.image_id=c.image_id AND j.u=c.p JOIN recurring.cc{tag} e ON e.image_id=j.image_id AND e.p=j.v WHERE c.root<e.root GROUP BY 1,2)"""
 
 
-_CLOSURE = (
-    BASE
-    + ", pr AS (SELECT * REPLACE ((grid=1 AND NOT (x%8=4 AND y%16=8))::INT AS pred), (grid=0)::INT AS fl FROM s)"
-    + _square("pred", "w1", 1, "pr") + _square("pred", "w2", 2, "w1_t") + _square("pred", "w3", 3, "w2_t") + _square("fl", "cr", 1, "w3_t", "min")
-    + _spread("cr=1 AND x>0 AND y>0 AND x<w-1 AND y<h-1", "cr_t", "a")
-    + ", ws AS (SELECT {image_id: image_id, r: k} AS image_id, y, x, w, h, CASE k WHEN 0 THEN pred WHEN 1 THEN w1 WHEN 2 THEN w2 ELSE w3 END AS wall FROM cr_t CROSS JOIN (SELECT unnest([0,1,2,3])::INT AS k))"
-    + _spread("wall=0", "ws", "b")
-    + """, bg AS (SELECT ws.image_id.image_id AS image_id, ws.image_id.r AS r, y*w+x AS p, max((x=0 OR y=0 OR x=w-1 OR y=h-1)::INT) OVER (PARTITION BY ws.image_id, root) AS edge FROM ws JOIN ccb ON ccb.image_id=ws.image_id AND ccb.p=y*w+x),
-co AS (SELECT image_id, p, root, count(*) OVER (PARTITION BY image_id, root) AS n FROM cca),
-st AS (SELECT co.image_id, rr.r, root, coalesce(max(edge), 0) AS open FROM co CROSS JOIN (SELECT unnest([0,1,2,3])::INT AS r) rr LEFT JOIN bg ON bg.image_id=co.image_id AND bg.r=rr.r AND bg.p=co.p WHERE n>=4 GROUP BY 1,2,3),
-pf AS (SELECT image_id, r, count(*) AS regions, count(*) FILTER (open=0) AS closed FROM st GROUP BY 1,2),
-nw AS (SELECT *, greatest(0, closed-coalesce(max(closed) OVER (PARTITION BY image_id ORDER BY r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS fresh FROM pf),
-sm AS (SELECT image_id, min(regions) AS regions, avg(closed::DOUBLE/regions) AS weighted_closure, greatest(0, min(regions)-max(closed)) AS left_, sum(fresh*r) AS need, '{' || string_agg('"' || r || '":' || fresh, ',' ORDER BY r) AS hist FROM nw GROUP BY 1)"""
-)
+def _closure(frm: str, mask: str, t: str) -> str:
+    """CTEs ending in nw{t} (closed cores by radius) and sm{t} (their summary) of a mask, with cores of the squares of the grid."""
+    return (
+        f", pr{t} AS (SELECT *, {mask} AS w0, (grid=0)::INT AS fl FROM {frm})"
+        + _square("w0", f"wa{t}", 1, f"pr{t}") + _square("w0", f"wb{t}", 2, f"wa{t}_t") + _square("w0", f"wc{t}", 3, f"wb{t}_t") + _square("fl", f"cr{t}", 1, f"wc{t}_t", "min")
+        + _spread(f"cr{t}=1 AND x>0 AND y>0 AND x<w-1 AND y<h-1", f"cr{t}_t", f"a{t}")
+        + f", ws{t} AS (SELECT {{image_id: image_id, r: k}} AS image_id, y, x, w, h, CASE k WHEN 0 THEN w0 WHEN 1 THEN wa{t} WHEN 2 THEN wb{t} ELSE wc{t} END AS wall FROM cr{t}_t CROSS JOIN (SELECT unnest([0,1,2,3])::INT AS k))"
+        + _spread("wall=0", f"ws{t}", f"b{t}")
+        + f""", bg{t} AS (SELECT q.image_id.image_id AS image_id, q.image_id.r AS r, y*w+x AS p, max((x=0 OR y=0 OR x=w-1 OR y=h-1)::INT) OVER (PARTITION BY q.image_id, root) AS edge FROM ws{t} q JOIN ccb{t} c ON c.image_id=q.image_id AND c.p=y*w+x),
+co{t} AS (SELECT image_id, p, root, count(*) OVER (PARTITION BY image_id, root) AS n FROM cca{t}),
+st{t} AS (SELECT c.image_id, rr.r, root, coalesce(max(edge), 0) AS open FROM co{t} c CROSS JOIN (SELECT unnest([0,1,2,3])::INT AS r) rr LEFT JOIN bg{t} b ON b.image_id=c.image_id AND b.r=rr.r AND b.p=c.p WHERE n>=4 GROUP BY 1,2,3),
+pf{t} AS (SELECT image_id, r, count(*) AS regions, count(*) FILTER (open=0) AS closed FROM st{t} GROUP BY 1,2),
+nw{t} AS (SELECT *, greatest(0, closed-coalesce(max(closed) OVER (PARTITION BY image_id ORDER BY r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS fresh FROM pf{t}),
+sm{t} AS (SELECT image_id, min(regions) AS regions, avg(closed::DOUBLE/regions) AS weighted_closure, greatest(0, min(regions)-max(closed)) AS left_, sum(fresh*r) AS need, '{{' || string_agg('"' || r || '":' || fresh, ',' ORDER BY r) AS hist FROM nw{t} GROUP BY 1)"""
+    )
+
+
+#: A grid with a hole in every second of its lines' sides, and its squares as fills.
+_HOLED_SCENE = BASE + ", sg AS (SELECT * REPLACE ((grid=1 AND NOT (x%8=4 AND y%16=8))::INT AS pred) FROM s)"
+_CLOSURE = _HOLED_SCENE + _closure("sg", "pred", "")
+CORE_CONF = CONF.with_(core_erosion=1, min_core_pixels=4)
+
+
+def _holed_scene(spark: SparkSession, d: str) -> DataFrame:
+    return scene(spark, d).withColumns({"pred": ((F.col("grid") == 1) & ~((F.col("x") % 8 == 4) & (F.col("y") % 16 == 8))).cast("int"), "fill": (F.col("grid") == 0).cast("int"), "border_fill": F.lit(0)})
 
 
 @query(_CLOSURE + """ SELECT image_id, regions, round(weighted_closure, 9) AS weighted_closure, round((need+left_*4)::DOUBLE/regions, 9) AS mean_required_radius, 3 AS max_radius, left_ AS open_after_max, hist || ',">3":' || left_ || '}' AS histogram FROM sm""")
 def closure_profile(spark, d):
-    s = scene(spark, d).withColumns({"pred": ((F.col("grid") == 1) & ~((F.col("x") % 8 == 4) & (F.col("y") % 16 == 8))).cast("int"), "fill": (F.col("grid") == 0).cast("int"), "border_fill": F.lit(0)})
-    p = topology.profile_summary(topology.closure_profile(s, CONF.with_(core_erosion=1, min_core_pixels=4))).withColumn("histogram", F.to_json("histogram"))
+    p = topology.profile_summary(topology.closure_profile(_holed_scene(spark, d), CORE_CONF)).withColumn("histogram", F.to_json("histogram"))
     return _rounded(p, ("weighted_closure", "mean_required_radius"))
 
 
-@query()
+_AFTER = ", sa AS (SELECT s.*, greatest(pred, (gt1.x IS NOT NULL)::INT) AS after FROM sg s LEFT JOIN gt1 USING (image_id, x, y))"
+_FIGURES = ("recall", "leakage", "macro_leakage", "closed", "open", "closure_rate", "weighted_closure", "mean_required_radius", "open_after_max")
+
+
+def _judged(mask: str, t: str) -> str:
+    """CTE jd{t}: recall, leakage and mean leakage of the cells of a mask."""
+    rx, ry = _bounds(4, 4)
+    return f""", jc{t} AS (SELECT *, CASE WHEN excl=1 THEN 0 ELSE {mask} END AS cl{t} FROM sa)""" + _square("ref", f"jr{t}", CONF.tolerance, f"jc{t}") + _square(f"cl{t}", f"jp{t}", CONF.tolerance, f"jr{t}_t") + f""",
+js{t} AS (SELECT *, CASE WHEN excl=1 THEN 'x' WHEN jr{t}=1 THEN 'p' WHEN neg=1 THEN 'n' ELSE 'u' END AS state, {rx} AS rx, {ry} AS ry FROM jp{t}_t),
+jl{t} AS (SELECT image_id, rx, ry, count(*) FILTER (state='n' AND cl{t}=1)::DOUBLE/count(*) FILTER (state='n') AS l FROM js{t} GROUP BY 1,2,3 HAVING count(*) FILTER (state='n')>0),
+jm{t} AS (SELECT image_id, avg(l) AS macro_leakage FROM jl{t} GROUP BY 1),
+jd{t} AS (SELECT js.image_id, count(*) FILTER (ref=1 AND state<>'x' AND jp{t}=1)::DOUBLE/count(*) FILTER (ref=1 AND state<>'x') AS recall, count(*) FILTER (state='n' AND cl{t}=1)::DOUBLE/count(*) FILTER (state='n') AS leakage, coalesce(any_value(macro_leakage),0) AS macro_leakage FROM js{t} js LEFT JOIN jm{t} USING (image_id) GROUP BY 1)"""
+
+
+def _side(name: str, j: str, c: str) -> str:
+    figures = {"recall": f"{j}.recall", "leakage": f"{j}.leakage", "macro_leakage": f"{j}.macro_leakage", "closed": f"z{c}.closed", "open": f"z{c}.regions-z{c}.closed", "closure_rate": f"z{c}.closed::DOUBLE/z{c}.regions", "weighted_closure": f"m{c}.weighted_closure", "mean_required_radius": f"(m{c}.need+m{c}.left_*4)::DOUBLE/m{c}.regions", "open_after_max": f"m{c}.left_"}
+    return ", ".join(f"round({figures[k]}, 9) AS {name}_{k}" if k not in ("closed", "open", "open_after_max") else f"{figures[k]} AS {name}_{k}" for k in _FIGURES)
+
+
+@query(_HOLED_SCENE + _bridged("sg", "pred", "safe", "1") + _AFTER + _closure("sa", "pred", "2") + _closure("sa", "after", "3") + _judged("pred", "4") + _judged("after", "5") + f""",
+br AS (SELECT image_id, count(*) FILTER (reason IS NULL) AS bridges, sum(added)::BIGINT AS added_pixels FROM gb1 GROUP BY 1)
+SELECT im.image_id, coalesce(bridges,0) AS bridges, coalesce(added_pixels,0) AS added_pixels, {_side("before", "j4", "2")}, {_side("after", "j5", "3")}
+FROM sz im LEFT JOIN br USING (image_id) LEFT JOIN jd4 j4 USING (image_id) LEFT JOIN jd5 j5 USING (image_id) LEFT JOIN pf2 z2 ON z2.image_id=im.image_id AND z2.r=0 LEFT JOIN pf3 z3 ON z3.image_id=im.image_id AND z3.r=0 LEFT JOIN sm2 m2 ON m2.image_id=im.image_id LEFT JOIN sm3 m3 ON m3.image_id=im.image_id""")
+def gap_preview(spark, d):
+    """Evaluation and closure before and after the safe gaps are drawn; nothing is applied."""
+    s = _holed_scene(spark, d)
+    p = topology.gap_preview(s, CORE_CONF, "safe")
+    flat = p.select("image_id", "bridges", "added_pixels", *[F.col(side)[k].alias(f"{side}_{k}") for side in ("before", "after") for k in _FIGURES])
+    return _rounded(flat, tuple(f"{side}_{k}" for side in ("before", "after") for k in _FIGURES if k not in ("closed", "open", "open_after_max")))
+
+
+@query(_CLOSURE + _bridged("sg", "pred", "safe", "1") + _bridged("sg", "pred", "extended", "6", evidence=_EVIDENCE) + """,
+nb AS (SELECT a.image_id, a.y, a.x, a.w, a.h, count(b.x) AS n FROM (SELECT * FROM sg WHERE pred=1) a LEFT JOIN sg b ON b.image_id=a.image_id AND b.pred=1 AND b.x BETWEEN a.x-1 AND a.x+1 AND b.y BETWEEN a.y-1 AND a.y+1 AND (b.x<>a.x OR b.y<>a.y) GROUP BY ALL),
+en AS (SELECT image_id, count(*) AS set_pixels, count(*) FILTER (n<=1 AND x>=3 AND y>=3 AND x<w-3 AND y<h-3) AS endpoints FROM nb GROUP BY 1),
+bs AS (SELECT image_id, count(*) AS c, count(*) FILTER (reason IS NULL) AS k, sum(added)::BIGINT AS p FROM gb1 GROUP BY 1), bx AS (SELECT image_id, count(*) AS c, count(*) FILTER (reason IS NULL) AS k, sum(added)::BIGINT AS p FROM gb6 GROUP BY 1),
+rc2 AS (SELECT image_id, string_agg(r || ':' || greatest(0, closed-was) || ':' || closed, ' ' ORDER BY r) AS recovery FROM (SELECT *, max(closed) OVER (PARTITION BY image_id ORDER BY r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS was FROM pf) WHERE was IS NOT NULL GROUP BY 1)
+SELECT en.image_id, set_pixels, endpoints, coalesce(bs.c,0) AS safe_considered, coalesce(bs.k,0) AS safe_accepted, coalesce(bs.p,0) AS safe_pixels, coalesce(bx.c,0) AS extended_considered, coalesce(bx.k,0) AS extended_accepted, coalesce(bx.p,0) AS extended_pixels, sm.regions, (SELECT closed FROM pf WHERE pf.image_id=en.image_id AND r=0) AS closed, round(weighted_closure,9) AS weighted_closure, left_ AS open_after_max, recovery
+FROM en LEFT JOIN bs USING (image_id) LEFT JOIN bx USING (image_id) LEFT JOIN sm USING (image_id) LEFT JOIN rc2 USING (image_id)""")
 def topology_report(spark, d):
-    s = scene(spark, d).withColumn("pred", ((F.col("grid") == 1) & ~((F.col("x") % 8 == 4) & (F.col("y") % 16 == 8))).cast("int"))
-    p = topology.closure_profile(s, CONF, seeds=seeds(spark, s).where("x >= 0"))
-    return sinks.diagnostic_report(endpoints=windows.endpoint_proxy(s, "pred"), profile=topology.profile_summary(p).drop("histogram"), recovery=topology.recovery(p))
+    """The numbers of each image's own report."""
+    r = topology.report(_holed_scene(spark, d), CORE_CONF, scene(spark, d))
+    gaps = [F.coalesce(F.col(mode)[k], F.lit(0)).alias(f"{mode}_{name}") for mode in ("safe", "extended") for k, name in (("considered", "considered"), ("accepted", "accepted"), ("added_pixels", "pixels"))]
+    recovery = F.array_join(F.transform("recovery", lambda v: F.concat_ws(":", v["radius"], v["newly_closed"], v["closed"])), " ")
+    flat = r.select("image_id", "endpoints.set_pixels", "endpoints.endpoints", *gaps, "profile.regions", F.get("closure", F.lit(0))["closed"].alias("closed"), "profile.weighted_closure", "profile.open_after_max", recovery.alias("recovery"))
+    return _rounded(flat, ("weighted_closure",))
 
 
 # guide -------------------------------------------------------------------------------------------------------------
@@ -806,6 +975,86 @@ def stream_latest_edits(spark, d):
     return spark.read.parquet(f"{base}/table/v{max(q.lastProgress['batchId'] if q.lastProgress else 0, 0)}").withColumn("value", F.col("value").cast("int"))
 
 
+#: Edits of the label layers of sixteen images of 320x256 pixels; the last twentieth of the log is a batch of its own.
+_LABEL_EDITS = """SELECT (user_id%16)::BIGINT AS image_id, event_id AS seq, CASE WHEN event_id%3=0 THEN 'negative' ELSE 'reference' END AS layer, ((event_id*37+user_id)%320)::INT AS x, ((event_id//5+user_id*3)%256)::INT AS y, (event_type<>'error')::INT AS after FROM events"""
+
+
+def _label_edits(spark: SparkSession, d: str) -> DataFrame:
+    e, i, u = _t(spark, d, "events"), F.col("event_id"), F.col("user_id")
+    return e.select((u % 16).alias("image_id"), i.alias("seq"), F.when(i % 3 == 0, "negative").otherwise("reference").alias("layer"), ((i * 37 + u) % 320).cast("int").alias("x"), ((F.floor(i / 5) + u * 3) % 256).cast("int").alias("y"), (F.col("event_type") != "error").cast("int").alias("after"))
+
+
+@query(f"""WITH e AS ({_LABEL_EDITS}), l AS (SELECT image_id, layer, x, y FROM e GROUP BY ALL HAVING arg_max(after, seq)=1),
+wd AS (SELECT DISTINCT image_id, layer, x+i-2 AS x, y+j-2 AS y FROM l, range(5) a(i), range(5) b(j) WHERE x+i-2 BETWEEN 0 AND 319 AND y+j-2 BETWEEN 0 AND 255),
+m AS (SELECT image_id, x, y, max((layer='reference')::INT) AS ref FROM wd GROUP BY ALL)
+SELECT image_id, sum(ref)::BIGINT AS ref, sum(1-ref)::BIGINT AS neg, sum((x*256+y)*(1+ref))::BIGINT AS places FROM m GROUP BY 1""")
+def dirty_dilation(spark, d):
+    """Bands and negatives after two batches of edits, the second of which recomputes only the tiles it can change; counts come from the tiles'."""
+    e = _label_edits(spark, d)
+    late = F.floor(e.agg(F.coalesce(F.max("seq"), F.lit(0)).alias("m")).first().m * F.lit(0.95))
+    held = dirty.LabelStore(spark, new_path(spark, "label-store"), 320, 256, radius=2, tile=128)
+    held.apply(e.where(F.col("seq") <= late))
+    held.apply(e.where(F.col("seq") > late))
+    places = held.masks().groupBy("image_id").agg(F.sum((F.col("x") * 256 + F.col("y")) * (1 + F.col("ref"))).alias("places"))
+    return held.counts().join(places, "image_id")
+
+
+def _user_stream(spark: SparkSession, d: str, kinds: dict[str, str]) -> DataFrame:
+    """events as they arrive, their types as the kinds given; types without one are left out."""
+    raw = _t(spark, d, "events").schema
+    stream = spark.readStream.schema(raw).option("pathGlobFilter", "events.parquet").parquet(d)
+    kind = F.create_map(*[F.lit(x) for pair in kinds.items() for x in pair])[F.col("event_type")]
+    return stream.select("user_id", F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("id"), kind.alias("kind"), (F.col("value") * 2).alias("value")).where(F.col("kind").isNotNull() & F.col("ts").isNotNull() & F.col("user_id").isNotNull())
+
+
+def _sessions(spark: SparkSession, d: str, kinds: dict[str, str], fold: sessions.Fold) -> DataFrame:
+    base = new_path(spark, "sessions")
+    sessions.run(_user_stream(spark, d, kinds), "user_id", fold, "1 hour", f"{base}/table", f"{base}/checkpoint")
+    return spark.read.schema(f"user_id long, {sessions.SESSIONS}").parquet(f"{base}/table")
+
+
+_STROKE_KINDS = {"signup": "begin", "view": "continue", "click": "continue", "purchase": "end"}
+_GUIDE_KINDS = {"signup": "start", "view": "verify", "purchase": "verify", "error": "skip"}
+
+
+def _kinds_sql(kinds: dict[str, str]) -> str:
+    """Events with their kind, as far as a watermark an hour behind the last one has passed."""
+    case = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in kinds.items())
+    return f"""k AS (SELECT user_id, event_id, epoch_us(ts)//1000 AS t, CASE event_type {case} END AS kind, value*2 AS value FROM events),
+wm AS (SELECT max(t)-3600000 AS wm FROM k WHERE kind IS NOT NULL), e AS (SELECT k.* FROM k, wm WHERE kind IS NOT NULL AND t<=wm)"""
+
+
+@query(f"""WITH {_kinds_sql(_STROKE_KINDS)},
+i AS (SELECT *, coalesce(count(*) FILTER (kind='end') OVER (PARTITION BY user_id ORDER BY t, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS part FROM e),
+b AS (SELECT *, count(*) FILTER (kind='begin') OVER (PARTITION BY user_id, part ORDER BY t, event_id) AS run FROM i),
+g AS (SELECT user_id, part, run, min(t) AS start, max(t) FILTER (kind='end') AS stop, count(*) FILTER (kind<>'end') AS n FROM b WHERE run>0 GROUP BY 1,2,3),
+st AS (SELECT user_id, start, stop, n FROM g WHERE stop IS NOT NULL),
+nx AS (SELECT *, lead(stop) OVER w AS next, lag(stop) OVER w AS prev FROM st WINDOW w AS (PARTITION BY user_id ORDER BY stop)),
+sv AS (SELECT *, count(*) FILTER (prev IS NULL OR stop-prev>=7200000) OVER (PARTITION BY user_id ORDER BY stop) AS isle FROM nx)
+SELECT user_id, 'stroke' AS what, start, stop AS "end", n, 'committed' AS outcome FROM st
+UNION ALL SELECT user_id, 'save', min(stop), max(stop)+7200000, count(*), 'saved' FROM sv GROUP BY user_id, isle HAVING max(stop)+7200000 <= (SELECT wm FROM wm)""")
+def stroke_sessions(spark, d):
+    """Strokes and the saves that follow them, debounced by two hours (events lie that far apart), as a stateful stream."""
+    return _sessions(spark, d, _STROKE_KINDS, sessions.strokes(7_200_000))
+
+
+@query(f"""WITH RECURSIVE {_kinds_sql(_GUIDE_KINDS)},
+o AS (SELECT user_id, t, kind, value, row_number() OVER (PARTITION BY user_id ORDER BY t, event_id) AS i FROM e),
+f(user_id, i, start, n, what_start, what_end, what_n, outcome) AS (
+ SELECT user_id, 0::BIGINT, NULL::BIGINT, 0::BIGINT, NULL::BIGINT, NULL::BIGINT, NULL::BIGINT, NULL::VARCHAR FROM (SELECT DISTINCT user_id FROM o)
+ UNION ALL
+ SELECT f.user_id, o.i,
+  CASE WHEN kind='start' THEN t WHEN kind='skip' OR (kind='verify' AND value>=20 AND f.n=2) THEN NULL ELSE f.start END,
+  CASE WHEN kind='start' THEN 0 WHEN kind='verify' AND value>=20 AND f.start IS NOT NULL THEN f.n+1 ELSE f.n END,
+  f.start, t, CASE WHEN kind='verify' THEN f.n+1 ELSE f.n END,
+  CASE WHEN f.start IS NULL THEN NULL WHEN kind='start' THEN 'restarted' WHEN kind='skip' THEN 'skipped' WHEN value>=20 AND f.n=2 THEN 'verified' END
+ FROM f JOIN o ON o.user_id=f.user_id AND o.i=f.i+1)
+SELECT user_id, 'guide' AS what, what_start AS start, what_end AS "end", what_n AS n, outcome FROM f WHERE outcome IS NOT NULL""")
+def guide_sessions(spark, d):
+    """Runs of the precision guide as a stateful stream: started, verified region by region, skipped."""
+    return _sessions(spark, d, _GUIDE_KINDS, sessions.guide_runs(3, 20))
+
+
 @query("SELECT event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) AS k FROM events) WHERE k<=8")
 def history_tail(spark, d):
     return edits.history_tail(_t(spark, d, "events"), 8, ["ts", "event_id"], ["event_type"]).select("event_id", "event_type")

@@ -35,7 +35,7 @@ class Session:
     conf: Params = Params()
     rois: DataFrame | None = None
     seeds: DataFrame | None = None
-    calibration: dict | None = None
+    calibration: DataFrame | None = None  # (image_id, rx, ry, value): each image's own grid
     _features: DataFrame | None = None
 
     def features(self) -> DataFrame:
@@ -100,7 +100,10 @@ class Session:
         return whole | {"primary": p.sparkSession.range(1).select(score.alias("v")).first().v}
 
     def optimize(self, rounds: int = 1) -> tuple[Session, DataFrame, list[dict]]:
-        """Global search, local calibration, safe and extended repair; each stage stands only if its guard lets it."""
+        """Global search, local calibration, safe and extended repair; each stage stands only if its guard lets it, and says why if it doesn't.
+
+        One configuration is searched for the whole set, and stages are judged by its mean figures; calibrations are each image's own.
+        """
         trace: list[dict] = []
         now = self
         before = now.evaluate(now.predicted())
@@ -110,29 +113,34 @@ class Session:
         trace[0]["search"] = search
         tried = now.with_conf(conf)
         after = tried.evaluate(tried.predicted())
-        fine, why = tune.stage_guard(spark, before, after)
-        fine = fine and after["primary"] >= before["primary"] - 0.002
-        trace.append({"stage": "global", "accepted": fine, "reason": why, **after})
+        fine, why = tune.stage_verdict(spark, before, after)
+        trace.append({"stage": "global", "accepted": fine, "status": "accepted" if fine else "rolled-back", "reason": why, **after})
         if fine:
             now, before = tried, after
         choice = tune.local_choice(tune.local_scores(now.judged(), now.conf, now.conf.tolerance))
-        # one grid for the set: the mean over its images
-        cells = {(r.rx, r.ry): r.v for r in tune.calibration_fill(choice).groupBy("rx", "ry").agg(F.avg("value").alias("v")).collect()}
-        if cells:
+        grid = stored(tune.calibration_fill(choice, images=now.features()), "calibration")  # each image by its own grid
+        changed = tune.calibration_summary(grid).agg(F.coalesce(F.sum("active_cells"), F.lit(0)).alias("n")).first().n > 0
+        if changed:
             tried = now.with_conf(now.conf)
-            tried.calibration = {"cols": 4, "rows": 4, "values": [cells.get((x, y), 0.0) for y in range(4) for x in range(4)]}
+            tried.calibration = grid
             after = tried.evaluate(tried.predicted())
-            fine, why = tune.stage_guard(spark, before, after)
-            trace.append({"stage": "local", "accepted": fine, "reason": why, **after})
+            fine, why = tune.stage_verdict(spark, before, after)
+            trace.append({"stage": "local", "accepted": fine, "status": "accepted" if fine else "rolled-back", "reason": why, **after})
             if fine:
                 now, before = tried, after
+        else:
+            trace.append({"stage": "local", "accepted": False, "status": "no-change", "reason": "no-better-local-delta", **before})
         p = now.predicted()
         for mode in ("safe", "extended"):
-            gaps = topology.bridge(p, now.conf, mode, now.features())
+            gaps = stored(topology.bridge(p, now.conf, mode, now.features()), "gaps")
+            n = gaps.where("reason IS NULL").count()
+            if not n:
+                trace.append({"stage": mode, "accepted": False, "reason": "no-candidate", "bridges": 0, **before})
+                continue
             q = stored(topology.apply_bridges(p, gaps), "bridged")
             after = now.evaluate(q, "bridged")
             fine = tune.gap_guard(spark, before, after)
-            trace.append({"stage": mode, "accepted": fine, **after})
+            trace.append({"stage": mode, "accepted": fine, "reason": None if fine else "guard-rejected", "bridges": n if fine else 0, **after})
             if fine:
                 p, before = q.drop("pred").withColumnRenamed("bridged", "pred"), after
         return now, p, trace

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import struct
 from collections.abc import Iterator
 
@@ -12,10 +13,39 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 KEY = ["image_id", "y", "x"]
 
 
+def _above(c: Column, cuts: list, lo: int = 0) -> Column:
+    """How many of the sorted cuts lie below a value, by halving."""
+    if not cuts:
+        return F.lit(lo)
+    mid = len(cuts) // 2
+    return F.when(c <= cuts[mid], _above(c, cuts[:mid], lo)).otherwise(_above(c, cuts[mid + 1 :], lo + mid + 1))
+
+
+def numbered(df: DataFrame, group: str, order: str, out: str, rows_per_part: int = 250_000, most_parts: int = 512) -> DataFrame:
+    """df with the rank of each row in its group from 0, by an order without ties in a group (nulls first).
+
+    Ranges of the order, cut at its quantiles, are numbered on their own and set off by the counts of earlier ones, so that the largest
+    sort has a range's rows of one group and not the group; what is counted is a row for each group and range.
+    """
+    parts = min(most_parts, -(-df.count() // rows_per_part))
+    cuts = []
+    if parts > 1:
+        cuts = sorted({c for c in df.agg(F.percentile_approx(order, [i / parts for i in range(1, parts)], 100 * parts)).first()[0] if c is not None})
+    df = df.withColumn("_part", _above(F.col(order), cuts) if cuts else F.lit(0))
+    place = F.row_number().over(Window.partitionBy(group, "_part").orderBy(order)) - 1
+    if not cuts:
+        return df.withColumn(out, place).drop("_part")
+    before = Window.partitionBy(group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = df.groupBy(group, "_part").agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    counts = counts.select(F.col(group).alias("_g"), F.col("_part").alias("_p"), "_before")
+    met = df.withColumn("_place", place).join(counts, F.col(group).eqNullSafe(F.col("_g")) & (F.col("_part") == F.col("_p")))
+    return met.withColumn(out, (F.col("_place") + F.col("_before")).cast("int")).drop("_part", "_p", "_g", "_place", "_before")
+
+
 def from_embeddings(embeddings: DataFrame, width: int = 64) -> DataFrame:
     """One image for each label: a vector is a row of pixels, green and blue are the vector turned by a third."""
     level = F.transform("embedding", lambda v: F.floor(F.least(F.greatest((v.cast("double") + 0.5) * 255, F.lit(0.0)), F.lit(255.0))).cast("int"))
-    rows = embeddings.select(F.col("label").alias("image_id"), (F.row_number().over(Window.partitionBy("label").orderBy("vec_id")) - 1).alias("y"), level.alias("v"))
+    rows = numbered(embeddings.select("label", "vec_id", level.alias("v")), "label", "vec_id", "y").select(F.col("label").alias("image_id"), "y", "v")
     at = lambda shift: F.get("v", (F.col("x") + shift) % width)
     return rows.select("image_id", "y", "v", F.explode(F.sequence(F.lit(0), F.lit(width - 1))).alias("x")).select("image_id", "y", "x", at(0).alias("r"), at(width // 3).alias("g"), at(2 * width // 3).alias("b"))
 
@@ -77,8 +107,43 @@ def parse_header(head: bytes, size: int) -> dict[str, object]:
 HEADER_SCHEMA = "path string, width int, height int, signedHeight int, topDown boolean, bitDepth int, bytesPerPixel int, compression long, compressionName string, pixelOffset long, rowStride long, dibSize long, declaredFileSize long, actualFileSize long, expectedPixelBytes long, error string"
 
 
-def bmp_headers(spark: SparkSession, path: str) -> DataFrame:
-    """A row of HEADER_SCHEMA for each *.bmp file; ``error`` says why a file can't be read (null if it can)."""
+class Ranges:
+    """Byte ranges of one file, wherever it lies: local paths and the schemes that Arrow's file systems know (file, s3, gs, abfs, hdfs). Counts what it reads."""
+
+    def __init__(self, path: str) -> None:
+        from pyarrow import fs
+
+        scheme, _, rest = path.partition(":")
+        if scheme == "file" or "/" in scheme or not rest:
+            where, at = fs.LocalFileSystem(), "/" + rest.lstrip("/") if scheme == "file" else path
+        else:
+            where, at = fs.FileSystem.from_uri(path)
+        self.file = where.open_input_file(at)
+        self.size = self.file.size()
+        self.bytes_read = 0
+
+    def __enter__(self) -> Ranges:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        self.file.close()
+
+    def read(self, start: int, n: int) -> bytes:
+        data = self.file.read_at(max(0, min(n, self.size - start)), start)
+        self.bytes_read += len(data)
+        return data
+
+
+def fingerprint_ranges(size: int, part: int = 65536) -> list[tuple[int, int]]:
+    """(start, bytes) of the first, middle and last part of a file."""
+    return [(0, min(size, part)), (max(0, size // 2 - part // 2), min(part, size)), (max(0, size - part), min(size, part))]
+
+
+def bitmaps(spark: SparkSession, path: str, fingerprint: bool = False, part: int = 65536) -> DataFrame:
+    """A row of HEADER_SCHEMA for each *.bmp file, with ``fingerprint`` (null unless asked for) and the ``bytes_read`` for it.
+
+    Files are listed by Spark, which opens none; a header takes 256 bytes of a file, a fingerprint three ranges more, whatever the file's size.
+    """
     import pandas as pd
 
     names = [c.split()[0] for c in HEADER_SCHEMA.split(", ")]
@@ -86,15 +151,31 @@ def bmp_headers(spark: SparkSession, path: str) -> DataFrame:
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
-            for p, head, size in zip(b["path"], b["head"], b["length"], strict=True):
-                try:
-                    rows.append({"path": p, "error": None} | parse_header(bytes(head), int(size)))
-                except BmpError as e:
-                    rows.append({"path": p, "actualFileSize": int(size), "error": str(e)})
-            yield pd.DataFrame(rows, columns=names).astype(object).where(lambda d: d.notna(), None)
+            for p, length in zip(b["path"], b["length"], strict=True):
+                row = {"path": p, "actualFileSize": int(length), "error": None, "fingerprint": None}
+                with Ranges(p) as f:
+                    try:
+                        row |= parse_header(f.read(0, 256), f.size)
+                        if fingerprint:
+                            meta = "|".join(str(row[c]) for c in ("actualFileSize", "width", "height", "bitDepth"))
+                            row["fingerprint"] = hashlib.sha256(meta.encode() + b"".join(f.read(*r) for r in fingerprint_ranges(f.size, part))).hexdigest()
+                    except BmpError as e:
+                        row["error"] = str(e)
+                    rows.append(row | {"bytes_read": f.bytes_read})
+            yield pd.DataFrame(rows, columns=[*names, "fingerprint", "bytes_read"]).astype(object).where(lambda d: d.notna(), None)
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.bmp").load(path)
-    return files.select("path", "length", F.expr("substring(content, 1, 256)").alias("head")).mapInPandas(parse, HEADER_SCHEMA)
+    return files.select("path", "length").mapInPandas(parse, HEADER_SCHEMA + ", fingerprint string, bytes_read long")
+
+
+def bmp_headers(spark: SparkSession, path: str) -> DataFrame:
+    """A row of HEADER_SCHEMA for each *.bmp file; ``error`` says why a file can't be read (null if it can)."""
+    return bitmaps(spark, path).drop("fingerprint", "bytes_read")
+
+
+def fingerprints(spark: SparkSession, path: str, part: int = 65536) -> DataFrame:
+    """(path, fingerprint): SHA-256 over ``size|width|height|bits`` and the first, middle and last 64 KiB of each bitmap; null where the header is none."""
+    return bitmaps(spark, path, True, part).select("path", "fingerprint")
 
 
 class _Rows(InputPartition):
@@ -108,40 +189,34 @@ class _BmpReader(DataSourceReader):
         self.max = int(options.get("maxWidth", 1800)), int(options.get("maxHeight", 1400))
         self.rows = int(options.get("rowsPerPartition", 256))
 
-    def _header(self, path: str) -> dict[str, object]:
-        import os
-
-        with open(path, "rb") as f:
-            return parse_header(f.read(256), os.path.getsize(path))
-
     def partitions(self) -> list[_Rows]:
         out = []
         for p in self.paths:
-            h = self._header(p)
+            with Ranges(p) as f:
+                h = parse_header(f.read(0, 256), f.size)
             _, th = preview_size(h["width"], h["height"], *self.max)
             out += [_Rows(p, a, min(th, a + self.rows)) for a in range(0, th, self.rows)]
         return out
 
-    def read(self, partition: _Rows) -> Iterator[tuple]:
-        h = self._header(partition.path)
-        w, height, n = h["width"], h["height"], h["bytesPerPixel"]
-        tw, th = preview_size(w, height, *self.max)
-        xs = [min(w - 1, int((x + 0.5) * w / tw)) for x in range(tw)]
-        with open(partition.path, "rb") as f:
+    def read(self, partition: _Rows) -> Iterator[object]:
+        import numpy as np
+        import pyarrow as pa
+
+        with Ranges(partition.path) as f:
+            h = parse_header(f.read(0, 256), f.size)
+            w, height, n = h["width"], h["height"], h["bytesPerPixel"]
+            tw, th = preview_size(w, height, *self.max)
+            xs = np.minimum(w - 1, ((np.arange(tw) + 0.5) * w / tw).astype(int))
             for ty in range(partition.first, partition.last):
                 y = min(height - 1, int((ty + 0.5) * height / th))
-                f.seek(h["pixelOffset"] + (y if h["topDown"] else height - 1 - y) * h["rowStride"])
-                row = f.read(w * n)
-                for tx, x in enumerate(xs):
-                    b, g, r = row[x * n : x * n + 3]
-                    yield partition.path, ty, tx, r, g, b
+                row = f.read(h["pixelOffset"] + (y if h["topDown"] else height - 1 - y) * h["rowStride"], w * n)
+                b, g, r = np.frombuffer(row, np.uint8).reshape(w, n)[xs, :3].astype(np.int32).T
+                columns = [pa.array([partition.path] * tw), pa.array(np.full(tw, ty, np.int32)), pa.array(np.arange(tw, dtype=np.int32)), pa.array(r), pa.array(g), pa.array(b)]
+                yield pa.RecordBatch.from_arrays(columns, names=["image_id", "y", "x", "r", "g", "b"])
 
 
 class BmpSource(DataSource):
-    """``spark.read.format("bmp_preview")``: a bitmap's preview, of which only the sampled rows are read, in parallel by row ranges.
-
-    For files on a path that every executor mounts; use bmp_headers() and the binaryFile format for object stores.
-    """
+    """``spark.read.format("bmp_preview")``: a bitmap's preview, of which only the sampled rows are read, in parallel by row ranges."""
 
     @classmethod
     def name(cls) -> str:
@@ -158,12 +233,6 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(BmpSource)
 
 
-def fingerprints(spark: SparkSession, path: str, part: int = 65536) -> DataFrame:
-    """(path, fingerprint): SHA-256 over the size and the first, middle and last 64 KiB of each file."""
-    files = spark.read.format("binaryFile").load(path)
-    return files.select("path", fingerprint_of(F.col("content"), F.col("length"), part).alias("fingerprint"))
-
-
 def fingerprint_of(content: Column, length: Column, part: int = 65536, meta: Column | None = None) -> Column:
     """SHA-256 of a description (the length unless given) and three parts of a binary or string."""
     middle = F.greatest(F.lit(0), F.floor(length / 2) - part // 2)
