@@ -177,9 +177,10 @@ def mine(vectors: DataFrame, anchors: Column, positives: int = 5, negatives: int
     with settings(spark, spark__sql__execution__arrow__maxRecordsPerBatch=str(block), spark__sql__execution__arrow__maxBytesPerBatch="16m"):
         blocks, _ = store(rows.repartitionByRange(n_blocks, "label", "id", "rid").sortWithinPartitions("label", "id", "rid").mapInArrow(_pack(block, dims, True), PACKED), "blocks")
         asked = rows.where(anchors)
-        n_chunks = max(1, -(-asked.count() // chunk))
-        # ids of rows are spread evenly by their hash; a chunk is a group of bounded size
-        packed, _ = store(asked.repartition(n_chunks, F.xxhash64("rid")).mapInArrow(_pack(chunk, dims, False), PACKED), "anchors")
+        # chunks are groups by a hash, so that their number doesn't hang on the session's partitions
+        n_chunks = max(1, -(-asked.count() * 5 // (chunk * 4)))
+        dealt = asked.withColumn("chunk", F.pmod(F.xxhash64("rid"), F.lit(n_chunks)))
+        packed, _ = store(dealt.groupBy("chunk").applyInArrow(lambda t: pa.Table.from_batches(_pack(len(t), dims, False)(iter(t.combine_chunks().to_batches()))), PACKED), "anchors")
     packed = packed.select(F.col("block").alias("chunk"), F.col("rids").alias("a_rids"), F.col("ids").alias("a_ids"), F.col("labels").alias("a_labels"), F.col("matrix").alias("a_matrix"))
     paths = []
     # a block and a chunk at a time in a worker, and no more than a block in a scan's task
