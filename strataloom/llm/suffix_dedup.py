@@ -7,8 +7,8 @@ window with that anchor could cover; of a class, two places at most go on, so a
 
 These suffixes are sorted, distributed: tasks cut them from the texts and exchange them as sorted, front-coded runs (the shared
 prefix's length and the rest), and receivers merge the runs with a loser tree that carries common-prefix lengths, so no known
-prefix is compared again. In the merged order suffixes of one gram are neighbours; their contexts' windows are compared by
-rolling hashes, column by column. As all windows of an anchor overlap in its gram, what they cover is one span around it.
+prefix is compared again. In the merged order suffixes of one gram are neighbours, and the common prefixes tell how much of each
+window two contexts share from the anchor on; what stands before the anchor is compared by hashes and then byte by byte. As all windows of an anchor overlap in its gram, what they cover is one span around it.
 
 A gram with very many classes (where a passage in a large share of all documents begins or ends) isn't gathered in one task: its
 window columns are parted until no task has more than ``crowd``: at the ends of what all its contexts share, by their common prefixes.
@@ -23,6 +23,7 @@ the order of ties. Other columns, whatever their names, are left out. An empty t
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
 from functools import reduce
 from os.path import commonprefix
@@ -34,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import drop_stored, row_key, small_batches, store
-from .repeats import anchors, rolling
+from .repeats import anchors
 
 LENGTH, GRAM = 200, 64
 ANCHORS = "did long, th long, pos int, l int, r int, kh long, ch long"
@@ -162,33 +163,43 @@ class LoserTree:
 SPANS = "core long, sub long, l int, r int"
 
 
-def _windows(contexts: np.ndarray, left: np.ndarray, right: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes (n, length - gram + 1) of every window of contexts padded to their full width, and which lie within their text."""
-    reach = length - gram
-    column = np.arange(reach + 1)
-    valid = (column >= (reach - left)[:, None]) & (column + length <= (reach + right)[:, None])
-    return rolling(contexts, length), valid
+def shared_windows(before: np.ndarray, shared: np.ndarray, lo: np.ndarray, left: np.ndarray, right: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, left, right) of the contexts with windows that another one has too, and what those windows cover.
 
-
-def shared_windows(contexts: np.ndarray, left: np.ndarray, right: np.ndarray, group: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, left, right) of the contexts with windows that another of their group has too, and what those windows cover."""
-    h, valid = _windows(contexts, left, right, length, gram)
-    h = h + group.astype(np.uint64)[:, None] * np.uint64(0x9E3779B97F4A7C15)
-    first, last = np.full(len(h), -1), np.full(len(h), -1)
-    for x in range(h.shape[1]):
-        rows = np.flatnonzero(valid[:, x])
+    Contexts come in the order of their suffixes, which begin ``lo`` bytes before the anchor. ``shared`` is how many bytes a suffix has in common with the one
+    before, ``before`` (n, length - gram) what stands in front of the suffixes, ``left`` and ``right`` how far the contexts reach to either side of the anchor.
+    A window that begins ``a`` bytes before the anchor holds length - a + lo bytes of the suffix, of which the order tells who has them too; the
+    a - lo bytes in front are compared, by their hashes and then byte by byte.
+    """
+    n, reach = before.shape
+    powers = np.cumprod(np.full(reach, 0x9E3779B97F4A7C15, np.uint64))
+    hashes = np.zeros((n, reach + 1), np.uint64)
+    np.cumsum((before[:, ::-1].astype(np.uint64) + np.uint64(1)) * powers, axis=1, out=hashes[:, 1:])
+    at, least, most = np.arange(reach), np.full(n, -1), np.full(n, -1)
+    for a in range(reach + 1):
+        front = a - lo
+        group = np.cumsum(shared < length - front)
+        rows = np.flatnonzero((front >= 0) & (a <= left) & (length - a <= right))
         if len(rows) < 2:
             continue
-        own = h[rows, x]
-        order = np.argsort(own)
-        s = own[order]
-        same = np.concatenate([[False], s[1:] == s[:-1]])
-        twice = rows[order[same | np.concatenate([same[1:], [False]])]]
-        first[twice] = np.where(first[twice] < 0, x, first[twice])
-        last[twice] = x
-    hit = np.flatnonzero(first >= 0)
-    reach = length - gram
-    return hit, reach - first[hit], last[hit] + length - reach
+        key = hashes[rows, front[rows]] + group[rows].astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+        order = np.argsort(key, kind="stable")
+        key, rows = key[order], rows[order]
+        same = key[1:] == key[:-1]
+        p, q = rows[:-1][same], rows[1:][same]
+        if not len(p):
+            continue
+        equal = (group[p] == group[q]) & ((before[p] == before[q]) | (at < reach - front[p][:, None])).all(axis=1)
+        if not equal.all():  # hashes that collide: decided by the bytes alone
+            whole = [(int(group[r]), before[r, reach - front[r] :].tobytes()) for r in rows]
+            often = Counter(whole)
+            twice = rows[[often[w] > 1 for w in whole]]
+        else:
+            twice = np.union1d(p, q)
+        least[twice] = np.where(least[twice] < 0, a, least[twice])
+        most[twice] = a
+    hit = np.flatnonzero(most >= 0)
+    return hit, most[hit], length - least[hit]
 
 
 def _tagged(lo: int, hi: int, suffix: bytes) -> bytes:
@@ -266,57 +277,58 @@ def merged_spans(runs: DataFrame, buckets: int, length: int, gram: int, chunk: i
         by_run: dict[int, list] = {}
         for run, shared, rest, before, core, sub in held:
             by_run.setdefault(run, []).append((shared, rest, (before, core, sub)))
-        group, waiting = -1, []
+        waiting: list[tuple] = []
         for shared, suffix, (before, core, sub) in LoserTree([iter(r) for r in by_run.values()]):
             lo, hi = suffix[0], suffix[1]
-            if shared < 2 + length - (hi - lo):  # another core begins
+            if shared < 2 + length - (hi - lo) and waiting:  # another core begins: no window is shared with what came before
                 if len(waiting) >= chunk:
                     yield from windows(waiting)
                     waiting = []
-                group += 1
-            waiting.append((group, suffix[2 + lo :], before + suffix[2 : 2 + lo], core, sub))
+            waiting.append((shared - 2, lo, before, len(before) + lo, len(suffix) - 2 - lo, core, sub, shared < 2 + length - (hi - lo)))
         if waiting:
             yield from windows(waiting)
 
     def windows(waiting: list) -> Iterator[pa.RecordBatch]:
         reach = length - gram
-        group = np.array([w[0] for w in waiting])
-        alone = np.bincount(group - group[0])[group - group[0]] < 2
+        # a context that is alone in its core shares none
+        new = np.array([w[7] for w in waiting])
+        new[0] = True
+        alone = new & np.append(new[1:], True)
         waiting = [w for w, out in zip(waiting, alone, strict=True) if not out]
         if not waiting:
             return
-        group = group[~alone]
-        padded = b"".join(w[2].rjust(reach, b"\0") + w[1].ljust(length, b"\0") for w in waiting)
-        contexts = np.frombuffer(padded, np.uint8).reshape(len(waiting), reach + length)
-        left, right = (np.fromiter((len(w[k]) for w in waiting), np.int64, len(waiting)) for k in (2, 1))
-        hit, l, r = shared_windows(contexts, left, right, group, length, gram)
-        yield _batch([[waiting[i][3] for i in hit], [waiting[i][4] for i in hit], l, r], SPANS)
+        begins = new[~alone]
+        before = np.frombuffer(b"".join(w[2].rjust(reach, b"\0") for w in waiting), np.uint8).reshape(len(waiting), reach)
+        shared, lo, left, right = (np.fromiter((w[k] for w in waiting), np.int64, len(waiting)) for k in (0, 1, 3, 4))
+        shared[begins] = -1
+        hit, l, r = shared_windows(before, shared, lo, left, right, length, gram)
+        yield _batch([[waiting[i][5] for i in hit], [waiting[i][6] for i in hit], l, r], SPANS)
 
     small_batches(runs.sparkSession, 20_000)
     dealt = runs.repartition(buckets, "bucket").sortWithinPartitions("bucket", "run", "nth")
     return dealt.select("bucket", "run", "shared", "rest", "before", "core", "sub").mapInArrow(rows, SPANS)
 
 
-MEMBERS = "core long, sub long, kh long, ch long, w int, lo int, hi int, l int, r int, ctx binary"
+UNITS = "core long, sub long, w int, lo int, hi int, l int, r int, ctx binary"
 
 
 def contexts(keyed: DataFrame, wanted: DataFrame, length: int, gram: int) -> DataFrame:
-    """A row of MEMBERS for each wanted class, for all columns. wanted: (did, th, pos, l, r, kh, ch, w)."""
+    """A row of UNITS for each wanted class, for all columns. wanted: (did, th, pos, l, r, kh, ch, w)."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = [
-                (p["kh"], p["ch"], p["kh"], p["ch"], p["w"], 0, length - gram, p["l"], p["r"], text.as_py()[p["pos"] - p["l"] : p["pos"] + p["r"]])
+                (p["kh"], p["ch"], p["w"], 0, length - gram, p["l"], p["r"], text.as_py()[p["pos"] - p["l"] : p["pos"] + p["r"]])
                 for text, places in zip(b.column("text"), b.column("places").to_pylist(), strict=True)
                 for p in places
             ]
-            yield _batch(list(zip(*out, strict=True)) if out else [[]] * 10, MEMBERS)
+            yield _batch(list(zip(*out, strict=True)) if out else [[]] * 8, UNITS)
 
-    return _at_rows(keyed, wanted, ("kh", "ch", "w")).mapInArrow(rows, MEMBERS)
+    return _at_rows(keyed, wanted, ("kh", "ch", "w")).mapInArrow(rows, UNITS)
 
 
-def parted(members: DataFrame, length: int) -> DataFrame:
-    """members for parts of their columns: contexts are cut to what a part's windows cover, and have a longer core in common.
+def parted(units: DataFrame, length: int) -> DataFrame:
+    """UNITS for parts of the columns of units, which are (pcore, psub) there: contexts are cut to what a part's windows cover, and have a longer core in common.
 
     The columns whose windows lie within what all contexts of a core share, by the common prefixes of the least and the greatest to either side,
     are one part; those to its left and right are others, of which each window holds a byte in which the contexts part ways. Where all have too
@@ -329,7 +341,7 @@ def parted(members: DataFrame, length: int) -> DataFrame:
         return pd.Series([len(commonprefix([x, y])) // 2 for x, y in zip(a, b, strict=True)], dtype="int32")
 
     right, left = F.hex(F.substring("ctx", F.col("l") + 1, F.col("r"))), F.reverse(F.hex(F.substring("ctx", F.lit(1), F.col("l"))))
-    bounds = members.groupBy("core").agg(F.min(right).alias("r0"), F.max(right).alias("r1"), F.min(left).alias("l0"), F.max(left).alias("l1"), F.first("lo").alias("lo"), F.first("hi").alias("hi"))
+    bounds = units.groupBy("core").agg(F.min(right).alias("r0"), F.max(right).alias("r1"), F.min(left).alias("l0"), F.max(left).alias("l1"), F.first("lo").alias("lo"), F.first("hi").alias("hi"))
     known = bounds.select("core", "lo", "hi", F.greatest("lo", length - common("r0", "r1")).alias("a"), F.least("hi", common("l0", "l1")).alias("z"))
     half = F.floor((F.col("lo") + F.col("hi")) / 2).cast("int")
     part = lambda a, z: F.struct(a.cast("int").alias("a"), z.cast("int").alias("z"))
@@ -337,34 +349,45 @@ def parted(members: DataFrame, length: int) -> DataFrame:
     two = F.array(part(F.col("lo"), half), part(half + 1, F.col("hi")))
     wide = 4 * (F.col("z") - F.col("a") + 1) >= F.col("hi") - F.col("lo") + 1
     parts, _ = store(known.select("core", F.filter(F.when(wide, three).otherwise(two), lambda p: p["a"] <= p["z"]).alias("parts")), "parts")
-    some = members.join(parts, "core").withColumn("part", F.explode("parts"))
+    some = units.join(parts, "core").withColumn("part", F.explode("parts"))
     lo, hi = F.col("part.a"), F.col("part.z")
     left_, right_ = F.least(hi, F.col("l")), F.least(length - lo, F.col("r"))
-    own = some.where(left_ + right_ >= length).select("kh", "ch", "w", lo.alias("lo"), hi.alias("hi"), left_.alias("l"), right_.alias("r"), F.substring("ctx", F.col("l") - left_ + 1, left_ + right_).alias("ctx"))
+    own = some.where(left_ + right_ >= length).select(F.col("core").alias("pcore"), F.col("sub").alias("psub"), "w", lo.alias("lo"), hi.alias("hi"), left_.alias("l"), right_.alias("r"), F.substring("ctx", F.col("l") - left_ + 1, left_ + right_).alias("ctx"))
     core = F.xxhash64(F.substring("ctx", F.col("l") - F.col("lo") + 1, F.lit(length) - F.col("hi") + F.col("lo")), "lo", "hi")
-    return own.select(core.alias("core"), F.xxhash64("ctx", "l").alias("sub"), *[c.split()[0] for c in MEMBERS.split(", ")[2:]])
+    return own.select(core.alias("core"), F.xxhash64("ctx", "l").alias("sub"), *[c.split()[0] for c in UNITS.split(", ")[2:]], "pcore", "psub")
 
 
-def split_crowds(members: DataFrame, crowd: int, length: int) -> tuple[DataFrame | None, DataFrame | None]:
-    """Cores of more than ``crowd`` contexts, split by parts of their window columns until none is: (suffixes that need a merge, members they stand for).
+def split_crowds(units: DataFrame, crowd: int, length: int) -> tuple[DataFrame | None, list[DataFrame]]:
+    """Cores of more than ``crowd`` contexts, split by parts of their window columns until none is: suffixes that need a merge, and level by level
+    which units (pcore, psub) they stand for.
 
-    With fewer columns, contexts have more bytes in common or part ways; many fall together. A single column's core is its window.
+    With fewer columns, contexts have more bytes in common or part ways; many fall together, and the next level has each of them once. A single column's core is its window.
     """
-    settled, known = [], []
-    spark = members.sparkSession
-    now, old = members, None
+    settled, links = [], []
+    spark = units.sparkSession
+    now, old = units, None
     while now.take(1):
         parts, first = store(parted(now, length), "column-parts")
-        known.append(store(parts.select("core", "sub", "kh", "ch"), "members")[0])
-        subs, second = store(parts.groupBy("core", "sub").agg(F.least(F.sum("w"), F.lit(2)).alias("n"), F.min(F.struct("lo", "hi", "l", "r", "ctx")).alias("at")), "subs")
-        sizes, third = store(subs.groupBy("core").agg(F.sum("n").alias("m"), ((F.first("at.lo") == F.first("at.hi")) | (F.count("*") == 1)).alias("last")).where("m > 1").withColumn("done", (F.col("m") <= crowd) | F.col("last")), "cores")
-        settled.append(store(subs.join(sizes.where("done").select("core"), "core").select("core", "sub", "n", "at.*"), "settled")[0])
-        now, new = store(parts.join(sizes.where("NOT done").select("core"), "core", "left_semi"), "crowded")
+        subs, second = store(parts.groupBy("core", "sub").agg(F.least(F.sum("w"), F.lit(2)).cast("int").alias("w"), F.min(F.struct("lo", "hi", "l", "r", "ctx")).alias("at")), "subs")
+        sizes, third = store(subs.groupBy("core").agg(F.sum("w").alias("m"), ((F.first("at.lo") == F.first("at.hi")) | (F.count("*") == 1)).alias("last")).where("m > 1").withColumn("done", (F.col("m") <= crowd) | F.col("last")), "cores")
+        links.append(store(parts.select("core", "sub", "pcore", "psub").join(sizes.select("core"), "core", "left_semi"), "links")[0])
+        settled.append(store(subs.join(sizes.where("done").select("core"), "core").select("core", "sub", F.col("w").alias("n"), "at.*"), "settled")[0])
+        now, new = store(subs.join(sizes.where("NOT done").select("core"), "core", "left_semi").select("core", "sub", "w", "at.*"), "crowded")
         drop_stored(spark, first, second, third, *([old] if old else []))
         old = new
-    if not settled:
-        return None, None
-    return reduce(DataFrame.unionByName, settled), reduce(DataFrame.unionByName, known)
+    return reduce(DataFrame.unionByName, settled) if settled else None, links
+
+
+def handed_down(partial: DataFrame, links: list[DataFrame]) -> DataFrame:
+    """(core, sub, l, r): what the windows of each class cover, from the spans of parts: from the last level of the split to the first, each part once."""
+    widest = lambda df: store(df.groupBy("core", "sub").agg(F.max("l").alias("l"), F.max("r").alias("r")), "covered")
+    now, path = widest(partial)
+    for level in reversed(links):
+        up = now.join(level, ["core", "sub"]).select(F.col("pcore").alias("core"), F.col("psub").alias("sub"), "l", "r")
+        after, new = widest(now.unionByName(up))
+        drop_stored(partial.sparkSession, path)
+        now, path = after, new
+    return now
 
 
 def context_runs(settled: DataFrame, buckets: int, run_bytes: int = 16 << 20) -> DataFrame:
@@ -383,7 +406,7 @@ def context_runs(settled: DataFrame, buckets: int, run_bytes: int = 16 << 20) ->
     return settled.mapInArrow(rows, RUNS)
 
 
-def spans(keyed: DataFrame, length: int = LENGTH, gram: int = GRAM, crowd: int = 16_384) -> DataFrame:
+def spans(keyed: DataFrame, length: int = LENGTH, gram: int = GRAM, crowd: int = 1024) -> DataFrame:
     """(did, th, spans): each row's spans as start << 32 | end, not merged; rows that lose nothing are absent."""
     spark = keyed.sparkSession
     small_batches(spark)
@@ -400,19 +423,15 @@ def spans(keyed: DataFrame, length: int = LENGTH, gram: int = GRAM, crowd: int =
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), n // 50_000)
     wanted = sized.where(F.col("m") <= crowd).select("kh", "ch", F.explode(F.array_distinct(F.array("at", "to"))).alias("at")).select("kh", "ch", "at.*")
     runs = suffix_runs(keyed, wanted, buckets, length, gram)
-    members = None
+    links: list[DataFrame] = []
     if sizes.where(F.col("m") > crowd).take(1):
         crowded, _ = store(contexts(keyed, sized.where(F.col("m") > crowd).select("kh", "ch", "w", "at.*"), length, gram), "contexts")
-        settled, members = split_crowds(crowded, crowd, length)
+        settled, links = split_crowds(crowded, crowd, length)
         runs = runs.unionByName(context_runs(settled, buckets))
     small_batches(spark)
     partial, _ = store(merged_spans(runs, buckets, length, gram), "spans")
-    if members is not None:
-        partial = partial.withColumnsRenamed({"core": "kh", "sub": "ch"}).unionByName(partial.join(members, ["core", "sub"]).select("kh", "ch", "l", "r"))
-    else:
-        partial = partial.withColumnsRenamed({"core": "kh", "sub": "ch"})
     # all windows of an anchor overlap in its gram, so what they cover is one span
-    covered, _ = store(partial.groupBy("kh", "ch").agg(F.max("l").alias("cl"), F.max("r").alias("cr")), "covered")
+    covered = handed_down(partial, links).select(F.col("core").alias("kh"), F.col("sub").alias("ch"), F.col("l").alias("cl"), F.col("r").alias("cr"))
     small_batches(spark)
     found = known.join(covered, ["kh", "ch"]).select("did", "th", (F.shiftleft((F.col("pos") - F.col("cl")).cast("long"), 32) + F.col("pos") + F.col("cr")).alias("span"))
     return store(found.groupBy("did", "th").agg(F.sort_array(F.collect_set("span")).alias("spans")), "row-spans")[0]
@@ -435,7 +454,7 @@ def _kept(text: bytes, start: np.ndarray, end: np.ndarray) -> list[bytes]:
     return [text[a:z] for a, z in zip(cuts[::2], cuts[1::2], strict=True)]
 
 
-def report(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, crowd: int = 16_384) -> DataFrame:
+def report(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, crowd: int = 1024) -> DataFrame:
     """A row of REPORT for each document."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -455,7 +474,7 @@ def report(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, crowd: int =
     return keyed.join(found, ["did", "th"], "left").select(F.col("doc_id").cast("long").alias("doc_id"), "text", "spans").mapInArrow(rows, REPORT)
 
 
-def strip(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, crowd: int = 16_384) -> DataFrame:
+def strip(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, crowd: int = 1024) -> DataFrame:
     """(doc_id, kept): what is left of each document's bytes. Cuts may fall inside a character."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
