@@ -1,10 +1,10 @@
 """Toxicity: a weighted finite-state pattern grammar.
 
-A text's words become symbols: insult, threat, target, negation, reported speech, clause end; all else is skipped but counted.
-Small transducers each read the symbols: one accepts clauses that aim an insult or threat at a target, one those in which an
-insult follows another; two weigh a negation just before and a report around. They are composed into one machine by the product
-construction. A clause that the machine doesn't accept scores nothing, whatever words it holds: neither ``a fool`` alone nor
-``the burn of wood`` do. The scores of the matched clauses make the document's by a logistic curve.
+A text's words become symbols: insult, threat, target, negation, reported speech, clause end (``.!?;`` or a line end); all else is
+skipped but counted. Small transducers each read the symbols: insults, targets, threats near who they are for, a negation just before, a
+report around. They are composed into one machine by the product construction: a clause counts if it aims an insult or threat at someone, if it insults
+twice, or once where an aimed clause or two insults are not far back. A clause that the machine doesn't accept scores nothing, whatever words it holds: neither ``a fool`` alone
+nor ``the burn of wood`` do. The scores of the matched clauses make the document's by a logistic curve.
 
 The insult lexicon is a short fixed list plus words and stems learned from labelled documents: those that toxic ones hold
 far more often than chance allows. It is learned from at most ``max_train`` documents, chosen by a hash of their id;
@@ -20,7 +20,8 @@ from __future__ import annotations
 
 import math
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
+from functools import cache
 from itertools import product
 
 import numpy as np
@@ -58,39 +59,61 @@ class Transducer:
     def __call__(self, state: int, symbol: int) -> tuple[int, float]:
         return self.step.get((state, symbol), (state, 1.0))
 
-    def _product(self, other: Transducer, how: Callable[[Iterator[bool]], bool]) -> Transducer:
+    def compose(self, other: Transducer) -> Transducer:
+        """Both read the same symbols side by side; factors multiply, both must accept."""
         step = {}
         for a, b, s in product(range(self.states), range(other.states), range(7)):
             (x, f), (y, g) = self(a, s), other(b, s)
             step[a * other.states + b, s] = (x * other.states + y, f * g)
-        accept = {a * other.states + b for a, b in product(range(self.states), range(other.states)) if how([a in self.accept, b in other.accept])}
+        accept = {a * other.states + b for a, b in product(range(self.states), range(other.states)) if a in self.accept and b in other.accept}
         return Transducer(self.states * other.states, step, accept)
 
-    def compose(self, other: Transducer) -> Transducer:
-        """Both read the same symbols side by side; factors multiply, both must accept."""
-        return self._product(other, all)
 
-    def union(self, other: Transducer) -> Transducer:
-        """The same, but one that accepts is enough."""
-        return self._product(other, any)
+def insults(most: int = 3) -> Transducer:
+    """Counts a clause's insults, up to ``most``; accepts clauses with one."""
+    step = {(q, INSULT): (min(most, q + 1), 1.0) for q in range(most + 1)} | {(q, END): (0, 1.0) for q in range(most + 1)}
+    return Transducer(most + 1, step, set(range(1, most + 1)))
 
 
-def aimed(factor: float = 1.5) -> Transducer:
-    """Accepts clauses with an insult or threat and its target, in either order; one after its target weighs more."""
-    nothing, who, struck, both = range(4)
-    step = {(nothing, TARGET): (who, 1.0), (struck, TARGET): (both, 1.0)} | {(q, END): (nothing, 1.0) for q in range(4)}
-    for s in (INSULT, THREAT):
-        step |= {(nothing, s): (struck, 1.0), (who, s): (both, factor), (both, s): (both, factor)}
-    return Transducer(4, step, {both})
+def targets(factor: float = 1.5) -> Transducer:
+    """Accepts clauses that name someone; an insult or threat after that weighs more."""
+    return Transducer(2, {(0, TARGET): (1, 1.0), (1, INSULT): (1, factor), (1, THREAT): (1, factor), (1, END): (0, 1.0)}, {1})
 
 
-def repeated(reach: int = 12) -> Transducer:
-    """Accepts clauses with an insult that follows another one, in the same clause or at most ``reach`` clauses back: abuse, not a word."""
-    first, again = reach + 1, reach + 2  # below: the clauses that an earlier insult is remembered for
-    step = {(0, INSULT): (first, 1.0), (first, INSULT): (again, 1.0), (first, END): (reach, 1.0), (again, END): (reach, 1.0)}
-    for q in range(1, reach + 1):
-        step |= {(q, INSULT): (again, 1.0), (q, END): (q - 1, 1.0)}
-    return Transducer(reach + 3, step, {again})
+def threats(reach: int = 4) -> Transducer:
+    """Accepts clauses with a threat at most ``reach`` words before or behind who it is for."""
+    done = 2 * reach + 1  # 1..reach: words left since a threat, reach+1..2*reach: since a target
+    step: dict[tuple[int, int], tuple[int, float]] = {(q, END): (0, 1.0) for q in range(done + 1)}
+    for q in range(done):
+        since_threat, since_target = 1 <= q <= reach, reach < q
+        fewer = 0 if q in (0, 1, reach + 1) else q - 1
+        step |= {(q, s): (fewer, 1.0) for s in (OTHER, INSULT, NEGATION, REPORT)}
+        step[q, THREAT] = (done if since_target else reach, 1.0)
+        step[q, TARGET] = (done if since_threat else 2 * reach, 1.0)
+    return Transducer(done + 1, step, {done})
+
+
+def abuse(insult: Transducer, target: Transducer, threat: Transducer, reach: int = 20, enough: int = 3) -> Transducer:
+    """Accepts clauses that aim an insult or a threat at someone, and insults that go on with it or with others.
+
+    What came before is remembered for ``reach`` clauses: an aimed clause, or how many insults. A clause that names no one counts if it insults twice, behind an
+    aimed one, or if it makes ``enough`` insults together with those before. Insult, target and threat read the clause side by side.
+    """
+    known = [(0, 0), *((level, left) for level in range(1, enough) for left in range(1, reach + 1))]  # insults so far and clauses left; the last level also stands for an aimed clause
+    number = {k: n for n, k in enumerate(known)}
+    place = lambda k, i, t, h: ((number[k] * insult.states + i) * target.states + t) * threat.states + h
+    step, accept = {}, set()
+    for (level, left), i, t, h in product(known, range(insult.states), range(target.states), range(threat.states)):
+        aimed = (i in insult.accept and t in target.accept) or h in threat.accept
+        here = place((level, left), i, t, h)
+        if aimed or i > 1 or (i and level + i >= enough):
+            accept.add(here)
+        total = enough - 1 if aimed else min(enough - 1, level + i)
+        then = (total, reach) if total and (aimed or i) else (level, left - 1) if left > 1 else (0, 0)
+        for s in range(7):
+            (x, f), (y, g), (z, e) = insult(i, s), target(t, s), threat(h, s)
+            step[here, s] = (place(then if s == END else (level, left), x, y, z), f * g * e)
+    return Transducer(len(known) * insult.states * target.states * threat.states, step, accept)
 
 
 def negation(reach: int = 3, factor: float = 0.5) -> Transducer:
@@ -106,8 +129,9 @@ def report(factor: float = 0.6) -> Transducer:
     return Transducer(2, {(0, REPORT): (1, 1.0), (1, INSULT): (1, factor), (1, THREAT): (1, factor), (1, END): (0, 1.0)})
 
 
+@cache
 def grammar() -> Transducer:
-    return aimed().union(repeated()).compose(negation()).compose(report())
+    return abuse(insults(), targets(), threats()).compose(negation()).compose(report())
 
 
 class Machine:
@@ -121,6 +145,8 @@ class Machine:
 
     def symbol(self, token: str) -> tuple[int, float, bool]:
         """(symbol, weight, whether the clause ends here) of a blank-separated token."""
+        if token == "\n":
+            return OTHER, 0.0, True
         w = token.lower().strip(_STRIP)
         ends = token[-1:] in _ENDS
         weight = max([self.words.get(w, 0.0), *(self.stems.get(w[:k], 0.0) for k in STEMS if len(w) >= k)])
@@ -130,9 +156,9 @@ class Machine:
         return s, 0.6 if s == THREAT else 0.0, ends
 
     def clauses(self, text: str) -> tuple[list[float], int]:
-        """Scores of the matched clauses, and the number of words."""
-        tokens = text.split()
-        seen = self.seen
+        """Scores of the matched clauses, which end at ``.!?;`` and at line ends, and the number of words."""
+        tokens = [t for line in text.split("\n") for t in (*line.split(), "\n")]
+        seen, lines = self.seen, text.count("\n") + 1
         found = list(map(seen.get, tokens))
         if None in found:
             if len(seen) > 300_000:
@@ -143,7 +169,7 @@ class Machine:
                     if len(tokens[i]) < 40:
                         seen[tokens[i]] = x
         if not any(x[1] for x in found):
-            return [], len(tokens)
+            return [], len(tokens) - lines
         out, state, score = [], 0, 0.0
         step, accept = self.grammar.step, self.grammar.accept
         for s, weight, ends in found:
@@ -155,7 +181,7 @@ class Machine:
                 state, score = step[state, END][0], 0.0
         if score and state in accept:
             out.append(score)
-        return out, len(tokens)
+        return out, len(tokens) - lines
 
     def inputs(self, text: str | None) -> tuple[float, float]:
         """The curve's inputs: all clauses' score, and its density."""
