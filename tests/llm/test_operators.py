@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strataloom.llm import chat_format, common, decontaminate, line_dedup, packing, quality_knn, quality_rules, simhash, suffix_dedup, toxicity, url_filter
+from strataloom.llm import queries as registered
 from strataloom.llm.queries import URL_RULES
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, _sl_did string, did string, n_lines int, th string"
@@ -578,30 +579,36 @@ def test_toxicity(spark, odd, none):
     assert plain.score("you idiot.") > plain.score("he said you idiot.") and plain.clauses("you idiot. they moron.")[0] == [1.5, 1.5]
 
 
-def brute_clauses(text, words, reach=12):
+def brute_clauses(text, words, reach=20):
     """Scores of a text's clauses, clause by clause, by the rules as they are said."""
     kinds = [(toxicity.TARGETS, "T"), (toxicity.NEGATIONS, "N"), (toxicity.REPORTS, "R"), (toxicity.THREATS, "H")]
-    out, last = [], None
-    clauses, now = [], []
-    for token in text.split():
-        w = token.lower().strip(toxicity._STRIP)
-        now.append("I" if w in words else next((k for ws, k in kinds if w in ws), "."))
-        if token[-1] in ".!?;":
-            clauses.append(now)
-            now = []
-    for no, clause in enumerate([*clauses, now]):
-        score, target, struck, denied, told = 0.0, False, 0, 0, False
+    clauses = []
+    for line in text.split("\n"):
+        now = []
+        for token in line.split():
+            w = token.lower().strip(toxicity._STRIP)
+            now.append("I" if w in words else next((k for ws, k in kinds if w in ws), "."))
+            if token[-1] in ".!?;":
+                clauses.append(now)
+                now = []
+        clauses.append(now)
+    out, last, heard = [], None, 0
+    for no, clause in enumerate(clauses):
+        score, target, denied, told = 0.0, False, 0, False
         for s in clause:
             if s in "IH":
-                weight = words_of(s)
-                score += weight * (1.5 if target else 1) * (0.5 if denied else 1) * (0.6 if told else 1)
-                struck += 1
+                score += words_of(s) * (1.5 if target else 1) * (0.5 if denied else 1) * (0.6 if told else 1)
             target, told = target or s == "T", told or s == "R"
             denied = 3 if s == "N" else max(0, denied - 1)
         insults = clause.count("I")
-        if (target and struck) or insults > 1 or (insults and last is not None and no - last <= reach):
+        at = {k: [i for i, s in enumerate(clause) if s == k] for k in "HT"}
+        aimed = bool(insults and target) or any(abs(i - j) <= 4 for i in at["H"] for j in at["T"])
+        if last is not None and no - last > reach:
+            heard = 0
+        if score and (aimed or insults > 1 or (insults and heard + insults > 2)):
             out.append(score)
-        last = no if insults else last
+        if aimed or insults:
+            last, heard = no, 2 if aimed else min(2, heard + insults)
     return out
 
 
@@ -617,10 +624,35 @@ def test_toxicity_grammar(spark):
     r = random.Random(6)
     pool = ["fool", "Clown,", "burn", "kill", "you", "them", "not", "never", "said", "wrote", "house", "river", "stone", "of"]
     for _ in range(400):
-        text = " ".join(r.choice(pool) + r.choice(["", "", "", ".", "!", ";"]) for _ in range(r.randrange(60)))
+        text = " ".join(r.choice(pool) + r.choice(["", "", "", ".", "!", ";", "\n"]) for _ in range(r.randrange(60)))
         assert plain.clauses(text)[0] == pytest.approx(brute_clauses(text, set(toxicity.INSULTS))), text
-    far = "fool. " + "stone. " * 11 + "fool."
-    assert plain.clauses(far)[0] == [1.0] and plain.clauses(far.replace("stone. ", "stone. stone. ", 1))[0] == []
+    far = "you fool.\n" + "stone. " * 18 + "fool."
+    assert plain.clauses(far)[0] == [1.5, 1.0] and plain.clauses(far.replace("stone. ", "stone. stone. ", 1))[0] == [1.5]
+    for harmless in ("fool said the king\n\nand then\n\nyou are nice", "I ate a fool today. The stupid lamp broke.", "burn the wood that lies there by you"):
+        assert plain.clauses(harmless)[0] == []
+
+
+def test_registered_toxicity_and_quality(spark, tmp_path):
+    """The thin queries: who is held out, what is predicted, and a row for each document."""
+    r = random.Random(8)
+    rows = [(i, prose(i, 60) + (" you " + " ".join(f"blarg{r.choice(WORDS)}" for _ in range(4)) if i % 5 == 0 else "")) for i in range(150)] + [(None, "no id"), (151, None), (152, "")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, int(i % 5 != 0), int(i % 5 == 0)) for i in range(150)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for name, parts, part, at in (("op7_quality_knn", 3, 1, 0.5), ("op9_toxicity", 4, 2, 0.3)):
+        got = registered.queries()[name](spark, str(tmp_path)).collect()
+        assert len(got) == len(rows) and all(0 <= x.score <= 1 and x.predicted == int(x.score >= at) for x in got)
+        assert all(x.held_out == (x.doc_id is not None and zlib.crc32(str(x.doc_id).encode()) % parts == part) for x in got)
+    held = [x for x in got if x.held_out and x.doc_id < 150]
+    assert sum(x.predicted == int(x.doc_id % 5 == 0) for x in held) >= 0.9 * len(held)
+
+
+def test_registered_url_filter(spark, tmp_path):
+    """A page has the labels of the document that its url ends in."""
+    spark.createDataFrame([(i, f"http://x.net/{'bad' if i % 2 else 'good'}/{i}.html", "") for i in range(60)] + [(60, None, ""), (61, "http://sub.example.org/es/1", "")], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    spark.createDataFrame([(i, 1 - i % 2, 0) for i in range(40)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = {x.page_id: x for x in registered.op1_url_filter(spark, str(tmp_path)).collect()}
+    assert all(got[i].verdict == ("block" if i % 2 else "allow") and got[i].rule is None and got[i].host == "x.net" for i in range(60))
+    assert (got[60].host, got[60].path) == ("", "") and (got[61].rule, got[61].verdict) == ("example.org/es/", "block")
 
 
 # 8 ------------------------------------------------------------------------------------------------------------------
