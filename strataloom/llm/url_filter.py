@@ -1,8 +1,9 @@
 """URL filter: a path-template tree per host, judged by smoothed labelled purity, under a list of fixed rules.
 
-Everything is DataFrame operators. Urls are first counted by (host, path), so a host or url with a third of the rows is
-combined map-side. The tree is then built node by node from the root: what all paths of a node go on with alike is skipped in one
-step, so there are as many rounds as a path has branchings, however deep it is. At a branching, the next segment becomes
+Urls are first counted by (host, path), so a host or url with a third of the rows is combined map-side. The tree is then built node by
+node from the root: what all paths of a node go on with alike is skipped in one step. Large nodes are rounds of DataFrame operators; a node
+with few urls (most hosts, and soon each branch of the large ones) is finished in the task that holds it, by the same rule, so a chain of
+branchings costs no rounds. At a branching, the next segment becomes
 ``*`` where it varies (it looks like a number, date or hash; or the position is open: surely most of its urls have a segment of their
 own, by the Wilson bound of that share) and where its branch is shown to be like its siblings (the shares of bad labels are
 equal to within ``margin``, at a confidence of ``z``). All other branches stay as they are, those without labels too.
@@ -17,8 +18,14 @@ out. An empty table gives an empty result.
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
 from functools import reduce
+from itertools import groupby
+from operator import itemgetter
+from os.path import commonprefix
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -50,8 +57,78 @@ def smoothed(bad: Column, labelled: Column, towards: Column, prior: float) -> Co
     return (bad + prior * towards) / (labelled + prior)
 
 
-def templates(urls: DataFrame, prior: float = 4.0, z: float = 2.0, margin: float = 0.25) -> DataFrame:
-    """urls (host, path, n, labelled, bad), one row for each host and path, with their ``template`` and its ``purity``, the smoothed share of bad labels."""
+#: What one task finishes of a node at once: urls, and characters of their paths.
+LOCAL_URLS, LOCAL_CHARS = 10_000, 8_000_000
+ENDED = "host string, path string, template string, purity double"
+
+
+def subtree(node: str, share: float, urls: list[tuple[str, int, int, list[str]]], prior: float, z: float, margin: float) -> Iterator[tuple[str, str, float]]:
+    """(path, template, purity) of the urls (path, labelled, bad, rest) of a node, by the rule of templates()."""
+    even = lambda bad, labelled, towards: (bad + prior * towards) / (labelled + prior)
+    todo = [(node, share, urls)]
+    while todo:
+        node, share, urls = todo.pop()
+        rests = [u[3] for u in urls]
+        lo, hi = min(rests), max(rests)
+        common = len(commonprefix([lo, hi]))
+        if common:
+            node = f"{node}/{'/'.join(lo[:common])}"
+        ended = [u for u in urls if len(u[3]) == common]
+        purity = share if lo == hi else even(sum(u[2] for u in ended), sum(u[1] for u in ended), share)
+        yield from ((u[0], node, purity) for u in ended)
+        children: dict[str, list] = {}
+        for u in urls:
+            if len(u[3]) > common:
+                children.setdefault(u[3][common], []).append((*u[:3], u[3][common + 1 :]))
+        n, labelled, bad = (sum(f(c) for c in children.values()) for f in (len, lambda c: sum(u[1] for u in c), lambda c: sum(u[2] for u in c)))
+        singles = sum(1 for seg, c in children.items() if len(c) == 1 and seg)
+        branches: dict[str, list] = {}
+        for seg, c in children.items():
+            star = seg == "*" or (seg and ((len(c) == 1 and _wilson(singles / n, n, z) >= 0.5) or _like(sum(u[1] for u in c), sum(u[2] for u in c), labelled, bad, z, margin)))
+            branches.setdefault("*" if star else seg, []).extend(c)
+        todo += [(f"{node}/{name}", even(sum(u[2] for u in c), sum(u[1] for u in c), share), c) for name, c in branches.items()]
+
+
+def _wilson(p: float, n: int, z: float) -> float:
+    return (p + z * z / (2 * n) - z * math.sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n)
+
+
+def _like(l: int, b: int, w_l: int, w_b: int, z: float, margin: float) -> bool:  # noqa: E741
+    if not l or l == w_l:
+        return False
+    gap = abs((b + 0.5) / (l + 1) - (w_b - b + 0.5) / (w_l - l + 1))
+    pooled = (w_b + 1) / (w_l + 2)
+    return gap + z * math.sqrt(pooled * (1 - pooled) * (1 / l + 1 / (w_l - l))) <= margin
+
+
+def _finished(small: DataFrame, prior: float, z: float, margin: float) -> DataFrame:
+    """subtree() of each small node: nodes come sorted, a node at a time."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        each = (row for b in batches for row in zip(*(b.column(c).to_pylist() for c in ("host", "node", "share", "path", "labelled", "bad", "rest")), strict=True))
+        out: list[tuple] = []
+        for (host, node), group in groupby(each, itemgetter(0, 1)):
+            urls = list(group)
+            out += [(host, *found) for found in subtree(node, urls[0][2], [u[3:] for u in urls], prior, z, margin)]
+            if len(out) >= 10_000:
+                yield _ended(out)
+                out = []
+        yield _ended(out)
+
+    dealt = small.repartition("host", "node").sortWithinPartitions("host", "node")
+    return dealt.select("host", "node", "share", "path", "labelled", "bad", "rest").mapInArrow(rows, ENDED)
+
+
+def _ended(rows: list[tuple]) -> pa.RecordBatch:
+    columns = zip(*rows, strict=True) if rows else [[]] * 4
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [*[pa.string()] * 3, pa.float64()], strict=True)], names=["host", "path", "template", "purity"])
+
+
+def templates(urls: DataFrame, prior: float = 4.0, z: float = 2.0, margin: float = 0.25, local_urls: int = LOCAL_URLS) -> DataFrame:
+    """urls (host, path, n, labelled, bad), one row for each host and path, with their ``template`` and its ``purity``, the smoothed share of bad labels.
+
+    Nodes of up to ``local_urls`` urls are finished by the task that holds them.
+    """
     every = urls.agg(F.coalesce(F.sum("bad"), F.lit(0)).alias("b"), F.coalesce(F.sum("labelled"), F.lit(0)).alias("l")).first()
     hosts = urls.groupBy("host").agg(smoothed(F.sum("bad"), F.sum("labelled"), F.lit((every.b + 0.5) / (every.l + 1)), prior).alias("share"))
     segments = F.transform(F.split(F.regexp_replace("path", "^/", ""), "/", -1), lambda s: F.when(s.rlike(VARIABLE), F.lit("*")).otherwise(s))
@@ -59,6 +136,12 @@ def templates(urls: DataFrame, prior: float = 4.0, z: float = 2.0, margin: float
     now, _ = store(start, "url-tree")
     ended = []
     while now.take(1):
+        sizes = now.groupBy("host", "node").agg((F.count("*") > local_urls).alias("many"), (F.sum(F.char_length("path")) > LOCAL_CHARS).alias("long"))
+        marked, _ = store(now.join(sizes, ["host", "node"]).withColumn("large", F.col("many") | F.col("long")).drop("many", "long"), "url-sized")
+        ended.append(store(_finished(marked.where("NOT large"), prior, z, margin), "url-ended")[0])
+        now = marked.where("large").drop("large")
+        if not now.take(1):
+            break
         # what all rests of a node begin with is what the least and the greatest begin with
         bounds = now.groupBy("host", "node").agg(F.min("rest").alias("lo"), F.max("rest").alias("hi"))
         apart = F.array_position(F.zip_with("lo", "hi", lambda a, b: ~a.eqNullSafe(b)), True)
