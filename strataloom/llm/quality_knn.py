@@ -87,6 +87,17 @@ def leading_directions(x: np.ndarray, dims: int, rounds: int = 8, spare: int = 1
     return (q @ turn.T)[:, :dims]
 
 
+def nearest(cos: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Columns and values of each row's k largest; of those that tie for the last places, the first columns."""
+    n = cos.shape[1]
+    k = min(k, n)
+    least = np.partition(cos, n - k, axis=1)[:, n - k, None]
+    above, tied = cos > least, cos == least
+    taken = above | (tied & (np.cumsum(tied, axis=1) <= k - above.sum(axis=1, keepdims=True)))
+    near = np.nonzero(taken)[1].reshape(len(cos), k)
+    return near, np.take_along_axis(cos, near, axis=1)
+
+
 class Model:
     """Term weights, projection, labelled vectors and how they vote."""
 
@@ -113,10 +124,8 @@ class Model:
         out = []
         for at in range(0, len(texts), block):
             v = self.project(self.weigh(np.stack([features(t) for t in texts[at : at + block]])))
-            cos = v @ self.vectors.T
-            k = min(self.neighbours, cos.shape[1])
-            near = np.argsort(-cos, axis=1, kind="stable")[:, :k] if cos.shape[1] < 64 else np.argpartition(-cos, k - 1, axis=1)[:, :k]
-            w = np.maximum(np.take_along_axis(cos, near, axis=1), 0) ** self.power
+            near, cos = nearest((v @ self.vectors.T).round(6), self.neighbours)  # so that equal vectors tie wherever they stand
+            w = np.maximum(cos, 0) ** self.power
             out.append(((w * self.labels[near]).sum(axis=1) + 0.1 * self.prior) / (w.sum(axis=1) + 0.1))
         return np.concatenate(out) if out else np.empty(0)
 
