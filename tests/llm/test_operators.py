@@ -145,7 +145,17 @@ def brute_templates(urls, prior=4.0, z=2.0, margin=0.25):
     return out
 
 
-def test_url_tree_by_brute_force(spark):
+def test_url_chain_of_branchings_takes_no_rounds(spark, monkeypatch):
+    """A crawler's trap: each path goes on where the one before ended."""
+    stored = []
+    monkeypatch.setattr(url_filter, "store", lambda df, label: stored.append(label) or common.store(df, label))
+    rows = [("trap.net", "/a" * k, 1, 1, k % 2) for k in range(1, 201)]
+    got = {(x.host, x.path): (x.template, pytest.approx(x.purity)) for x in url_filter.templates(spark.createDataFrame(rows, "host string, path string, n long, labelled long, bad long")).collect()}
+    assert got == brute_templates({(h, p): (l, b) for h, p, _, l, b in rows}) and len(stored) <= 3
+
+
+@pytest.mark.parametrize("local_urls", [0, 6, 10_000])
+def test_url_tree_by_brute_force(spark, local_urls):
     r = random.Random(8)
     urls = {}
     for _ in range(700):
@@ -154,7 +164,7 @@ def test_url_tree_by_brute_force(spark):
         labelled = r.choice([0, 0, 1, 3])
         urls[host, path] = labelled, min(labelled, r.choice([0, 0, 3 if "shop" in path else 1]))
     df = spark.createDataFrame([(*k, 1, *v) for k, v in urls.items()], "host string, path string, n long, labelled long, bad long").repartition(3)
-    got = {(x.host, x.path): (x.template, pytest.approx(x.purity)) for x in url_filter.templates(df).collect()}
+    got = {(x.host, x.path): (x.template, pytest.approx(x.purity)) for x in url_filter.templates(df, local_urls=local_urls).collect()}
     assert len(got) == len(urls) and got == brute_templates(urls)
 
 
@@ -655,6 +665,19 @@ def test_registered_url_filter(spark, tmp_path):
     assert (got[60].host, got[60].path) == ("", "") and (got[61].rule, got[61].verdict) == ("example.org/es/", "block")
 
 
+def test_of_tied_neighbours_the_first_vote():
+    r = np.random.default_rng(3)
+    for n in (5, 63, 200):
+        cos = r.integers(0, 4, (30, n)) / 4
+        near, values = quality_knn.nearest(cos, 16)
+        want = np.sort(np.argsort(-cos, axis=1, kind="stable")[:, :16], axis=1)
+        assert (np.sort(near, axis=1) == want).all() and (values == np.take_along_axis(cos, near, axis=1)).all()
+    x = np.repeat(r.integers(0, 5, (3, quality_knn.features(b"a").shape[0])), 40, axis=0).astype(np.float16)
+    model = quality_knn.Model(x, np.tile([1, 0, 0, 0], 30), 4, 10, 2.0)
+    first = model.score([b"some text", None])
+    assert (first == model.score([b"some text"] * 300)[299]).any() and ((0 <= first) & (first <= 1)).all()
+
+
 # 8 ------------------------------------------------------------------------------------------------------------------
 
 
