@@ -62,6 +62,18 @@ def guide_states(rois: DataFrame, commands: DataFrame, reference: DataFrame) ->
     return s.select("image_id", "ord", state.alias("state"))
 
 
+def label_flags(images: DataFrame, px: DataFrame, rois: DataFrame, seeds: DataFrame) -> DataFrame:
+    """(image_id, reference, negative, seeded, verified, provisional): what an image has to be judged by. Verified ROIs count, provisional ones (suggested, not yet confirmed) don't."""
+    own = px.groupBy("image_id").agg((F.max("ref") == 1).alias("reference"), (F.max("neg") == 1).alias("negative"))
+    fine = F.coalesce(F.col("verified"), F.lit(True))
+    r = rois.groupBy("image_id").agg(F.bool_or(fine).alias("verified"), F.bool_or(~fine).alias("provisional"))
+    s = seeds.select("image_id").distinct().withColumn("seeded", F.lit(True))
+    out = images.select("image_id").distinct()
+    for part in (own, s, r):
+        out = out.join(part, "image_id", "left")
+    return out.select("image_id", *[F.coalesce(c, F.lit(False)).alias(c) for c in ("reference", "negative", "seeded", "verified", "provisional")])
+
+
 def screen_to_preview(sx: Column, sy: Column, left: float, top: float, scale: float, width: int, height: int) -> tuple[Column, Column]:
     """Pixel under a screen point; null outside the image."""
     x, y = F.floor((sx - left) / scale).cast("int"), F.floor((sy - top) / scale).cast("int")

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..conf import Params
 from ..functions import pixel
-from ..operators import annotations, boundary, components, dirty, edits, features, fills, guide, labels, metrics, projects, sinks, topology, tune, windows
+from ..operators import annotations, boundary, components, dirty, edits, features, fills, guide, labels, metrics, projects, reports, sinks, topology, tune, windows
 from ..sources import raster
 from ..streaming import live, sessions
 from .graph import new_path
@@ -172,8 +172,8 @@ _GRID = """, gr AS (SELECT image_id, (x*4//w)::INT AS rx, (y*4//h)::INT AS ry, (
 c AS (SELECT *, floor(gx)::INT AS x0, floor(gy)::INT AS y0, gx-floor(gx) AS sx, gy-floor(gy) AS sy FROM q),
 v AS (SELECT c.*, (coalesce(a.v,0)*(1-sx)+coalesce(b2.v,0)*sx)*(1-sy)+(coalesce(c2.v,0)*(1-sx)+coalesce(d2.v,0)*sx)*sy AS delta FROM c LEFT JOIN gr a ON a.image_id=c.image_id AND a.rx=x0 AND a.ry=y0 LEFT JOIN gr b2 ON b2.image_id=c.image_id AND b2.rx=least(3,x0+1) AND b2.ry=y0
  LEFT JOIN gr c2 ON c2.image_id=c.image_id AND c2.rx=x0 AND c2.ry=least(3,y0+1) LEFT JOIN gr d2 ON d2.image_id=c.image_id AND d2.rx=least(3,x0+1) AND d2.ry=least(3,y0+1)),
-sc AS (SELECT *, (dark/255.0::DOUBLE*20/120 + CASE WHEN x>=5 AND y>=5 AND x<w-5 AND y<h-5 THEN ridge/255.0::DOUBLE*55/120 ELSE 0 END + CASE WHEN x>=7 AND y>=7 AND x<w-7 AND y<h-7 THEN color/255.0::DOUBLE*25/120 ELSE 0 END + CASE WHEN x>=14 AND y>=14 AND x<w-14 AND y<h-14 THEN dendrite/255.0::DOUBLE*20/120 ELSE 0 END)
- / (20.0::DOUBLE/120 + CASE WHEN x>=5 AND y>=5 AND x<w-5 AND y<h-5 THEN 55.0::DOUBLE/120 ELSE 0 END + CASE WHEN x>=7 AND y>=7 AND x<w-7 AND y<h-7 THEN 25.0::DOUBLE/120 ELSE 0 END + CASE WHEN x>=14 AND y>=14 AND x<w-14 AND y<h-14 THEN 20.0::DOUBLE/120 ELSE 0 END) AS score FROM v)
+sc AS (SELECT *, (dark/255.0::DOUBLE*0.16666666666666666::DOUBLE + CASE WHEN x>=5 AND y>=5 AND x<w-5 AND y<h-5 THEN ridge/255.0::DOUBLE*0.4583333333333333::DOUBLE ELSE 0 END + CASE WHEN x>=7 AND y>=7 AND x<w-7 AND y<h-7 THEN color/255.0::DOUBLE*0.20833333333333334::DOUBLE ELSE 0 END + CASE WHEN x>=14 AND y>=14 AND x<w-14 AND y<h-14 THEN dendrite/255.0::DOUBLE*0.16666666666666666::DOUBLE ELSE 0 END)
+ / (0.16666666666666666::DOUBLE + CASE WHEN x>=5 AND y>=5 AND x<w-5 AND y<h-5 THEN 0.4583333333333333::DOUBLE ELSE 0 END + CASE WHEN x>=7 AND y>=7 AND x<w-7 AND y<h-7 THEN 0.20833333333333334::DOUBLE ELSE 0 END + CASE WHEN x>=14 AND y>=14 AND x<w-14 AND y<h-14 THEN 0.16666666666666666::DOUBLE ELSE 0 END) AS score FROM v)
 SELECT image_id, count(*) FILTER (x>=1 AND y>=1 AND x<w-1 AND y<h-1 AND score >= 0.76-greatest(1, least(100, 62+delta))/100*0.50) AS n, round(avg(delta), 6) AS mean_delta FROM sc GROUP BY 1""")
 def calibrated_mask(spark, d):
     """Candidates under each image's own calibration grid."""
@@ -586,7 +586,7 @@ def min_component_search(spark, d):
 
 
 _LOCAL = BASE + _square("ref", "rb", 2, "s") + f""", c AS (SELECT unnest([-18,-10,-4,0,4,10,18])::INT AS delta),
-pv AS (SELECT image_id, y, x, w, h, ref, neg, excl, rb, delta, (excl=0 AND dark/255.0::DOUBLE*20/120+ridge/255.0::DOUBLE*55/120+color/255.0::DOUBLE*25/120+dendrite/255.0::DOUBLE*20/120 >= 0.76-(62+delta)/100.0::DOUBLE*0.50)::INT AS pr FROM rb_t CROSS JOIN c),
+pv AS (SELECT image_id, y, x, w, h, ref, neg, excl, rb, delta, (excl=0 AND dark/255.0::DOUBLE*0.16666666666666666::DOUBLE+ridge/255.0::DOUBLE*0.4583333333333333::DOUBLE+color/255.0::DOUBLE*0.20833333333333334::DOUBLE+dendrite/255.0::DOUBLE*0.16666666666666666::DOUBLE >= 0.76-(62+delta)/100.0::DOUBLE*0.50)::INT AS pr FROM rb_t CROSS JOIN c),
 l1 AS (SELECT *, max(pr) OVER (PARTITION BY image_id, delta, y ORDER BY x RANGE BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS hx FROM pv), l2 AS (SELECT *, max(hx) OVER (PARTITION BY image_id, delta, x ORDER BY y RANGE BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS hit FROM l1),
 l3 AS (SELECT image_id, {_RX} AS rx, {_RY} AS ry, delta, sum(ref) AS ref, count(*) FILTER (ref=1 AND hit=1) AS got, count(*) FILTER (pr=1 AND rb=1) AS good, count(*) FILTER (pr=1 AND (rb=1 OR neg=1)) AS every FROM l2 WHERE excl=0 GROUP BY 1,2,3,4),
 l4 AS (SELECT *, CASE WHEN ref>0 THEN got::DOUBLE/ref ELSE 0 END AS recall, CASE WHEN every>0 THEN good::DOUBLE/every ELSE 0 END AS prec FROM l3),
@@ -892,12 +892,16 @@ def _regions(spark: SparkSession, d: str) -> DataFrame:
 _RX8, _RY8 = _bounds(8, 8)
 
 
-@query(BASE + _bands(2) + f", cx AS (SELECT *, {_RX8} AS rx, {_RY8} AS ry FROM er), rg AS (" + RATIOS + f" (SELECT image_id, rx, ry, {COUNTERS} FROM cx GROUP BY GROUPING SETS ((image_id, rx, ry), (image_id)))))" + """,
+#: Cells of regions with what the scores are made of.
+_CELLS = BASE + _bands(2) + f", cx AS (SELECT *, {_RX8} AS rx, {_RY8} AS ry FROM er), rg AS (" + RATIOS + f" (SELECT image_id, rx, ry, {COUNTERS} FROM cx GROUP BY GROUPING SETS ((image_id, rx, ry), (image_id)))))" + """,
 gl AS (SELECT image_id, recall AS g_recall FROM rg WHERE rx IS NULL), gm AS (SELECT image_id, coalesce(avg(leakage) FILTER (negative_pixels>0), 0) AS g_leak FROM rg WHERE rx IS NOT NULL GROUP BY 1),
-b AS (SELECT rg.*, g_recall, g_leak, greatest(1, (floor((rx+1)*w/8)-floor(rx*w/8))*(floor((ry+1)*h/8)-floor(ry*h/8))) AS area, matched_reference+false_negative AS refs, matched_prediction+false_positive+unknown_prediction AS preds, greatest(abs(rx-1), abs(ry-1)) AS dist, (rx*3+ry)%7 AS risk FROM rg JOIN gl USING (image_id) JOIN gm USING (image_id) JOIN sz USING (image_id) WHERE rx IS NOT NULL AND NOT (rx=1 AND ry=1)),
+b AS (SELECT rg.*, g_recall, g_leak, greatest(1, (floor((rx+1)*w/8)-floor(rx*w/8))*(floor((ry+1)*h/8)-floor(ry*h/8))) AS area, matched_reference+false_negative AS refs, matched_prediction+false_positive+unknown_prediction AS preds, greatest(abs(rx-1), abs(ry-1)) AS dist, {risk} AS risk FROM rg JOIN gl USING (image_id) JOIN gm USING (image_id) JOIN sz USING (image_id) WHERE rx IS NOT NULL AND NOT (rx=1 AND ry=1)),
 v AS (SELECT *, preds/area AS dens, preds/area-refs/area*1.35 AS exc, CASE WHEN refs>=20 THEN greatest(0, g_recall-recall) ELSE 0 END AS rgap, CASE WHEN negative_pixels>=20 THEN greatest(0, leakage-g_leak) ELSE 0 END AS lgap, dist>=3 AS cov FROM b WHERE excluded_pixels/area<0.60),
-p AS (SELECT *, least(1, greatest(0, (rgap-0.05)/0.20)) AS p1, least(1, greatest(0, (lgap-0.03)/0.20)) AS p2, least(1, greatest(0, (exc-0.008)/0.05)) AS p3, least(1, greatest(0, (risk-3)/12.0)) AS p4, CASE WHEN cov THEN least(1, greatest(0, (dist-1)/4.0)) ELSE 0 END AS p5 FROM v WHERE rgap>0.05 OR lgap>0.03 OR (dens>0.015 AND exc>0.008) OR risk>=3 OR cov)
-SELECT image_id, rx, ry, CASE greatest(p1,p2,p3,p4,p5) WHEN p1 THEN 'low-recall' WHEN p2 THEN 'high-leakage' WHEN p3 THEN 'fp-suspect' WHEN p4 THEN 'local-risk' ELSE 'coverage' END AS role, round(p1*0.30+p2*0.25+p3*0.25+p4*0.12+p5*0.08, 6)::DOUBLE AS score FROM p""")
+p AS (SELECT *, least(1, greatest(0, (rgap-0.05)/0.20)) AS p1, least(1, greatest(0, (lgap-0.03)/0.20)) AS p2, least(1, greatest(0, (exc-0.008)/0.05)) AS p3, least(1, greatest(0, (risk-3)/12.0)) AS p4, CASE WHEN cov THEN least(1, greatest(0, (dist-1)/4.0)) ELSE 0 END AS p5 FROM v WHERE rgap>0.05 OR lgap>0.03 OR (dens>0.015 AND exc>0.008) OR risk>=3 OR cov)"""
+_ROLES = """ SELECT image_id, rx, ry, CASE greatest(p1,p2,p3,p4,p5) WHEN p1 THEN 'low-recall' WHEN p2 THEN 'high-leakage' WHEN p3 THEN 'fp-suspect' WHEN p4 THEN 'local-risk' ELSE 'coverage' END AS role, round(p1*0.30+p2*0.25+p3*0.25+p4*0.12+p5*0.08, 6)::DOUBLE AS score FROM p"""
+
+
+@query(_CELLS.replace("{risk}", "(rx*3+ry)%7") + _ROLES)
 def guide_scores(spark, d):
     """Every cell worth labelling, with its role and score: what guide_active picks from."""
     r = _regions(spark, d).withColumn("risk", (F.col("rx") * 3 + F.col("ry")) % 7)
@@ -905,20 +909,43 @@ def guide_scores(spark, d):
     return _rounded(guide.active_scores(r, o, F.lit(1)).select("image_id", "rx", "ry", "role", "score"), ("score",), 6)
 
 
-@query()
+def _spaced(candidates: str) -> str:
+    """CTEs ending in pk: the first three of candidates (image_id, i, rx, ry), two cells apart where that leaves enough."""
+    return f""", sd AS (SELECT image_id, i, rx, ry, 2 AS far FROM {candidates} UNION ALL SELECT c.image_id, c.i+n.n, rx, ry, 1 FROM {candidates} c JOIN (SELECT image_id, count(*) AS n FROM {candidates} GROUP BY 1) n USING (image_id)),
+wk(image_id, i, chosen) AS (SELECT DISTINCT image_id, 0::BIGINT, []::INT[] FROM sd UNION ALL
+ SELECT w.image_id, sd.i, CASE WHEN len(chosen)<3 AND len(list_filter(chosen, lambda c: greatest(abs(c%8-rx), abs(c//8-ry))<far))=0 THEN list_append(chosen, ry*8+rx) ELSE chosen END FROM wk w JOIN sd ON sd.image_id=w.image_id AND sd.i=w.i+1),
+pk AS (SELECT image_id, unnest(range(1, len(chosen)+1))::INT AS selection_rank, unnest(chosen) AS c FROM (SELECT image_id, arg_max(chosen, i) AS chosen FROM wk GROUP BY 1))"""
+
+
+@query(_CELLS.replace("{risk}", "0") + ", sr AS (" + _ROLES + "), rk AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY round(score, 9) DESC, ry, rx) AS i FROM sr)" + _spaced("rk") + " SELECT pk.image_id, selection_rank, (c%8)::INT AS rx, (c//8)::INT AS ry, role, score FROM pk JOIN rk ON rk.image_id=pk.image_id AND rk.rx=c%8 AND rk.ry=c//8")
 def guide_active(spark, d):
     r = _regions(spark, d)
     o = r.select("image_id").distinct().withColumns({"rx": F.lit(1), "ry": F.lit(1)})
-    return _rounded(guide.active(r, o, F.lit(1)), ("score",))
+    return _rounded(guide.active(r, o, F.lit(1)), ("score",), 6)
 
 
-@query()
+@query(_CELLS.replace("{risk}", "0") + """, gl2 AS (SELECT image_id, leakage AS whole_leak FROM rg WHERE rx IS NULL), us AS (SELECT b.*, abs(recall-g_recall)+abs(leakage-whole_leak) AS near FROM b JOIN gl2 USING (image_id) WHERE refs>=2),
+pc AS (SELECT image_id, rx, ry, 0 AS pri, 'low-recall' AS role FROM us QUALIFY row_number() OVER (PARTITION BY image_id ORDER BY recall, ry, rx)=1
+ UNION ALL SELECT image_id, rx, ry, 1, 'high-leakage' FROM us WHERE negative_pixels>0 QUALIFY row_number() OVER (PARTITION BY image_id ORDER BY leakage DESC, ry, rx)=1
+ UNION ALL SELECT image_id, rx, ry, 2, 'representative' FROM us QUALIFY row_number() OVER (PARTITION BY image_id ORDER BY near, ry, rx)=1
+ UNION ALL SELECT image_id, rx, ry, row_number() OVER (PARTITION BY image_id ORDER BY refs DESC, ry, rx)+2, 'representative' FROM us),
+oc AS (SELECT * FROM pc QUALIFY row_number() OVER (PARTITION BY image_id, rx, ry ORDER BY pri)=1)
+SELECT image_id, row_number() OVER (PARTITION BY image_id ORDER BY pri, ry, rx)::INT AS selection_rank, rx, ry, role FROM oc QUALIFY selection_rank<=3""")
 def guide_reference(spark, d):
     r = _regions(spark, d)
     return guide.reference_guided(r, r.select("image_id").distinct().withColumns({"rx": F.lit(1), "ry": F.lit(1)}), least=2)
 
 
-@query()
+#: The seeded shuffle of 64 cells: a hash of the text, a generator of 32 bits, and swaps from the last place down.
+_SHUFFLE = """, fn AS (SELECT list_reduce(list_prepend(2166136261::BIGINT, list_transform(string_split('fixed-fingerprint|precision-bootstrap-v2|0', ''), lambda c: ascii(c)::BIGINT)), lambda h, c: (xor(h, c)::HUGEINT*16777619 % 4294967296)::BIGINT) AS h),
+sh(i, state, l) AS (SELECT 63, h, range(64) FROM fn UNION ALL
+ SELECT i-1, t0, list_transform(range(64), lambda p: CASE WHEN p=i THEN l[j+1] WHEN p=j THEN l[i+1] ELSE l[p+1] END) FROM (
+  SELECT i, l, t0, floor(xor(t2, t2>>14)/4294967296.0::DOUBLE*(i+1))::INT AS j FROM (
+   SELECT i, l, t0, xor(t1, ((t1+(xor(t1, t1>>7)::HUGEINT*(t1|61) % 4294967296)) % 4294967296)::BIGINT) AS t2 FROM (
+    SELECT i, l, t0, (xor(t0, t0>>15)::HUGEINT*(t0|1) % 4294967296)::BIGINT AS t1 FROM (SELECT i, l, (state+1831565813) % 4294967296 AS t0 FROM sh WHERE i>0)))))"""
+
+
+@query(BASE + _SHUFFLE + ", cd AS (SELECT image_id, p+1 AS i, (l[p+1]%8)::INT AS rx, (l[p+1]//8)::INT AS ry FROM sz, sh, range(64) t(p) WHERE sh.i=0)" + _spaced("cd") + " SELECT image_id, selection_rank, (c%8)::INT AS rx, (c//8)::INT AS ry FROM pk")
 def guide_bootstrap(spark, d):
     s = scene(spark, d).groupBy("image_id").agg(F.first("w").alias("w"), F.first("h").alias("h"))
     return guide.bootstrap(guide.grid(s), "fixed-fingerprint")
@@ -972,7 +999,7 @@ def stream_latest_edits(spark, d):
     base = f"{shared_dir(spark)}/strataloom/stream-{uuid.uuid4().hex}"
     q = live.upsert_latest(e, f"{base}/table", f"{base}/checkpoint")
     q.awaitTermination()
-    return spark.read.parquet(f"{base}/table/v{max(q.lastProgress['batchId'] if q.lastProgress else 0, 0)}").withColumn("value", F.col("value").cast("int"))
+    return live.read_latest(spark, f"{base}/table").withColumn("value", F.col("value").cast("int"))
 
 
 #: Edits of the label layers of sixteen images of 320x256 pixels; the last twentieth of the log is a batch of its own.
@@ -1167,16 +1194,37 @@ def project_checks(spark, d):
     return projects.restore(documents, images).select(F.col("image_id").alias("event_id"), "error")
 
 
-@query()
+_HELD = _FILL + """, h AS (SELECT *, xor(xor(xor(((x+1)::BIGINT*73856093)&4294967295, ((y+1)::BIGINT*19349663)&4294967295), ((label+1)::BIGINT*83492791)&4294967295), ((safe+1)::BIGINT*2654435761)&4294967295) AS hash FROM fin WHERE reason IS NULL),
+rv AS (SELECT image_id, root, n>=2 AND k<=least(greatest(floor(n*0.2+0.5),1),n-1) AS out_ FROM (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY hash, label) AS k, count(*) OVER (PARTITION BY image_id) AS n FROM h))""" + _spread("x%8 IN (4,5) AND y%8 BETWEEN 2 AND 6", "s", "n") + """,
+ln AS (SELECT image_id, root, count(*) AS size, floor(avg(p%w)+0.5)::BIGINT AS cx, floor(avg(p//w)+0.5)::BIGINT AS cy FROM ccn JOIN sz USING (image_id) GROUP BY 1,2 HAVING count(*)>=8),
+lo AS (SELECT *, xor(xor((cx*73856093)&4294967295, (cy*19349663)&4294967295), (size*83492791)&4294967295) AS hash FROM ln),
+lv AS (SELECT *, row_number() OVER w AS k, coalesce(sum(size) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, count(*) OVER (PARTITION BY image_id) AS n, sum(size) OVER (PARTITION BY image_id) AS every FROM lo WINDOW w AS (PARTITION BY image_id ORDER BY hash, root)),
+lh AS (SELECT image_id, root FROM lv WHERE n>=2 AND k<=n-1 AND (k=1 OR before<greatest(1, floor(every*0.2+0.5))) QUALIFY sum(size) OVER (PARTITION BY image_id)>=20),
+dw AS (SELECT s.*, grid AS gref, CASE WHEN c.p IS NULL THEN 0 WHEN lh.root IS NULL THEN 1 ELSE 0 END AS mt0, (c.p IS NOT NULL AND lh.root IS NOT NULL)::INT AS mv0, rv.out_ FROM s LEFT JOIN ccn c ON c.image_id=s.image_id AND c.p=s.y*s.w+s.x LEFT JOIN lh ON lh.image_id=c.image_id AND lh.root=c.root LEFT JOIN cc f ON f.image_id=s.image_id AND f.p=s.y*s.w+s.x LEFT JOIN rv ON rv.image_id=f.image_id AND rv.root=f.root)""" + _square("mt0", "mt", 1, "dw") + _square("mv0", "mv", 1, "mt_t") + _square("gref", "sg", 1, "mv_t") + """,
+nh AS (SELECT image_id, sum((gref=0 AND (mt=1 OR (sg=0 AND out_ IS NOT NULL AND NOT out_)))::INT)::BIGINT AS tuning_pixels, sum((gref=0 AND (mv=1 OR coalesce(sg=0 AND out_, false)))::INT)::BIGINT AS v FROM sg_t GROUP BY 1)"""
+
+
+@query(_HELD + " SELECT image_id, tuning_pixels, CASE WHEN v>=20 THEN v ELSE 0 END AS validation_pixels, CASE WHEN v>=20 THEN 'independent-region-holdout' WHEN tuning_pixels>0 THEN 'validation-unavailable' ELSE 'no-negative-labels' END AS mode FROM nh")
 def negative_holdout(spark, d):
-    s = scene(spark, d).withColumns({"neg_line": F.when((F.col("x") % 8 == 4) & (F.col("y") % 8).between(2, 6), 1).otherwise(0), "ref": F.col("grid")})
+    """Lines of ten pixels in the squares of a grid, and its closed squares, some held out as wholes."""
+    s = scene(spark, d).withColumns({"neg_line": ((F.col("x") % 8).isin(4, 5) & (F.col("y") % 8).between(2, 6)).cast("int"), "ref": F.col("grid")})
     return fills.holdout_summary(fills.negative_holdout(s, seeds(spark, s), _FILL_CONF, radius=1))
 
 
-@query()
+_TOLERANCES = "".join(_bands(t).replace(" cl AS", f" cl{t} AS").replace("FROM cl)", f"FROM cl{t})").replace("rb_r", f"rb{t}_r").replace("rb_t", f"rb{t}_t").replace("pb_r", f"pb{t}_r").replace("pb_t", f"pb{t}_t").replace("st AS (", f"st{t} AS (").replace("FROM st)", f"FROM st{t})").replace("er AS (", f"er{t} AS (") + f", rec{t} AS (SELECT image_id, count(*) FILTER (ref=1 AND state<>'excluded' AND pb=1)::DOUBLE/greatest(1, count(*) FILTER (ref=1 AND state<>'excluded')) AS r{t} FROM er{t} GROUP BY 1)" for t in (1, 2, 3, 4))
+
+
+@query(_REGIONAL + _TOLERANCES + """, mc AS (SELECT image_id, round(coalesce(avg(leakage) FILTER (negative_pixels>0), 0), 9) AS macro_leakage, round(avg(label_f1) FILTER (matched_reference+false_negative>0), 9) AS macro_f1 FROM rg WHERE rx IS NOT NULL GROUP BY 1),
+nb2 AS (SELECT a.image_id, a.y, a.x, a.w, a.h, count(b.x) AS n FROM (SELECT * FROM s WHERE pred=1) a LEFT JOIN s b ON b.image_id=a.image_id AND b.pred=1 AND b.x BETWEEN a.x-1 AND a.x+1 AND b.y BETWEEN a.y-1 AND a.y+1 AND (b.x<>a.x OR b.y<>a.y) GROUP BY ALL),
+en2 AS (SELECT image_id, count(*) AS set_pixels, count(*) FILTER (n<=1 AND x>=3 AND y>=3 AND x<w-3 AND y<h-3) AS endpoints FROM nb2 GROUP BY 1), nc AS (SELECT image_id, count(*) AS cells FROM rg WHERE rx IS NOT NULL GROUP BY 1), rf AS (SELECT image_id, sum(ref)::BIGINT AS reference FROM s GROUP BY 1)
+SELECT rg.image_id, matched_prediction, false_positive, unknown_prediction, round(recall, 9) AS recall, round(leakage, 9) AS leakage, round(label_precision, 9) AS label_precision, macro_leakage, macro_f1, round(r1,9) AS recall_1, round(r2,9) AS recall_2, round(r3,9) AS recall_3, round(r4,9) AS recall_4, set_pixels, endpoints, cells, reference AS split_pixels
+FROM rg JOIN mc USING (image_id) JOIN rec1 USING (image_id) JOIN rec2 USING (image_id) JOIN rec3 USING (image_id) JOIN rec4 USING (image_id) JOIN en2 USING (image_id) JOIN nc USING (image_id) JOIN rf USING (image_id) WHERE rx IS NULL""")
 def diagnostic_report(spark, d):
-    s = scene(spark, d)
-    return sinks.diagnostic_report(metrics=metrics.compare(s, 2), macro=metrics.macro(metrics.regional(s, 2)), endpoints=windows.endpoint_proxy(s, "thin"))
+    """The numbers of each image's own report."""
+    r = reports.diagnostic(scene(spark, d), CONF.with_(tolerance=2))
+    at = [F.get("tolerances", F.lit(t - 1))["recall"].alias(f"recall_{t}") for t in (1, 2, 3, 4)]  # in order of the tolerance
+    flat = r.select("image_id", *[F.col(f"whole.{c}") for c in ("matched_prediction", "false_positive", "unknown_prediction", "recall", "leakage", "label_precision")], "macro.macro_leakage", "macro.macro_f1", *at, "endpoints.set_pixels", "endpoints.endpoints", F.size("cells").cast("long").alias("cells"), (F.col("holdout.tuning_pixels") + F.col("holdout.validation_pixels")).alias("split_pixels"))
+    return _rounded(flat, ("recall", "leakage", "label_precision", "macro_leakage", "macro_f1", "recall_1", "recall_2", "recall_3", "recall_4"))
 
 
 @query()
@@ -1198,7 +1246,25 @@ def feature_bundle(spark, d):
     return f.groupBy("image_id").agg(*[F.round(F.avg(c), 2).alias(c) for c in ("dark", "ridge", "color", "dendrite", "orientation_angle")])
 
 
-@query()
+_NMS = BASE + """, sc AS (SELECT image_id, y, x, w, h, orientation, (orientation*0.785398)::FLOAT::DOUBLE AS ang, v::FLOAT::DOUBLE AS score, (x>=1 AND y>=1 AND x<w-1 AND y<h-1 AND v>=0.76-62/100.0::DOUBLE*0.50) AS cand FROM (
+ SELECT *, CASE WHEN x>=1 AND y>=1 AND x<w-1 AND y<h-1 THEN (dark/255.0::DOUBLE*0.16666666666666666::DOUBLE + CASE WHEN x>=5 AND y>=5 AND x<w-5 AND y<h-5 THEN ridge/255.0::DOUBLE*0.4583333333333333::DOUBLE ELSE 0 END + CASE WHEN x>=7 AND y>=7 AND x<w-7 AND y<h-7 THEN color/255.0::DOUBLE*0.20833333333333334::DOUBLE ELSE 0 END + CASE WHEN x>=14 AND y>=14 AND x<w-14 AND y<h-14 THEN dendrite/255.0::DOUBLE*0.16666666666666666::DOUBLE ELSE 0 END)
+ / (0.16666666666666666::DOUBLE + CASE WHEN x>=5 AND y>=5 AND x<w-5 AND y<h-5 THEN 0.4583333333333333::DOUBLE ELSE 0 END + CASE WHEN x>=7 AND y>=7 AND x<w-7 AND y<h-7 THEN 0.20833333333333334::DOUBLE ELSE 0 END + CASE WHEN x>=14 AND y>=14 AND x<w-14 AND y<h-14 THEN 0.16666666666666666::DOUBLE ELSE 0 END) ELSE 0 END AS v FROM s)),
+ci AS (SELECT *, unnest([-1, 1]) AS sg FROM sc WHERE cand AND x>=5 AND y>=5 AND x<w-5 AND y<h-5),
+cp AS (SELECT *, x+sg*cos(ang) AS px_, y+sg*sin(ang) AS py_ FROM ci),
+cq AS (SELECT *, floor(px_)::INT AS fx, floor(py_)::INT AS fy, px_-floor(px_) AS sx, py_-floor(py_) AS sy FROM cp),
+bl AS (SELECT q.image_id, q.y, q.x, q.sg, (a.score*(1-sx)+b.score*sx)*(1-sy)+(c.score*(1-sx)+d.score*sx)*sy AS v FROM cq q
+ JOIN sc a ON a.image_id=q.image_id AND a.x=fx AND a.y=fy JOIN sc b ON b.image_id=q.image_id AND b.x=fx+1 AND b.y=fy JOIN sc c ON c.image_id=q.image_id AND c.x=fx AND c.y=fy+1 JOIN sc d ON d.image_id=q.image_id AND d.x=fx+1 AND d.y=fy+1),
+ba AS (SELECT image_id, y, x, max(v) FILTER (sg=-1) AS before, max(v) FILTER (sg=1) AS after FROM bl GROUP BY 1,2,3),
+jd AS (SELECT sc.*, (score+1e-7<before OR score+1e-7<after) AS beaten, (score>before+1e-7 OR score>after+1e-7) AS single FROM sc JOIN ba USING (image_id, y, x)),
+wl AS (SELECT j.image_id, j.y, j.x, j.score, sg, k, n.cand IS NOT NULL AND n.cand AS m, n.score AS s FROM (SELECT *, unnest(range(1, 10)) AS k FROM (SELECT *, unnest([-1, 1]) AS sg FROM jd WHERE NOT beaten AND NOT single)) j
+ LEFT JOIN sc n ON n.image_id=j.image_id AND n.x=j.x+sg*k*CASE j.orientation%4 WHEN 0 THEN 1 WHEN 1 THEN 1 WHEN 2 THEN 0 ELSE -1 END AND n.y=j.y+sg*k*CASE j.orientation%4 WHEN 0 THEN 0 ELSE 1 END),
+wf AS (SELECT *, min(CASE WHEN m AND abs(s-score)<=1e-7 AND k<=8 THEN 99 ELSE k END) OVER (PARTITION BY image_id, y, x, sg) AS stop FROM wl),
+we AS (SELECT image_id, y, x, any_value(score) AS score, max(stop-1) FILTER (sg=-1) AS back, max(stop-1) FILTER (sg=1) AS ahead, max(CASE WHEN k=stop AND m THEN s ELSE -1 END) FILTER (sg=-1) AS low, max(CASE WHEN k=stop AND m THEN s ELSE -1 END) FILTER (sg=1) AS high FROM wf GROUP BY 1,2,3),
+th AS (SELECT jd.image_id, jd.y, jd.x, NOT beaten AND (single OR coalesce(low<=we.score+1e-7 AND high<=we.score+1e-7 AND back=(back+ahead)//2, false)) AS keep FROM jd LEFT JOIN we USING (image_id, y, x))
+SELECT sc.image_id, count(*) FILTER (cand) AS candidates, count(*) FILTER (cand AND coalesce(keep, true)) AS kept FROM sc LEFT JOIN th USING (image_id, y, x) GROUP BY 1"""
+
+
+@query(_NMS)
 def nms_centerline(spark, d):
     f = scene(spark, d).withColumn("orientation_angle", (F.col("orientation") * 0.785398).cast("float"))
     return boundary.nms(boundary.candidates(f, CONF)).groupBy("image_id").agg(F.sum("cand").alias("candidates"), F.sum("thin").alias("kept"))

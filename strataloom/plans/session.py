@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -37,6 +37,7 @@ class Session:
     seeds: DataFrame | None = None
     calibration: DataFrame | None = None  # (image_id, rx, ry, value): each image's own grid
     _features: DataFrame | None = None
+    _mask: DataFrame | None = None
 
     def features(self) -> DataFrame:
         if self._features is None:
@@ -50,7 +51,9 @@ class Session:
         return f.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("ref", "neg", "excl")})
 
     def mask(self) -> DataFrame:
-        return boundary_mask(self.scene(), self.conf, self.calibration, exclusion="excl").select(*KEY, "pred")
+        if self._mask is None:
+            self._mask = stored(boundary_mask(self.scene(), self.conf, self.calibration, exclusion="excl").select(*KEY, "pred"), "mask")
+        return self._mask
 
     def predicted(self) -> DataFrame:
         return stored(self.scene().join(self.mask(), KEY), "predicted")
@@ -60,6 +63,23 @@ class Session:
         same = (conf.local_enabled, conf.local_strength, conf.local_window) == (self.conf.local_enabled, self.conf.local_strength, self.conf.local_window)
         return Session(self.px, self.labels, conf, self.rois, self.seeds, None, self._features if same else None)
 
+    def with_calibration(self, grid: DataFrame | None) -> Session:
+        """Each image's own calibration grid; only the mask is derived anew."""
+        return replace(self, calibration=grid, _mask=None)
+
+    def with_labels(self, labels: DataFrame, exclusions_changed: bool = False) -> Session:
+        """Edited labels drop the calibration, which was measured by them, and with it its mask; a mask without calibration is derived anew only if exclusions changed, which cut it. Features stay."""
+        stays = self.calibration is None and not exclusions_changed
+        return replace(self, labels=labels, calibration=None, _mask=self._mask if stays else None)
+
+    def with_rois(self, rois: DataFrame | None) -> Session:
+        """Edited ROIs touch evaluations alone."""
+        return replace(self, rois=rois)
+
+    def with_seeds(self, seeds: DataFrame | None) -> Session:
+        """Edited seeds change the closed negatives and closure alone."""
+        return replace(self, seeds=seeds)
+
     def compare(self) -> dict[str, DataFrame]:
         """Whole, regional and multi-tolerance metrics, and the ROIs' where there are any."""
         p = self.predicted()
@@ -121,8 +141,7 @@ class Session:
         grid = stored(tune.calibration_fill(choice, images=now.features()), "calibration")  # each image by its own grid
         changed = tune.calibration_summary(grid).agg(F.coalesce(F.sum("active_cells"), F.lit(0)).alias("n")).first().n > 0
         if changed:
-            tried = now.with_conf(now.conf)
-            tried.calibration = grid
+            tried = now.with_calibration(grid)
             after = tried.evaluate(tried.predicted())
             fine, why = tune.stage_verdict(spark, before, after)
             trace.append({"stage": "local", "accepted": fine, "status": "accepted" if fine else "rolled-back", "reason": why, **after})

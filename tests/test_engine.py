@@ -732,11 +732,15 @@ def test_streams(spark, tmp_path):
         spark.createDataFrame([r], live.EDITS).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     q = live.upsert_latest(live.edit_stream(spark, str(tmp_path / "in"), files_per_trigger=1), str(tmp_path / "t"), str(tmp_path / "c"))
     q.awaitTermination()
-    last = max(int(p.name[1:]) for p in (tmp_path / "t").iterdir())
-    assert sorted((r.layer, r.value, r.seq) for r in spark.read.parquet(str(tmp_path / "t" / f"v{last}")).collect()) == [("n", 1, 3), ("p", 0, 2)]
+    assert sorted((r.layer, r.value, r.seq) for r in live.read_latest(spark, str(tmp_path / "t")).collect()) == [("n", 1, 3), ("p", 0, 2)]
     ev = live.edit_stream(spark, str(tmp_path / "in")).select("ts", F.col("layer").alias("event_type"), F.col("seq").cast("double").alias("value"))
     live.run_to_table(live.activity(ev), str(tmp_path / "o"), str(tmp_path / "c2")).awaitTermination()
     assert [(r.event_type, r.n, r.total) for r in spark.read.parquet(str(tmp_path / "o")).collect()] == [("p", 2, 3.0)]
+    touched = {p.name: sorted(f.name for f in p.glob("*.parquet")) for p in (tmp_path / "t").glob("part=*")}
+    spark.createDataFrame([("p", 1, 1, 9, 7, dt.datetime(2024, 1, 1, 2, 0))], live.EDITS).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    live.upsert_latest(live.edit_stream(spark, str(tmp_path / "in")), str(tmp_path / "t"), str(tmp_path / "c")).awaitTermination()
+    assert sorted((r.layer, r.value, r.seq) for r in live.read_latest(spark, str(tmp_path / "t")).collect()) == [("n", 1, 3), ("p", 7, 9)]
+    assert sum(touched[p.name] != sorted(f.name for f in p.glob("*.parquet")) for p in (tmp_path / "t").glob("part=*")) == 1
 
 
 def test_min_labels(spark):

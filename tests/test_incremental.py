@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 from test_engine import bmp, frame, noise, plane
 
 from strataloom.conf import Params
-from strataloom.operators import boundary, dirty, topology, tune, windows
+from strataloom.operators import annotations, boundary, dirty, projects, reports, topology, tune, windows
 from strataloom.plans import graph
+from strataloom.plans.session import Session
 from strataloom.sources import raster
 from strataloom.streaming import sessions
 
@@ -219,6 +220,64 @@ def test_a_stage_is_rolled_back_if_only_the_primary_score_falls(spark):
     assert tune.stage_verdict(spark, base, base | {"recall": 0.7, "primary": 0.7}) == (False, "positive-recall-regression")
 
 
+def test_a_snapshot_keeps_every_field(spark):
+    m = noise(7, (9, 11), 0.3)
+    px = frame(spark, ref=m, ref_band=m, neg=1 - m, neg_band=1 - m)
+    one = px.agg(F.min("image_id").alias("image_id")).select("image_id", F.lit(11).alias("w"), F.lit(9).alias("h"), F.lit(0.5).alias("scale"), F.lit("f1").alias("fingerprint"), F.lit("a.bmp").alias("name"), F.lit(3_000_000_000).alias("size"), F.struct(F.lit(22).alias("width"), F.lit(18).alias("height"), F.lit(24).alias("bitDepth"), F.lit(True).alias("topDown"), F.lit(54).cast("long").alias("pixelOffset")).alias("header"))
+    key = one.first().image_id
+    seeds = spark.createDataFrame([(key, 0, 3, 4, True)], "image_id int, ord int, x int, y int, border_assisted boolean")
+    rects = spark.createDataFrame([(key, 0, 1, 2, 3, 4, False, "guide")], "image_id int, ord int, x0 int, y0 int, x1 int, y1 int, verified boolean, source string")
+    filled = spark.createDataFrame([(key, rx, ry, float(rx - ry), rx == ry) for rx in range(4) for ry in range(4)], "image_id int, rx int, ry int, value double, measured boolean")
+    choice = spark.createDataFrame([(key, 1, 1, 4, 0.02)], "image_id int, rx int, ry int, delta int, gain double")
+    guide = spark.createDataFrame([(key, 2, '{"mode":"active"}')], "image_id int, lastSuggestedRound int, lastSuggestion string")
+    extra = projects.guide_part(guide).join(projects.calibration_part(filled, choice, 62), "image_id").withColumn("history", F.array(F.lit('{"kind":"tune"}')))
+    docs = projects.snapshot(one, px, Params().with_(sensitivity=50).to_settings().__str__(), seeds, rects, rects, extra, F.lit("2024-05-06 07:08:09.5").cast("timestamp"))
+    back = projects.restore(docs, one)
+    p = back.first().p
+    assert back.first().error is None and (p.appVersion, p.algorithmVersion, p.savedAt) == (projects.APP_VERSION, projects.ALGORITHM_VERSION, "2024-05-06T07:08:09.500Z")
+    assert (p.source.fileName, p.source.fileSize, p.source.header.bitDepth, p.source.header.topDown) == ("a.bmp", 3_000_000_000, 24, True)
+    assert p.localCalibration.baseSensitivity == 62 and p.localCalibration.measured == [1, 0, 0, 0, 0, 1, 0, 0, 0, 0, 1, 0, 0, 0, 0, 1] and [(r.rx, r.delta) for r in p.localCalibration.regions] == [(1, 4.0)]
+    assert sorted(map(tuple, projects.restored_calibration(back).collect())) == sorted(map(tuple, filled.collect()))
+    assert tuple(projects.restored_guide(back).first()) == (key, 2, 8, 8, 2, -1, '{"mode":"active"}') and p.history == ['{"kind":"tune"}']
+    assert (plane(projects.restored_mask(back, "ref"), "ref", m.shape) == m).all() and projects.restored_rects(back, "fullEvaluationRois").first().source == "guide"
+
+
+def test_edits_keep_what_they_dont_touch(spark):
+    r = np.random.default_rng(4)
+    z = np.zeros((20, 20), int)
+    px = frame(spark, r=r.integers(0, 255, z.shape), g=r.integers(0, 255, z.shape), b=r.integers(0, 255, z.shape)).select("image_id", "y", "x", "r", "g", "b")
+    labels = frame(spark, ref=noise(1, z.shape, 0.1), neg=noise(2, z.shape, 0.1), excl=z).select("image_id", "y", "x", "ref", "neg", "excl")
+    s = Session(px, labels, Params(local_window=16, min_component=2))
+    mask, feat = s.mask(), s.features()
+    cut = labels.withColumn("excl", (F.col("x") < 10).cast("int"))
+    assert s.with_labels(labels.withColumn("ref", F.lit(0))).mask() is mask and s.with_rois(None).mask() is mask and s.with_seeds(None).mask() is mask
+    other = s.with_labels(cut, exclusions_changed=True)
+    assert other.features() is feat and other.mask() is not mask and other.mask().where("pred = 1 AND x < 10").count() == 0 < mask.where("pred = 1 AND x < 10").count()
+    grid = spark.createDataFrame([(0, rx, ry, 5.0) for rx in range(4) for ry in range(4)], "image_id int, rx int, ry int, value double")
+    tuned = s.with_calibration(grid)
+    assert tuned.features() is feat and tuned.with_labels(labels).calibration is None and tuned.with_labels(labels)._mask is None and tuned.with_rois(None).calibration is grid
+    assert s.with_conf(s.conf.with_(sensitivity=40)).features() is feat and s.with_conf(s.conf.with_(local_window=8))._features is None
+
+
+def test_flags_of_labels(spark):
+    px = spark.createDataFrame([(1, 0, 0, 1, 0), (2, 0, 0, 0, 1), (3, 0, 0, 0, 0)], "image_id int, y int, x int, ref int, neg int")
+    rois = spark.createDataFrame([(1, None), (1, False), (2, False)], "image_id int, verified boolean")
+    seeds = spark.createDataFrame([(3,)], "image_id int")
+    got = {r.image_id: tuple(r)[1:] for r in annotations.label_flags(px, px, rois, seeds).collect()}
+    assert got == {1: (True, False, False, True, True), 2: (False, True, False, False, True), 3: (False, False, True, False, False)}
+
+
+def test_diagnostic_report_has_a_row_for_each_image(spark):
+    df = grid_frame(spark)
+    two = df.unionByName(df.withColumn("image_id", F.col("image_id") + 1)).withColumn("dark", F.col("pred") * 200)
+    rows = reports.diagnostic(two, Params(tolerance=1, review_radius=4), features=("dark",)).collect()
+    assert len(rows) == 2 and rows[0].whole == rows[1].whole and len(rows[0].cells) == len(rows[0].region_features) == 16
+    assert [t.tolerance for t in rows[0].tolerances] == [1, 2, 3, 4] and rows[0].endpoints.endpoints == 8 and rows[0].settings.tolerance == 1
+    n = df.agg(F.sum("ref")).first()[0]
+    assert rows[0].holdout.tuning_pixels + rows[0].holdout.validation_pixels == n and 0.1 * n < rows[0].holdout.validation_pixels < 0.3 * n
+    assert 0 <= rows[0].holdout.validation_recall <= 1
+
+
 # sources -------------------------------------------------------------------------------------------------------------
 
 
