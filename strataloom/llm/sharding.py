@@ -80,20 +80,20 @@ def balanced(shard_of: dict[int, int], load: dict[int, int], shards: int) -> dic
 
 
 def grown(shard_of: dict[int, int], load: dict[int, int], shards: int) -> dict[int, int]:
-    """The edits that give shard number ``shards`` its share: always a slot of the shard that is then the fullest."""
+    """The edits that give shard number ``shards`` its share, slot by slot from the fullest shards."""
     held: list[list[int]] = [[] for _ in range(shards)]
     for slot, shard in sorted(shard_of.items(), key=lambda x: (load.get(x[0], 0), x[0])):
         held[shard].append(slot)
     total = [sum(load.get(s, 0) for s in h) for h in held]
     share, got, edits = sum(total) / (shards + 1), 0, {}
     while got < share:
-        full = max(range(shards), key=lambda i: (total[i], i))
-        fits = [s for s in held[full] if 0 < load.get(s, 0) <= share - got]
+        # of the fullest shard that has a slot which fits and leaves the new shard no fuller than it
+        fits = next((f for f in ([(i, s) for s in held[i] if 0 < load.get(s, 0) <= min(share - got, total[i] - got)] for i in sorted(range(shards), key=lambda i: (-total[i], i))) if f), None)
         if not fits:
             break
-        slot = fits[len(fits) // 2]
-        held[full].remove(slot)
-        total[full] -= load[slot]
+        donor, slot = fits[len(fits) // 2]
+        held[donor].remove(slot)
+        total[donor] -= load[slot]
         got += load[slot]
         edits[slot] = shards
     return edits
