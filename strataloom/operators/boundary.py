@@ -99,9 +99,9 @@ def thinned(feat: DataFrame, conf: Params, calibration: DataFrame | None = None,
     return df.withColumn("thin", out_of("thin")).select("image_id", "y", "x", "w", "h", "score", "thin", *keep)
 
 
-def boundary_mask(feat: DataFrame, conf: Params | None = None, calibration: DataFrame | None = None, exclusion: str | None = None) -> DataFrame:
-    """(key, w, h, score, pred): the whole mask pipeline. exclusion: a 0/1 column of feat."""
+def boundary_mask(feat: DataFrame, conf: Params | None = None, calibration: DataFrame | None = None, exclusion: str | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(key, w, h, score, pred, exclusion and the kept columns, without nulls): the whole mask pipeline. exclusion: a 0/1 column of feat."""
     conf = conf or Params()
-    df = min_component(thinned(feat, conf, calibration, exclusion), "thin", "pred", conf.min_component)
+    df = min_component(thinned(feat, conf, calibration, exclusion, keep), "thin", "pred", conf.min_component)
     out = F.when(F.col(exclusion) == 1, 0).otherwise(F.col("pred")) if exclusion else F.col("pred")
-    return df.withColumn("pred", out).select("image_id", "y", "x", "w", "h", "score", "pred", *([exclusion] if exclusion else []))
+    return df.withColumn("pred", out).select("image_id", "y", "x", "w", "h", "score", "pred", *([exclusion] if exclusion else []), *keep)

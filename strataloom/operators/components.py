@@ -86,10 +86,10 @@ def seams(r: DataFrame, connectivity: int, tile: int = TILE) -> DataFrame:
 def labelled_runs(px: DataFrame, on: Column, connectivity: int = 8, tile: int = TILE) -> DataFrame:
     """Runs (image_id, y, a, b, run) with ``root``, the first run of their component; runs end at tile borders. Images of one tile have no seams."""
     r = stored(parts(px, on, connectivity, tile), "parts")
-    edges = stored(seams(r, connectivity, tile), "seams")
-    if not edges.take(1):
+    far = r.agg(F.max(F.greatest("y", "b"))).first()[0]
+    if far is None or far < tile:
         return r.withColumnRenamed("part", "root")
-    roots = min_labels(edges).select("image_id", F.col("node").alias("part"), "root")
+    roots = min_labels(seams(r, connectivity, tile)).select("image_id", F.col("node").alias("part"), "root")
     return r.join(roots, ["image_id", "part"], "left").withColumn("root", F.coalesce("root", "part")).drop("part")
 
 

@@ -130,9 +130,11 @@ def lab_planes(spark, d):
     return scene(spark, d).select("image_id", lum.alias("l"), a.alias("a"), b.alias("b")).groupBy("image_id").agg(*[F.round(F.avg(c), 2).alias(c) for c in "lab"])
 
 
-@query("SELECT i::BIGINT AS sensitivity, round(0.76-i/100.0*0.50, 9)::DOUBLE AS threshold FROM range(1, 101) t(i)")
+@query("SELECT event_id, event_id%100+1 AS sensitivity, round(0.76-(event_id%100+1)/100.0::DOUBLE*0.50, 9)::DOUBLE AS threshold FROM events")
 def threshold_curve(spark, d):
-    return spark.range(1, 101).select(F.col("id").alias("sensitivity"), F.round(pixel.threshold(F.col("id")), 9).alias("threshold"))
+    """A sensitivity from each event."""
+    e = _t(spark, d, "events").select("event_id", (F.col("event_id") % 100 + 1).alias("sensitivity"))
+    return e.withColumn("threshold", F.round(pixel.threshold(F.col("sensitivity")), 9))
 
 
 @query(BASE + """, v AS (SELECT image_id, y, x, w, h, CASE WHEN x>=1 AND y>=1 AND x<w-1 AND y<h-1 THEN
@@ -314,12 +316,13 @@ def negative_union(spark, d):
     return scene(spark, d).groupBy("image_id").agg(F.count_if(labels.negative_union(F.col("neg"), F.col("excl"), F.col("ref"))).alias("n"))
 
 
-@query("""WITH p AS (SELECT i AS point_id, (i*7)%64 AS x, (i*5)%24 AS y FROM range(200) t(i)), rc AS (SELECT * FROM (VALUES (0,5,2,14,9),(1,10,6,30,20),(2,40,0,63,4)) t(ord,x0,y0,x1,y1)),
+@query("""WITH p AS (SELECT event_id AS point_id, (event_id*7+user_id)%64 AS x, (event_id*5)%24 AS y FROM events), rc AS (SELECT * FROM (VALUES (0,5,2,14,9),(1,10,6,30,20),(2,40,0,63,4)) t(ord,x0,y0,x1,y1)),
 hd AS (SELECT *, CASE WHEN abs(x-x0)<=2 AND abs(y-y0)<=2 THEN 'nw' WHEN abs(x-floor((x0+x1)/2.0))<=2 AND abs(y-y0)<=2 THEN 'n' WHEN abs(x-x1)<=2 AND abs(y-y0)<=2 THEN 'ne' WHEN abs(x-x1)<=2 AND abs(y-floor((y0+y1)/2.0))<=2 THEN 'e' WHEN abs(x-x1)<=2 AND abs(y-y1)<=2 THEN 'se'
  WHEN abs(x-floor((x0+x1)/2.0))<=2 AND abs(y-y1)<=2 THEN 's' WHEN abs(x-x0)<=2 AND abs(y-y1)<=2 THEN 'sw' WHEN abs(x-x0)<=2 AND abs(y-floor((y0+y1)/2.0))<=2 THEN 'w' WHEN x BETWEEN x0 AND x1 AND y BETWEEN y0 AND y1 THEN 'move' END AS handle FROM p CROSS JOIN rc)
 SELECT point_id, ord, handle FROM hd WHERE handle IS NOT NULL QUALIFY row_number() OVER (PARTITION BY point_id ORDER BY ord DESC)=1""")
 def rect_hit_test(spark, d):
-    p = spark.range(200).select(F.col("id").alias("point_id"), F.lit(0).alias("image_id"), ((F.col("id") * 7) % 64).alias("x"), ((F.col("id") * 5) % 24).alias("y"))
+    e = _t(spark, d, "events")
+    p = e.select(F.col("event_id").alias("point_id"), F.lit(0).alias("image_id"), ((F.col("event_id") * 7 + F.col("user_id")) % 64).alias("x"), ((F.col("event_id") * 5) % 24).alias("y"))
     r = spark.createDataFrame([(0, *r) for r in RECTS], "image_id int, ord int, x0 int, y0 int, x1 int, y1 int")
     return labels.hit_test(p, r, 2)
 
@@ -433,10 +436,11 @@ def region_feature_means(spark, d):
     return _rounded(metrics.region_features(scene(spark, d), ["dark", "ridge"]), ("dark", "ridge"), 6)
 
 
-@query("WITH v AS (SELECT i/10.0::DOUBLE AS r, j/10.0::DOUBLE AS l FROM range(11) a(i), range(11) b(j)) SELECT r AS recall, l AS leakage, round(CASE WHEN r+(1-l)>0 THEN 2*r*(1-l)/(r+(1-l)) ELSE 0 END, 9) AS balanced, round(0.72*r+0.28*(1-l), 9) AS primary_score FROM v")
+@query("WITH v AS (SELECT event_id, user_id%11/10.0::DOUBLE AS r, event_id%11/10.0::DOUBLE AS l FROM events) SELECT event_id, r AS recall, l AS leakage, round(CASE WHEN r+(1-l)>0 THEN 2*r*(1-l)/(r+(1-l)) ELSE 0 END, 9) AS balanced, round(0.72*r+0.28*(1-l), 9) AS primary_score FROM v")
 def objective_scores(spark, d):
-    v = spark.range(121).select((F.floor(F.col("id") / 11) / 10.0).alias("recall"), (F.col("id") % 11 / 10.0).alias("leakage"))
-    return v.select("recall", "leakage", F.round(pixel.balanced_score(F.col("recall"), F.col("leakage"), F.lit(1)), 9).alias("balanced"), F.round(pixel.primary_score(F.lit(None).cast("double"), F.col("recall"), F.col("leakage")), 9).alias("primary_score"))
+    """A recall and a leakage from each event."""
+    v = _t(spark, d, "events").select("event_id", (F.col("user_id") % 11 / 10.0).alias("recall"), (F.col("event_id") % 11 / 10.0).alias("leakage"))
+    return v.select("event_id", "recall", "leakage", F.round(pixel.balanced_score(F.col("recall"), F.col("leakage"), F.lit(1)), 9).alias("balanced"), F.round(pixel.primary_score(F.lit(None).cast("double"), F.col("recall"), F.col("leakage")), 9).alias("primary_score"))
 
 
 # components and fills ----------------------------------------------------------------------------------------------
@@ -630,14 +634,13 @@ def gap_guard(spark, d):
     return _guard_pairs(spark, d).select("event_id", tune.gap_passes().alias("passes"))
 
 
-_MEASURED = [(0, 0, 0, 0), (0, 1, 0, 10), (0, 3, 3, -18), (1, 2, 2, 4), (1, 2, 3, 0), (1, 0, 3, 18)]
-
-
-@query("""WITH m AS (SELECT * FROM (VALUES (0,0,0,0.0::DOUBLE),(0,1,0,10),(0,3,3,-18),(1,2,2,4),(1,2,3,0),(1,0,3,18)) t(image_id,mx,my,v)), g AS (SELECT image_id, (i%4)::INT AS rx, (i//4)::INT AS ry FROM (SELECT DISTINCT image_id FROM m), range(16) t(i)),
+@query("""WITH m AS (SELECT user_id AS image_id, (event_id%4)::INT AS mx, (event_id//4%4)::INT AS my, (max(event_id)%37-18)::DOUBLE AS v FROM events WHERE event_type='click' GROUP BY 1,2,3), g AS (SELECT image_id, (i%4)::INT AS rx, (i//4)::INT AS ry FROM (SELECT DISTINCT image_id FROM m), range(16) t(i)),
 q AS (SELECT g.image_id, rx, ry, v, (rx-mx)*(rx-mx)+(ry-my)*(ry-my) AS d2 FROM g LEFT JOIN m ON m.image_id=g.image_id AND (rx-mx)*(rx-mx)+(ry-my)*(ry-my)<=2)
 SELECT image_id, rx, ry, round(coalesce(max(v) FILTER (d2=0), sum(v/d2) FILTER (d2>0)/(1.5+sum(1.0/d2) FILTER (d2>0)), 0)::FLOAT::DOUBLE, 6) AS value, coalesce(bool_or(d2=0), false) AS measured FROM q GROUP BY 1,2,3""")
 def calibration_fill(spark, d):
-    m = spark.createDataFrame(_MEASURED, "image_id int, rx int, ry int, delta int")
+    """Measured cells from the clicks of each user, an image of their own."""
+    e, i = _t(spark, d, "events").where("event_type = 'click'"), F.col("event_id")
+    m = e.groupBy(F.col("user_id").alias("image_id"), (i % 4).cast("int").alias("rx"), (F.floor(i / 4) % 4).cast("int").alias("ry")).agg((F.max("event_id") % 37 - 18).cast("int").alias("delta"))
     return tune.calibration_fill(m).withColumn("value", F.round(F.col("value").cast("double"), 6))
 
 
@@ -1087,18 +1090,22 @@ def history_tail(spark, d):
     return edits.history_tail(_t(spark, d, "events"), 8, ["ts", "event_id"], ["event_type"]).select("event_id", "event_type")
 
 
-@query("""WITH g AS (SELECT i AS seq, (i*13)%60 AS x0, (i*7)%40 AS y0, (i*29)%60 AS x1, (i*17)%40 AS y1 FROM range(40) t(i)), n AS (SELECT *, greatest(1, ceil(greatest(abs(x1-x0),abs(y1-y0))*1.5))::INT AS n FROM g)
-SELECT seq, floor(x0+(x1-x0)*k/n::DOUBLE+0.5)::INT AS x, floor(y0+(y1-y0)*k/n::DOUBLE+0.5)::INT AS y, count(*) AS hits FROM (SELECT *, unnest(range(0, n+1)) AS k FROM n) GROUP BY 1,2,3""")
+@query("""WITH g AS (SELECT event_id AS seq, (event_id*13)%60 AS x0, (event_id*7)%40 AS y0, (event_id*29+user_id)%60 AS x1, (event_id*17)%40 AS y1 FROM events), n AS (SELECT *, greatest(1, ceil(greatest(abs(x1-x0),abs(y1-y0))*1.5))::INT AS n FROM g)
+SELECT seq, floor(x0+(x1-x0)*(k/n::DOUBLE)+0.5)::INT AS x, floor(y0+(y1-y0)*(k/n::DOUBLE)+0.5)::INT AS y, count(*) AS hits FROM (SELECT *, unnest(range(0, n+1)) AS k FROM n) GROUP BY 1,2,3""")
 def stroke_points(spark, d):
-    s = spark.range(40).select(F.col("id").alias("seq"), F.lit("positive").alias("layer"), *[((F.col("id") * a) % b).cast("int").alias(c) for c, a, b in (("x0", 13, 60), ("y0", 7, 40), ("x1", 29, 60), ("y1", 17, 40))])
+    i = F.col("event_id")
+    at = {"x0": (i * 13) % 60, "y0": (i * 7) % 40, "x1": (i * 29 + F.col("user_id")) % 60, "y1": (i * 17) % 40}
+    s = _t(spark, d, "events").select(i.alias("seq"), F.lit("positive").alias("layer"), *[v.cast("int").alias(k) for k, v in at.items()])
     return edits.stroke_points(s).groupBy("seq", "x", "y").agg(F.count("*").alias("hits"))
 
 
-@query("""WITH c AS (SELECT r.ord, m.mode, x0, y0, x1, y1 FROM (VALUES (0,5,2,14,9),(1,10,6,30,20),(2,40,0,63,4)) r(ord,x0,y0,x1,y1), (VALUES ('move'),('nw'),('se'),('e'),('n')) m(mode)),
+@query("""WITH c AS (SELECT event_id AS ord, CASE event_type WHEN 'view' THEN 'move' WHEN 'click' THEN 'nw' WHEN 'error' THEN 'se' WHEN 'purchase' THEN 'e' ELSE 'n' END AS mode, event_id*13%40 AS x0, event_id*7%30 AS y0, event_id*13%40+user_id%20 AS x1, event_id*7%30+event_id%9 AS y1 FROM events),
 k AS (SELECT ord, mode, CASE WHEN mode='nw' THEN x0+25 ELSE x0 END AS a, CASE WHEN mode IN ('e','se') THEN x1+25 ELSE x1 END AS b, CASE WHEN mode IN ('n','nw') THEN y0-7 ELSE y0 END AS c, CASE WHEN mode='se' THEN y1-7 ELSE y1 END AS d, least(greatest(x0+25,0),63-(x1-x0)) AS mx, least(greatest(y0-7,0),47-(y1-y0)) AS my, x1-x0 AS w, y1-y0 AS h FROM c)
 SELECT ord, mode, (CASE WHEN mode='move' THEN mx ELSE greatest(0,least(63,least(a,b))) END)::INT AS x0, (CASE WHEN mode='move' THEN my ELSE greatest(0,least(47,least(c,d))) END)::INT AS y0, (CASE WHEN mode='move' THEN mx+w ELSE greatest(0,least(63,greatest(a,b))) END)::INT AS x1, (CASE WHEN mode='move' THEN my+h ELSE greatest(0,least(47,greatest(c,d))) END)::INT AS y1 FROM k""")
 def rect_transform(spark, d):
-    r = spark.createDataFrame(RECTS, "ord int, x0 int, y0 int, x1 int, y1 int").join(F.broadcast(spark.createDataFrame([("move",), ("nw",), ("se",), ("e",), ("n",)], "mode string")))
+    i, x0, y0 = F.col("event_id"), F.col("event_id") * 13 % 40, F.col("event_id") * 7 % 30
+    mode = F.coalesce(F.create_map(*[F.lit(v) for v in ("view", "move", "click", "nw", "error", "se", "purchase", "e")])[F.col("event_type")], F.lit("n"))
+    r = _t(spark, d, "events").select(i.alias("ord"), mode.alias("mode"), x0.alias("x0"), y0.alias("y0"), (x0 + F.col("user_id") % 20).alias("x1"), (y0 + i % 9).alias("y1"))
     return r.select("ord", "mode", *[c.cast("int").alias(k) for k, c in edits.moved_rect(F.col("mode"), F.lit(25), F.lit(-7), 64, 48).items()])
 
 

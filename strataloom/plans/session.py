@@ -38,6 +38,7 @@ class Session:
     calibration: DataFrame | None = None  # (image_id, rx, ry, value): each image's own grid
     _features: DataFrame | None = None
     _mask: DataFrame | None = None
+    _predicted: DataFrame | None = None
 
     def features(self) -> DataFrame:
         if self._features is None:
@@ -50,14 +51,21 @@ class Session:
         f = self.features().join(lab, KEY, "left")
         return f.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("ref", "neg", "excl")})
 
+    def predicted(self) -> DataFrame:
+        """(key, w, h, score, pred, excl, ref, neg), stored: labels travel with the mask, so that nothing is joined."""
+        if self._predicted is None:
+            if self._mask is None:
+                self._predicted = stored(boundary_mask(self.scene(), self.conf, self.calibration, exclusion="excl", keep=("ref", "neg")), "predicted")
+                self._mask = self._predicted.select(*KEY, "pred")
+            else:  # other labels under the same mask
+                self._predicted = stored(self.scene().select(*KEY, "w", "h", "excl", "ref", "neg").join(self._mask, KEY), "predicted")
+        return self._predicted
+
     def mask(self) -> DataFrame:
         if self._mask is None:
-            self._mask = stored(boundary_mask(self.scene(), self.conf, self.calibration, exclusion="excl").select(*KEY, "pred"), "mask")
+            self.predicted()
         return self._mask
 
-    def predicted(self) -> DataFrame:
-        return stored(self.scene().join(self.mask(), KEY), "predicted")
-
     def with_conf(self, conf: Params) -> Session:
         """A changed feature setting drops features and calibration, a changed extraction setting the calibration only."""
         same = (conf.local_enabled, conf.local_strength, conf.local_window) == (self.conf.local_enabled, self.conf.local_strength, self.conf.local_window)
@@ -65,12 +73,12 @@ class Session:
 
     def with_calibration(self, grid: DataFrame | None) -> Session:
         """Each image's own calibration grid; only the mask is derived anew."""
-        return replace(self, calibration=grid, _mask=None)
+        return replace(self, calibration=grid, _mask=None, _predicted=None)
 
     def with_labels(self, labels: DataFrame, exclusions_changed: bool = False) -> Session:
         """Edited labels drop the calibration, which was measured by them, and with it its mask; a mask without calibration is derived anew only if exclusions changed, which cut it. Features stay."""
         stays = self.calibration is None and not exclusions_changed
-        return replace(self, labels=labels, calibration=None, _mask=self._mask if stays else None)
+        return replace(self, labels=labels, calibration=None, _mask=self._mask if stays else None, _predicted=None)
 
     def with_rois(self, rois: DataFrame | None) -> Session:
         """Edited ROIs touch evaluations alone."""
