@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from .labels import BOUNDARY_RGB
 
 PROJECT_FORMAT, PROJECT_VERSION = "strataloom-project", 1
+#: Characters of a packed mask that are decoded as one: a multiple of 4, so that each piece is whole bytes (384 pixels).
+PIECE = 64
 
 
 def pack_mask(px: DataFrame, mask: str) -> DataFrame:
@@ -31,11 +33,20 @@ def pack_mask(px: DataFrame, mask: str) -> DataFrame:
 
 
 def unpack_mask(packed: DataFrame) -> DataFrame:
-    """(image_id, y, x, bit) of packed (image_id, packed, w, h)."""
-    raw = packed.select("image_id", "w", "h", F.hex(F.unbase64("packed")).alias("hex"))
-    p = raw.select("image_id", "w", "hex", F.explode(F.sequence(F.lit(0).cast("long"), F.col("w").cast("long") * F.col("h") - 1)).alias("p"))
-    at = F.conv(F.col("hex").substr((F.floor(F.col("p") / 8) * 2 + 1).cast("int"), F.lit(2)), 16, 10).cast("int")
-    bit = F.floor(at / F.pow(F.lit(2), F.col("p") % 8)).cast("int") % 2
+    """(image_id, y, x, bit) of packed (image_id, packed, w, h); bits that a string doesn't have are null.
+
+    A string is cut once into pieces of PIECE characters, which are dealt out and decoded on their own, so that a pixel carries a piece and not the image.
+    """
+    bits = PIECE * 6
+    n = F.ceil(F.col("w").cast("long") * F.col("h") / bits).cast("int")
+    cut = F.concat(F.regexp_extract_all(F.translate("packed", "\r\n", ""), F.lit(f".{{1,{PIECE}}}"), F.lit(0)), F.array_repeat(F.lit(""), n))
+    pieces = packed.select("image_id", "w", "h", F.posexplode(cut).alias("_i", "_piece")).where(F.col("_i").cast("long") * bits < F.col("w").cast("long") * F.col("h"))
+    pieces = pieces.repartition(int(packed.sparkSession.conf.get("spark.sql.shuffle.partitions")), "image_id", "_i")
+    raw = pieces.select("image_id", "w", "h", (F.col("_i").cast("long") * bits).alias("_from"), F.hex(F.unbase64("_piece")).alias("hex"))
+    last = F.least(F.lit(bits), F.col("w").cast("long") * F.col("h") - F.col("_from")) - 1
+    p = raw.select("image_id", "w", "hex", "_from", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("_p")).withColumn("p", F.col("_from") + F.col("_p"))
+    at = F.conv(F.col("hex").substr((F.floor(F.col("_p") / 8) * 2 + 1).cast("int"), F.lit(2)), 16, 10).cast("int")
+    bit = F.floor(at / F.pow(F.lit(2), F.col("_p") % 8)).cast("int") % 2
     return p.select("image_id", F.floor(F.col("p") / F.col("w")).cast("int").alias("y"), (F.col("p") % F.col("w")).cast("int").alias("x"), bit.alias("bit"))
 
 
