@@ -30,7 +30,7 @@ def classify_seeds(px: DataFrame, seeds: DataFrame, conf: Params, regions: tuple
     r, index = regions or closed_regions(px, conf.fill_safety)
     at = runs_at(seeds.select("image_id", "y", "x").distinct(), r)
     sizes = px.groupBy("image_id").agg(F.first("w").alias("w"), F.first("h").alias("h"))
-    s = seeds.join(F.broadcast(sizes), "image_id").join(at, ["image_id", "y", "x"], "left").join(shuffled(index), ["image_id", "root"], "left")
+    s = seeds.join(F.broadcast(sizes), "image_id").join(at, ["image_id", "y", "x"], "left").join(shuffled(index, "image_id", "root"), ["image_id", "root"], "left")
     total = F.col("w") * F.col("h")
     most, border_most = F.greatest(F.lit(1), F.floor(total * conf.fill_max_area)), F.greatest(F.lit(1), F.floor(total * min(conf.fill_max_area, conf.fill_border_max_area)))
     edge = F.col("edge_mask")
@@ -56,7 +56,7 @@ def fill_mask(px: DataFrame, seeds: DataFrame, conf: Params, regions: tuple[Data
     regions = regions or closed_regions(px, conf.fill_safety)
     ok = classify_seeds(px, seeds, conf, regions).where("reason IS NULL").select("image_id", "root").distinct()
     hit = pixels_of(regions[0].join(ok, ["image_id", "root"], "left_semi")).withColumn("_hit", F.lit(1))
-    df = dilate(px, "ref", "_safe", conf.fill_safety).join(shuffled(hit), ["image_id", "y", "x"], "left")
+    df = dilate(px, "ref", "_safe", conf.fill_safety).join(shuffled(hit, "image_id", "y", "x"), ["image_id", "y", "x"], "left")
     return df.withColumn("fill", F.when((F.col("_hit") == 1) & (F.col("_safe") == 0), 1).otherwise(0)).drop("_hit", "_safe")
 
 
@@ -124,11 +124,11 @@ def negative_holdout(px: DataFrame, seeds: DataFrame, conf: Params, line: str =
     comps = component_holdout(px, line, fraction).where("validation")
     enough = comps.groupBy("image_id").agg(F.sum("size").alias("n")).where(F.col("n") >= least).select("image_id")
     held = comps.join(enough, "image_id", "left_semi").select("image_id", "root", F.lit(1).alias("_held"))
-    drawn = label_pixels(px.select(*key, line), F.col(line) == 1, 8).join(shuffled(held), ["image_id", "root"], "left").select(*key, F.coalesce("_held", F.lit(0)).alias("_held"))
+    drawn = label_pixels(px.select(*key, line), F.col(line) == 1, 8).join(shuffled(held, "image_id", "root"), ["image_id", "root"], "left").select(*key, F.coalesce("_held", F.lit(0)).alias("_held"))
     regions = closed_regions(px, conf.fill_safety)
     ok = region_holdout(classify_seeds(px, seeds, conf, regions).where("reason IS NULL"), fraction)
-    closed = pixels_of(shuffled(regions[0]).join(ok.select("image_id", "root", F.col("validation").cast("int").alias("_out")), ["image_id", "root"]), "_out")
-    df = px.join(shuffled(drawn), key, "left").join(shuffled(closed), key, "left")
+    closed = pixels_of(shuffled(regions[0], "image_id", "root").join(ok.select("image_id", "root", F.col("validation").cast("int").alias("_out")), ["image_id", "root"]), "_out")
+    df = px.join(shuffled(drawn, *key), key, "left").join(shuffled(closed, *key), key, "left")
     df = separable_many(df, {"_mt": (F.coalesce(1 - F.col("_held"), F.lit(0)), radius, F.max), "_mv": (F.coalesce("_held", F.lit(0)), radius, F.max), "_safe": ("ref", conf.fill_safety, F.max)})
     free, fill = F.col("ref") == 0, F.col("_out").isNotNull() & (F.col("_safe") == 0)
     tune, validation = free & ((F.col("_mt") == 1) | (fill & (F.col("_out") == 0))), free & ((F.col("_mv") == 1) | (fill & (F.col("_out") == 1)))
