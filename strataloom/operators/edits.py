@@ -8,11 +8,19 @@ from pyspark.sql import functions as F
 from ..functions.pixel import clamp, js_round
 
 
+#: Segments that one task draws.
+SEGMENTS = 25_000
+
+
 def stroke_points(segments: DataFrame) -> DataFrame:
-    """segments (seq, layer, x0, y0, x1, y1) with their rasterised points (x, y, step), half again as dense as the longer side."""
+    """segments (seq, layer, x0, y0, x1, y1) with their rasterised points (x, y, step), half again as dense as the longer side.
+
+    Many segments are dealt out by seq, SEGMENTS to a task, before they are drawn: what counts points of a seq then needs no shuffle of points, and holds a task's alone.
+    """
     far = F.greatest(F.abs(F.col("x1") - F.col("x0")), F.abs(F.col("y1") - F.col("y0")))
     n = F.greatest(F.lit(1), F.ceil(far * 1.5).cast("int"))
-    s = segments.withColumn("_n", n).withColumn("step", F.explode(F.sequence(F.lit(0), F.col("_n"))))
+    few = -(-segments.count() // SEGMENTS)
+    s = (segments.repartition(few, "seq") if few > 1 else segments).withColumn("_n", n).withColumn("step", F.explode(F.sequence(F.lit(0), F.col("_n"))))
     t = F.col("step") / F.col("_n")
     at = lambda a, b: js_round(F.col(a) + (F.col(b) - F.col(a)) * t).cast("int")
     return s.withColumns({"x": at("x0", "x1"), "y": at("y0", "y1")}).drop("_n", "x0", "y0", "x1", "y1")
