@@ -2,16 +2,16 @@
 
 Events of a key arrive late, repeated and out of order. They wait in state until the watermark has passed them, are then folded in the
 order of (time, id), once each, and forgotten. Timers wake a key when its first waiting event or its next due save is passed; state
-is what waits and one small record. What comes later than the watermark is dropped by Spark, so a repeated event can't count twice.
+is what waits, packed by arrivals, and one small record. What comes later than the watermark is dropped by Spark, so a repeated event can't count twice.
 """
 
 from __future__ import annotations
 
 import json
 from collections.abc import Callable, Iterator
+from itertools import islice
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -21,7 +21,9 @@ from ..plans.graph import settings
 Event = tuple[int, int, str, float]
 #: fold(state, events, now) -> (rows, due): changes the state in place; ``due`` is when it must be woken next without an event.
 Fold = Callable[[dict, list[Event], int], tuple[list[dict], int | None]]
-WAITING = "ts long, id long, kind string, value double"
+WAITING = "json string"
+#: How many waiting events are one row of state at most: each row is a call to the store.
+PACK = 10_000
 SESSIONS = "what string, start long, end long, n long, outcome string"
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -96,38 +98,36 @@ class InOrder(StatefulProcessor):
         self.waiting = handle.getListState("waiting", WAITING)
         self.held = handle.getValueState("held", "json string")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        known = [tuple(r) for r in self.waiting.get()]
-        seen, first = {r[1] for r in known}, min((r[0] for r in known), default=None)
-        for frame in rows:
-            for r in zip(frame["ts"].tolist(), frame["id"].tolist(), frame["kind"].tolist(), frame["value"].tolist(), strict=True):
-                if r[1] not in seen:
-                    seen.add(r[1])
-                    known.append(r)
-        self.waiting.put(known)
-        earliest = min(r[0] for r in known)
-        if first is None or earliest < first:
-            self.handle.registerTimer(earliest)
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        earliest = []
+        while pack := [r[-4:] for r in islice(rows, PACK)]:
+            self.waiting.appendValue((json.dumps(pack),))
+            earliest.append(min(e[0] for e in pack))
+        self.handle.registerTimer(min(earliest))
         return iter(())
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         now = timerValues.getCurrentWatermarkInMs()
-        known = [tuple(r) for r in self.waiting.get()]
-        ready, later = sorted(r for r in known if r[0] <= now), [r for r in known if r[0] > now]
-        state = json.loads(self.held.get()[0]) if self.held.exists() else {}
+        known: dict[int, Event] = {}
+        for (pack,) in self.waiting.get():
+            for e in json.loads(pack):
+                known.setdefault(e[1], tuple(e))
+        ready, later = sorted(e for e in known.values() if e[0] <= now), [e for e in known.values() if e[0] > now]
+        held = self.held.get()
+        state = json.loads(held[0]) if held else {}
         rows, due = self.fold(state, ready, now)
         if later:
-            self.waiting.put(later)
-        else:
+            self.waiting.put([(json.dumps(later[i : i + PACK]),) for i in range(0, len(later), PACK)])
+        elif known:
             self.waiting.clear()
         if state:
             self.held.update((json.dumps(state),))
-        else:
+        elif held:
             self.held.clear()
-        for at in {min((r[0] for r in later), default=None), due} - {None}:
+        for at in {min((e[0] for e in later), default=None), due} - {None}:
             self.handle.registerTimer(at)
-        if rows:
-            yield pd.DataFrame([{self.key: key[0], **r} for r in rows])
+        for r in rows:
+            yield Row(**{self.key: key[0]}, **r)
 
     def close(self) -> None:
         pass
@@ -136,8 +136,8 @@ class InOrder(StatefulProcessor):
 def folded(events: DataFrame, key: str, fold: Fold, watermark: str) -> DataFrame:
     """events (key, ts timestamp, id long, kind string, value double; a stream) -> (key, SESSIONS), times in ms."""
     kind = dict(events.dtypes)[key]
-    e = events.withWatermark("ts", watermark).select(key, "ts", F.unix_millis("ts").alias("ms"), F.col("id").cast("long").alias("id"), "kind", F.col("value").cast("double").alias("value"))
-    return e.select(key, F.col("ts").alias("at"), F.col("ms").alias("ts"), "id", "kind", "value").groupBy(key).transformWithStateInPandas(statefulProcessor=InOrder(key, fold), outputStructType=f"{key} {kind}, {SESSIONS}", outputMode="Append", timeMode="EventTime")
+    e = events.withWatermark("ts", watermark).select(key, "ts", F.unix_millis("ts").alias("ms"), F.col("id").cast("long").alias("id"), "kind", F.coalesce(F.col("value").cast("double"), F.lit(float("nan"))).alias("value"))
+    return e.select(key, F.col("ts").alias("at"), F.col("ms").alias("ts"), "id", "kind", "value").groupBy(key).transformWithState(statefulProcessor=InOrder(key, fold), outputStructType=f"{key} {kind}, {SESSIONS}", outputMode="Append", timeMode="EventTime")
 
 
 def run(events: DataFrame, key: str, fold: Fold, watermark: str, path: str, checkpoint: str) -> None:
